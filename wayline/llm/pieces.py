@@ -87,14 +87,25 @@ class Pieces:
         for name, i in self.ids.items():
             if len(name) == 1:
                 self.char_id[ord(name)] = i
-        crossing = {c for n in self.ids if len(n) > 1 for c in n}
-        ends = "".join(c for c in "\n\r\t" if c not in crossing)
         if any(SPACE in n.lstrip(SPACE) for n in self.ids):
             raise ValueError("pieces with an inner space are not supported")
-        self.cut = re.compile(f"{SPACE}+[^{SPACE}{ends}]*|[^{SPACE}{ends}]+|[{ends}]" if ends else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.cut = self._cuts()
         self.known: dict[str, tuple[str, int, str]] = {}
         self.older: dict[str, tuple[str, int, str]] = {}
 
+    def _cuts(self) -> re.Pattern:
+        """Segments end where no piece goes on: around line ends, before spaces, and before those marks that
+        in every piece follow only a space or another such mark."""
+        ends = [c for c in "\n\r\t" if not any(c in n for n in self.ids if len(n) > 1)]
+        marks = {c for n in self.ids if len(n) > 1 for c in n if not c.isalnum() and c != SPACE}
+        before = {(a, b) for n in self.ids for a, b in zip(n, n[1:])}
+        while bad := {b for a, b in before if b in marks and a != SPACE and a not in marks}:
+            marks -= bad
+        end, mark = re.escape("".join(ends)), re.escape("".join(sorted(marks)))
+        rest = f"[^{SPACE}{end}{mark}]"
+        first = f"[{mark}]" if marks else "(?!)"
+        return re.compile(f"{SPACE}+{first}*{rest}*|{rest}+|{first}+{rest}*" + (f"|[{end}]" if ends else ""))
+
     def _slots(self) -> None:
         """An open hash table over the pair keys, for look-ups of whole arrays."""
         size = 1 << (int(self.pair_keys.size * 2 - 1).bit_length() + 1)
