@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import quality, simhash
 from .pieces import encode_documents
-from .shared import table
+from .shared import fold, table
 
 
 def public_model(name: str) -> str:
@@ -16,6 +16,14 @@ def public_model(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    held_out = fold(F.col("doc_id"), 4) == 2
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_model("piece_bpe_32k.model"))
 
@@ -26,6 +34,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_quality": op6_quality,
     "op10_simhash": op10_simhash,
     "op8_sentencepiece": op8_sentencepiece,
 }
