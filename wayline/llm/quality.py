@@ -1,6 +1,7 @@
 """Document quality by supervised subword embeddings.
 
-Words and the character n-grams inside them are hashed to learned vectors; a document is the mean of its
+Words, the character n-grams inside them, and a mark for each word that repeats the one before it, are
+hashed to learned vectors; a document is the mean of its
 features' vectors, and a softmax over two classes gives the score. The vectors and the output are learned
 together in numpy by stochastic gradient descent with per-weight step sizes. As the output is linear in
 the mean, scoring needs one number for each bucket: that table, of fixed size, is what executors get.
@@ -30,6 +31,8 @@ SAMPLE, ROUNDS, PORTION, RATE = 4_000, 12, 32, 0.3
 THRESHOLD = 0.7
 BLOCK = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bucket of the mark that a word repeats the one before it.
+AGAIN = 1
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -62,7 +65,7 @@ def _pieces(texts: list[str]):
 
 
 def features(block: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For words and for each n-gram size: buckets in the order of the texts, and where each text's begin."""
+    """For words, for words that repeat the one before, and for each n-gram size: buckets in the order of the texts, and where each text's begin."""
     line = " " + " ".join(block) + " "
     chars = np.frombuffer(line.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
     space = (chars <= 32) | (chars == 0x85) | (chars == 0xA0)
@@ -79,7 +82,13 @@ def features(block: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
     first = np.flatnonzero(~space[1:] & space[:-1]) + 1
     last = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    found = [(bucket(first, last, 1), np.searchsorted(first, starts + 1))]
+    words = bucket(first, last, 1)
+    heads = np.searchsorted(first, starts)
+    whole = (total[last] - total[first]) * back[first]
+    again = np.r_[False, whole[1:] == whole[:-1]][: first.size]
+    again[heads[heads < first.size]] = False  # a text's first word follows none
+    again = np.flatnonzero(again)
+    found = [(words, heads), (np.full(again.size, AGAIN), np.searchsorted(first[again], starts))]
     for n in GRAMS:
         a = np.arange(chars.size - n + 1) if chars.size >= n else np.arange(0)
         a = a[blanks[a + n - 1] == blanks[a + 1]]  # white space at the ends at most
