@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, quality, simhash
+from . import decontaminate, fingerprint, language_model, quality, simhash
 from .pieces import encode_documents
 from .shared import fold, table
 
@@ -16,6 +16,10 @@ def public_model(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +46,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_language_model": op3_language_model,
     "op7_fingerprint": op7_fingerprint,
     "op4_decontaminate": op4_decontaminate,
     "op6_quality": op6_quality,
