@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language_model, quality, simhash
+from . import decontaminate, fingerprint, language_model, quality, simhash, warc
 from .pieces import encode_documents
 from .shared import fold, table
 
@@ -40,12 +40,17 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_model("piece_bpe_32k.model"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op9_warc": op9_warc,
     "op3_language_model": op3_language_model,
     "op7_fingerprint": op7_fingerprint,
     "op4_decontaminate": op4_decontaminate,
@@ -54,4 +59,13 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, ''))::bigint as n, sha1(coalesce(html, '')) as digest from pages),
+        g as (select html, max(page_id) as top from p where n >= 1000 group by html)
+        select page_id, n as payload_bytes, digest as payload_digest,
+               case when page_id < top then 'revisit' else 'response' end as record_type,
+               case when page_id < top then top end as refers_to
+        from p left join g using (html)
+    """,
+}
