@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language_model, quality, simhash, warc
+from . import chat, decontaminate, fingerprint, language_model, licences, quality, sharding, simhash, warc
 from .pieces import encode_documents
-from .shared import fold, table
+from .shared import fold, scratch, table
 
 
 def public_model(name: str) -> str:
@@ -16,6 +16,26 @@ def public_model(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Arrivals in which op1 appends the documents, and rows of a shard.
+ARRIVALS, SHARD_ROWS = 4, 2_000
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document arrives in one of ARRIVALS batches, is compacted and read back from the last manifest."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.Store(spark, scratch(spark, "shards"))
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))
+    for k in range(ARRIVALS):
+        store.append(docs.where(batch == k), SHARD_ROWS)
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -24,6 +44,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known(spark))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -50,6 +74,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_chat": op2_chat,
+    "op1_sharding": op1_sharding,
+    "op5_licences": op5_licences,
     "op9_warc": op9_warc,
     "op3_language_model": op3_language_model,
     "op7_fingerprint": op7_fingerprint,
@@ -60,6 +87,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": "select doc_id, lang, source, n_chars, sha256(text) as text_sha256 from documents",
+    "op5_licences": licences.oracle(),
     "op9_warc": """
         with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, ''))::bigint as n, sha1(coalesce(html, '')) as digest from pages),
         g as (select html, max(page_id) as top from p where n >= 1000 group by html)
