@@ -32,7 +32,7 @@ ROLES = ("system", "user", "assistant")
 #: Other names of the roles.
 NAMES = {"system": 0, "user": 1, "human": 1, "prompter": 1, "assistant": 2, "gpt": 2, "bot": 2, "model": 2}
 #: Costs of the repairs. The small parts break ties and never add up to a whole in a sum that matters.
-INSERT, MERGE, RELABEL = 2_000_100, 1_000_010, 3_000_001
+INSERT, MERGE, RELABEL = 2_000_100, 1_000_010, 4_000_001
 FAR = 1 << 60
 START, STATES = 3, 4
 #: Roles that may follow each state: after system, user, assistant, and at the start.
