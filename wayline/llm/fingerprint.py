@@ -6,9 +6,6 @@ word's value is ln c - r (t - b + 1), and the word with the least value is the s
 Two documents draw the same sample with a probability equal to their generalised Jaccard similarity, so
 the share of equal samples estimates it; its standard error is at most 0.5 / sqrt(SAMPLES).
 
-The gamma variates are read from tables of their quantiles, r as the middle of one of CELLS cells, c
-interpolated inside its cell, so that a sample costs one hash and no logarithm.
-
 The edited text of a document is its first half with the start of the next document, by descending id,
 after it. Order and lengths are worked out on ids and lengths alone, in range partitions with their edges
 joined; texts are shuffled once by id, and the starts that go into other texts once more.
@@ -22,60 +19,35 @@ fingerprints. Words are runs of characters other than ASCII white space, A-Z in
 
 from __future__ import annotations
 
-import math
-
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import staged
 
 SAMPLES = 32
-CELLS = 1024
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: The value of a sample of no words.
 EMPTY = (1 << 63) - 1
 
 
-def _quantile(p: float) -> float:
-    """Of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x)."""
-    low, high = 0.0, 60.0
-    for _ in range(80):
-        mid = (low + high) / 2
-        if 1 - (1 + mid) * math.exp(-mid) < p:
-            low = mid
-        else:
-            high = mid
-    return (low + high) / 2
-
-
-def _table(values: list[float]) -> Column:
-    """A literal array, made at once and not from a literal for each value."""
-    sc = SparkContext._active_spark_context
-    held = sc._gateway.new_array(sc._jvm.double, len(values))
-    for i, v in enumerate(values):
-        held[i] = v
-    return Column(sc._jvm.org.apache.spark.sql.functions.lit(held))
+def _samples(word_hash: Column, log_weight: Column, n: int) -> list[Column]:
+    """For each sample a bigint whose order is the value's and whose low bits name word and t. A variate of
+    Gamma(2, 1) is minus the logarithm of a product of two uniform ones, 32 bits each of a hash."""
 
+    def uniform(h: Column, low: bool) -> Column:
+        bits = h.bitwiseAND(F.lit((1 << 32) - 1)) if low else F.shiftrightunsigned(h, 32)
+        return (bits + F.lit(0.5)) * F.lit(2.0**-32)
 
-def _samples(word_hash: Column, log_weight: Column, n: int) -> list[Column]:
-    """For each sample a bigint whose order is the value's and whose low bits name word and t."""
-    scale = _table([_quantile((i + 0.5) / CELLS) for i in range(CELLS)])
-    at = [_quantile(max(i, 2**-8) / CELLS) if i < CELLS else 40.0 for i in range(CELLS + 1)]
-    logs = [math.log(x) for x in at]
-    start, step = _table(logs[:CELLS]), _table([b - a for a, b in zip(logs, logs[1:])])
-    cell = F.lit(CELLS - 1).cast("bigint")
     out = []
     for k in range(n):
-        h = F.xxhash64(word_hash, F.lit(k))
-        r = F.get(scale, h.bitwiseAND(cell).cast("int"))
-        place = F.shiftrightunsigned(h, 10).bitwiseAND(cell).cast("int")
-        inside = F.shiftrightunsigned(h, 20).bitwiseAND(F.lit((1 << 24) - 1)) * F.lit(2.0**-24)
-        b = F.shiftrightunsigned(h, 44) * F.lit(2.0**-20)
-        t = F.floor(log_weight / r + b)
-        value = F.get(start, place) + F.get(step, place) * inside - r * (t - b + F.lit(1.0))
-        # Values lie in about (-600, 4); 40 bits of them, then 23 bits of the word and t.
-        order = ((value + F.lit(2048.0)) * F.lit(2.0**28)).cast("bigint")
+        a, b, c = (F.xxhash64(word_hash, F.lit(3 * k + i)) for i in range(3))
+        r = -F.log(uniform(a, True) * uniform(a, False))
+        log_c = F.log(-F.log(uniform(b, True) * uniform(b, False)))
+        shift = uniform(c, True)
+        t = F.floor(log_weight / r + shift)
+        value = log_c - r * (t - shift + F.lit(1.0))
+        # Values lie in (-100, 4); 39 bits of them, then 23 bits of the word and t.
+        order = ((value + F.lit(1024.0)) * F.lit(2.0**28)).cast("bigint")
         name = F.xxhash64(word_hash, t, F.lit(k)).bitwiseAND(F.lit((1 << 23) - 1))
         out.append(F.shiftleft(order, 23).bitwiseOR(name))
     return out
@@ -120,8 +92,9 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", samples:
     words = texts.select(*keys, F.explode(F.split(body, SPACES)).alias("word"))
     weighted = words.groupBy(*keys, "word").count().select(*keys, "word", F.xxhash64("word").alias("h"), F.log("count").alias("w"))
     names = [f"s{k}" for k in range(samples)]
-    drawn = weighted.select(*keys, *[F.when(F.col("word") == "", F.lit(EMPTY)).otherwise(c).alias(n) for n, c in zip(names, _samples(F.col("h"), F.col("w"), samples))])
-    least = drawn.groupBy(*keys).agg(*[F.min(n).alias(n) for n in names])
+    # The samples stand inside the aggregates: as columns of their own they would make one method too long to be compiled.
+    empty = F.col("word") == ""
+    least = weighted.groupBy(*keys).agg(*[F.min(F.when(empty, F.lit(EMPTY)).otherwise(c)).alias(n) for n, c in zip(names, _samples(F.col("h"), F.col("w"), samples))])
     return least.select(*keys, F.array(*names).alias("samples"))
 
 
