@@ -52,8 +52,8 @@ def turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column)
 
 
 def inside(ring: Column, x: Column, y: Column) -> Column:
-    """Is (x, y) inside a closed ring (array of structs x, y)? Ray casting; points on an edge that goes up
-    or to the left count as outside, as a half-open rule does."""
+    """Is (x, y) inside a closed ring (array of structs x, y)? Ray casting; points on a left or lower edge
+    count as inside, those on a right or upper edge as outside, so that neighbours share no point."""
     n = F.size(ring)
     sides = F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
     crossed = F.filter(
