@@ -13,7 +13,7 @@ def distance_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     """Great-circle distance."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((p2 - p1) / 2), F.lit(2)) + F.cos(p1) * F.cos(p2) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), F.lit(2))
-    return F.lit(2 * RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.lit(2 * RADIUS_KM) * F.asin(F.when(h > 1, F.lit(1.0)).otherwise(F.sqrt(h)))
 
 
 def cell(x: Column, size: float) -> Column:
@@ -72,22 +72,32 @@ def _q(lat: Column) -> Column:
 def ring_area(ring: Column, unit: str) -> Column:
     """Area of a closed ring on an Albers equal-area plane whose standard parallels are the ring's least and
     largest latitude; unit 'm2' or 'km2'. Null where the parallels are opposite, the projection being undefined."""
-    low, high = F.array_min(F.transform(ring, lambda p: p["y"])), F.array_max(F.transform(ring, lambda p: p["y"]))
-    m = lambda lat: F.cos(F.radians(lat)) / F.sqrt(1 - F.lit(ECC2) * F.pow(F.sin(F.radians(lat)), F.lit(2)))
-    n = F.when(high == low, F.sin(F.radians(low))).otherwise((F.pow(m(low), F.lit(2)) - F.pow(m(high), F.lit(2))) / F.nullif(_q(high) - _q(low), F.lit(0.0)))
-    n = F.nullif(n, F.lit(0.0))
-    c = F.pow(m(low), F.lit(2)) + n * _q(low)
-
-    def point(p: Column) -> Column:
-        rho = F.lit(AXIS_M) * F.sqrt(c - n * _q(p["y"])) / n
-        theta = n * F.radians(p["x"])
-        return F.struct((rho * F.sin(theta)).alias("x"), (-rho * F.cos(theta)).alias("y"))
-
-    flat = F.transform(ring, point)
-    k = F.size(flat)
-    parts = F.zip_with(F.slice(flat, 1, k - 1), F.slice(flat, 2, k - 1), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    area = F.abs(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)) / 2
-    return area / 1e6 if unit == "km2" else area
+    # Each value that is used again is bound to a lambda's variable; else the formula would be spelt out at every use.
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    m2 = lambda lat: F.pow(F.cos(F.radians(lat)), F.lit(2)) / (1 - F.lit(ECC2) * F.pow(F.sin(F.radians(lat)), F.lit(2)))
+
+    def area(k: Column) -> Column:
+        n, c = k["n"], k["c"]
+
+        def point(p: Column) -> Column:
+            at = F.struct((F.lit(AXIS_M) * F.sqrt(c - n * _q(p["y"])) / n).alias("rho"), (n * F.radians(p["x"])).alias("theta"))
+            return bound(at, lambda t: F.struct((t["rho"] * F.sin(t["theta"])).alias("x"), (-t["rho"] * F.cos(t["theta"])).alias("y")))
+
+        def shoelace(flat: Column) -> Column:
+            size = F.size(flat)
+            parts = F.zip_with(F.slice(flat, 1, size - 1), F.slice(flat, 2, size - 1), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+            return F.abs(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)) / 2
+
+        return bound(F.transform(ring, point), shoelace)
+
+    def constants(e: Column) -> Column:
+        low, high = e["low"], e["high"]
+        n = F.when(high == low, F.sin(F.radians(low))).otherwise((m2(low) - m2(high)) / F.nullif(_q(high) - _q(low), F.lit(0.0)))
+        return bound(F.struct(F.nullif(n, F.lit(0.0)).alias("n"), low.alias("low")), lambda k: F.struct(k["n"].alias("n"), (m2(k["low"]) + k["n"] * _q(k["low"])).alias("c")))
+
+    edges = F.struct(F.array_min(F.transform(ring, lambda p: p["y"])).alias("low"), F.array_max(F.transform(ring, lambda p: p["y"])).alias("high"))
+    found = bound(bound(edges, constants), area)
+    return found / 1e6 if unit == "km2" else found
 
 
 def mollweide_to_degrees(x: Column, y: Column) -> tuple[Column, Column]:

@@ -274,7 +274,7 @@ _QQ = f"({1 - G.ECC2} * (sin(radians({{0}})) / (1 - {G.ECC2} * pow(sin(radians({
 _MM = f"(pow(cos(radians({{0}})), 2) / (1 - {G.ECC2} * pow(sin(radians({{0}})), 2)))"
 
 
-@query(f"""{V.sql("boxes")}, k as (select *, ({_MM.format("y1")} - {_MM.format("y2")}) / nullif({_QQ.format("y2")} - {_QQ.format("y1")}, 0) as n from boxes),
+@query(f"""{V.sql("boxes")}, k as (select *, ({_MM.format("y1")} - {_MM.format("y2")}) / nullif({_QQ.format("y2")} - {_QQ.format("y1")}, 0) as n from boxes where y1 <> -y2),
 c as (select *, {_MM.format("y1")} + n * {_QQ.format("y1")} as c from k),
 p as (select poly, i, x, y, n, {G.AXIS_M} * sqrt(c - n * {_QQ.format("y")}) / n as rho from (select *, unnest([0, 1, 2, 3, 4]) as i, unnest([x1, x2, x2, x1, x1]) as x, unnest([y1, y1, y2, y2, y1]) as y from c)),
 f as (select poly, i, rho * sin(n * radians(x)) as u, -rho * cos(n * radians(x)) as v from p)
