@@ -75,7 +75,7 @@ def test_speed_tags_and_drives(spark):
 def test_texts(spark):
     cases = [
         (N.xml_escaped(L("a<&>'\"")), "a&lt;&amp;&gt;&apos;&quot;"), (N.full_station_name(L("Ulm Hbf")), "Ulm Hauptbahnhof"), (N.full_station_name(L("Hbf Ulm")), "Hbf Ulm"),
-        (N.joined_route(L("K1"), L("A->B"), L("C->D")), "K1:A->D"), (N.route_code(L("K1:A->D")), "K1"), (N.capitalised(L("hELLO wORLD")), "Hello world"), (N.level_of_file(L("/a/gadm_2.shp")), "2"),
+        (N.joined_route(L("K1"), L("A->B"), L("C->D")), "K1:A->D"), (N.route_code(L("K1:A->D")), "K1"), (N.capitalised(L("hELLO wORLD")), "Hello world"), (N.level_of_file(L("/a/units_2.shp")), "2"),
         (N.cjk_runs(L("a北京b上海 北京")), ["北京", "上海"]), (N.name_ratio(L("ab"), L("ba")), 0.5), (N.name_ratio(L(""), L("")), 1.0), (N.distance_sign(F.create_map(L("name:en"), L("12 km"))), True),
     ]
     assert values(spark, [c for c, _ in cases]) == [v for _, v in cases]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
+from . import lineage
 
 
 def undirected(edges: DataFrame, weight: str = "w", row: str = "row") -> DataFrame:
@@ -34,7 +35,8 @@ def distances(edges: DataFrame, sources: DataFrame, rounds: int | None = None, w
     while rounds is None or k < rounds:
         k += 1
         moved = front.join(step, "node").groupBy("origin", F.col("to").alias("node")).agg(F.min(F.col("dist") + F.col("_w")).alias("new"))
-        joined = known.join(moved, ["origin", "node"], "full").select("origin", "node", "dist", "new", (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("better")).checkpoint()
+        joined = known.join(moved, ["origin", "node"], "full").select("origin", "node", "dist", "new", (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("better"))
+        joined = lineage.cut(joined)
         front = joined.where("better").select("origin", "node", F.col("new").alias("dist"))
         known = joined.select("origin", "node", F.when(F.col("better"), F.col("new")).otherwise(F.col("dist")).alias("dist"))
         if front.isEmpty():
@@ -88,7 +90,8 @@ def reach(starts: DataFrame, size: float, times: DataFrame, most: float, rounds:
     for _ in range(rounds):
         near = front.select("origin", F.inline(G.around(F.col("lon"), F.col("lat"), size))).distinct()
         front = near.join(times.where((F.col("seconds") >= 0) & (F.col("seconds") <= most)), ["origin", "lon", "lat"])
-        front = front.select("origin", "lon", "lat", F.round("metres").alias("metres"), F.round("seconds").alias("seconds")).join(found, ["origin", "lon", "lat"], "left_anti").checkpoint()
+        front = front.select("origin", "lon", "lat", F.round("metres").alias("metres"), F.round("seconds").alias("seconds")).join(found, ["origin", "lon", "lat"], "left_anti")
+        front = lineage.cut(front)
         if front.isEmpty():
             break
         found = found.union(front)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import lineage
+
 
 def next_service(labels: DataFrame, services: DataFrame, low: int, high: int, day: int = 1440, closed: bool = False) -> DataFrame:
     """Labels carried over every admissible service: origin, station, total, legs, path, with the wait in
@@ -34,7 +36,7 @@ def route_layers(services: DataFrame, seeds: DataFrame, hops: int, low: int, hig
     layer = seeds.select("origin", "station", "total", "at", F.lit(0).alias("legs"), F.array().cast(f"array<{services.schema['id'].dataType.simpleString()}>").alias("path"))
     found = None
     for _ in range(hops):
-        layer = _best(next_service(layer, services, low, high, day, closed)).checkpoint()
+        layer = lineage.cut(_best(next_service(layer, services, low, high, day, closed)))
         found = layer if found is None else found.unionByName(layer)
     if not pareto:
         return _best(found)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import lineage
+
 
 def log_histogram(samples: DataFrame, bins: int = 50) -> DataFrame:
     """x, freq: shares of positive samples in logarithmic bins, from the decade at or above zero-truncation of the least
@@ -35,7 +37,7 @@ def reverse_cdf(histogram: DataFrame) -> DataFrame:
 def split_points(values: DataFrame, n: int) -> DataFrame:
     """k, split: the value at place round(count / n * k) for k = 1 .. n - 1, ties to even, and the largest for k = n.
     Ranks come from sorted range partitions and their sizes, not from one sorted task."""
-    part = values.select("value").repartitionByRange("value").withColumn("_part", F.spark_partition_id()).checkpoint()
+    part = lineage.cut(values.select("value").repartitionByRange("value").withColumn("_part", F.spark_partition_id()))
     sizes = part.groupBy("_part").agg(F.count("*").alias("c"))
     offset = sizes.select("_part", F.coalesce(F.sum("c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     ranked = part.join(F.broadcast(offset), "_part").select("value", (F.row_number().over(Window.partitionBy("_part").orderBy("value")) - 1 + F.col("base")).alias("place"))
