@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column, small_batches
+from .shared import column, shared_root, small_batches
 
 ROLES = ("system", "user", "assistant")
 #: Other names of the roles.
@@ -178,6 +178,7 @@ def repair(turns: DataFrame) -> DataFrame:
     of empty turns put before it), after (number of empty turns put after it), piece."""
     spark = turns.sparkSession
     small_batches(spark)
+    shared_root(spark)  # sets a checkpoint folder where there is none
     data = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     data = data.withColumns({"tie": F.xxhash64("text"), "uid": F.monotonically_increasing_id()})
     keys = ["conv_id", "turn", "role", "tie", "uid"]

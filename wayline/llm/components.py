@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import shared_root
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked with the node's smallest neighbour instead."""
@@ -26,6 +28,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     reaches. A node without links, or linked with itself only, has no row. Each round ends in a reliable
     checkpoint in the shared folder, so that a lost executor costs one round at most; the rounds grow as
     the logarithm of a component's size. No neighbour list is ever gathered: minima are aggregated."""
+    shared_root(links.sparkSession)  # sets a checkpoint folder where there is none
     links = links.select("a", "b").where("a <> b")
     before = None
     for _ in range(most_rounds):
