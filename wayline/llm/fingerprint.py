@@ -32,23 +32,26 @@ EMPTY = (1 << 63) - 1
 
 def _samples(word_hash: Column, log_weight: Column, n: int) -> list[Column]:
     """For each sample a bigint whose order is the value's and whose low bits name word and t. A variate of
-    Gamma(2, 1) is minus the logarithm of a product of two uniform ones, 32 bits each of a hash."""
+    Gamma(2, 1) is minus the logarithm of a product of two uniform ones."""
 
-    def uniform(h: Column, low: bool) -> Column:
-        bits = h.bitwiseAND(F.lit((1 << 32) - 1)) if low else F.shiftrightunsigned(h, 32)
-        return (bits + F.lit(0.5)) * F.lit(2.0**-32)
+    def uniform(h: Column, at: int, bits: int) -> Column:
+        held = h if at == 0 else F.shiftrightunsigned(h, at)
+        if at + bits < 64:
+            held = held.bitwiseAND(F.lit((1 << bits) - 1))
+        return (held + F.lit(0.5)) * F.lit(2.0**-bits)
 
     out = []
     for k in range(n):
-        a, b, c = (F.xxhash64(word_hash, F.lit(3 * k + i)) for i in range(3))
-        r = -F.log(uniform(a, True) * uniform(a, False))
-        log_c = F.log(-F.log(uniform(b, True) * uniform(b, False)))
-        shift = uniform(c, True)
+        # One hash gives r (two uniform variates of 21 bits) and b (21 bits), the other c (two of 32 bits).
+        a, b = F.xxhash64(word_hash, F.lit(2 * k)), F.xxhash64(word_hash, F.lit(2 * k + 1))
+        r = -F.log(uniform(a, 0, 21) * uniform(a, 21, 21))
+        log_c = F.log(-F.log(uniform(b, 0, 32) * uniform(b, 32, 32)))
+        shift = uniform(a, 42, 21)
         t = F.floor(log_weight / r + shift)
         value = log_c - r * (t - shift + F.lit(1.0))
         # Values lie in (-100, 4); 39 bits of them, then 23 bits of the word and t.
         order = ((value + F.lit(1024.0)) * F.lit(2.0**28)).cast("bigint")
-        name = F.xxhash64(word_hash, t, F.lit(k)).bitwiseAND(F.lit((1 << 23) - 1))
+        name = b.bitwiseXOR(t * F.lit(40_503)).bitwiseAND(F.lit((1 << 23) - 1))
         out.append(F.shiftleft(order, 23).bitwiseOR(name))
     return out
 
@@ -89,11 +92,12 @@ def _text(samples: Column) -> Column:
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """keys and `samples`, an array of bigint, for each row of texts; the keys are unique."""
     body = F.btrim(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" \t\n\x0b\x0c\r"))
-    words = texts.select(*keys, F.explode(F.split(body, SPACES)).alias("word"))
-    weighted = words.groupBy(*keys, "word").count().select(*keys, "word", F.xxhash64("word").alias("h"), F.log("count").alias("w"))
+    # A word is known by its hash, of fixed length: that makes the counting's keys short.
+    words = texts.select(*keys, F.explode(F.split(body, SPACES)).alias("word")).select(*keys, F.xxhash64("word").alias("h"))
+    weighted = words.groupBy(*keys, "h").count().select(*keys, "h", F.log("count").alias("w"))
     names = [f"s{k}" for k in range(samples)]
     # The samples stand inside the aggregates: as columns of their own they would make one method too long to be compiled.
-    empty = F.col("word") == ""
+    empty = F.col("h") == F.xxhash64(F.lit(""))
     least = weighted.groupBy(*keys).agg(*[F.min(F.when(empty, F.lit(EMPTY)).otherwise(c)).alias(n) for n, c in zip(names, _samples(F.col("h"), F.col("w"), samples))])
     return least.select(*keys, F.array(*names).alias("samples"))
 
