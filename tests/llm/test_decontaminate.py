@@ -91,3 +91,19 @@ def test_empty_tables(spark):
     assert d.hits(docs, none).count() == 0
     assert d.clean(docs, none).count() == 1
     assert d.hits(docs.limit(0), spark.createDataFrame([(1, "long enough to be searched for")], "item_id bigint, text string")).count() == 0
+
+
+def test_first_word_replaced_dropped_or_misspelt():
+    items, _, _ = corpus()
+    for i, item in items:
+        first, rest = item.split(" ", 1)
+        for k, head in enumerate(["zzzzz "[-len(first) - 1 :], "", "zz" + first[2:] + " "]):
+            want = plain_distance(item, head + rest)[-1]
+            assert want <= 0.1 * len(item)
+            (hit,) = d.Walks([(i, item)]).search([f"kk lll {head}{rest} mmm"])
+            assert hit[1] == i and hit[4] <= want
+
+
+def test_recall_with_the_edits_at_the_head():
+    assert d.recall(0.05, trials=60, at_head=True) == d.recall(0.1, trials=60) == 1
+    assert d.recall(0.03, trials=60, at_head=True) == 1

@@ -1,22 +1,19 @@
 """Benchmark decontamination: windows of documents within a small edit distance of a benchmark item.
 
-Texts are normalised (A-Z to lower case, white space runs to one space). Windows of an item's size start
-at the words of a document. A CGK random walk embeds a window: at each step it puts out the character
-under its pointer, and a random bit of (step, character) says whether the pointer moves on, so that a
-small edit distance becomes a small Hamming distance. The walk up to a step is the same for windows of
-all sizes that hold it, so one walk serves every item. Bit-sampling LSH takes the walk's output at a few
-random steps as a key; REPEATS walks, each with steps and bits of its own, reach the target recall (see
-recall() and the tests). A window's key is built step by step, and windows whose key so far begins no
-item's key end their walk there; this changes no result. Every hit is verified: the edit distance between
-the item and the best text from that start, by bit-parallel dynamic programming, must be at most
-(1 - SIMILARITY) of the item's length.
+Texts are normalised (A-Z to lower case, white space runs to one space). An item of n characters may differ by
+k = (1 - SIMILARITY) n edits; it is cut into k + 1 pieces, and k edits leave at least one of them whole, wherever
+they stand. So the first characters of every piece (as many as the item's shortest piece has, LONGEST at most) are
+looked up at every character of a document, and no window within the limit is missed. Where a piece is found, the
+item can only stand on the piece's diagonal, give or take k; the region is verified: a count of 4-grams rules out
+most, and the edit distance between the item and the best text in the region, by bit-parallel dynamic programming,
+must be at most k.
 
 Items of fewer than LEAST characters after normalisation are not searched: they are no passages. The items
 are taken in blocks of BLOCK against all documents, so the driver and the executors hold one block at a time.
 
 Defined results: null and empty texts hold no item; repeated rows of one doc_id are searched each, and
-the best hit of (doc_id, item_id) stays; equal items are all reported; a text of any length is searched
-whole, in parts that overlap by the longest window.
+the best hit of (doc_id, item_id), that of least distance, then of least start, stays; equal items are all
+reported; a text of any length is searched whole, in parts that read on into the next one. Windows start at words.
 """
 
 from __future__ import annotations
@@ -30,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .shared import runs, small_batches
 
-SIMILARITY, LEAST, REPEATS, SEED = 0.9, 24, 24, 5
-#: Steps at which a walk is sampled: one in each range, as far as the shortest item's length allows.
-STRATA = (0, 2, 5, 9, 14, 20, 28, 38, 50)
+SIMILARITY, LEAST = 0.9, 24
+#: Characters of a piece that are looked up, at most. Diagonals of an item that are verified together.
+LONGEST, NEAR = 16, 64
 BLOCK = 4_096
 PART = 1 << 19
 
@@ -52,7 +49,7 @@ def normalise(text: str | None) -> np.ndarray:
 
 
 def small(chars: np.ndarray) -> np.ndarray:
-    """A byte for each code point, for the walks."""
+    """A byte for each code point, for the look-up."""
     return ((chars * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
 
 
@@ -86,10 +83,68 @@ def edit_distance(item: list[int], text: list[int], most: int) -> tuple[int, int
     return best
 
 
-class Walks:
-    """The walks and keys of one block of items."""
+def start_of_best(item: list[int], text: list[int], starts: list[bool]) -> tuple[int, int]:
+    """Smallest distance of item to any part of text that begins at one of `starts`, and the first such start: the
+    table of edit_distance from the end, with a free end."""
+    n = len(item)
+    masks: dict[int, int] = {}
+    for i, c in enumerate(reversed(item)):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    plus, minus, score = full, 0, n
+    best = (n, len(text))
+    for at in range(len(text) - 1, -1, -1):
+        eq = masks.get(text[at], 0)
+        x = (((eq & plus) + plus) ^ plus) | eq | minus
+        up, down = minus | (full & ~(x | plus)), plus & x
+        score += 1 if up & top else -1 if down & top else 0
+        up = (up << 1) & full
+        down = (down << 1) & full
+        eq |= minus
+        plus, minus = down | (full & ~(eq | up)), up & eq
+        if score <= best[0] and starts[at]:
+            best = (score, at)
+    return best
 
-    def __init__(self, items: list[tuple[int, str]], repeats: int = REPEATS, similarity: float = SIMILARITY, seed: int = SEED):
+
+def numbers(bytes_: np.ndarray, q: int) -> np.ndarray:
+    """A number for each q bytes in a row, q up to LONGEST; bytes_ has a margin of LONGEST at its end, which gives none."""
+    eight = np.lib.stride_tricks.as_strided(bytes_, (bytes_.size - 7, 8), (1, 1)).copy().view("<u8").ravel()
+    n = bytes_.size - LONGEST
+    if q < 8:
+        held = eight[:n] & np.uint64((1 << 8 * q) - 1)
+    else:
+        held = eight[:n] ^ eight[q - 8 : q - 8 + n] * np.uint64(0x9E3779B97F4A7C15) if q > 8 else eight[:n]
+    return held * np.uint64(0xD6E8FEB86659FD93)
+
+
+class _Table:
+    """The pieces of the items whose shortest pieces have q characters: their numbers, sorted, with items and offsets."""
+
+    def __init__(self, q: int, keys: np.ndarray, item: np.ndarray, offset: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.q, self.item, self.offset = q, item[order], offset[order]
+        self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
+        self.shift = np.uint64(64 - min(max(int(self.keys.size * 256).bit_length(), 16), 24))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.bits[(self.keys >> self.shift).astype(np.int64)] = True
+
+    def find(self, bytes_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in bytes_ where a piece's first q characters stand, the piece's item and its offset there."""
+        keys = numbers(bytes_, self.q)
+        at = np.flatnonzero(self.bits.take((keys >> self.shift).astype(np.int64)))
+        slot = np.minimum(np.searchsorted(self.keys, keys[at]), self.keys.size - 1)
+        same = self.keys[slot] == keys[at]
+        at, slot = at[same], slot[same]
+        many = self.count[slot]
+        piece = np.repeat(self.first[slot] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum()) if at.size else at
+        return np.repeat(at, many), self.item[piece], self.offset[piece]
+
+
+class Pieces:
+    """The pieces of one block of items."""
+
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
         self.ids, self.chars = [], []
         for item_id, text in items:
             chars = normalise(text)
@@ -98,30 +153,13 @@ class Walks:
                 self.chars.append(chars)
         self.most = [int(c.size * (1 - similarity) + 1e-9) for c in self.chars]
         self.grams = [grams(small(c)) for c in self.chars]
-        shortest = min((c.size for c in self.chars), default=LEAST)
-        rng = np.random.default_rng(seed)
-        self.steps, self.moves, self.prefixes, self.found = [], [], [], []
-        ends = [min(s, shortest) for s in STRATA]
-        line = np.concatenate([*[small(c) for c in self.chars], np.zeros(64, np.uint8)])
-        starts = np.r_[0, np.cumsum([c.size for c in self.chars])[:-1]].astype(np.int64) if self.chars else np.zeros(0, np.int64)
-        for _ in range(repeats):
-            steps = sorted({int(rng.integers(a, b)) for a, b in zip(ends, ends[1:]) if b > a})
-            moves = rng.integers(0, 2, (steps[-1] + 1, 256), dtype=np.int32)
-            self.steps.append(steps)
-            self.moves.append(moves)
-            keys, at = np.zeros(starts.size, np.uint64), starts.copy()
-            tables = []
-            for t in range(steps[-1] + 1):
-                c = line[at]
-                if t in steps:
-                    keys = self._longer(keys, c)
-                    bits = np.zeros(1 << 16, dtype=bool)
-                    bits[self._slot(keys)] = True
-                    tables.append(bits)
-                at += moves[t][c]
-            self.prefixes.append(tables)
-            order = np.argsort(keys, kind="stable")
-            self.found.append((keys[order], order))
+        held: dict[int, list] = {}
+        for i, (chars, most) in enumerate(zip(self.chars, self.most)):
+            q = min(chars.size // (most + 1), LONGEST)
+            offset = np.arange(most + 1, dtype=np.int64) * chars.size // (most + 1)
+            keys = numbers(np.r_[small(chars), np.zeros(LONGEST, np.uint8)], q)[offset]
+            held.setdefault(q, []).append((keys, np.full(offset.size, i), offset))
+        self.tables = [_Table(q, *map(np.concatenate, zip(*rows))) for q, rows in sorted(held.items())]
 
     def may(self, item: int, window: np.ndarray) -> bool:
         """False only if the window lacks more of the item's 4-grams than its allowed edits can break."""
@@ -132,43 +170,21 @@ class Walks:
         at = np.minimum(np.searchsorted(held, own), held.size - 1)
         return own.size - np.count_nonzero(held[at] == own) <= 4 * self.most[item]
 
-    @staticmethod
-    def _longer(keys: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return (keys ^ c) * np.uint64(0x100000001B3) + np.uint64(0x9E3779B9)
-
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-
-    def candidates(self, line: np.ndarray, anchors: np.ndarray) -> set[tuple[int, int]]:
-        """(anchor, item) whose keys are equal in at least one walk. line: bytes, with a margin at the end."""
-        out: set[tuple[int, int]] = set()
-        for steps, moves, tables, (keys, order) in zip(self.steps, self.moves, self.prefixes, self.found):
-            at, own, got, k = anchors.astype(np.int32), None, None, 0
-            for t in range(steps[-1] + 1):
-                c = line.take(at)
-                if t == steps[k]:
-                    got = self._longer(np.zeros(at.size, np.uint64) if got is None else got, c)
-                    k += 1
-                    if k > 1:  # one character alone tells little
-                        live = np.flatnonzero(tables[k - 1].take(self._slot(got)))
-                        own = live if own is None else own.take(live)
-                        at, got, c = at.take(live), got.take(live), c.take(live)
-                        if not own.size:
-                            break
-                at += moves[t].take(c)
-            if own is None or not own.size:
-                continue
-            low, high = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-            for a, x, y in zip(own[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
-                out.update((a, int(i)) for i in order[x:y])
-        return out
+    def regions(self, view: np.ndarray, part: int, begin: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, least and greatest start by its pieces) for the pieces in view, which starts at `part`. The
+        starts are counted from the document's first character, and may lie before it."""
+        at, item, offset = map(np.concatenate, zip(*[t.find(view) for t in self.tables]))
+        doc = np.searchsorted(begin, part + at, "right") - 1
+        start = part + at - offset - begin[doc]
+        order = np.lexsort((start, item, doc))
+        doc, item, start = doc[order], item[order], start[order]
+        new = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start // NEAR) != 0)][: doc.size])
+        yield from zip(doc[new].tolist(), item[new].tolist(), start[new].tolist(), start[np.r_[new[1:], doc.size][: new.size] - 1].tolist())
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
         """(index of the text, item_id, start, length, distance) of verified windows, the best for each text and item."""
         if not self.ids:
             return
-        margin = np.zeros(64, np.uint8)
         for first, block in runs(texts, PART):
             chars = [normalise(t) for t in block]
             line = np.concatenate([np.concatenate([c, [0]]) for c in chars]).astype(np.uint32)
@@ -176,31 +192,35 @@ class Walks:
             word = (line != 32) & (line != 0)
             head = word & ~np.r_[False, word[:-1]]
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            bytes_ = small(line)
-            bytes_[line == 0] = 0
+            bytes_ = np.r_[small(line), np.zeros(LONGEST, np.uint8)]
             for part in range(0, line.size, PART):
-                # A part's walks may read on into the next one.
-                view = np.concatenate([bytes_[part : part + PART + 64], margin])
-                anchors = np.flatnonzero(head[part : part + PART])
-                for a, item in self.candidates(view, anchors):
-                    start = part + int(anchors[a])
-                    doc = int(np.searchsorted(begin, start, "right")) - 1
-                    own, most = self.chars[item], self.most[item]
-                    rest = line[start : min(start + own.size + most, begin[doc + 1] - 1)]
-                    if rest.size >= own.size and (rest[: own.size] == own).all():
-                        distance, size = 0, own.size
-                    elif rest.size < own.size - most or not self.may(item, bytes_[start : start + rest.size]):
+                for doc, item, low, high in self.regions(bytes_[part : part + PART + LONGEST], part, begin):
+                    own, most, key = self.chars[item], self.most[item], (first + doc, item)
+                    if key in best and best[key][0] == 0 and best[key][1] <= low:
                         continue
+                    # An exact copy lies on the diagonal of its pieces.
+                    a, b = int(begin[doc]), int(begin[doc + 1]) - 1
+                    if low >= 0 and head[a + low] and a + low + own.size <= b and (line[a + low : a + low + own.size] == own).all():
+                        hit = (0, low, own.size)
                     else:
-                        distance, size = edit_distance(own.tolist(), rest.tolist(), most)
-                    if distance <= most:
-                        hit = (distance, start - int(begin[doc]), size)
-                        key = (first + doc, item)
-                        best[key] = min(best.get(key, hit), hit)
+                        start, end = max(a, a + low - most), min(b, a + high + own.size + most)
+                        if end - start < own.size - most or not self.may(item, bytes_[start:end]):
+                            continue
+                        text, letters = line[start:end].tolist(), own.tolist()
+                        distance, at = start_of_best(letters, text, head[start:end].tolist())
+                        if distance > most:
+                            continue
+                        distance, size = edit_distance(letters, text[at:], most)
+                        hit = (distance, start + at - a, size)
+                    best[key] = min(best.get(key, hit), hit)
             for (doc, item), (distance, start, size) in sorted(best.items()):
                 yield doc, self.ids[item], start, int(size), int(distance)
 
 
+#: The class's name at the time of the walks.
+Walks = Pieces
+
+
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items, in blocks of BLOCK rows."""
     held = []
@@ -213,7 +233,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, repeats: int = REPEATS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document and item that it holds: key, item_id, start and length (in characters of
     the normalised text), edit_distance, similarity."""
     spark = docs.sparkSession
@@ -222,7 +242,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     data = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     out = None
     for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Walks(block, repeats, similarity))
+        shared = spark.sparkContext.broadcast(Pieces(block, similarity))
 
         def run(batches, shared=shared):
             for batch in batches:
@@ -240,13 +260,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     return best.select(F.col("key").alias(key), F.col("item_id").cast(item_kind), "best.start", "best.length", "best.edit_distance", (1 - F.col("best.edit_distance") / size).alias("similarity"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, repeats: int = REPEATS, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """The rows of docs that hold no item, with the columns of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     at = docs.columns.index(text)
     for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Walks(block, repeats, similarity))
+        shared = spark.sparkContext.broadcast(Pieces(block, similarity))
 
         def run(batches, shared=shared):
             for batch in batches:
@@ -258,17 +278,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     return docs
 
 
-def recall(rate: float, repeats: int = REPEATS, trials: int = 400, size: int = 160, seed: int = 1) -> float:
-    """Share of windows with size * rate random edits that share a key with their item; the figure by which
-    REPEATS was chosen."""
+def recall(rate: float, trials: int = 400, size: int = 160, seed: int = 1, at_head: bool = False) -> float:
+    """Share of passages with size * rate random edits that are found at SIMILARITY. at_head: all edits stand in
+    the passage's first characters, twice as many as there are edits."""
     rng = np.random.default_rng(seed)
     words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(4_000)]
     got = 0
     for _ in range(trials):
         item = " ".join(rng.choice(words, size // 5))[:size].strip()
-        edited = list(item)
-        for _ in range(round(rate * len(item))):
-            at = int(rng.integers(0, len(edited)))
+        edited, edits = list(item), int(rate * len(item) + 1e-9)
+        for _ in range(edits):
+            at = int(rng.integers(0, 2 * edits if at_head else len(edited)))
             what = rng.integers(0, 3)
             if what == 0:
                 edited[at] = chr(rng.integers(97, 123))
@@ -276,7 +296,6 @@ def recall(rate: float, repeats: int = REPEATS, trials: int = 400, size: int = 1
                 edited.insert(at, chr(rng.integers(97, 123)))
             else:
                 del edited[at]
-        walks = Walks([(0, item)], repeats, 1 - 2 * rate)
         before = " ".join(rng.choice(words, 20))
-        got += any(True for _ in walks.search([f"{before} {''.join(edited)} {before}"]))
+        got += any(True for _ in Pieces([(0, item)]).search([f"{before} {''.join(edited)} {before}"]))
     return got / trials
