@@ -107,3 +107,29 @@ def test_first_word_replaced_dropped_or_misspelt():
 def test_recall_with_the_edits_at_the_head():
     assert d.recall(0.05, trials=60, at_head=True) == d.recall(0.1, trials=60) == 1
     assert d.recall(0.03, trials=60, at_head=True) == 1
+
+
+def test_glued_passages_and_unspaced_scripts():
+    items, _, _ = corpus()
+    rng = random.Random(9)
+    chinese = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(60))
+    for glue in (">>", "<p>", "Question:", "https://a.example/?q=", "x" * 40):
+        assert [h[1:] for h in d.Walks(items[:1]).search([f"kk {glue}{items[0][1]}{glue}"])] == [(0, 3 + len(glue), len(items[0][1]), 0)]
+    edited = chinese[:20] + "a" + chinese[21:40] + chinese[41:]
+    assert [h[1:] for h in d.Walks([(5, chinese)]).search([chinese[::-1] + edited + chinese[::-1]])] == [(5, 60, 59, 2)]
+
+
+def test_every_start_of_a_small_text_is_compared():
+    rng = random.Random(10)
+    for _ in range(40):
+        item = "".join(rng.choice("abc d") for _ in range(rng.randint(30, 60))).strip()
+        edited = list(item)
+        for _ in range(rng.randint(0, 7)):
+            at = rng.randrange(len(edited))
+            edited[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "ab"])
+        line = "".join(rng.choice("abcd") for _ in range(40)) + "".join(edited) + "".join(rng.choice("abcd") for _ in range(40))
+        item, line = " ".join(item.split()), " ".join(line.split())
+        most = int(len(item) * 0.1)
+        want = [(min(plain_distance(item, line[s : s + len(item) + most])), s) for s in range(len(line))]
+        got = [(h[4], h[2]) for h in d.Walks([(1, item)]).search([line])]
+        assert got == ([min(want)] if len(item) >= d.LEAST and min(want)[0] <= most else [])

@@ -13,7 +13,8 @@ are taken in blocks of BLOCK against all documents, so the driver and the execut
 
 Defined results: null and empty texts hold no item; repeated rows of one doc_id are searched each, and
 the best hit of (doc_id, item_id), that of least distance, then of least start, stays; equal items are all
-reported; a text of any length is searched whole, in parts that read on into the next one. Windows start at words.
+reported; a text of any length is searched whole, in parts that read on into the next one. Windows start
+at any character, glued to other text or not.
 """
 
 from __future__ import annotations
@@ -83,9 +84,9 @@ def edit_distance(item: list[int], text: list[int], most: int) -> tuple[int, int
     return best
 
 
-def start_of_best(item: list[int], text: list[int], starts: list[bool]) -> tuple[int, int]:
-    """Smallest distance of item to any part of text that begins at one of `starts`, and the first such start: the
-    table of edit_distance from the end, with a free end."""
+def start_of_best(item: list[int], text: list[int]) -> tuple[int, int]:
+    """Smallest distance of item to any part of text, and the first start of such a part: the table of edit_distance
+    from the end, with a free end."""
     n = len(item)
     masks: dict[int, int] = {}
     for i, c in enumerate(reversed(item)):
@@ -102,7 +103,7 @@ def start_of_best(item: list[int], text: list[int], starts: list[bool]) -> tuple
         down = (down << 1) & full
         eq |= minus
         plus, minus = down | (full & ~(eq | up)), up & eq
-        if score <= best[0] and starts[at]:
+        if score <= best[0]:
             best = (score, at)
     return best
 
@@ -189,8 +190,6 @@ class Pieces:
             chars = [normalise(t) for t in block]
             line = np.concatenate([np.concatenate([c, [0]]) for c in chars]).astype(np.uint32)
             begin = np.r_[0, np.cumsum([c.size + 1 for c in chars])]
-            word = (line != 32) & (line != 0)
-            head = word & ~np.r_[False, word[:-1]]
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             bytes_ = np.r_[small(line), np.zeros(LONGEST, np.uint8)]
             for part in range(0, line.size, PART):
@@ -200,14 +199,14 @@ class Pieces:
                         continue
                     # An exact copy lies on the diagonal of its pieces.
                     a, b = int(begin[doc]), int(begin[doc + 1]) - 1
-                    if low >= 0 and head[a + low] and a + low + own.size <= b and (line[a + low : a + low + own.size] == own).all():
+                    if low >= 0 and a + low + own.size <= b and (line[a + low : a + low + own.size] == own).all():
                         hit = (0, low, own.size)
                     else:
                         start, end = max(a, a + low - most), min(b, a + high + own.size + most)
                         if end - start < own.size - most or not self.may(item, bytes_[start:end]):
                             continue
                         text, letters = line[start:end].tolist(), own.tolist()
-                        distance, at = start_of_best(letters, text, head[start:end].tolist())
+                        distance, at = start_of_best(letters, text)
                         if distance > most:
                             continue
                         distance, size = edit_distance(letters, text[at:], most)
