@@ -35,3 +35,28 @@ def test_plan_stays_native_and_empty_table(spark):
     out = licences.scan(frame, licences.known(spark))
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_public_texts_with_their_titles(spark):
+    from importlib import resources
+
+    files = {f.name.removesuffix(".txt"): f.read_text() for f in resources.files("wayline.llm").joinpath("licence_texts").iterdir()}
+    assert len(files) >= 15
+    mit, isc = licences.KNOWN["MIT"], licences.KNOWN["ISC"]
+    head, *points, tail = licences._BSD
+    rows = [(t, k) for k, t in files.items()] + [(licences.unwrapped(t), k) for k, t in files.items()]
+    rows += [(files[k][: files[k].index("END OF TERMS")], k) for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1")]
+    rows += [(t + "\n extra", None) for t in files.values()]
+    rows += [(f"{title}\n\nCopyright (c) 2021 A. Person\n\n{mit}", "MIT") for title in ("MIT License", "The MIT License (MIT)")]
+    rows += [(f"ISC License\n\nCopyright (c) 2021, A\n\n{isc}", "ISC"), (f"BSD 3-Clause License\n\nCopyright (c) 2021, A\nAll rights reserved.\n\n{head}\n\n" + "\n\n".join(f"* {p}" for p in points) + f"\n\n{tail}", "BSD-3-Clause")]
+    rows += [(f"BSD 2-Clause License\n\n{head}\n1. {points[0]}\n2. {points[1]}\n\n{tail}", "BSD-2-Clause")]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: r.licence_id for r in licences.scan(frame, licences.known(spark)).collect()}
+    assert [got[i] for i in range(len(rows))] == [k for _, k in rows]
+
+
+def test_no_text_is_two_licences():
+    held = {}
+    for name, text in licences.public_texts():
+        held.setdefault(plain(text), set()).add(name)
+    assert all(len(names) == 1 for names in held.values())

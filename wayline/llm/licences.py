@@ -2,7 +2,9 @@
 
 A text is normalised as licence texts are compared: copyright lines go, A-Z become lower case, equivalent
 spellings become one, punctuation and white space become single spaces. The SHA-256 of the whole result is
-joined to the digests of the known licences.
+joined to the digests of the known licences: the whole public texts of licence_texts and the short ones
+below, with and without their usual titles, appendices and list marks, as wrapped there and unwrapped.
+A licence that stands inside other text cannot be found by this method.
 
 Defined results: a null or empty text, and one of punctuation only, has the digest of the empty text and
 no licence; a text with anything besides the licence is not that licence; if several known licences
@@ -11,6 +13,9 @@ normalise alike, the smallest licence_id is given; repeated rows are looked up e
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +58,41 @@ KNOWN = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
 }
+_MIT = KNOWN["MIT"]
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+    "DAMAGE.",
+)
+#: Short licences as paragraphs, a list of variants for each.
+SHORT = {
+    "MIT": [_MIT, _MIT.replace("permission notice shall", "permission notice (including the next paragraph) shall")],
+    "ISC": [KNOWN["ISC"], KNOWN["ISC"].replace("and/or distribute", "and distribute")],
+    "0BSD": [KNOWN["0BSD"]],
+    "BSD-2-Clause": [f"{_BSD[0]}\n{a}{_BSD[1]}\n{b}{_BSD[2]}\n{_BSD[4]}" for a, b in (("1. ", "2. "), ("* ", "* "), ("a. ", "b. "))],
+    "BSD-3-Clause": [f"{_BSD[0]}\n{a}{_BSD[1]}\n{b}{_BSD[2]}\n{c}{_BSD[3]}\n{_BSD[4]}" for a, b, c in (("1. ", "2. ", "3. "), ("* ", "* ", "* "), ("a. ", "b. ", "c. "))],
+}
+#: Usual title lines, which stand before the copyright lines.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero Clause BSD License", "BSD Zero Clause License (0BSD)", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", 'BSD 2-Clause "Simplified" License', "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License", 'BSD 3-Clause "New" or "Revised" License', "BSD License", "The BSD License"],
+}
+RESERVED = "All rights reserved."
+#: Postal addresses that copies of the GNU licences have had.
+ADDRESS = "51 Franklin St(?:reet)?,\\s+Fifth\\s+Floor,\\s+Boston,\\s+MA\\s+02110-1301,?\\s+USA"
+ADDRESSES = ["51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA"]
 COPYRIGHT = "(^|\\n)[ \\t/*#;-]*([Cc]opyright|COPYRIGHT|\\([Cc]\\)|©)[^\\n]*"
 MARKS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F“”‘’–—©«»]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,8 +107,30 @@ def canonical(text: Column) -> Column:
     return F.btrim(plain, F.lit(" "))
 
 
+def unwrapped(text: str) -> str:
+    """Each paragraph on one line."""
+    return "\n\n".join(" ".join(p.split()) for p in re.split("\n[ \t\f]*\n", text))
+
+
+def public_texts() -> list[tuple[str, str]]:
+    """(licence_id, text) of all known licences and their variants."""
+    out = set(KNOWN.items())
+    for name, bodies in SHORT.items():
+        out |= {(name, "\n".join([*head, body])) for body in bodies for t in ["", *TITLES[name]] for head in ([t], [t, RESERVED])}
+    for file in resources.files(__package__).joinpath("licence_texts").iterdir():
+        if not file.name.endswith(".txt"):
+            continue
+        name, whole = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        end = re.search("\n[ \t]*END OF TERMS AND CONDITIONS[ \t]*\n", whole)
+        forms = [whole, *([whole[: end.start()], whole[: end.end()]] if end else [])]
+        forms = [re.sub(ADDRESS, a, f) for f in forms for a in (ADDRESSES if re.search(ADDRESS, f) else [""])]
+        heads = [f"{t}\n" for t in ["", *TITLES.get(name, [])]]
+        out |= {(name, h + form) for f in forms for form in (f, unwrapped(f)) for h in heads}
+    return sorted(out)
+
+
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    return spark.createDataFrame(sorted((texts or KNOWN).items()), "licence_id string, text string")
+    return spark.createDataFrame(sorted(texts.items()) if texts else public_texts(), "licence_id string, text string")
 
 
 def scan(docs: DataFrame, licences: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,7 +143,7 @@ def scan(docs: DataFrame, licences: DataFrame, key: str = "doc_id", text: str =
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL, over the documents table."""
+    """The same in DuckDB's SQL, over the documents table, for the licences of KNOWN alone."""
     quote = lambda s: s.replace("'", "''")
 
     def form(column: str) -> str:
