@@ -133,3 +133,12 @@ def test_every_start_of_a_small_text_is_compared():
         want = [(min(plain_distance(item, line[s : s + len(item) + most])), s) for s in range(len(line))]
         got = [(h[4], h[2]) for h in d.Walks([(1, item)]).search([line])]
         assert got == ([min(want)] if len(item) >= d.LEAST and min(want)[0] <= most else [])
+
+
+def test_short_items_are_found_exactly_between_words():
+    items = [(1, "Two words"), (2, "é"), (3, "二字"), (4, "w"), (5, "")]
+    text = "xtwo words two wordsx (TWO\n WORDS) éa é. 一二字三 vw wv"
+    line = "".join(map(chr, d.normalise(text)))
+    got = {h[1]: h[2:] for h in d.Walks(items).search([text])}
+    assert got == {1: (line.index("(two") + 1, 9, 0), 2: (line.index("é."), 1, 0), 3: (line.index("二"), 2, 0)}
+    assert not list(d.Walks(items[:1]).search(["two werds", None, "xtwo words"]))

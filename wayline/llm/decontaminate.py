@@ -8,8 +8,7 @@ item can only stand on the piece's diagonal, give or take k; the region is verif
 most, and the edit distance between the item and the best text in the region, by bit-parallel dynamic programming,
 must be at most k.
 
-Items of fewer than LEAST characters after normalisation are not searched: they are no passages. The items
-are taken in blocks of BLOCK against all documents, so the driver and the executors hold one block at a time.
+Items of fewer than LEAST characters after normalisation are found exactly, and not inside words. The items are taken in blocks of BLOCK against all documents, so the driver and the executors hold one block at a time.
 
 Defined results: null and empty texts hold no item; repeated rows of one doc_id are searched each, and
 the best hit of (doc_id, item_id), that of least distance, then of least start, stays; equal items are all
@@ -33,6 +32,8 @@ SIMILARITY, LEAST = 0.9, 24
 LONGEST, NEAR = 16, 64
 BLOCK = 4_096
 PART = 1 << 19
+#: First and last code points of scripts that are written without spaces.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 
 def normalise(text: str | None) -> np.ndarray:
@@ -49,6 +50,11 @@ def normalise(text: str | None) -> np.ndarray:
     return chars[:-1] if chars.size and chars[-1] == 32 else chars
 
 
+def one_word(a: int, b: int) -> bool:
+    """Whether two neighbouring characters stand inside one word."""
+    return chr(a).isalnum() and chr(b).isalnum() and not any(low <= c <= high for c in (a, b) for low, high in UNSPACED)
+
+
 def small(chars: np.ndarray) -> np.ndarray:
     """A byte for each code point, for the look-up."""
     return ((chars * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
@@ -149,10 +155,12 @@ class Pieces:
         self.ids, self.chars = [], []
         for item_id, text in items:
             chars = normalise(text)
-            if chars.size >= LEAST:
+            if chars.size:
                 self.ids.append(item_id)
                 self.chars.append(chars)
-        self.most = [int(c.size * (1 - similarity) + 1e-9) for c in self.chars]
+        self.most = [int(c.size * (1 - similarity) + 1e-9) if c.size >= LEAST else 0 for c in self.chars]
+        # Every place of a short item is verified by itself.
+        self.near = np.array([NEAR if c.size >= LEAST else 1 for c in self.chars])
         self.grams = [grams(small(c)) for c in self.chars]
         held: dict[int, list] = {}
         for i, (chars, most) in enumerate(zip(self.chars, self.most)):
@@ -179,7 +187,7 @@ class Pieces:
         start = part + at - offset - begin[doc]
         order = np.lexsort((start, item, doc))
         doc, item, start = doc[order], item[order], start[order]
-        new = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start // NEAR) != 0)][: doc.size])
+        new = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start // self.near[item]) != 0)][: doc.size])
         yield from zip(doc[new].tolist(), item[new].tolist(), start[new].tolist(), start[np.r_[new[1:], doc.size][: new.size] - 1].tolist())
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -200,7 +208,11 @@ class Pieces:
                     # An exact copy lies on the diagonal of its pieces.
                     a, b = int(begin[doc]), int(begin[doc + 1]) - 1
                     if low >= 0 and a + low + own.size <= b and (line[a + low : a + low + own.size] == own).all():
+                        if own.size < LEAST and (low and one_word(line[a + low - 1], own[0]) or a + low + own.size < b and one_word(own[-1], line[a + low + own.size])):
+                            continue
                         hit = (0, low, own.size)
+                    elif own.size < LEAST:
+                        continue
                     else:
                         start, end = max(a, a + low - most), min(b, a + high + own.size + most)
                         if end - start < own.size - most or not self.may(item, bytes_[start:end]):
