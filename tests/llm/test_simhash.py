@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -108,3 +109,18 @@ def test_empty_table(spark):
 def test_spark_hash_is_the_same_hash(spark):
     got = spark.range(1).select(F.xxhash64(F.lit("a b c")).alias("h")).first().h % 2**64
     assert got == xxhash.xxh64_intdigest(b"a b c", 42)
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    a, b, c, e = (" ".join(rng.choice(words) for _ in range(300)) for _ in range(4))
+    # The id 5 has a copy of 3's text and one of its own; 7 has two unrelated texts; 8 a copy of one of them.
+    rows = [(3, a), (5, a.upper()), (5, b), (6, b), (7, c), (7, e), (7, e.upper()), (8, e), (None, "no id")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, fp string")
+    got = sorted((r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(docs).collect() if r.doc_id is not None)
+    assert got == sorted(r for r in plain_components(rows) if r[0] is not None)
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in kept.collect()) == sorted([(0, "no id"), (3, a), (5, b), (7, min([c, e, e.upper()], key=digest).lower())])

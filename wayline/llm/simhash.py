@@ -164,25 +164,39 @@ def linked(classes: DataFrame, radius: int = RADIUS, file_rows: int = FILE_ROWS)
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """Columns: key, fp, component_id, for each row of docs. key is an integer column."""
     fps = staged(fingerprints(docs, key, text), "simhash")
-    classes = staged(fps.groupBy("fp").agg(F.coalesce(F.min(F.col(key).cast("bigint")), F.lit(NAMELESS) + F.pmod("fp", F.lit(NAMELESS))).alias("rep")), "classes")
-    found = components(staged(linked(classes, radius), "links"))
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("c"))
-    named = named.select("fp", F.when(F.col("c") < NAMELESS, F.col("c")).alias("component_id"))
+    hidden = lambda c: F.lit(NAMELESS) + F.pmod(c, F.lit(NAMELESS))
+    classes = staged(fps.groupBy("fp").agg(F.coalesce(F.min(F.col(key).cast("bigint")), hidden(F.col("fp"))).alias("rep")), "classes")
+    # One id may have several texts: only the first class of an id is known by it, the others by numbers of their own.
+    twice = staged(classes.groupBy("rep").agg(F.min("fp").alias("first"), F.count("*").alias("n")).where("n > 1").select("rep", "first"), "twice")
+    several = twice.limit(1).count() > 0
+    if several:
+        moved = F.col("first") != F.col("fp")
+        classes = classes.join(twice, "rep", "left").select("fp", F.when(moved, hidden(F.xxhash64("fp"))).otherwise(F.col("rep")).alias("rep"), F.when(moved, F.col("rep")).alias("id"))
+        classes = staged(classes, "classes")
+    found = components(staged(linked(classes.select("fp", "rep"), radius), "links"))
+    named = classes.join(found, classes["rep"] == found["node"], "left").withColumn("c", F.coalesce("component", "rep"))
+    least = F.when(F.col("c") < NAMELESS, F.col("c"))
+    if several:
+        ids = named.where(F.col("id") < NAMELESS).groupBy("c").agg(F.min("id").alias("other"))
+        named, least = named.join(ids, "c", "left"), F.least(least, F.col("other"))
+    named = named.select("fp", least.alias("component_id"))
     return fps.join(named, "fp").select(key, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs with one document of each group of near duplicates: that with the smallest id. Of
-    rows that repeat an id, the one whose text has the smallest digest stays; rows without an id all stay,
-    as no group can name them. Columns are those of docs."""
+    """The rows of docs with one document of each group of near duplicates: that with the smallest id. Rows
+    that repeat an id are told apart by their fingerprints; of those that are their group's smallest id, the
+    one whose text has the smallest digest stays, of all groups together. Rows without an id all stay, as no
+    group can name them. Columns are those of docs."""
     groups = staged(near_duplicates(docs, key, text, radius), "groups")
-    kept = groups.where(F.col(key).cast("bigint") == F.col("component_id")).groupBy(key).agg(F.count("*").alias("copies"))
-    kept = kept.select(F.col(key).alias("_kept_id"), F.col("copies").alias("_kept_copies"))
+    own = F.col(key).cast("bigint") == F.col("component_id")
+    kept = groups.groupBy(key).agg(F.count("*").alias("_kept_copies"), F.max(own).alias("_kept")).where("_kept").select(F.col(key).alias("_kept_id"), "_kept_copies")
     rows = docs.join(kept, docs[key] == kept["_kept_id"], "left").where(docs[key].isNull() | F.col("_kept_copies").isNotNull())
-    repeated = rows.where(F.col("_kept_copies") > 1)
     out = rows.where(F.coalesce("_kept_copies", F.lit(1)) <= 1).select(*[docs[c] for c in docs.columns])
     if kept.where(F.col("_kept_copies") > 1).limit(1).count() == 0:
         return out
-    others = [c for c in docs.columns if c != key]
-    first = F.min(F.struct(F.sha2(docs[text], 256).alias("_digest"), *[docs[c] for c in others])).alias("_row")
-    return out.union(repeated.groupBy(docs[key]).agg(first).select(*[F.col(c) if c == key else F.col(f"_row.{c}").alias(c) for c in docs.columns]))
+    repeated = rows.where(F.col("_kept_copies") > 1).select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text].alias("_text"))
+    repeated = fingerprints(repeated, "_row", "_text").withColumn("_id", F.col(f"_row.{key}"))
+    places = groups.where(own).select(F.col(key).alias("_id"), "fp").distinct()
+    first = F.min(F.struct(F.sha2(F.col(f"_row.{text}").cast("binary"), 256).alias("_digest"), "_row")).alias("_first")
+    return out.union(repeated.join(places, ["_id", "fp"]).groupBy("_id").agg(first).select("_first._row.*"))
