@@ -124,3 +124,31 @@ def test_one_id_with_several_texts(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text.lower()) for r in kept.collect()) == sorted([(0, "no id"), (3, a), (5, b), (7, min([c, e, e.upper()], key=digest).lower())])
+
+
+def test_ids_of_the_whole_range(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    a, b, c = (" ".join(rng.choice(words) for _ in range(200)) for _ in range(3))
+    rows = [(2**62, a), (2**62 + 5, b), (2**62 + 6, c), (2**63 - 1, c), (2**63 - 2, a.upper()), (-(2**63), b), (-7, "lone"), (7, "also alone here"), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(docs).collect() if r.doc_id is not None)
+    assert got == sorted(r for r in plain_components(rows) if r[0] is not None)
+    kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
+    assert sorted(k for k in kept if k is not None) == sorted([2**62, 2**62 + 6, -(2**63), -7, 7]) and kept.count(None) == 1
+
+
+def test_a_star_and_a_chain(spark, monkeypatch):
+    from wayline.llm import components as c
+
+    monkeypatch.setattr(c, "HOT", 4)
+    star = [(0, i) for i in range(1, 60)] + [(i, 1000 + i) for i in range(1, 30)]
+    chain = [(100 + i, 101 + i) for i in range(50)] + [(-5, -9), (-9, -5), (3, 3)]
+    found = {r.node: r.component for r in c.components(spark.createDataFrame(star + chain, "a bigint, b bigint")).collect()}
+    want = {i: 0 for i in range(60)} | {1000 + i: 0 for i in range(1, 30)} | {100 + i: 100 for i in range(51)} | {-5: -9, -9: -9}
+    assert found == want
+
+
+def test_no_files_are_opened_in_vain(spark):
+    far = simhash._apart(np.zeros((5, 1), int), np.zeros((5, 1), int), np.array([[0, 8], [0, 2], [0, 2], [0, 2], [0, 2]]), np.full((5, 2), 16), 3)
+    assert far.tolist() == [False, True]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,12 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder. Where
+    neither is set, a folder of our own if driver and executors are one process, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    held = sc.getCheckpointDir()
+    if not root and held:
+        root = held
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="wayline-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+    if not held:
+        sc.setCheckpointDir(root)
     return with_scheme(root)
 
 

@@ -4,8 +4,9 @@ Fingerprints are 64-bit majorities over the XXH64 of 3-word shingles. Equal fing
 the classes are sorted by population counts, written as files of the shared folder, and every file is
 compared with the files whose counts are within the radius, tile by tile, with exclusive-or and bit
 counts in numpy. A tile pair is skipped if the population counts of the whole fingerprints, or of their
-four 16-bit parts together, must differ by more than the radius: no link is lost. A task gives a spanning
-forest of the links that it found, not all pairs.
+four 16-bit parts together, must differ by more than the radius: no link is lost. Whole files are skipped by the
+same rule before they are opened. A task gives a spanning forest of the links that it found, not all pairs. The links are
+between fingerprints, so that ids of any range, repeated ones and rows without an id need no numbers of their own.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; texts of fewer
 than three words have one shingle; repeated rows share a class. A component's id is its smallest doc_id;
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, join_spread
 from .shared import column, open_fs, small_batches, staged
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -28,8 +29,6 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 FILE_ROWS, TILE = 16_384, 512
 #: Links that a task holds before it reduces them to a forest.
 HELD = 1 << 20
-#: Ids of classes without a doc_id start here.
-NAMELESS = 1 << 62
 
 
 def fingerprint(text: str | None) -> int:
@@ -87,6 +86,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+def _apart(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray, radius: int) -> np.ndarray:
+    """Which boxes of population counts (whole, four parts; one along the first axis) can hold no link; the arrays broadcast."""
+    gap = np.maximum(0, np.maximum(low - other_high, other_low - high))
+    return (gap[0] > radius) | (gap[1:].sum(axis=0) > radius)
+
+
 class _File:
     """A file of classes with its tiles' boxes of population counts."""
 
@@ -105,8 +110,7 @@ class _File:
 
     def near(self, other: _File, radius: int) -> np.ndarray:
         """Tile pairs that may hold a link."""
-        gap = np.maximum(0, np.maximum(self.low[:, :, None] - other.high[:, None, :], other.low[:, None, :] - self.high[:, :, None]))
-        return np.argwhere((gap[0] <= radius) & (gap[1:].sum(axis=0) <= radius))
+        return np.argwhere(~_apart(self.low[:, :, None], self.high[:, :, None], other.low[:, None, :], other.high[:, None, :], radius))
 
 
 def _links(left: _File, right: _File, radius: int):
@@ -129,26 +133,30 @@ def linked(classes: DataFrame, radius: int = RADIUS, file_rows: int = FILE_ROWS)
     in at most radius bits."""
     spark = classes.sparkSession
     part = lambda s: F.bit_count(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(0xFFFF)))
-    order = classes.withColumns({"p": F.bit_count("fp"), "p0": part(48), "p1": part(32), "p2": part(16)})
+    order = classes.withColumns({"p": F.bit_count("fp"), "p0": part(48), "p1": part(32), "p2": part(16), "p3": part(0)})
     keys = ["p", "p0", "p1", "p2", "fp"]
     tiles = staged(order.repartitionByRange(*keys).sortWithinPartitions(*keys), "tiles", file_rows)
-    spans = tiles.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    counts = ["p", "p0", "p1", "p2", "p3"]
+    spans = tiles.groupBy(F.col("_metadata.file_path").alias("path")).agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in counts])
     # A row for each file of file_rows classes: names and counts, no fingerprints.
-    files = sorted((r.low, r.high, r.path) for r in spans.collect())
+    files = sorted(tuple(r) for r in spans.collect())
     n = len(files)
     if not n:
         return spark.createDataFrame([], "a bigint, b bigint")
+    paths, boxes = [f[0] for f in files], np.array([f[1:] for f in files], dtype=np.int64).T
+    low, high = boxes[:5], boxes[5:]
 
     def run(batches):
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                left = _File(files[i][2])
+                left = _File(paths[i])
                 held, size = [], 0
+                apart = _apart(low[:, i, None], high[:, i, None], low, high, radius)
                 for step in range(n // 2 + 1):
                     j = (i + step) % n
-                    if 2 * step == n and i > j or files[j][0] > files[i][1] + radius or files[i][0] > files[j][1] + radius:
+                    if 2 * step == n and i > j or apart[j]:
                         continue
-                    for pair in _links(left, left if j == i else _File(files[j][2]), radius):
+                    for pair in _links(left, left if j == i else _File(paths[j]), radius):
                         held.append(pair)
                         size += pair[0].size
                         if size >= HELD:
@@ -164,22 +172,11 @@ def linked(classes: DataFrame, radius: int = RADIUS, file_rows: int = FILE_ROWS)
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """Columns: key, fp, component_id, for each row of docs. key is an integer column."""
     fps = staged(fingerprints(docs, key, text), "simhash")
-    hidden = lambda c: F.lit(NAMELESS) + F.pmod(c, F.lit(NAMELESS))
-    classes = staged(fps.groupBy("fp").agg(F.coalesce(F.min(F.col(key).cast("bigint")), hidden(F.col("fp"))).alias("rep")), "classes")
-    # One id may have several texts: only the first class of an id is known by it, the others by numbers of their own.
-    twice = staged(classes.groupBy("rep").agg(F.min("fp").alias("first"), F.count("*").alias("n")).where("n > 1").select("rep", "first"), "twice")
-    several = twice.limit(1).count() > 0
-    if several:
-        moved = F.col("first") != F.col("fp")
-        classes = classes.join(twice, "rep", "left").select("fp", F.when(moved, hidden(F.xxhash64("fp"))).otherwise(F.col("rep")).alias("rep"), F.when(moved, F.col("rep")).alias("id"))
-        classes = staged(classes, "classes")
-    found = components(staged(linked(classes.select("fp", "rep"), radius), "links"))
-    named = classes.join(found, classes["rep"] == found["node"], "left").withColumn("c", F.coalesce("component", "rep"))
-    least = F.when(F.col("c") < NAMELESS, F.col("c"))
-    if several:
-        ids = named.where(F.col("id") < NAMELESS).groupBy("c").agg(F.min("id").alias("other"))
-        named, least = named.join(ids, "c", "left"), F.least(least, F.col("other"))
-    named = named.select("fp", least.alias("component_id"))
+    classes = staged(fps.groupBy("fp").agg(F.min(F.col(key).cast("bigint")).alias("id")), "classes")
+    found = staged(components(staged(linked(classes.select("fp", F.col("fp").alias("rep")), radius), "links")), "components")
+    least = found.join(classes, found["node"] == classes["fp"]).groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    named = join_spread(found, least, "component", found.count()).select("node", "least")
+    named = classes.join(named, classes["fp"] == named["node"], "left").select("fp", F.coalesce("least", "id").alias("component_id"))
     return fps.join(named, "fp").select(key, "fp", "component_id")
 
 
