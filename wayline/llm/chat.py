@@ -9,14 +9,19 @@ the rows are range-partitioned by conversation and turn, each partition gives th
 conversation that goes on beyond its edges, the driver chains these few products (two for each partition at most)
 and tells each partition the states at its edges, and each turn's repair and rendering is then local.
 
-Among repairs of equal cost, that with fewer empty turns, then fewer merges, then fewer relabels wins, then
-that whose first differing turn is kept, relabelled, merged, or put behind empty turns, in this order
-of preference as the costs below are ordered.
+The costs are a parameter. As they stand, a merge (1) is the cheapest, as two turns of one speaker in a row are
+usually one turn cut in two and nothing said is changed; an empty turn (2) adds what nobody said but leaves all that was
+said with its speaker; another role (4) puts words into another mouth and is taken only for unknown roles and system
+turns that come late. Where relabels shall be preferred, give them a lower cost.
+
+Among repairs of equal cost, that with fewer empty turns, then fewer merges, then fewer relabels wins; these
+counts are carried beside the cost and compared in this order. Among repairs that are equal in all this, the last
+turn ends in the role that stands first in ROLES, and so on backwards from the end.
 
 Defined results: turns are ordered by turn (null first), role, hash of the text; repeated rows are turns of
-their own; a null text is empty; a null or unknown role is relabelled at the usual cost; the rows without a
-conv_id make one conversation. The pieces of a conversation, in order, are its rendering; no group is
-gathered to make it.
+their own; a null text is empty, a text of any length is one piece; a null or unknown role is relabelled at the usual
+cost; the rows without a conv_id make one conversation. `position` counts a conversation's turns from 0 in that order, and
+the pieces in the order of their positions are the conversation's rendering; no group is gathered to make it.
 """
 
 from __future__ import annotations
@@ -31,9 +36,11 @@ from .shared import column, shared_root, small_batches
 ROLES = ("system", "user", "assistant")
 #: Other names of the roles.
 NAMES = {"system": 0, "user": 1, "human": 1, "prompter": 1, "assistant": 2, "gpt": 2, "bot": 2, "model": 2}
-#: Costs of the repairs. The small parts break ties and never add up to a whole in a sum that matters.
-INSERT, MERGE, RELABEL = 2_000_100, 1_000_010, 4_000_001
-FAR = 1 << 60
+#: Costs of the repairs: an empty turn, a merge, another role.
+INSERT, MERGE, RELABEL = 2, 1, 4
+#: A cost and the numbers of empty turns, merges and relabels are one whole number, each of the last three in PART bits.
+PART = 48
+FAR = 1 << 4 * PART
 START, STATES = 3, 4
 #: Roles that may follow each state: after system, user, assistant, and at the start.
 NEXT = {0: (1,), 1: (2,), 2: (1,), START: (0, 1)}
@@ -52,52 +59,94 @@ def _inserts(state: int, role: int) -> tuple[int, ...] | None:
     return None
 
 
-def _steps() -> tuple[np.ndarray, dict]:
-    """cost[role, state, new state], and what is done: (action, empty turns before)."""
-    cost, done = np.full((4, STATES, STATES), FAR, dtype=np.int64), {}
-    for role in range(4):  # 3: unknown
-        for state in range(STATES):
-            for new in range(3):
-                options = []
-                path = _inserts(state, new)
-                if path is not None:
-                    options.append((INSERT * len(path) + (0 if role == new else RELABEL), "keep" if role == new else "relabel", path))
-                if state == new:
-                    options.append((MERGE + (0 if role == new else RELABEL), "merge" if role == new else "relabel_merge", ()))
-                if options:
-                    best = min(options)
-                    cost[role, state, new] = best[0]
-                    done[role, state, new] = best[1:]
-    return cost, done
-
-
-COST, DONE = _steps()
-END = np.array([INSERT * (0 if s == FINAL else len(_inserts(s, FINAL)) + 1) for s in range(3)] + [0], dtype=np.int64)
-
-
-def product(roles: list[int]) -> np.ndarray:
-    """Least cost from each state to each state over the turns."""
-    total = np.where(np.eye(STATES, dtype=bool), 0, FAR)
-    for r in roles:
-        total = np.minimum((total[:, :, None] + COST[r][None, :, :]).min(axis=1), FAR)
-    return total
+class Automaton:
+    """The costs of a turn as matrices: cost[role, state, new state], and what is done, (action, empty turns before)."""
+
+    def __init__(self, insert: int = INSERT, merge: int = MERGE, relabel: int = RELABEL):
+        if min(insert, merge, relabel) < 0 or max(insert, merge, relabel) >= 1 << 16:
+            raise ValueError("costs must be from 0 to 65535")
+        insert, merge, relabel = (insert << 3 * PART) + (1 << 2 * PART), (merge << 3 * PART) + (1 << PART), (relabel << 3 * PART) + 1
+        self.cost, self.done = np.full((4, STATES, STATES), FAR, dtype=object), {}
+        for role in range(4):  # 3: unknown
+            for state in range(STATES):
+                for new in range(3):
+                    options = []
+                    path = _inserts(state, new)
+                    if path is not None:
+                        options.append((insert * len(path) + (0 if role == new else relabel), "keep" if role == new else "relabel", path))
+                    if state == new:
+                        options.append((merge + (0 if role == new else relabel), "merge" if role == new else "relabel_merge", ()))
+                    if options:
+                        best = min(options)
+                        self.cost[role, state, new] = best[0]
+                        self.done[role, state, new] = best[1:]
+        self.end = np.array([insert * (0 if s == FINAL else len(_inserts(s, FINAL)) + 1) for s in range(3)] + [0], dtype=object)
+
+    def product(self, roles: list[int]) -> np.ndarray:
+        """Least cost from each state to each state over the turns."""
+        total = np.full((STATES, STATES), FAR, dtype=object)
+        np.fill_diagonal(total, 0)
+        for r in roles:
+            total = np.minimum((total[:, :, None] + self.cost[r][None, :, :]).min(axis=1), FAR)
+        return total
+
+    def path(self, roles: list[int], entry: int, leave: int | None) -> list[int]:
+        """States before each turn and after the last, the cheapest from entry to leave (None: to the end)."""
+        # Plain numbers: four states are too few for arrays to be faster.
+        steps = [[[int(c) for c in row] for row in m] for m in self.cost]
+        cost = [FAR] * STATES
+        cost[entry] = 0
+        back = []
+        for r in roles:
+            step = steps[r]
+            ways = [min((cost[s] + step[s][new], s) for s in range(STATES)) for new in range(STATES)]
+            back.append([s for _, s in ways])
+            cost = [min(c, FAR) for c, _ in ways]
+        state = min((c + e, s) for s, (c, e) in enumerate(zip(cost, self.end)))[1] if leave is None else leave
+        out = [state]
+        for b in reversed(back):
+            state = b[state]
+            out.append(state)
+        return out[::-1]
+
+    def edges(self, summaries: list[tuple]) -> dict[tuple[int, bool], tuple[int, int | None, int]]:
+        """summaries: (block, conv_id, first, last, product, turns) of the first and last conversation of each block.
+        Entry and exit state (None: it ends here) and the first position of those that go on before or after; keys
+        (block, is it the first)."""
+        chains: list[list[tuple]] = []
+        previous = None
+        for s in sorted(summaries, key=lambda s: (s[0], not s[2])):
+            if s[2] and previous is not None and previous[3] and previous[1] == s[1]:
+                chains[-1].append(s)
+            else:
+                chains.append([s])
+            previous = s
+        out = {}
+        for chain in chains:
+            cost = np.full(STATES, FAR, dtype=object)
+            cost[START] = 0
+            back = []
+            for s in chain:
+                ways = cost[:, None] + np.array([int(x) for x in s[4]], dtype=object).reshape(STATES, STATES)
+                back.append(ways.argmin(axis=0))
+                cost = np.minimum(ways.min(axis=0), FAR)
+            states = [int((cost + self.end).argmin())]
+            for b in reversed(back):
+                states.append(int(b[states[-1]]))
+            states.reverse()
+            position = 0
+            for k, s in enumerate(chain):
+                out[s[0], s[2]] = (states[k], None if k == len(chain) - 1 else states[k + 1], position)
+                position += s[5]
+        return out
+
+
+USUAL = Automaton()
 
 
 def path(roles: list[int], entry: int, leave: int | None) -> list[int]:
-    """States before each turn and after the last, the cheapest from entry to leave (None: to the end)."""
-    cost = np.full(STATES, FAR, dtype=np.int64)
-    cost[entry] = 0
-    back = []
-    for r in roles:
-        ways = cost[:, None] + COST[r]
-        back.append(ways.argmin(axis=0))
-        cost = np.minimum(ways.min(axis=0), FAR)
-    state = int((cost + END).argmin()) if leave is None else leave
-    out = [state]
-    for b in reversed(back):
-        state = int(b[state])
-        out.append(state)
-    return out[::-1]
+    """Automaton.path at the usual costs."""
+    return USUAL.path(roles, entry, leave)
 
 
 def role_of(name: str | None) -> int:
@@ -111,12 +160,12 @@ def _opened(role: int) -> str:
 CLOSED = "<|end|>\n"
 
 
-def rendered(texts: list[str | None], roles: list[int], states: list[int], ends: bool) -> list[tuple[str, str, list[str], int, str]]:
+def rendered(texts: list[str | None], roles: list[int], states: list[int], ends: bool, automaton: Automaton = USUAL) -> list[tuple[str, str, list[str], int, str]]:
     """For each turn: action, role, roles of empty turns put before it, number of empty turns put after it, piece of the rendering."""
     out = []
     for k, (text, role) in enumerate(zip(texts, roles)):
         state, new = states[k], states[k + 1]
-        action, before = DONE[role, state, new]
+        action, before = automaton.done[role, state, new]
         text = text or ""
         if action.endswith("merge"):
             piece = f"\n{text}"
@@ -144,41 +193,13 @@ def _segments(batches):
         yield current, held, first, True
 
 
-def edges(summaries: list[tuple]) -> dict[tuple[int, bool], tuple[int, int | None]]:
-    """summaries: (block, conv_id, first, last, product) of the first and last conversation of each block.
-    Entry and exit state (None: it ends here) of those that go on before or after; keys (block, is it the first)."""
-    chains: list[list[tuple]] = []
-    previous = None
-    for s in sorted(summaries, key=lambda s: (s[0], not s[2])):
-        if s[2] and previous is not None and previous[3] and previous[1] == s[1]:
-            chains[-1].append(s)
-        else:
-            chains.append([s])
-        previous = s
-    out = {}
-    for chain in chains:
-        cost = np.full(STATES, FAR, dtype=np.int64)
-        cost[START] = 0
-        back = []
-        for s in chain:
-            ways = cost[:, None] + np.array(s[4], dtype=np.int64).reshape(STATES, STATES)
-            back.append(ways.argmin(axis=0))
-            cost = np.minimum(ways.min(axis=0), FAR)
-        states = [int((cost + END).argmin())]
-        for b in reversed(back):
-            states.append(int(b[states[-1]]))
-        states.reverse()
-        for k, s in enumerate(chain):
-            out[s[0], s[2]] = (states[k], None if k == len(chain) - 1 else states[k + 1])
-    return out
-
-
-def repair(turns: DataFrame) -> DataFrame:
-    """turns: conv_id, turn, role, text. For each turn: conv_id, turn, old_role, action, role, before (roles
-    of empty turns put before it), after (number of empty turns put after it), piece."""
+def repair(turns: DataFrame, insert: int = INSERT, merge: int = MERGE, relabel: int = RELABEL) -> DataFrame:
+    """turns: conv_id, turn, role, text. For each turn: conv_id, turn, position, old_role, action, role, before (roles
+    of empty turns put before it), after (number of empty turns put after it), piece. insert, merge, relabel: the costs."""
+    automaton = Automaton(insert, merge, relabel)
     spark = turns.sparkSession
     small_batches(spark)
-    shared_root(spark)  # sets a checkpoint folder where there is none
+    shared_root(spark)  # there must be a checkpoint folder
     data = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     data = data.withColumns({"tie": F.xxhash64("text"), "uid": F.monotonically_increasing_id()})
     keys = ["conv_id", "turn", "role", "tie", "uid"]
@@ -191,25 +212,26 @@ def repair(turns: DataFrame) -> DataFrame:
             if first or last:
                 roles = [role_of(b.column(2)[i].as_py()) for b, i in rows]
                 block = rows[0][0].column(4)[0].as_py()
-                total = product(roles).ravel().tolist()
-                columns = [pa.array([block], pa.int32()), rows[0][0].column(0).slice(rows[0][1], 1), pa.array([first]), pa.array([last]), pa.array([total], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "conv_id", "first", "last", "total"])
+                total = [str(x) for x in automaton.product(roles).ravel()]  # more than 64 bits each
+                columns = [pa.array([block], pa.int32()), rows[0][0].column(0).slice(rows[0][1], 1), pa.array([first]), pa.array([last]), pa.array([total], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(roles)], pa.int64())], ["block", "conv_id", "first", "last", "total", "turns"])
 
-    found = data.mapInArrow(summarise, f"block int, conv_id {conv}, first boolean, last boolean, total array<bigint>").collect()
-    known = spark.sparkContext.broadcast(edges([tuple(r) for r in found]))
+    found = data.mapInArrow(summarise, f"block int, conv_id {conv}, first boolean, last boolean, total array<string>, turns bigint").collect()
+    known = spark.sparkContext.broadcast(automaton.edges([tuple(r) for r in found]))
 
     def finish(batches):
         for _, rows, first, last in _segments(batches):
             block = rows[0][0].column(4)[0].as_py()
-            entry, leave = known.value[block, first] if first or last else (START, None)
+            entry, leave, position = known.value[block, first] if first or last else (START, None, 0)
             old = [b.column(2)[i].as_py() for b, i in rows]
             roles = [role_of(r) for r in old]
-            made = rendered([b.column(3)[i].as_py() for b, i in rows], roles, path(roles, entry, leave), leave is None)
+            made = rendered([b.column(3)[i].as_py() for b, i in rows], roles, automaton.path(roles, entry, leave), leave is None, automaton)
             columns = [
-                pa.concat_arrays([b.column(0).slice(i, 1) for b, i in rows]), pa.concat_arrays([b.column(1).slice(i, 1) for b, i in rows]), pa.array(old, pa.string()),
+                pa.concat_arrays([b.column(0).slice(i, 1) for b, i in rows]), pa.concat_arrays([b.column(1).slice(i, 1) for b, i in rows]),
+                pa.array(range(position, position + len(rows)), pa.int64()), pa.array(old, pa.string()),
                 pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.list_(pa.string())),
                 pa.array([m[3] for m in made], pa.int32()), pa.array([m[4] for m in made], pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "old_role", "action", "role", "before", "after", "piece"])
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "position", "old_role", "action", "role", "before", "after", "piece"])
 
-    return data.mapInArrow(finish, f"conv_id {conv}, turn {turn}, old_role string, action string, role string, before array<string>, after int, piece string")
+    return data.mapInArrow(finish, f"conv_id {conv}, turn {turn}, position bigint, old_role string, action string, role string, before array<string>, after int, piece string")
