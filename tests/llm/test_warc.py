@@ -57,3 +57,17 @@ def test_archives_are_plain_warc_and_chunks_make_the_payload(spark):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_record_ids_are_unique_and_a_hot_page_is_spread(spark, monkeypatch):
+    from wayline.llm import components
+
+    monkeypatch.setattr(components, "HOT", 8)
+    rows = [(7, "u7", "s" * 1500)] * 3 + [(None, None, "n" * 10)] * 3 + [(100 + i, f"u{i}", "h" * 2000) for i in range(300)] + [(50 + i // 2, "v", "p" * (1000 + i)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    assert sorted([tuple(r) for r in warc.round_trip(frame).collect()], key=str) == plain(rows)
+    made = warc.write(warc.chunks(warc.records(frame)), scratch(spark, "test")).collect()
+    blob = b"".join(gzip.decompress(open(urllib.parse.urlparse(m.uri).path, "rb").read()) for m in made)
+    ids = [x for x in blob.split(b"\r\n") if x.startswith(b"WARC-Record-ID: <urn:uuid:")]
+    assert len(set(ids)) == len(ids) == len(rows)
+    assert blob.count(b"WARC-Refers-To-Target-URI: u299\r\n") == 299

@@ -7,8 +7,13 @@ share. A task writes files under names of its own and gives their names as rows;
 committed list are read, so that files of lost or repeated tasks count for nothing.
 
 Of records with equal payloads of at least LEAST bytes the one with the largest page_id is the response
-and the others revisit it. Payloads are compared by length and SHA-256; the comparison moves digests
-only, a group of copies is reduced to its largest id before the join, and groups of one are left out.
+and the others revisit it. Payloads are compared by SHA-256; the comparison moves digests only, a group of
+copies is reduced to its largest id before the join, groups of one are left out, and no group's rows meet in
+one task. The revisits, ids and digests, are then joined to the rows: as long as the planner finds them small
+enough to be broadcast the payloads stay where they are read, beyond that they are shuffled once, by id and digest.
+
+Every record has an id of its own, a random UUID, also where page_ids repeat or are null; the page_id and the
+page that a revisit refers to are header fields of their own, beside the address of that page.
 
 Defined results: a null html is an empty payload; rows without a page_id rank below all others in their
 group, so they are responses only where no row of the group has an id; rows that repeat both the largest
@@ -28,25 +33,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .components import join_spread
 from .shared import open_fs, scratch, small_batches, staged
 
 CHUNK, ROLL, LEAST = 1 << 16, 64 << 20, 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ID = "urn:wayline:page:"
+#: Header fields of the page_id and of the page_id that a revisit refers to; a record without the first has none.
+PAGE, REFERS = "Wayline-Page-ID", "Wayline-Refers-To-Page-ID"
+
+
+FACTS = ["page_id", "url", "bytes", "sha1", "kind", "refers_to", "refers_url"]
 
 
 def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """pages: page_id, url, html. Adds nothing to the rows but digests and the decision: page_id, url,
-    payload, bytes, sha1, kind, refers_to."""
+    payload, bytes, sha1, kind, refers_to, refers_url."""
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
-    facts = rows.select("page_id", F.octet_length("payload").cast("bigint").alias("bytes"), F.sha2("payload", 256).alias("same")).where(F.col("bytes") >= least)
-    groups = facts.groupBy("same", "bytes").agg(F.max("page_id").alias("top"), F.count("*").alias("copies")).where("copies > 1 and top is not null")
-    moved = facts.join(groups, ["same", "bytes"]).where("page_id is null or page_id < top").select("page_id", "same", "top").distinct()
-    moved = staged(moved, "revisits").select(F.col("page_id").alias("other"), F.col("same").alias("digest"), "top")
+    facts = rows.select("page_id", "url", F.octet_length("payload").cast("bigint").alias("bytes"), F.sha2("payload", 256).alias("same")).where(F.col("bytes") >= least)
+    top = F.max(F.struct("page_id", "url")).alias("top")
+    groups = staged(facts.groupBy("same").agg(top, F.count("*").alias("n")).where("n > 1 and top.page_id is not null"), "groups")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    moved = join_spread(facts.select("page_id", "same"), groups, "same", total).where("page_id is null or page_id < top.page_id")
+    moved = staged(moved.select("page_id", "same", "top").distinct(), "revisits").select(F.col("page_id").alias("other"), F.col("same").alias("digest"), "top")
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("bigint"), "sha1": F.sha1("payload"), "same": F.sha2("payload", 256)})
     joined = rows.join(moved, rows["page_id"].eqNullSafe(moved["other"]) & (rows["same"] == moved["digest"]), "left")
-    return joined.select("page_id", "url", "payload", "bytes", "sha1", F.when(F.col("top").isNull(), "response").otherwise("revisit").alias("kind"), F.col("top").alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "bytes", "sha1", F.when(F.col("top").isNull(), "response").otherwise("revisit").alias("kind"), F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("refers_url"))
 
 
 def chunks(rows: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -54,7 +66,7 @@ def chunks(rows: DataFrame, size: int = CHUNK) -> DataFrame:
     last = F.when((F.col("kind") == "revisit") | (F.col("bytes") == 0), 0).otherwise(F.floor((F.col("bytes") - 1) / size)).cast("int")
     cut = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
     data = F.when(F.col("kind") == "revisit", F.lit(b"")).otherwise(F.substring("payload", F.col("chunk") * size + 1, F.lit(size)))
-    return cut.select("page_id", "url", "bytes", "sha1", "kind", "refers_to", "chunk", data.alias("data"))
+    return cut.select(*FACTS, "chunk", data.alias("data"))
 
 
 def _uri(url: str | None) -> str:
@@ -66,10 +78,11 @@ def head(row: dict, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['bytes']}\r\n\r\n".encode()
     block = len(http) + (row["bytes"] if row["kind"] == "response" else 0)
     digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
-    lines = ["WARC/1.1", f"WARC-Type: {row['kind']}", f"WARC-Record-ID: <{ID}{'null' if row['page_id'] is None else row['page_id']}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_uri(row['url'])}"]
+    lines = ["WARC/1.1", f"WARC-Type: {row['kind']}", f"WARC-Record-ID: <{uuid.uuid4().urn}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_uri(row['url'])}"]
+    lines += [] if row["page_id"] is None else [f"{PAGE}: {row['page_id']}"]
     lines += ["Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
     if row["kind"] == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{ID}{row['refers_to']}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Target-URI: {_uri(row['refers_url'])}", f"WARC-Refers-To-Date: {date}", f"{REFERS}: {row['refers_to']}"]
     return ("\r\n".join([*lines, f"Content-Length: {block}"]) + "\r\n\r\n").encode() + http
 
 
@@ -114,8 +127,6 @@ def write(table: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z", rol
     """Writes a chunked record table, whose chunks follow each other in their partition, as archives.
     Returns the committed list: uri, records, bytes."""
     small_batches(table.sparkSession)
-    facts = ["page_id", "url", "bytes", "sha1", "kind", "refers_to"]
-
     def run(batches):
         writer, open_row = _Writer(folder, roll), None
         for batch in batches:
@@ -124,7 +135,7 @@ def write(table: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z", rol
                 if columns["chunk"][i].as_py() == 0:
                     if open_row:
                         writer.end(open_row)
-                    open_row = {n: columns[n][i].as_py() for n in facts}
+                    open_row = {n: columns[n][i].as_py() for n in FACTS}
                     writer.begin(head(open_row, date))
                 writer.add(columns["data"][i].as_py())
         if open_row:
@@ -147,7 +158,7 @@ def _headers(stream) -> tuple[str, dict[str, str]]:
 def parse(stream, size: int = CHUNK):
     """Chunks of the records of an archive: (page_id, kind, refers_to, bytes, declared digest, chunk, last, data, digest so far).
     bytes: of the full payload, also for revisits."""
-    number = lambda x: None if x is None or x.strip("<>")[len(ID) :] == "null" else int(x.strip("<>")[len(ID) :])
+    number = lambda x: None if x is None else int(x)
     while True:
         version, warc = _headers(stream)
         if not version:
@@ -166,7 +177,7 @@ def parse(stream, size: int = CHUNK):
                 raise ValueError("an archive ends inside a record")
             left -= len(data)
             digest.update(data)
-            yield number(warc["warc-record-id"]), warc["warc-type"], number(warc.get("warc-refers-to")), full, declared, chunk, not left, data, digest.hexdigest()
+            yield number(warc.get(PAGE.lower())), warc["warc-type"], number(warc.get(REFERS.lower())), full, declared, chunk, not left, data, digest.hexdigest()
             chunk += 1
             if not left:
                 break
