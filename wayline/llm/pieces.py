@@ -6,7 +6,8 @@ lie in one flat array, each round finds the smallest pair rank of every segment,
 compacts the arrays, until no pair remains.
 
 Defined results: a null text counts as empty and gives the end id only; equal texts give equal ids;
-rows, also repeated ones, are kept as they are, and extra columns are left alone.
+rows, also repeated ones, are kept as they are, and extra columns are left alone. A text of any length is
+encoded whole; one without spaces and line ends is one segment, whose time is its length times its rounds.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from .shared import column, runs, small_batches
 
 SPACE = "▁"
-#: Segments whose encodings a worker keeps.
-KEPT = 250_000
+#: Segments whose encodings a worker keeps, twice as many at most, and their characters.
+KEPT, KEPT_CHARS = 250_000, 16 << 20
 #: Characters that are encoded together.
 BLOCK = 1 << 21
 NONE = np.int64(1 << 40)
@@ -92,6 +93,7 @@ class Pieces:
         self.cut = self._cuts()
         self.known: dict[str, tuple[str, int, str]] = {}
         self.older: dict[str, tuple[str, int, str]] = {}
+        self.size = 0
 
     def _cuts(self) -> re.Pattern:
         """Segments end where no piece goes on: around line ends, before spaces, and before those marks that
@@ -214,8 +216,10 @@ class Pieces:
 
     def learn(self, segments: set[str]) -> None:
         """Encodes the segments that are not known: ids as text, their number, the text they decode to."""
-        if len(self.known) + len(segments) > KEPT:
-            self.known, self.older = {}, self.known
+        size = sum(map(len, segments))
+        if self.known and (len(self.known) + len(segments) > KEPT or self.size + size > KEPT_CHARS):
+            self.known, self.older, self.size = {}, self.known, 0
+        self.size += size
         known, older = self.known, self.older
         new = []
         for s in segments.difference(known):
@@ -273,19 +277,25 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep:
     data = docs.select(docs[keep].alias("key"), docs[text].cast("string").alias("text"))
 
     def run(batches):
+        model, watched = pieces(model_path), gc.isenabled()
         gc.disable()  # only tuples of texts are kept, in no cycles; scanning them again and again costs more than the merges
-        model = pieces(model_path)
-        for batch in batches:
-            rows = list(model.rows(column(batch, "text")))
-            key = batch.column(0)
-            n = pa.array([r[1] for r in rows], pa.int64())
-            if full:
-                ids = pa.array([[int(x) for x in r[0].split(" ")] for r in rows], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([key, n, ids, pa.array([r[2] for r in rows], pa.string())], ["key", "n_tokens", "ids", "decoded"])
-            else:
-                a = pa.array([hashlib.sha256(r[0].encode()).hexdigest() for r in rows], pa.string())
-                b = pa.array([hashlib.sha256(r[2].encode()).hexdigest() for r in rows], pa.string())
-                yield pa.RecordBatch.from_arrays([key, n, a, b], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                yield digests(model, batch)
+        finally:
+            if watched:
+                gc.enable()
+
+    def digests(model, batch):
+        rows = list(model.rows(column(batch, "text")))
+        key = batch.column(0)
+        n = pa.array([r[1] for r in rows], pa.int64())
+        if full:
+            ids = pa.array([[int(x) for x in r[0].split(" ")] for r in rows], pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([key, n, ids, pa.array([r[2] for r in rows], pa.string())], ["key", "n_tokens", "ids", "decoded"])
+        a = pa.array([hashlib.sha256(r[0].encode()).hexdigest() for r in rows], pa.string())
+        b = pa.array([hashlib.sha256(r[2].encode()).hexdigest() for r in rows], pa.string())
+        return pa.RecordBatch.from_arrays([key, n, a, b], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rest = "ids array<int>, decoded string" if full else "ids_sha256 string, decoded_sha256 string"
     return data.mapInArrow(run, f"key {kind}, n_tokens bigint, {rest}").withColumnRenamed("key", keep)
