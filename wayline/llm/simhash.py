@@ -172,12 +172,13 @@ def linked(classes: DataFrame, radius: int = RADIUS, file_rows: int = FILE_ROWS)
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """Columns: key, fp, component_id, for each row of docs. key is an integer column."""
     fps = staged(fingerprints(docs, key, text), "simhash")
-    classes = staged(fps.groupBy("fp").agg(F.min(F.col(key).cast("bigint")).alias("id")), "classes")
+    classes = staged(fps.groupBy("fp").agg(F.min(F.col(key).cast("bigint")).alias("id"), F.count("*").alias("n")), "classes")
     found = staged(components(staged(linked(classes.select("fp", F.col("fp").alias("rep")), radius), "links")), "components")
     least = found.join(classes, found["node"] == classes["fp"]).groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     named = join_spread(found, least, "component", found.count()).select("node", "least")
-    named = classes.join(named, classes["fp"] == named["node"], "left").select("fp", F.coalesce("least", "id").alias("component_id"))
-    return fps.join(named, "fp").select(key, "fp", "component_id")
+    named = staged(classes.join(named, classes["fp"] == named["node"], "left").select("fp", F.coalesce("least", "id").alias("component_id"), "n"), "named")
+    rows = named.agg(F.sum("n")).first()[0] or 0
+    return join_spread(fps, named, "fp", rows).select(key, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -185,15 +186,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     that repeat an id are told apart by their fingerprints; of those that are their group's smallest id, the
     one whose text has the smallest digest stays, of all groups together. Rows without an id all stay, as no
     group can name them. Columns are those of docs."""
-    groups = staged(near_duplicates(docs, key, text, radius), "groups")
-    own = F.col(key).cast("bigint") == F.col("component_id")
-    kept = groups.groupBy(key).agg(F.count("*").alias("_kept_copies"), F.max(own).alias("_kept")).where("_kept").select(F.col(key).alias("_kept_id"), "_kept_copies")
-    rows = docs.join(kept, docs[key] == kept["_kept_id"], "left").where(docs[key].isNull() | F.col("_kept_copies").isNotNull())
-    out = rows.where(F.coalesce("_kept_copies", F.lit(1)) <= 1).select(*[docs[c] for c in docs.columns])
-    if kept.where(F.col("_kept_copies") > 1).limit(1).count() == 0:
+    groups = staged(near_duplicates(docs, key, text, radius), "groups").select(F.col(key).cast("bigint").alias("_id"), "fp", "component_id")
+    own = F.col("_id") == F.col("component_id")
+    kept = staged(groups.groupBy("_id").agg(F.count("*").alias("n"), F.max(own).alias("kept")).where("kept").select("_id", "n"), "kept")
+    # Columns of docs travel in a struct, clear of the names here.
+    rows = docs.select(F.col(key).cast("bigint").alias("_id"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    found = join_spread(rows, kept, "_id", kept.agg(F.sum("n")).first()[0] or 0)
+    out = rows.where("_id is null").select("_row.*").unionByName(found.where("n = 1").select("_row.*"))
+    if kept.where("n > 1").limit(1).count() == 0:
         return out
-    repeated = rows.where(F.col("_kept_copies") > 1).select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text].alias("_text"))
-    repeated = fingerprints(repeated, "_row", "_text").withColumn("_id", F.col(f"_row.{key}"))
-    places = groups.where(own).select(F.col(key).alias("_id"), "fp").distinct()
+    repeated = found.where("n > 1").select("_row", F.col(f"_row.{text}").alias("_text"))
+    repeated = fingerprints(repeated, "_row", "_text").withColumn("_id", F.col(f"_row.{key}").cast("bigint"))
+    places = groups.where(own).groupBy("_id", "fp").agg(F.count("*").alias("n")).withColumn("_place", F.struct("_id", "fp"))
+    repeated = join_spread(repeated.select("_row", F.struct("_id", "fp").alias("_place")), places.select("_place", "n"), "_place", places.agg(F.sum("n")).first()[0] or 0)
     first = F.min(F.struct(F.sha2(F.col(f"_row.{text}").cast("binary"), 256).alias("_digest"), "_row")).alias("_first")
-    return out.union(repeated.join(places, ["_id", "fp"]).groupBy("_id").agg(first).select("_first._row.*"))
+    return out.unionByName(repeated.groupBy("_place._id").agg(first).select("_first._row.*"))
