@@ -1,17 +1,19 @@
 """Document quality by supervised subword embeddings.
 
-Words, the character n-grams inside them, and a mark for each word that repeats the one before it, are
-hashed to learned vectors; a document is the mean of its
-features' vectors, and a softmax over two classes gives the score. The vectors and the output are learned
+Words, pairs of neighbouring words, and the character n-grams inside words are hashed to learned vectors; a pair's
+hash is of the difference of its words' numbers, so that all pairs of one word with itself have one vector. A
+document is the mean of its features' vectors, and a softmax over two classes gives the score. The vectors and the output are learned
 together in numpy by stochastic gradient descent with per-weight step sizes. As the output is linear in
 the mean, scoring needs one number for each bucket: that table, of fixed size, is what executors get.
 
 The model is fitted on a bounded sample: SAMPLE labelled documents outside the held-out fold, those with
-the smallest hash of doc_id. Everything else, scoring too, covers whole texts of all rows.
+the smallest hash of doc_id, or as many of them in this order as have SAMPLE_BYTES of bucket counts together; their
+texts are counted whole, on executors. Everything else, scoring too, covers whole texts of all rows.
 
 Defined results: a null or empty text has no features and gets the score of the mean alone (the bias);
 equal texts get equal scores; of several labels of one doc_id the mean decides, from a half on; labels
-without a value, and rows without a doc_id, teach nothing. Words of over BLOCK characters count as several.
+without a value, and rows without a doc_id, teach nothing. Words of over BLOCK characters count as several. A column
+of the documents that has the score's name gives way to it; other columns stay.
 """
 
 from __future__ import annotations
@@ -20,20 +22,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import column, fold, runs, small_batches
+from .shared import column, fold, runs, small_batches, staged
 
 BITS, GRAMS, WIDTH = 16, (3, 4), 10
-SAMPLE, ROUNDS, PORTION, RATE = 4_000, 12, 32, 0.3
+SAMPLE, SAMPLE_BYTES, ROUNDS, PORTION, RATE = 4_000, 128 << 20, 12, 32, 0.3
 THRESHOLD = 0.7
 BLOCK = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bucket of the mark that a word repeats the one before it.
-AGAIN = 1
-MIX = np.uint64(0xBF58476D1CE4E5B9)
+MIX, PAIR = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 @lru_cache(maxsize=2)
@@ -65,7 +65,7 @@ def _pieces(texts: list[str]):
 
 
 def features(block: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For words, for words that repeat the one before, and for each n-gram size: buckets in the order of the texts, and where each text's begin."""
+    """For words, for pairs of words, and for each n-gram size: buckets in the order of the texts, and where each text's begin."""
     line = " " + " ".join(block) + " "
     chars = np.frombuffer(line.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
     space = (chars <= 32) | (chars == 0x85) | (chars == 0xA0)
@@ -75,24 +75,26 @@ def features(block: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     starts = np.r_[0, np.cumsum([len(t) + 1 for t in block])]
     blanks = np.r_[0, np.cumsum(space)]
 
-    def bucket(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
-        h = (total[b] - total[a]) * back[a] + np.uint64(kind)
+    def spread(h: np.ndarray) -> np.ndarray:
         h = (h ^ (h >> np.uint64(31))) * MIX
         return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
+    def number(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (total[b] - total[a]) * back[a]
+
     first = np.flatnonzero(~space[1:] & space[:-1]) + 1
     last = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    words = bucket(first, last, 1)
+    words = number(first, last)
     heads = np.searchsorted(first, starts)
-    whole = (total[last] - total[first]) * back[first]
-    again = np.r_[False, whole[1:] == whole[:-1]][: first.size]
-    again[heads[heads < first.size]] = False  # a text's first word follows none
-    again = np.flatnonzero(again)
-    found = [(words, heads), (np.full(again.size, AGAIN), np.searchsorted(first[again], starts))]
+    follows = np.ones(first.size, dtype=bool)
+    follows[heads[heads < first.size]] = False  # a text's first word follows none
+    second = np.flatnonzero(follows)
+    pairs = (words[second] - words[second - 1]) * PAIR + np.uint64(2)
+    found = [(spread(words + np.uint64(1)), heads), (spread(pairs), np.searchsorted(second, heads))]
     for n in GRAMS:
         a = np.arange(chars.size - n + 1) if chars.size >= n else np.arange(0)
         a = a[blanks[a + n - 1] == blanks[a + 1]]  # white space at the ends at most
-        found.append((bucket(a, a + n, n), np.searchsorted(a, starts)))
+        found.append((spread(number(a, a + n) + np.uint64(n)), np.searchsorted(a, starts)))
     return found
 
 
@@ -155,11 +157,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: Co
         for batch in batches:
             found = [counts(t) for t in column(batch, "text")]
             ids = pa.array([i.astype(np.uint16).tobytes() for i, _ in found], pa.binary())
-            often = pa.array([np.minimum(c, 65_535).astype(np.uint16).tobytes() for _, c in found], pa.binary())
+            often = pa.array([c.astype(np.uint32).tobytes() for _, c in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, often, batch.column(2)], ["doc_id", "ids", "often", "y"])
 
-    rows = chosen.mapInArrow(run, "doc_id bigint, ids binary, often binary, y int").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-    return train([(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(c, np.uint16).astype(np.int64), y) for i, c, y in zip(rows["ids"].to_pylist(), rows["often"].to_pylist(), rows["y"].to_pylist())])
+    counted = staged(chosen.mapInArrow(run, "doc_id bigint, ids binary, often binary, y int"), "sample")
+    # A line over the sample's rows alone, without their buckets: SAMPLE rows, and copies of them.
+    size = counted.groupBy("doc_id").agg(F.sum(F.octet_length("ids") + F.octet_length("often")).alias("bytes"))
+    upto = F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id"))
+    fits = size.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id")
+    rows = counted.join(F.broadcast(fits), "doc_id", "left_semi").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending"), ("often", "ascending")])
+    return train([(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(c, np.uint32).astype(np.int64), y) for i, c, y in zip(rows["ids"].to_pylist(), rows["often"].to_pylist(), rows["y"].to_pylist())])
 
 
 def probabilities(texts: list[str | None], number: np.ndarray, bias: float) -> np.ndarray:
@@ -174,12 +181,13 @@ def probabilities(texts: list[str | None], number: np.ndarray, bias: float) -> n
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score", text: str = "text", least: float | None = None) -> DataFrame:
-    """docs with a column `name`; with `least`, only the rows that reach it, with the columns of docs alone."""
+    """docs with a column `name`, which replaces one of docs that is called so; with `least`, only the rows that reach
+    it, with the columns of docs alone."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    if least is None:
+        docs = docs.drop(name)
     at = docs.columns.index(text)
-    if least is None and name in docs.columns:
-        raise ValueError(f"{name} is a column already")
     schema = StructType([*docs.schema.fields, *([StructField(name, DoubleType())] if least is None else [])])
 
     def run(batches):
