@@ -28,7 +28,7 @@ SPELLINGS = [
     ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"),
     ("non commercial", "noncommercial"), ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"),
     ("per cent", "percent"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"),
-    ("sub license", "sublicense"), ("sub licence", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
+    ("sub license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
 ]
 
 _DISCLAIMER = (
@@ -93,7 +93,13 @@ RESERVED = "All rights reserved."
 #: Postal addresses that copies of the GNU licences have had.
 ADDRESS = "51 Franklin St(?:reet)?,\\s+Fifth\\s+Floor,\\s+Boston,\\s+MA\\s+02110-1301,?\\s+USA"
 ADDRESSES = ["51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA"]
-COPYRIGHT = "(^|\\n)[ \\t/*#;-]*([Cc]opyright|COPYRIGHT|\\([Cc]\\)|©)[^\\n]*"
+#: A copyright line begins with the word or the sign and goes on with the sign, a year, a placeholder or a name; text that a
+#: wrapped licence has at a line's start ("COPYRIGHT HOLDERS BE LIABLE", "copyright notice", a clause "(c) You ...") does not. A
+#: placeholder in brackets may be wrapped.
+COPYRIGHT = (
+    "(^|\\n)[ \\t/*#;-]*(?:[Cc]opyright[ \\t]+(?:by[ \\t]|\\([Cc]\\)|©|[0-9<\\[{]|[A-GI-KMP-Z]|H[^o]|Ho[^l]|L[^ai]|La[^w]|Li[^c]|N[^o]|No[^t]|O[^w]|Ow[^n])|COPYRIGHT[ \\t]+(?:\\([Cc]\\)|©|[0-9<\\[{])"
+    "|\\(C\\)[ \\t]+[0-9<\\[{A-Z]|\\(c\\)[ \\t]+(?:[0-9<\\[{]|[Cc]opyright)|©)[^\\n\\[]*(?:\\[[^\\]\\[]{0,80}\\][^\\n\\[]*){0,8}[^\\n]*"
+)
 MARKS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F“”‘’–—©«»]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -101,10 +107,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def canonical(text: Column) -> Column:
     """The normalised text."""
     plain = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), F.lit(COPYRIGHT), F.lit("\n"))
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.translate(plain, UPPER, LOWER), F.lit(MARKS), F.lit(" ")), F.lit(" "))
+    # Two spaces between words, so that spellings which follow each other do not share one.
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.translate(plain, UPPER, LOWER), F.lit(MARKS), F.lit("  ")), F.lit(" "))
     for old, new in SPELLINGS:
-        plain = F.replace(plain, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.btrim(plain, F.lit(" "))
+        plain = F.replace(plain, F.lit(wide(old)), F.lit(wide(new)))
+    return F.btrim(F.replace(plain, F.lit("  "), F.lit(" ")), F.lit(" "))
+
+
+def wide(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
 
 
 def unwrapped(text: str) -> str:
@@ -148,10 +159,10 @@ def oracle() -> str:
 
     def form(column: str) -> str:
         out = f"translate(regexp_replace(coalesce({column}, ''), '{COPYRIGHT}', chr(10), 'g'), '{UPPER}', '{LOWER}')"
-        out = f"' ' || regexp_replace({out}, '{MARKS}', ' ', 'g') || ' '"
+        out = f"' ' || regexp_replace({out}, '{MARKS}', '  ', 'g') || ' '"
         for old, new in SPELLINGS:
-            out = f"replace({out}, ' {old} ', ' {new} ')"
-        return f"sha256(trim({out}, ' '))"
+            out = f"replace({out}, '{wide(old)}', '{wide(new)}')"
+        return f"sha256(trim(replace({out}, '  ', ' '), ' '))"
 
     rows = ", ".join(f"('{k}', '{quote(v)}')" for k, v in sorted(KNOWN.items()))
     return f"""
