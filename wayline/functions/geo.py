@@ -144,3 +144,10 @@ def max_speed(text: Column) -> Column:
 def log_shade(v: Column) -> Column:
     """log(v + 1), null where v is not positive."""
     return F.when(v > 0, F.log1p(v))
+
+
+def route_ends_fit(start: Column, end: Column, steps: Column, size: float) -> Column:
+    """Do a way's ends lie within `size` degrees of where it was asked from and to? Without steps, do both lie so near to
+    each other? start, end: structs lon, lat; steps: an array of such."""
+    near = lambda p, q: F.pow(p["lon"] - q["lon"], F.lit(2)) + F.pow(p["lat"] - q["lat"], F.lit(2)) <= size**2
+    return F.when(F.size(steps) == 0, near(start, end)).otherwise(near(F.get(steps, F.lit(0)), start) & near(F.get(steps, F.size(steps) - 1), end))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -75,3 +75,25 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """indel_ratio of two columns; null if either is null. Edit distances that count a substitution once do
     not give it, so no built-in function does."""
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+#: A geocoder's answer.
+PLACE = "lon string, lat string, display_name string, namedetails map<string, string>, address map<string, string>"
+
+
+def geocoder_fields(answers: DataFrame, column: str) -> DataFrame:
+    """answers with the fields of a geocoder's answer: name, lon, lat (null where missing or 0), country ('nan' without an
+    address), address, synonyms: the different names in order, a ';' after each; the address where there are no names."""
+    found = answers.withColumn("_p", F.from_json(column, PLACE))
+    number = lambda c: F.col(f"_p.{c}").try_cast("double")
+    names = F.coalesce(F.array_sort(F.array_distinct(F.map_values("_p.namedetails"))), F.array(F.col("_p.display_name")))
+    empty = F.col("_p.address").isNull() | (F.size("_p.address") == 0)
+    return found.withColumns({
+        "name": F.col("_p.namedetails")["name"], "lon": number("lon"), "lat": number("lat"), "address": F.col("_p.display_name"),
+        "country": F.when(empty, "nan").otherwise(F.col("_p.address")["country"]), "synonyms": F.aggregate(names, F.lit(""), lambda s, x: F.concat(s, x, F.lit(";"))),
+    }).drop("_p")
+
+
+def key_text(*columns: Column) -> Column:
+    """Several values as one text, to tell rows apart by."""
+    return F.to_json(F.struct(*columns))

@@ -2,17 +2,47 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that driver and executors share: spark.checkpoint.dir, or our own where
-    the session sets none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        root = tempfile.mkdtemp(prefix="wayline-checkpoint-")
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder. Where
+    neither is set, a folder of our own if driver and executors are one process, and an error on a cluster."""
+    sc = spark.sparkContext
+    root, held = spark.conf.get("spark.checkpoint.dir", None), sc.getCheckpointDir()
+    if not root and not held:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="wayline-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+    if not held:
+        sc.setCheckpointDir(root)
+    return (root or held).rstrip("/")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/wayline-{what}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, *keys: str, name: str = "place") -> DataFrame:
+    """df with the place of each row, from 0, in the order of the keys, which tell all rows apart. Places come from sorted
+    range partitions and their sizes, not from one sorted task."""
+    part = cut(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    # A row for each partition.
+    sizes = part.groupBy("_part").agg(F.count("*").alias("_c"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1 + F.col("_base")
+    return part.join(F.broadcast(offset), "_part").withColumn(name, place).drop("_part", "_base")

@@ -5,7 +5,7 @@ stops: train, seq, station, arr, dep: UTC HHMM integers, null where missing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
@@ -103,3 +103,29 @@ def accepted(found: DataFrame, fastest: DataFrame, limit: float = 300.0) -> Data
     """train, ok for merged records: monotone and no faster than the limit (fastest: train, speed; null: no place known)."""
     top = fastest.groupBy("train").agg(F.max("speed").alias("top"))
     return monotone(found).join(top, "train", "left").select("train", (F.col("ok") & F.coalesce(F.col("top") <= limit, F.lit(False))).alias("ok"))
+
+
+def distinct_records(records: Column) -> Column:
+    """Different records of an array of structs."""
+    return F.array_distinct(records)
+
+
+def open_references(refs: Column, others: Column, tables: Column) -> Column:
+    """Tables that either record refers to, without those that are merged already."""
+    return F.array_except(F.array_union(refs, others), tables)
+
+
+def from_rows(rows: DataFrame) -> DataFrame:
+    """rows: train, station, kind ('a.' or 'd.'), time (HHMM text, '' or 'nan' where missing), row, zone, italic, ref.
+    For each train and station: arr, dep in UTC, of repeated ones the last row's, and the tables that rows in italics refer to."""
+    valid = rows.where(~F.col("time").isin("", "nan"))
+    at = F.struct("row", T.to_utc(F.col("time").cast("int"), F.col("zone")).alias("t"))
+    last = lambda kind: F.max(F.when(F.col("kind") == kind, at))["t"]
+    refs = F.collect_set(F.when(F.col("italic"), F.regexp_replace(F.col("ref").cast("string"), ",", "")))
+    return valid.groupBy("train", "station").agg(last("a.").alias("arr"), last("d.").alias("dep"), refs.alias("refs"))
+
+
+def local_times(stops: DataFrame) -> DataFrame:
+    """Stops as they are shown: arrival and departure in local time (zone: hours), -1 where missing."""
+    local = lambda c: F.coalesce(T.to_local(F.col(c), F.col("zone")), F.lit(-1))
+    return stops.withColumns({"arrival": local("arr"), "departure": local("dep")})

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as N
+from . import lineage
 
+# Tag names and values of OpenStreetMap here and in the filters below, among them a misspelt one.
 ROADS = ["motorway", "trunk", "primary", "secondary", "tertiary"]
 
 
@@ -43,11 +45,14 @@ def with_tags(elements: DataFrame, keys: list[str], pairs: dict[str, list[str]])
 
 
 def merged(*tables: DataFrame) -> DataFrame:
-    """Union without repeated (type, id); of repeated ones any, they are taken as equal."""
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out.dropDuplicates(["type", "id"])
+    """Union without repeated (type, id); of repeated ones that of the first table stays."""
+    out = None
+    for k, t in enumerate(tables):
+        own = t.select(*tables[0].columns).withColumn("_table", F.lit(k))
+        out = own if out is None else out.union(own)
+    columns = [c for c in tables[0].columns if c not in ("type", "id")]
+    held = out.groupBy("type", "id").agg(F.min_by(F.struct(*columns), "_table").alias("_s")) if columns else out.select("type", "id").distinct()
+    return held.select("type", "id", *[f"_s.{c}" for c in columns]).select(*tables[0].columns)
 
 
 def way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -99,3 +104,36 @@ def chosen_level(modal: DataFrame) -> DataFrame:
     fine = F.min(F.when(F.col("kind").isin("District", "County"), F.col("level")))
     before = F.min(F.when(F.col("kind").isin("Commune", "Municipal"), F.col("level"))) - 1
     return modal.groupBy("folder").agg(F.coalesce(fine, before, F.max("level")).alias("level"))
+
+
+def numbered(elements: DataFrame) -> DataFrame:
+    """Elements in the order of (type, id), with their place in it."""
+    return lineage.numbered(elements, "type", "id")
+
+
+def by_id(elements: DataFrame, wanted: int) -> DataFrame:
+    """The first element with the id, nodes before ways before relations."""
+    order = F.when(F.col("type") == "node", 0).when(F.col("type") == "way", 1).otherwise(2)
+    return elements.where(F.col("id") == wanted).orderBy(order).limit(1)
+
+
+def of_country(rows: DataFrame, country) -> DataFrame:
+    return rows.where(F.col("country") == country)
+
+
+def boundaries(rows: DataFrame) -> DataFrame:
+    """rows: file (its level stands before the first '.'), row, code, names and types by level from 0. All files as one
+    table: code, country, name (names of levels 1 to the file's, a ';' after each), type, row; of a file of level 0 only the
+    first row, whose name is the country's."""
+    level = N.level_of_file(F.col("file")).cast("int")
+    first = F.when(F.col("level") == 0, F.row_number().over(Window.partitionBy("file").orderBy("row"))).otherwise(1)
+    rows = rows.withColumn("level", level).withColumn("_first", first).where("_first = 1")
+    inner = F.aggregate(F.slice("names", F.lit(2), F.greatest("level", F.lit(1))), F.lit(""), lambda s, x: F.concat(s, x, F.lit(";")))
+    country = F.get("names", F.lit(0))
+    name, kind = F.when(F.col("level") == 0, country).otherwise(inner), F.when(F.col("level") == 0, "Country").otherwise(F.get("types", F.col("level")))
+    return rows.select("code", country.alias("country"), name.alias("name"), kind.alias("type"), "row")
+
+
+def after_first(files: DataFrame) -> DataFrame:
+    """Files of each folder in the order of their names, without the first."""
+    return files.withColumn("_k", F.row_number().over(Window.partitionBy("folder").orderBy("file"))).where("_k > 1").drop("_k")

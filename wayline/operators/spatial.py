@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
@@ -24,9 +24,10 @@ def locate(points: DataFrame, polygons: DataFrame, size: float = 10.0) -> DataFr
     boxes = ring_box(polygons)
     boxes = boxes.withColumn("_cx", F.explode(F.sequence(key(F.col("min_x")), key(F.col("max_x"))))).withColumn("_cy", F.explode(F.sequence(key(F.col("min_y")), key(F.col("max_y")))))
     held = boxes.select("poly", "ring", "_cx", "_cy", "min_x", "min_y", "max_x", "max_y")
-    near = points.withColumns({"_cx": key(F.col("x")), "_cy": key(F.col("y"))}).join(held, ["_cx", "_cy"])
+    near = points.withColumns({"_row": F.monotonically_increasing_id(), "_cx": key(F.col("x")), "_cy": key(F.col("y"))}).join(held, ["_cx", "_cy"])
     near = near.where("x between min_x and max_x and y between min_y and max_y").where(G.inside(F.col("ring"), F.col("x"), F.col("y")))
-    return near.groupBy(*points.columns).agg(F.min("poly").alias("poly"))
+    # Equal rows are points of their own: one that lies in several polygons is told by its number.
+    return near.groupBy("_row", *points.columns).agg(F.min("poly").alias("poly")).drop("_row")
 
 
 def polygon_sums(points: DataFrame, polygons: DataFrame, size: float = 10.0) -> DataFrame:
@@ -46,11 +47,13 @@ def downsample(points: DataFrame, size: float = 1 / 12) -> DataFrame:
 
 
 def cells_within(points: DataFrame, size: float, km: float) -> DataFrame:
-    """Cells whose distance from a point (pid, x, y) is at most km: pid, i, j (steps from the point's cell)."""
+    """Cells whose distance from a point (pid, x, y) is at most km: pid, i, j (steps from the point's cell); at most once
+    around the world, also near the poles, where cells have no width."""
     centre = points.withColumns({"gx": G.cell(F.col("x"), size) * size, "gy": G.cell(F.col("y"), size) * size})
     wide = G.distance_km(F.col("gx"), F.col("gy"), F.col("gx") + size, F.col("gy"))
     high = F.lit(math.radians(size) * G.RADIUS_KM)
-    reach = lambda w: (F.ceil(F.lit(km) / w) + 1).cast("int")
+    around = math.ceil(180 / size)
+    reach = lambda w: F.coalesce(F.least(F.ceil(F.lit(km) / F.nullif(w, F.lit(0.0))) + 1, F.lit(around)), F.lit(around)).cast("int")
     steps = centre.withColumns({"ni": reach(wide), "nj": reach(high)})
     steps = steps.withColumn("i", F.explode(F.sequence(-F.col("ni"), F.col("ni")))).withColumn("j", F.explode(F.sequence(-F.col("nj"), F.col("nj"))))
     d = G.distance_km(F.col("x"), F.col("y"), F.col("gx") + F.col("i") * size, F.col("gy") + F.col("j") * size)
@@ -61,3 +64,29 @@ def dense(pixels: DataFrame) -> DataFrame:
     """Rows of an image as arrays by column, null where the value is not positive."""
     cells = F.array_sort(F.collect_list(F.struct("col", F.when(F.col("value") > 0, F.col("value")).alias("value"))))
     return pixels.groupBy("row").agg(cells.alias("cells"))
+
+
+def masked(value: Column, least: float) -> Column:
+    """Null where the value is below `least`."""
+    return F.when(value >= least, value)
+
+
+def extent(points: DataFrame, margin: float = 0.5, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """left, right, down, up of a map of the points with a margin, or those of the box, and its centre."""
+    found = points.agg((F.min("x") - margin).alias("left"), (F.max("x") + margin).alias("right"), (F.min("y") - margin).alias("down"), (F.max("y") + margin).alias("up"))
+    if box is not None:
+        found = found.select(*[F.lit(float(v)).alias(c) for v, c in zip(box, ("left", "right", "down", "up"))])
+    centre = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) / 2
+    return found.withColumns({"centre_lon": centre("left", "right"), "centre_lat": centre("down", "up")})
+
+
+def image_shape(pixels: DataFrame) -> DataFrame:
+    """First and last row and column, height and width."""
+    found = pixels.agg(F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("col").alias("left"), F.max("col").alias("right"))
+    return found.withColumns({"height": F.col("bottom") - F.col("top") + 1, "width": F.col("right") - F.col("left") + 1})
+
+
+def population_table(areas: DataFrame, sums: DataFrame) -> DataFrame:
+    """areas (poly, area, other columns) with population (0 without any) and density; sums: poly, total."""
+    found = areas.join(sums.select("poly", F.col("total").alias("population")), "poly", "left").withColumn("population", F.coalesce("population", F.lit(0.0)))
+    return found.withColumn("density", F.col("population") / F.nullif("area", F.lit(0.0)))

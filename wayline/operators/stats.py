@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import lineage
@@ -37,11 +37,9 @@ def reverse_cdf(histogram: DataFrame) -> DataFrame:
 def split_points(values: DataFrame, n: int) -> DataFrame:
     """k, split: the value at place round(count / n * k) for k = 1 .. n - 1, ties to even, and the largest for k = n.
     Ranks come from sorted range partitions and their sizes, not from one sorted task."""
-    part = lineage.cut(values.select("value").repartitionByRange("value").withColumn("_part", F.spark_partition_id()))
-    sizes = part.groupBy("_part").agg(F.count("*").alias("c"))
-    offset = sizes.select("_part", F.coalesce(F.sum("c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    ranked = part.join(F.broadcast(offset), "_part").select("value", (F.row_number().over(Window.partitionBy("_part").orderBy("value")) - 1 + F.col("base")).alias("place"))
-    total = part.agg(F.count("*").alias("total"), F.max("value").alias("top"))
+    rows = lineage.cut(values.select("value", F.monotonically_increasing_id().alias("_row")))
+    ranked = lineage.numbered(rows, "value", "_row").select("value", "place")
+    total = rows.agg(F.count("*").alias("total"), F.max("value").alias("top"))
     wanted = values.sparkSession.range(1, n).join(F.broadcast(total)).select(F.col("id").cast("int").alias("k"), F.rint(F.col("total") / n * F.col("id")).cast("bigint").alias("place"))
     return ranked.join(F.broadcast(wanted), "place").select("k", F.col("value").alias("split")).union(total.select(F.lit(n), "top"))
 
@@ -70,3 +68,42 @@ def fit_power(points: DataFrame, steps: int = 100, rate: float = 0.01, n: int |
 def describe_pairs(points: DataFrame) -> DataFrame:
     """Slope, intercept and correlation of y on x."""
     return points.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.corr("y", "x").alias("corr"), F.count("*").alias("n"))
+
+
+def bucketed(values: DataFrame, splits: DataFrame) -> DataFrame:
+    """values with the first bucket whose split reaches the value; null above all. splits (k, split) has a row for each bucket."""
+    edges = F.broadcast(splits.agg(F.array_sort(F.collect_list(F.struct("split", "k"))).alias("_s")))  # one row
+    reached = F.filter("_s", lambda s: s["split"] >= F.col("value"))
+    return values.join(edges).withColumn("bucket", F.get(reached, F.lit(0))["k"]).drop("_s")
+
+
+def value_range(values: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
+    """low, high: those given, else (also for 0) the least and the largest value."""
+    return values.agg((F.lit(low) if low else F.min("value")).alias("low"), (F.lit(high) if high else F.max("value")).alias("high"))
+
+
+def histogram(values: DataFrame, bins: int) -> DataFrame:
+    """bin, x (its lower edge), n, density, for bins of equal width that hold a value; the largest value is in the last."""
+    span = values.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("all"))
+    width = (F.col("high") - F.col("low")) / bins
+    place = F.coalesce(F.least(F.floor((F.col("value") - F.col("low")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)), F.lit(0)).cast("int")
+    counted = values.where("value is not null").join(F.broadcast(span)).groupBy(place.alias("bin"), "low", "high", "all").agg(F.count("*").alias("n"))  # one row
+    return counted.select("bin", (F.col("low") + F.col("bin") * width).alias("x"), "n", (F.col("n") / F.col("all") / F.nullif(width, F.lit(0.0))).alias("density"))
+
+
+def density(values: DataFrame, steps: int) -> DataFrame:
+    """point, x, density at steps + 1 points from the least to the largest value: Gaussian kernels whose width is the
+    standard deviation times n ** -0.2. Every value counts at every point, in partial sums."""
+    span = values.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("all"), F.stddev_samp("value").alias("sd"))
+    span = F.broadcast(span.withColumn("width", F.nullif(F.col("sd") * F.pow("all", F.lit(-0.2)), F.lit(0.0))))  # one row
+    rows = values.where("value is not null").join(span).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    x = F.col("low") + F.col("point") * (F.col("high") - F.col("low")) / steps
+    kernel = F.exp(-F.pow((x - F.col("value")) / F.col("width"), F.lit(2)) / 2)
+    found = rows.groupBy("point", "low", "high", "all", "width").agg(F.sum(kernel).alias("k"))
+    return found.select("point", x.alias("x"), (F.col("k") / (F.col("all") * F.col("width") * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """df that counts its rows as they pass, without a pass of its own; the count is in the observation once df has run."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo as G
 from ..functions import timeops as T
 
 
@@ -85,6 +86,15 @@ def leg_services(legs: DataFrame, mode: str = "all") -> DataFrame:
     )
 
 
+def flight_legs(flights: DataFrame) -> DataFrame:
+    """Services of flight rows as a file has them (source, depTime_s, target, arrTime_s, flightNumber, info): id, dep,
+    dep_t, arr, arr_t (seconds of the day), during (as the times say, not wrapped), describe 'flightNumber:info'; the id
+    is what stands before the first ':'. Of rows with one (source, target, id) the last by times counts."""
+    describe = F.concat_ws(":", "flightNumber", "info")
+    rows = flights.groupBy("source", "target", F.split_part(describe, F.lit(":"), F.lit(1)).alias("id")).agg(F.max(F.struct("depTime_s", "arrTime_s", describe.alias("describe"))).alias("s"))
+    return rows.select("id", F.col("source").alias("dep"), T.of_day("s.depTime_s").alias("dep_t"), F.col("target").alias("arr"), T.of_day("s.arrTime_s").alias("arr_t"), (F.col("s.arrTime_s") - F.col("s.depTime_s")).alias("during"), "s.describe")
+
+
 def flight_services(flights: DataFrame) -> DataFrame:
     """A service for each flight row: flight, source, target, depart, arrive (HH:MM texts)."""
     return flights.select("flight", "source", "target", "depart", "arrive", T.gap_minutes("depart", "arrive").alias("travel_time"))
@@ -95,3 +105,36 @@ def scheme_minutes(legs: DataFrame, key: str = "scheme") -> DataFrame:
     order = Window.partitionBy(key).orderBy("pos")
     wait = F.coalesce(F.pmod(F.col("depart") - F.lag("arrive").over(order), F.lit(1440)), F.lit(0))
     return legs.withColumn("_wait", wait).groupBy(key).agg(F.sum(F.col("during") + F.col("_wait")).alias("minutes"))
+
+
+def of_train(stops: DataFrame, train) -> DataFrame:
+    """The rows of one train."""
+    return stops.where(F.col("train") == train)
+
+
+def train_list(stops: DataFrame, train: str = "train") -> DataFrame:
+    return stops.select(train).distinct()
+
+
+def station_list(stops: DataFrame) -> DataFrame:
+    return stops.select("station").distinct()
+
+
+def station_distances(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """pairs (a, b) with km between their places (station, lon, lat), -1 where one of them is unknown."""
+    at = lambda end: places.select(F.col("station").alias(end), F.struct("lon", "lat").alias(f"_{end}"))
+    found = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    km = G.distance_km(F.col("_a.lon"), F.col("_a.lat"), F.col("_b.lon"), F.col("_b.lat"))
+    return found.withColumn("km", F.coalesce(km, F.lit(-1.0))).drop("_a", "_b")
+
+
+def train_points(stops: DataFrame, places: DataFrame) -> DataFrame:
+    """Different places of the stops."""
+    return stops.select("station").distinct().join(places, "station").select("lon", "lat").distinct()
+
+
+def train_lines(stops: DataFrame, places: DataFrame) -> DataFrame:
+    """train and line: places of its stops in order; stops without a place are left out."""
+    found = stops.select("train", "seq", "station").join(places, "station")
+    line = F.array_sort(F.collect_list(F.struct("seq", "lon", "lat")))
+    return found.groupBy("train").agg(F.transform(line, lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("line"))

@@ -24,9 +24,16 @@ def csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") ->
     """CSV, also gzipped. Spreadsheets have no reader here."""
     if path.lower().endswith((".xls", ".xlsx")):
         raise ValueError("spreadsheets must be turned into CSV first")
+    allow_charset(spark, encoding)
     return spark.read.csv(path, schema=schema, header=True, encoding=encoding)
 
 
+def allow_charset(spark: SparkSession, encoding: str) -> None:
+    """Lets the session use an encoding beyond Spark's own short list, such as GBK."""
+    if not encoding.lower().startswith(("utf", "us-ascii", "iso-8859-1")):
+        spark.conf.set("spark.sql.legacy.javaCharsets", True)
+
+
 def lookup(table: DataFrame, key: str, value: str, row: str) -> DataFrame:
     """key, value; of repeated keys the last row counts."""
     return table.groupBy(key).agg(F.max_by(value, row).alias(value))
@@ -41,6 +48,17 @@ def missing_keys(rows: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     return rows.select(key).distinct().join(dim.select(key), key, "left_anti")
 
 
+def is_known(rows: DataFrame, dim: DataFrame, key: str, other: str, name: str = "known") -> DataFrame:
+    """rows with whether their key is in the dimension."""
+    held = dim.select(F.col(other).alias(key)).distinct().withColumn(name, F.lit(True))
+    return rows.join(held, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def two_way(table: DataFrame, a: str, b: str, row: str) -> tuple[DataFrame, DataFrame]:
+    """a -> b and b -> a; of repeated keys the last row counts, on each side."""
+    return lookup(table, a, b, row), lookup(table, b, a, row)
+
+
 def fast_trains(stops: DataFrame, train: str = "train") -> DataFrame:
     return stops.where(F.col(train).rlike("^(C|D|G)"))
 
@@ -60,6 +78,25 @@ def trains_xml(spark: SparkSession, path: str) -> DataFrame:
     return stops.select("train", "day_sign", "train_type", F.col("trainNumber").alias("numbers"), "seq", F.col("s._name").alias("station"), clock("s._arrive").alias("arr"), clock("s._depart").alias("dep"), F.col("s._UTC").try_cast("int").alias("zone"))
 
 
+def train_links_xml(spark: SparkSession, path: str) -> DataFrame:
+    """For each train the records that it was merged with and those it may be connected with."""
+    link = "array<struct<_id: string, _tableNumber: string, _country: string, _fileName: string>>"
+    rows = spark.read.format("xml").option("rowTag", "train").schema(f"_id string, merge_with {link}, possibly_connected_with {link}").load(path)
+    named = lambda c: F.transform(F.coalesce(c, F.array().cast(link)), lambda m: F.struct(*[m[f"_{f}"].alias(f) for f in ("id", "tableNumber", "country", "fileName")]))
+    return rows.select(F.col("_id").alias("train"), named("merge_with").alias("merged"), named("possibly_connected_with").alias("possible"))
+
+
+def trains_json(answers: DataFrame, kind: str = "K", column: str = "json") -> DataFrame:
+    """Trains of one kind from answers that list them by day and kind, each once: code, source, target, number."""
+    from ..functions.text import station_pair
+
+    days = F.map_values(F.from_json(column, "map<string, map<string, array<struct<station_train_code: string, train_no: string>>>>"))
+    one = F.flatten(F.transform(days, lambda d: F.coalesce(d[kind], F.array().cast("array<struct<station_train_code: string, train_no: string>>"))))
+    pair = station_pair(F.col("t.station_train_code"))
+    rows = answers.select(F.explode(one).alias("t")).select(*[F.get(pair, F.lit(k)).alias(c) for k, c in enumerate(("code", "source", "target"))], F.col("t.train_no").alias("number"))
+    return rows.where(F.startswith("code", F.lit(kind))).distinct()
+
+
 def osm_xml(spark: SparkSession, path: str) -> DataFrame:
     """Elements with type, id, lon, lat, tags, nds, members."""
     out = None
@@ -100,7 +137,7 @@ def find_file(found: DataFrame, name: str) -> DataFrame:
 
 
 def json_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).json(path, multiLine=True)
 
 
 def outlines(spark: SparkSession, path: str, name: str) -> DataFrame:
