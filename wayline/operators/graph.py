@@ -93,6 +93,6 @@ def reach(starts: DataFrame, size: float, times: DataFrame, most: float, rounds:
         front = front.select("origin", "lon", "lat", F.round("metres").alias("metres"), F.round("seconds").alias("seconds")).join(found, ["origin", "lon", "lat"], "left_anti")
         front = lineage.cut(front)
         if front.isEmpty():
-            break
+            return found
         found = found.union(front)
-    return found
+    raise RuntimeError(f"the cells did not end in {rounds} rounds")

@@ -42,12 +42,24 @@ def similarity(stops: DataFrame, common: int, exact: int = 0, loose: int = 25, n
 
 
 def possible_links(stops: DataFrame, common: int = 2, exact: int = 0) -> DataFrame:
-    """Pairs with at least `common` shared stations that agree exactly and none that disagrees: a, b, matches."""
-    left = stops.select(F.col("train").alias("a"), "station", F.col("arr").alias("arr1"), F.col("dep").alias("dep1"))
-    right = stops.select(F.col("train").alias("b"), "station", F.col("arr").alias("arr2"), F.col("dep").alias("dep2"))
-    off = F.coalesce(F.abs(T.to_minutes("arr1") - T.to_minutes("arr2")), F.abs(T.to_minutes("dep1") - T.to_minutes("dep2")))
-    pairs = left.join(right, "station").where("a < b").groupBy("a", "b").agg(F.sum((off <= exact).cast("int")).alias("matches"), F.max(off).alias("most"))
-    return pairs.where((F.col("matches") >= common) & (F.col("most") <= exact)).select("a", "b", "matches")
+    """Pairs with at least `common` shared stations that agree exactly and none that disagrees: a, b, matches.
+
+    Stops meet by station and time, in buckets of exact + 1 minutes and their neighbours, so that a busy station does not
+    bring all its trains together; the stations that disagree are then looked for among the pairs found."""
+    minutes = stops.select("train", "station", T.to_minutes("arr").alias("arr"), T.to_minutes("dep").alias("dep"))
+    left, right = (minutes.select(F.col("train").alias(t), "station", F.col("arr").alias(f"arr{k}"), F.col("dep").alias(f"dep{k}")) for k, t in ((1, "a"), (2, "b")))
+    bucket = lambda c: F.floor(F.col(c) / (exact + 1))
+    off = F.coalesce(F.abs(F.col("arr1") - F.col("arr2")), F.abs(F.col("dep1") - F.col("dep2")))
+    met = None
+    for c in ("arr", "dep"):
+        near = left.where(F.col(f"{c}1").isNotNull()).withColumn("_k", F.explode(F.array(*[bucket(f"{c}1") + i for i in (-1, 0, 1)])))
+        both = near.join(right.where(F.col(f"{c}2").isNotNull()).withColumn("_k", bucket(f"{c}2")), ["station", "_k"]).where("a < b")
+        # Departures count only where an arrival is missing.
+        both = both.where((F.col("arr1").isNotNull() & F.col("arr2").isNotNull()) == (c == "arr")).where(off <= exact).select("a", "b")
+        met = both if met is None else met.union(both)
+    found = met.groupBy("a", "b").agg(F.count("*").alias("matches")).where(F.col("matches") >= common)
+    all_ = found.select("a", "b").join(left, "a").join(right, ["b", "station"]).groupBy("a", "b").agg(F.max(off).alias("most")).where(F.col("most") <= exact)
+    return found.join(all_, ["a", "b"]).select("a", "b", "matches")
 
 
 def events(stops: DataFrame) -> DataFrame:
@@ -76,7 +88,7 @@ def merged(found: DataFrame, pairs: DataFrame) -> DataFrame:
     other = roles.join(found.select(F.col("train").alias("other"), "station", "kind", F.col("t").alias("u")), "other").select("a", "b", "station", "kind", "u")
     near = lambda x: F.abs(T.minutes_of(F.col("t")) - T.minutes_of(x)) <= 60
     day = F.when(near(F.col("u")), 0).when(near(F.col("u") + 2400), 2400).when(near(F.col("u") - 2400), -2400)
-    shift = base.join(other, ["a", "b", "station", "kind"]).groupBy("a", "b").agg(F.min_by(day, F.struct("station", "kind")).alias("day"))
+    shift = base.join(other, ["a", "b", "station", "kind"]).groupBy("a", "b").agg(F.min_by(day, F.struct("station", "kind", "t", "u")).alias("day"))
     more = other.join(base.select("a", "b", "station", "kind"), ["a", "b", "station", "kind"], "left_anti").join(shift, ["a", "b"], "left")
     both = base.union(more.select("a", "b", "station", "kind", F.col("u") + F.coalesce("day", F.lit(0))))
     return both.groupBy("a", "b", "t").agg(F.min(F.struct("station", "kind")).alias("s")).select("a", "b", "s.station", "s.kind", "t")

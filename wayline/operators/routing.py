@@ -5,15 +5,16 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lineage
 
 
-def next_service(labels: DataFrame, services: DataFrame, low: int, high: int, day: int = 1440, closed: bool = False) -> DataFrame:
+def next_service(labels: DataFrame, services: DataFrame, low: int | Column, high: int, day: int = 1440, closed: bool = False) -> DataFrame:
     """Labels carried over every admissible service: origin, station, total, legs, path, with the wait in
-    [low, high) or [low, high], around the clock. labels: origin, station, total, at (time of the day), legs, path."""
+    [low, high) or [low, high], around the clock. labels: origin, station, total, at (time of the day), legs, path.
+    low may be a column of the labels."""
     joined = labels.join(services.select("id", F.col("dep").alias("station"), "dep_t", "arr", "arr_t", "during"), "station")
     wait = F.pmod(F.col("dep_t") - F.col("at"), F.lit(day))
     fits = (wait >= low) & ((wait <= high) if closed else (wait < high))
@@ -108,18 +109,87 @@ def driven(labels: DataFrame, drives: DataFrame, day: int) -> DataFrame:
     )
 
 
+#: Minutes to be at a port before a service leaves, by the port's kind; '' is any other.
+PREPARE = {"station": 15, "": 60}
+
+
+def _prepared(labels: DataFrame, kinds: DataFrame, prepare: dict[str, int]) -> DataFrame:
+    """labels with `low`, the least wait at their station, by its kind (kinds: station, kind; a station without one counts as '')."""
+    least = F.lit(prepare[""])
+    for kind, minutes in prepare.items():
+        least = F.when(F.col("kind") == kind, minutes).otherwise(least) if kind else least
+    return labels.join(kinds.select("station", "kind"), "station", "left").withColumn("low", least).drop("kind")
+
+
+def route_multimodal(
+    services: DataFrame, access: DataFrame, drives: DataFrame, kinds: DataFrame, start: int, hops: int = 3, high: int = 1440, day: int = 1440, limit: int = 120,
+    cap: int | None = 1440, prepare: dict[str, int] = PREPARE, closed: bool = False, by_car: bool = False, margin: float = 0.0, pareto: bool = False,
+) -> DataFrame:
+    """Routes that begin with a drive and may drive between ports: origin, station, total, at, legs, path.
+
+    access: origin, station, duration: drives from the origins; those below `limit` are taken at the time `start`. drives:
+    source, target, duration, taken after a service, never after a drive. A service waits for at least its port's prepare time.
+    A label is carried on if it has at most `hops` services, if its total is at most `cap`, and if it beats all labels of
+    its station with fewer services by more than `margin`; a driven label counts for the services from its port, and with
+    by_car it is a result as well. The result is the best label of each origin and station, or with pareto the best of each
+    number of services that is faster than all with fewer. A drive of no length takes no time. Each layer is checkpointed."""
+    kind = services.schema["id"].dataType.simpleString()
+    columns = ["origin", "station", "total", "at", "legs", "path"]
+    seeds = drive_seeds(access, start, limit, day).select("origin", "station", "total", "at", F.lit(0).alias("legs"), F.array(F.lit("carDriving")).cast(f"array<{kind}>").alias("path"))
+    sources, found, reached = _best(seeds), None, None
+    for _ in range(hops):
+        ready = _prepared(sources if cap is None else sources.where(F.col("total") <= cap), kinds, prepare)
+        moved = _best(next_service(ready, services, F.col("low"), high, day, closed)).select(columns)
+        if reached is not None:
+            moved = moved.join(reached, ["origin", "station"], "left").where(F.col("before").isNull() | (F.col("total") < F.col("before") - margin)).select(columns)
+        moved = lineage.cut(moved)
+        cars = _best(driven(moved, drives, day)).select(columns)
+        sources = moved.unionByName(cars)
+        layer = sources if by_car else moved
+        found = layer if found is None else found.unionByName(layer)
+        best = moved.select("origin", "station", F.col("total").alias("before"))
+        reached = best if reached is None else lineage.cut(reached.unionByName(best).groupBy("origin", "station").agg(F.min("before").alias("before")))
+    if not pareto:
+        return _best(found)
+    each = found.groupBy("origin", "station", "legs").agg(F.min(F.struct("total", "path", "at")).alias("b")).select("origin", "station", "legs", "b.*")
+    before = Window.partitionBy("origin", "station").orderBy("legs").rowsBetween(Window.unboundedPreceding, -1)
+    return each.withColumn("_least", F.min("total").over(before)).where("_least is null or total < _least").select(columns)
+
+
+def first_gaps(labels: DataFrame, services: DataFrame, access: DataFrame, kinds: DataFrame, start: int, later: int, day: int = 1440, prepare: dict[str, int] = PREPARE) -> DataFrame:
+    """For each label of route_multimodal the minutes from the drive's end to the first service: old_gap at the old start,
+    around the clock, gap at `later` minutes later, as the clock shows them, and the prepare time there."""
+    first = labels.select("origin", "station", F.get("path", F.lit(1)).alias("id"))
+    at = first.join(services.select("id", F.col("dep").alias("port"), "dep_t"), "id").join(access.select("origin", F.col("station").alias("port"), "duration"), ["origin", "port"])
+    ready = _prepared(at.select("origin", F.col("port").alias("station"), F.col("station").alias("_to"), "dep_t", "duration"), kinds, prepare)
+    arrive = lambda t: F.pmod(F.lit(t) + F.col("duration"), F.lit(day))
+    return ready.select("origin", F.col("_to").alias("station"), (F.col("dep_t") - arrive(start + later)).alias("gap"), F.pmod(F.col("dep_t") - arrive(start), F.lit(day)).alias("old_gap"), F.col("low").alias("prepare"))
+
+
 def replanned(old: DataFrame, first: DataFrame, later: int) -> DataFrame:
     """Plans of a departure `later` minutes after the old one: legs and totals of the old plan stay usable where its
-    first train is still caught (gap of `first` is at least its prepare and below the old gap); totals shrink by `later`."""
+    first train is still caught (gap of `first` is at least its prepare and below the old gap); totals shrink by `later`.
+    That holds for a whole plan, so for all stations that are reached over the same first train."""
     ok = (F.col("gap") >= F.col("prepare")) & (F.col("gap") < F.col("old_gap"))
     return old.join(first, ["origin", "station"]).where(ok).withColumn("total", F.col("total") - later).select(*old.columns)
 
 
+def taken_over(kept: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Plans of the new departure: those that were kept, and fresh ones for the other stations; reused tells which."""
+    rest = fresh.join(kept.select("origin", "station"), ["origin", "station"], "left_anti")
+    return kept.withColumn("reused", F.lit(True)).unionByName(rest.select(kept.columns).withColumn("reused", F.lit(False)))
+
+
 def scheme_rows(labels: DataFrame) -> DataFrame:
     """A row for each leg of each label, destinations by total time."""
     return labels.select("origin", "station", "total", F.posexplode("path").alias("pos", "service")).orderBy("total", "station", "origin", "pos")
 
 
+def total_text(total: Column) -> Column:
+    """Minutes as HH:MM, hours beyond a day not wrapped."""
+    return F.format_string("%02d:%02d", F.floor(total / 60), F.pmod(total, F.lit(60)))
+
+
 def scheme_tree(schemes: DataFrame) -> DataFrame:
     """Edges between successive stations of schemes (scheme, pos, station)."""
     order = Window.partitionBy("scheme").orderBy("pos")

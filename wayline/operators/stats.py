@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -49,15 +50,26 @@ def largest(items: DataFrame, n: int) -> DataFrame:
     return items.orderBy(F.desc("value"), "name").limit(n + 1)
 
 
+#: Different x whose sums fit the driver.
+SUMMARY = 1_000_000
+
+
 def fit_power(points: DataFrame, steps: int = 100, rate: float = 0.01, n: int | None = None) -> tuple[float, float]:
     """w, b of y = b / x**w after full-batch steps from (1, 1), with the step rule sum(2 (model - y) x) / n for w and
-    sum(2 (model - y)) / n for b; each step is one aggregation."""
-    n = n or points.count()
+    sum(2 (model - y)) / n for b. As the model depends on x alone, points of equal x are added up first, once; the steps
+    work on those sums, on the driver if there are at most SUMMARY of them, else as an aggregation each."""
+    held = points.groupBy("x").agg(F.count("*").alias("c"), F.sum("y").alias("s")).cache()
+    total, size = held.agg(F.sum("c"), F.count("*")).first()
+    n = n or total
+    rows = np.array([tuple(r) for r in held.collect()], dtype=float).reshape(-1, 3).T if size <= SUMMARY else None
     w = b = 1.0
-    held = points.select("x", "y").cache()
     for _ in range(steps):
-        off = 2 * (F.lit(b) / F.pow("x", F.lit(w)) - F.col("y"))
-        dw, db = held.agg(F.sum(off * F.col("x")), F.sum(off)).first()
+        if rows is not None:
+            off = 2 * (b / rows[0] ** w * rows[1] - rows[2])
+            dw, db = math.fsum(off * rows[0]), math.fsum(off)
+        else:
+            off = 2 * (F.lit(b) / F.pow("x", F.lit(w)) * F.col("c") - F.col("s"))
+            dw, db = held.agg(F.sum(off * F.col("x")), F.sum(off)).first()
         w, b = w - rate * dw / n, b - rate * db / n
         if not (math.isfinite(w) and math.isfinite(b)):
             break

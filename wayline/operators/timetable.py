@@ -34,12 +34,16 @@ def services(stops: DataFrame, mode: str = "all") -> DataFrame:
     different stations it serves: depart, arrive (minutes of the day) and travel_time; mode 'direct' takes only the
     next stop of another name. Of several pairs of the same names the last one counts."""
     clock = _clocks(stops)
-    a = clock.select("train", F.col("seq").alias("seq_a"), F.col("station").alias("depart_station"), F.col("last.t").alias("depart"), F.col("last.clock").alias("clock_a"))
-    b = clock.select("train", F.col("seq").alias("seq_b"), F.col("station").alias("arrive_station"), F.col("first.t").alias("arrive"), F.col("first.clock").alias("clock_b"))
-    pairs = a.join(b, "train").where("seq_a < seq_b and depart_station <> arrive_station")
+    to = F.struct(F.col("seq").alias("seq_b"), F.col("station").alias("arrive_station"), F.col("first.t").alias("arrive"), F.col("first.clock").alias("clock_b"))
+    own = ["train", F.col("seq").alias("seq_a"), F.col("station").alias("depart_station"), F.col("last.t").alias("depart"), F.col("last.clock").alias("clock_a")]
     if mode == "direct":
-        pairs = pairs.groupBy("train", "seq_a", "depart_station", "depart", "clock_a").agg(F.min(F.struct("seq_b", "arrive_station", "arrive", "clock_b")).alias("b"))
-        pairs = pairs.select("train", "seq_a", "depart_station", "depart", "clock_a", "b.*")
+        # The next stop of another name is the first after this one that differs from the stop before it.
+        back = Window.partitionBy("train").orderBy(F.desc("seq"))
+        changed = F.col("station") != F.lag("station").over(Window.partitionBy("train").orderBy("seq"))
+        following = F.last(F.when(F.col("_new"), to), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+        pairs = clock.withColumn("_new", changed).withColumn("_b", following).where("_b is not null").select(*own, "_b.*")
+    else:
+        pairs = clock.select(*own).join(clock.select("train", to.alias("_b")), "train").where("seq_a < _b.seq_b and depart_station <> _b.arrive_station").select("train", "seq_a", "depart_station", "depart", "clock_a", "_b.*")
     best = pairs.groupBy("train", "depart_station", "arrive_station").agg(
         F.max(F.struct("seq_a", "seq_b", "depart", "arrive", (F.col("clock_b") - F.col("clock_a")).alias("travel_time"))).alias("s")
     )

@@ -202,12 +202,31 @@ def train_similarity(spark, d):
 _LINKS = f"{_SIM}, l as (select a, b, sum((coalesce(aa, dd) <= 60)::int)::bigint as matches from x group by a, b having sum((coalesce(aa, dd) <= 60)::int) >= 2 and max(coalesce(aa, dd)) <= 60)"
 
 
+_BUSY = _LINKS.replace("records", "hhmm_stops").replace("<= 60", "<= 9")
+
+
+@query(f"{V.sql('hhmm_stops')}, {_BUSY} select * from l")
+def train_links_busy(spark, d):
+    return linkage.possible_links(V.hhmm_stops(spark, d), 2, 9)
+
+
 @query(f"{V.sql('records')}, {_LINKS} select * from l")
 def train_links(spark, d):
     return linkage.possible_links(V.records(spark, d), 2, 60)
 
 
-@query(None)
+_OWN = """e0 as (select train, seq, station, 'a.' as kind, arr as t0 from records where arr is not null union all select train, seq, station, 'd.', dep from records where dep is not null),
+e1 as (select *, case when t0 < coalesce(lag(t0) over (partition by train order by seq, kind), 0) then 2400 else 0 end as back from e0),
+e as (select train, seq, station, kind, (t0 + sum(back) over (partition by train order by seq, kind))::bigint as t from e1)"""
+_DAY = "abs(t // 100 * 60 + t % 100 - (floor(({0}) / 100.0)::bigint * 60 + (({0}) % 100 + 100) % 100)) <= 60"
+
+
+@query(f"""{V.sql("records")}, {_LINKS}, {_OWN}, sz as (select train, count(*) as n from e group by train),
+ro as (select a, b, case when x.n > y.n then a else b end as base from l join sz x on x.train = a join sz y on y.train = b), rl as (select *, case when base = a then b else a end as other from ro),
+ba as (select a, b, station, kind, t from rl join e on e.train = base), ot as (select a, b, station, kind, t as u from rl join e on e.train = other),
+dy as (select a, b, case when {_DAY.format("u")} then 0 when {_DAY.format("u + 2400")} then 2400 when {_DAY.format("u - 2400")} then -2400 end as day from ba join ot using (a, b, station, kind) qualify row_number() over (partition by a, b order by station, kind, t, u) = 1),
+mo as (select ot.a, ot.b, ot.station, ot.kind, u + coalesce(day, 0) as t from ot left join dy using (a, b) where not exists (select 1 from ba where ba.a = ot.a and ba.b = ot.b and ba.station = ot.station and ba.kind = ot.kind)),
+al as (select * from ba union all select * from mo) select a, b, station, kind, t from al qualify row_number() over (partition by a, b, t order by station, kind) = 1""")
 def merge_events(spark, d):
     return linkage.merged(linkage.events(V.records(spark, d)), linkage.possible_links(V.records(spark, d), 2, 60).select("a", "b"))
 
@@ -300,14 +319,23 @@ def cut_graph(spark, d):
     return c.join(F.broadcast(graph.nodes(c).agg(F.count("*").alias("nodes"))))
 
 
-_STEP = "both2 as (select a, b, w from pairs2 union all select b, a, w from pairs2), r0 as (select 1::bigint as node, 0.0::double as dist)" + "".join(
-    f", r{k} as (select node, min(dist) as dist from (select * from r{k - 1} union all select b, dist + w from r{k - 1} join both2 on node = a) group by node)" for k in range(1, 5)
+#: Edges on a shortest path in the supplied tables are fewer; the query itself goes on until nothing changes.
+_ROUNDS = 24
+_STEP = "both2 as materialized (select a, b, w from pairs2 union all select b, a, w from pairs2), r0 as (select n_nationkey::bigint as origin, n_nationkey::bigint as node, 0.0::double as dist from nation)" + "".join(
+    f", r{k} as materialized (select origin, node, min(dist) as dist from (select * from r{k - 1} union all select origin, b, dist + w from r{k - 1} join both2 on node = a) group by 1, 2)" for k in range(1, _ROUNDS + 1)
 )
 
 
-@query(f"{V.sql('pairs2')}, {_STEP} select 1::bigint as origin, node, dist from r4")
+@query(f"{V.sql('pairs2')}, {_STEP} select origin, node, dist from r{_ROUNDS}")
 def shortest_path(spark, d):
-    return graph.distances(graph.undirected(V.edges(spark, d)), spark.createDataFrame([(1, 1)], "origin bigint, node bigint"), 4)
+    starts = V.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("origin"), F.col("n_nationkey").cast("bigint").alias("node"))
+    return graph.distances(graph.undirected(V.edges(spark, d)), starts)
+
+
+@query(f"{V.sql('pairs2')}, {_STEP}, q as (select distinct c_nationkey::bigint as origin, c_custkey % 300 as target from customer) select q.origin, target, coalesce(dist, -1) as dist from q left join r{_ROUNDS} on r{_ROUNDS}.origin = q.origin and node = target")
+def travel_times(spark, d):
+    pairs = V.table(spark, d, "customer").select(F.col("c_nationkey").cast("bigint").alias("origin"), (F.col("c_custkey") % 300).alias("target")).distinct()
+    return graph.travel_time(graph.undirected(V.edges(spark, d)), pairs)
 
 
 @query("with recursive e as (select distinct n_nationkey as src, n_nationkey + 1 + n_regionkey as dst from nation), r as (select 0 as node, 0 as depth union select dst, depth + 1 from r join e on src = node where depth < 30) select 0 as root, node, min(depth) as depth from r where node <> 0 group by node")
@@ -320,7 +348,7 @@ _SERVICES = f"{_CLOCK}, nx as (select * from ab qualify row_number() over (parti
 
 
 def _layers(hops: int, low: int, high: int) -> str:
-    seed = "l0 as (select origin, origin as station, 0::bigint as total, 480::bigint as tod from (select unnest([1, 2, 3])::bigint as origin))"
+    seed = "l0 as (select n_nationkey::bigint as origin, n_nationkey::bigint + 1 as station, 0::bigint as total, 480::bigint as tod from nation)"
     layers = "".join(
         f", l{k} as (select origin, arr as station, min(total + (dep_t - tod + 1440) % 1440 + during) as total, (480 + min(total + (dep_t - tod + 1440) % 1440 + during)) % 1440 as tod from l{k - 1} join sv on station = dep where (dep_t - tod + 1440) % 1440 >= {low} and (dep_t - tod + 1440) % 1440 < {high} group by 1, 2)"
         for k in range(1, hops + 1)
@@ -333,23 +361,29 @@ def _services(spark, d):
     return s.select(F.concat_ws("_", "train", "depart_station", "arrive_station").alias("id"), F.col("depart_station").alias("dep"), F.col("depart").alias("dep_t"), F.col("arrive_station").alias("arr"), F.col("arrive").alias("arr_t"), T.ride(F.lit(0), "travel_time", 1440).alias("during"))
 
 
-def _seeds(spark):
-    return spark.createDataFrame([(k, k, 0, 480) for k in (1, 2, 3)], "origin bigint, station bigint, total bigint, at bigint")
+def _seeds(spark, d):
+    k = F.col("n_nationkey").cast("bigint")
+    return V.table(spark, d, "nation").select(k.alias("origin"), (k + 1).alias("station"), F.lit(0).cast("bigint").alias("total"), F.lit(480).cast("bigint").alias("at"))
 
 
 @query(f"{V.sql('stops')}, {_SERVICES}, {_layers(2, 15, 720)} select origin, station, min(total) as total from al group by 1, 2")
 def route_layers(spark, d):
-    return routing.route_layers(_services(spark, d), _seeds(spark), 2, 15, 720, pareto=False).select("origin", "station", "total")
+    return routing.route_layers(_services(spark, d), _seeds(spark, d), 2, 15, 720, pareto=False).select("origin", "station", "total")
 
 
 @query(f"{V.sql('stops')}, {_SERVICES}, {_layers(3, 15, 1440)} select origin, station, legs, total from al qualify coalesce(total < min(total) over (partition by origin, station order by legs rows between unbounded preceding and 1 preceding), true)")
 def route_pareto(spark, d):
-    return routing.route_layers(_services(spark, d), _seeds(spark), 3, 15, 1440).select("origin", "station", "legs", "total")
+    return routing.route_layers(_services(spark, d), _seeds(spark, d), 3, 15, 1440).select("origin", "station", "legs", "total")
 
 
-@query(None)
+_RIDE = "select origin, arr as station, min(total + (dep_t - tod + 1440) % 1440 + during) as total, (480 + min(total + (dep_t - tod + 1440) % 1440 + during)) % 1440 as tod from {0} join sv on station = dep where (dep_t - tod + 1440) % 1440 between 15 and 1439 group by 1, 2"
+
+
+@query(f"""{V.sql("stops")}, {_SERVICES}, {_layers(0, 15, 1440).partition(", al as")[0]}, m1 as ({_RIDE.format("l0")}), a1 as (select m1.* from m1 anti join l0 using (origin, station)),
+m2 as ({_RIDE.format("a1")}), a2 as (select m2.* from m2 anti join l0 using (origin, station) left join a1 using (origin, station) where a1.total is null or m2.total < a1.total)
+select origin, station, 0 as transfers, total from l0 union all select origin, station, 1, total from a1 union all select origin, station, 2, total from a2""")
 def route_exact(spark, d):
-    return routing.route_exact(_services(spark, d), _seeds(spark), 15, 1440, most=2, by_transfers=True).withColumn("path", F.array_join("path", ","))
+    return routing.route_exact(_services(spark, d), _seeds(spark, d), 15, 1440, most=2, by_transfers=True).select("origin", "station", "transfers", "total")
 
 
 # Distributions
@@ -388,10 +422,13 @@ def joint_fit(spark, d):
     return p.select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("corr", 9).alias("corr"), "n")
 
 
-@query(None)
+@query("""with recursive p as (select p_size / 50.0::double as x, p_retailprice::double / 1000.0::double as y from part), s as (select x, count(*) as c, sum(y) as s from p group by x), t as (select sum(c) as n from s),
+r as (select 0 as k, 1.0::double as w, 1.0::double as b union all select k + 1, any_value(w) - 0.01 * sum(2 * (b / pow(x, w) * c - s) * x) / any_value(n), any_value(b) - 0.01 * sum(2 * (b / pow(x, w) * c - s)) / any_value(n) from r, s, t where k < 100 group by k)
+select round(w, 6) as w, round(b, 6) as b from r where k = 100""")
 def fit_power(spark, d):
     p = V.table(spark, d, "part").select((F.col("p_size") / 50.0).alias("x"), (F.col("p_retailprice") / 1000.0).alias("y"))
-    return spark.createDataFrame([stats.fit_power(p)], "w double, b double")
+    w, b = stats.fit_power(p)
+    return spark.createDataFrame([(round(w, 6), round(b, 6))], "w double, b double")
 
 
 # Names
@@ -409,7 +446,12 @@ def name_ratio(spark, d):
     return p.select("p_partkey", F.round(N.name_ratio(F.col("p_name"), F.col("p_type")), 9).alias("ratio"))
 
 
-@query(None)
+@query(f"""{V.sql("points")}, p as (select distinct c_nationkey as key, x, y from points join customer on c_custkey = pid),
+e as (select a.key, a.x, a.y, b.x - a.x as u, b.y - a.y as v from p a join p b on a.key = b.key and (a.x <> b.x or a.y <> b.y)),
+bad as (select distinct e.key, e.x, e.y, u, v from e join p c on c.key = e.key and (u * (c.y - e.y) - v * (c.x - e.x) < 0 or u * (c.y - e.y) - v * (c.x - e.x) = 0 and (u * (c.x - e.x) + v * (c.y - e.y) < 0 or u * (c.x - e.x) + v * (c.y - e.y) > u * u + v * v))),
+h as (select distinct key, x, y from (select * from e except select * from bad)), f as (select key, min(x) as x0, arg_min(y, x * 1000 + y) as y0 from h group by key),
+o as (select key, x, y, (row_number() over (partition by key order by case when x = x0 and y = y0 then -10 else atan2(y - y0, x - x0) end) - 1)::int as pos from h join f using (key))
+select key, pos, x, y from o union all select key, (select count(*) from h where h.key = f.key)::int, x0, y0 from f""")
 def convex_hull(spark, d):
     p = V.points(spark, d).join(V.table(spark, d, "customer").select(F.col("c_custkey").alias("pid"), F.col("c_nationkey").alias("key")), "pid")
     return hull.convex_hulls(p)
