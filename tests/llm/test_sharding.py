@@ -64,3 +64,24 @@ def test_empty_and_wrong_arrivals(spark):
     with pytest.raises(ValueError):
         store.append(spark.createDataFrame([(1,)], "other int"))
     assert store.compact()["version"] == 1
+
+
+def test_versions_are_written_as_differences(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SNAPSHOT", 4)
+    store = sharding.Store(spark, scratch(spark, "store"), target=1 << 20, fanout=4)
+    for k in range(7):
+        store.append(spark.createDataFrame(rows(5, 5 * k), KIND).coalesce(1))
+    store.compact()
+    assert [v for v in store.versions() if "shards" in store.load(v)] == [1, 5]
+    assert len(store.load(7)["added"]) == 1 and len(store.load(8)["removed"]) >= 4
+    for v in range(1, 8):
+        assert sorted(r.doc_id for r in store.read(v).collect()) == list(range(5 * v))
+    assert sorted(r.doc_id for r in store.read().collect()) == list(range(35))
+    assert len(store.manifest()["shards"]) < 7
+
+
+def test_very_long_texts(spark):
+    store = sharding.Store(spark, scratch(spark, "store"))
+    store.append(spark.createDataFrame([(1, "long " * 1_000_000, None), (None, None, "")], KIND), rows=1)
+    store.compact()
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in store.read().collect()) == [(0, 0), (1, 5_000_000)]

@@ -3,16 +3,18 @@
 An arrival is appended as small shard files. Shards whose sizes are within a factor of FANOUT form a tier;
 once a tier below the target holds FANOUT shards or more, they are merged into files of about the target's
 size, without a shuffle: the partitions that read them are coalesced. Every change is a new manifest
-version, a JSON file that lists the live shards; it is written aside and renamed, which fails if another
+version, a JSON file; it is written aside and renamed, which fails if another
 writer has taken the version, and then the change is tried again on the new state. Readers use one
 version and never see half a change. vacuum() removes files that the last versions do not list.
 
-The manifest holds a line for each shard file (name, bytes, version), never rows; files of failed or
-repeated tasks are in none.
+A version's file holds the shards that came and went; every SNAPSHOT-th one lists all live shards, so that a commit
+writes as much as it changes and a reader reads SNAPSHOT files at most. An entry is a shard file's name, bytes and
+version, never rows; files of failed or repeated tasks are in none. The rename must fail where the target exists: it does
+on HDFS and local file systems; an object store needs a connector that gives the same.
 
 Defined results: an empty arrival makes a version without shards; null and repeated rows are kept as they
-are; all columns are kept, and arrivals must have the columns of the first; a store without an arrival
-cannot be read.
+are, texts of any length too; all columns are kept, and arrivals must have the columns of the first; a store without an
+arrival cannot be read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql.types import StructType
 from .shared import with_scheme
 
 TARGET, FANOUT, SMALLEST = 128 << 20, 4, 1 << 16
+#: Versions from one full list to the next.
+SNAPSHOT = 32
 
 
 class Taken(Exception):
@@ -54,14 +58,29 @@ class Store:
         if not known:
             return {"version": 0, "schema": None, "shards": []}
         version = known[-1] if version is None else version
+        changes = []
+        while "shards" not in (found := self.load(version - len(changes))):
+            changes.append(found)
+        shards = {x["file"]: x for x in found["shards"]}
+        for change in reversed(changes):
+            for name in change["removed"]:
+                del shards[name]
+            shards |= {x["file"]: x for x in change["added"]}
+        return {"version": version, "schema": (changes[0] if changes else found)["schema"], "shards": list(shards.values())}
+
+    def load(self, version: int) -> dict:
         stream = self.fs.open(self.path(f"manifest/v{version:012d}.json"))
         try:
             return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
         finally:
             stream.close()
 
-    def commit(self, state: dict) -> None:
-        """Makes the state its version's manifest, or raises Taken."""
+    def commit(self, state: dict, before: dict | None = None) -> None:
+        """Makes the state its version's manifest, or raises Taken. before: the version's predecessor, where only the
+        difference is to be written."""
+        if before is not None and before["version"] and state["version"] % SNAPSHOT != 1:
+            old, new = {x["file"] for x in before["shards"]}, {x["file"] for x in state["shards"]}
+            state = {"version": state["version"], "schema": state["schema"], "added": [x for x in state["shards"] if x["file"] not in old], "removed": sorted(old - new)}
         aside, final = self.path(f"manifest/.{uuid.uuid4().hex}"), self.path(f"manifest/v{state['version']:012d}.json")
         stream = self.fs.create(aside, False)
         stream.write(bytearray(json.dumps(state).encode()))
@@ -86,7 +105,7 @@ class Store:
                 return state
             new["version"] = state["version"] + 1
             try:
-                self.commit(new)
+                self.commit(new, state)
                 return new
             except Taken:
                 continue
