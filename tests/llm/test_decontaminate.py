@@ -142,3 +142,18 @@ def test_short_items_are_found_exactly_between_words():
     got = {h[1]: h[2:] for h in d.Walks(items).search([text])}
     assert got == {1: (line.index("(two") + 1, 9, 0), 2: (line.index("é."), 1, 0), 3: (line.index("二"), 2, 0)}
     assert not list(d.Walks(items[:1]).search(["two werds", None, "xtwo words"]))
+
+
+def test_text_ids_equal_items_and_blocks(spark, monkeypatch):
+    line = "the quick brown fox jumps over the lazy dog again and again"
+    items = [("a", line), ("b", line.upper()), (None, f"{line} and more of it"), ("x", None), ("long", "word " * 3000)]
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id string, text string, key int")
+    docs = spark.createDataFrame([("d1", f"so {line}."), (None, f"{line} and more of it"), ("d2", "word " * 3001), ("d3", None), ("d4", "")], "doc_id string, text string")
+    want = sorted([("d1", "a", 0), ("d1", "b", 0), (None, "a", 0), (None, "b", 0), (None, None, 0), ("d2", "long", 0)], key=str)
+    assert sorted([(r.doc_id, r.item_id, r.edit_distance) for r in d.hits(docs, bench).collect()], key=str) == want
+    monkeypatch.setattr(d, "BLOCK_CHARS", 70)
+    assert [len(b) for b in d.blocks(bench)] == [1, 1, 1, 1]
+    assert sorted([(r.doc_id, r.item_id, r.edit_distance) for r in d.hits(docs, bench).collect()], key=str) == want
+    assert sorted(r.doc_id for r in d.clean(docs, bench).collect()) == ["d3", "d4"]
+    none = spark.createDataFrame([], "item_id string, text string")
+    assert d.hits(docs, none).count() == 0 and d.clean(docs, none).count() == 5

@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
 from collections import Counter
 
+import xxhash
+
 from wayline.llm import fingerprint as f
 
 
@@ -49,3 +52,39 @@ def test_one_document_follows_itself(spark):
 
 def test_empty_table(spark):
     assert f.edited_fingerprints(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def plain_samples(text):
+    """A text's samples straight from the definition, as the printed text."""
+    counts = Counter((text or "").encode().lower().split())
+    out = []
+    for k in range(f.SAMPLES):
+        best = f.EMPTY
+        for word, n in counts.items():
+            h = xxhash.xxh64_intdigest(word, 42).to_bytes(8, "little")
+            a, b = (xxhash.xxh64_intdigest(i.to_bytes(4, "little"), xxhash.xxh64_intdigest(h, 42)) for i in (2 * k, 2 * k + 1))
+            u = lambda x, at, bits: ((x >> at & (1 << bits) - 1) + 0.5) / 2**bits
+            r, shift = -math.log(u(a, 0, 21) * u(a, 21, 21)), u(a, 42, 21)
+            t = math.floor(math.log(n) / r + shift)
+            value = math.log(-math.log(u(b, 0, 32) * u(b, 32, 32))) - r * (t - shift + 1)
+            low = (b ^ t * 40_503) & (1 << 23) - 1
+            best = min(best, int((value + 1024) * 2**28) << 23 | low)
+        out.append(f"{best:016x}")
+    return "".join(out)
+
+
+def test_fingerprints_equal_a_plain_version(spark):
+    texts = [t for _, t in documents() if len(t or "") < 3000]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.fingerprint for r in f.edited_fingerprints(frame).collect()}
+    # The last bit of a logarithm may differ between libraries, so a sample in a thousand may as well.
+    cut = lambda s: [s[k : k + 16] for k in range(0, len(s), 16)]
+    pairs = [(a, b) for i, t in enumerate(texts) for a, b in zip(cut(got[i]), cut(plain_samples(t)), strict=True)]
+    assert sum(a != b for a, b in pairs) <= len(pairs) / 1000
+
+
+def test_copies_give_a_row_each(spark):
+    rows = [(5, "a b c"), (5, "a b c"), (5, "a b c"), (None, "x y"), (None, "x y"), (4, "a b c"), (3, None), (3, "")]
+    got = f.edited_fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted(str((r.doc_id, r.n_chars)) for r in got) == sorted(str((i, len(t or ""))) for i, t in rows)
+    assert len({r.fingerprint for r in got if r.n_chars == 5}) == 1 and {r.near_next for r in got if r.doc_id == 5} == {1.0}

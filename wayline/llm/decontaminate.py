@@ -8,11 +8,11 @@ item can only stand on the piece's diagonal, give or take k; the region is verif
 most, and the edit distance between the item and the best text in the region, by bit-parallel dynamic programming,
 must be at most k.
 
-Items of fewer than LEAST characters after normalisation are found exactly, and not inside words. The items are taken in blocks of BLOCK against all documents, so the driver and the executors hold one block at a time.
+Items of fewer than LEAST characters after normalisation are found exactly, and not inside words. The items are taken in blocks against all documents, so the driver and the executors hold one block of bounded size at a time.
 
 Defined results: null and empty texts hold no item; repeated rows of one doc_id are searched each, and
 the best hit of (doc_id, item_id), that of least distance, then of least start, stays; equal items are all
-reported; a text of any length is searched whole, in parts that read on into the next one. Windows start
+reported; item ids may be of any type, those without an id keep none; a text of any length is searched whole, in parts that read on into the next one. Windows start
 at any character, glued to other text or not.
 """
 
@@ -24,13 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import runs, small_batches
 
 SIMILARITY, LEAST = 0.9, 24
 #: Characters of a piece that are looked up, at most. Diagonals of an item that are verified together.
 LONGEST, NEAR = 16, 64
-BLOCK = 4_096
+#: Items of a block, and their characters together; a longer item is a block of its own.
+BLOCK, BLOCK_CHARS = 4_096, 4 << 20
 PART = 1 << 19
 #: First and last code points of scripts that are written without spaces.
 UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
@@ -233,13 +235,14 @@ Walks = Pieces
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, in blocks of BLOCK rows."""
-    held = []
-    for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        held.append((row.item_id, row.text))
-        if len(held) == BLOCK:
+    """The items, in blocks of BLOCK rows and BLOCK_CHARS characters."""
+    held, size = [], 0
+    for row in benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").toLocalIterator():
+        if held and (len(held) == BLOCK or size + len(row.text) > BLOCK_CHARS):
             yield held
-            held = []
+            held, size = [], 0
+        held.append((row.item_id, row.text))
+        size += len(row.text)
     if held:
         yield held
 
@@ -250,6 +253,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     spark = docs.sparkSession
     small_batches(spark)
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema["item_id"].dataType
+    item_arrow, item_kind = to_arrow_type(item_kind), item_kind.simpleString()
     data = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
     out = None
     for block in blocks(benchmark):
@@ -259,16 +263,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
             for batch in batches:
                 found = list(shared.value.search(batch.column(1).to_pylist()))
                 keys = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                rest = [pa.array([f[k] for f in found], pa.int64()) for k in range(1, 5)]
+                rest = [pa.array([f[k] for f in found], item_arrow if k == 1 else pa.int64()) for k in range(1, 5)]
                 yield pa.RecordBatch.from_arrays([keys, *rest], ["key", "item_id", "start", "length", "edit_distance"])
 
-        own = data.mapInArrow(run, f"key {kind}, item_id bigint, start bigint, length bigint, edit_distance bigint")
+        own = data.mapInArrow(run, f"key {kind}, item_id {item_kind}, start bigint, length bigint, edit_distance bigint")
         out = own if out is None else out.union(own)
     if out is None:
-        out = data.limit(0).select("key", *[F.lit(None).cast("bigint").alias(c) for c in ("item_id", "start", "length", "edit_distance")])
+        out = data.limit(0).select("key", F.lit(None).cast(item_kind).alias("item_id"), *[F.lit(None).cast("bigint").alias(c) for c in ("start", "length", "edit_distance")])
     best = out.groupBy("key", "item_id").agg(F.min(F.struct("edit_distance", "start", "length")).alias("best"))
     size = F.greatest("best.length", F.lit(1))
-    return best.select(F.col("key").alias(key), F.col("item_id").cast(item_kind), "best.start", "best.length", "best.edit_distance", (1 - F.col("best.edit_distance") / size).alias("similarity"))
+    return best.select(F.col("key").alias(key), "item_id", "best.start", "best.length", "best.edit_distance", (1 - F.col("best.edit_distance") / size).alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
