@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import lineage, timetable
-from ..sources import files, sinks
+from ..sources import binary, files, sinks
 from . import views as V
 from .catalogue import query
 from .details import _ST, _stations
@@ -226,3 +227,41 @@ def saved_lines(spark, d):
     lines = spark.read.parquet(path)
     return lines.select("train", F.size(F.array_distinct("line")).cast("bigint").alias("stations")).where("stations > 3")
 
+
+
+@query(f"{V.sql('boxes')} select 'P' || poly as name, 5 as type, 1::bigint as parts, 5::bigint as points, x1 as left, y2 as up from boxes")
+def shape_file(spark, d):
+    path = lineage.scratch(spark, "shapes")
+    rows = V.polygons(spark, d).select(F.array("ring").alias("parts"), F.concat(F.lit("P"), F.col("poly").cast("string")).alias("name"))
+    binary.write_shapes(rows, path).collect()  # a name for each file
+    s = binary.shapes(spark, path)
+    ring = F.col("parts")[0]
+    return s.select(F.col("fields")["name"].alias("name"), "type", F.size("parts").cast("bigint").alias("parts"), F.size(ring).cast("bigint").alias("points"), F.array_min(F.transform(ring, lambda p: p["x"])).alias("left"), F.array_max(F.transform(ring, lambda p: p["y"])).alias("up"))
+
+
+_FIELD = "fd as (select i as row, j as col, ((i * 31 + j * 17) % 23 - 6)::double as value, -20 + (j + 0.5) * 0.5 as x, 60 - (i + 0.5) * 0.5 as y from (select unnest(range(0, 50)) as i), (select unnest(range(0, 90)) as j))"
+
+
+def _field():
+    i, j = np.mgrid[0:50, 0:90]
+    return ((i * 31 + j * 17) % 23 - 6).astype(float)
+
+
+@query(f"with {_FIELD} select 'plain' as kind, row, col, x::double as x, y::double as y, value from fd where x between -10 and 15 and y between 40 and 55 union all select 'deflated', row, col, x::double, y::double, value from fd where value > 0")
+def tiff_file(spark, d):
+    path = lineage.scratch(spark, "tiff")
+    binary.put(spark, f"{path}/plain/a.tif", binary.tiff_bytes(_field(), -20, 60, 0.5))
+    binary.put(spark, f"{path}/deflated/b.tif", binary.tiff_bytes(_field(), -20, 60, 0.5, deflate=True))
+    plain = binary.tiff_pixels(spark, f"{path}/plain", box=(-10, 15, 40, 55))
+    points = binary.with_point(binary.tiff_pixels(spark, f"{path}/deflated", positive=True))
+    out = plain.select(F.lit("plain").alias("kind"), "row", "col", "x", "y", "value")
+    return out.union(points.select(F.lit("deflated"), "row", "col", "point.x", "point.y", "value"))
+
+
+@query(f"with {_FIELD} select x::double as x, y::double as y, value + 2 as value from fd where value + 2 > 0 and x >= -10 and x < 10.25 and y between 40 and 55")
+def netcdf_file(spark, d):
+    path = lineage.scratch(spark, "netcdf")
+    lats, lons = 60 - (np.arange(50) + 0.5) * 0.5, -20 + (np.arange(90) + 0.5) * 0.5
+    field = np.stack([_field() + k for k in range(4)])
+    binary.put(spark, f"{path}/a.nc", binary.grid_bytes(np.array([10.0, 20.0, 30.0, 40.0]), lats, lons, field))
+    return binary.grid_cells(spark, path, "value", 30.0, (-10, 10.25, 40, 55)).select("x", "y", "value")
