@@ -356,7 +356,7 @@ def local_times(spark, d):
 
 @query("""with r as (select l_orderkey as train, l_suppkey as station, case when l_linenumber % 2 = 0 then 'a.' else 'd.' end as kind, case when l_linenumber % 5 = 0 then 'nan' else printf('%04d', (l_partkey * 7) % 24 * 100 + l_partkey % 60) end as time, l_orderkey * 10 + l_linenumber as row, l_suppkey % 9 - 4 as zone, l_returnflag = 'R' as italic, l_partkey % 30 as ref from lineitem),
 u as (select *, case when time::int - 100 * zone < 0 then time::int - 100 * zone + 2400 else time::int - 100 * zone end as t from r where time <> 'nan')
-select train, station, max(row * 10000 + t) filter (kind = 'a.') % 10000 as arr, max(row * 10000 + t) filter (kind = 'd.') % 10000 as dep, coalesce(array_to_string(list_sort(list_distinct(list(ref) filter (italic))), ','), '') as refs from u group by 1, 2""")
+select train, station, max(row * 10000 + t) filter (kind = 'a.') % 10000 as arr, max(row * 10000 + t) filter (kind = 'd.') % 10000 as dep, coalesce(array_to_string(list_sort(list_distinct(list(ref::varchar) filter (italic))), ','), '') as refs from u group by 1, 2""")
 def records_from_rows(spark, d):
     k = F.col("l_partkey")
     time = F.when(F.col("l_linenumber") % 5 == 0, "nan").otherwise(F.format_string("%04d", (k * 7) % 24 * 100 + k % 60))
