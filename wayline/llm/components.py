@@ -11,14 +11,16 @@ from .shared import shared_root
 HOT = 1024
 
 
-def join_spread(rows: DataFrame, sums: DataFrame, key: str, total: int) -> DataFrame:
+def join_spread(rows: DataFrame, sums: DataFrame, key: str, total: int, wide: bool = False) -> DataFrame:
     """rows joined with sums, which has one row for each key and in `n` how many rows the key has, of `total` or up to
     twice as many together. No key's rows meet in one task: keys with a HOT-th of total or more, of which there are 2 * HOT at most,
-    are broadcast, and the others' rows are shuffled without those."""
+    are broadcast, and the others' rows are shuffled without those; with `wide` also where the planner would find sums small
+    enough to broadcast it whole, so that wide rows are treated alike at every size."""
     is_hot = F.col("n") * HOT >= total
     hot = F.broadcast(sums.where(is_hot))
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(cold.join(sums.where(~is_hot), key))
+    rest = sums.where(~is_hot)
+    return rows.join(hot, key).unionByName(cold.join(rest.hint("merge") if wide else rest, key))
 
 
 def _large_star(links: DataFrame, total: int) -> DataFrame:

@@ -191,7 +191,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     kept = staged(groups.groupBy("_id").agg(F.count("*").alias("n"), F.max(own).alias("kept")).where("kept").select("_id", "n"), "kept")
     # Columns of docs travel in a struct, clear of the names here.
     rows = docs.select(F.col(key).cast("bigint").alias("_id"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    found = join_spread(rows, kept, "_id", kept.agg(F.sum("n")).first()[0] or 0)
+    found = join_spread(rows, kept, "_id", kept.agg(F.sum("n")).first()[0] or 0, wide=True)
     out = rows.where("_id is null").select("_row.*").unionByName(found.where("n = 1").select("_row.*"))
     if kept.where("n > 1").limit(1).count() == 0:
         return out
