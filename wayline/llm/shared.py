@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,6 +33,7 @@ def shared_root(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="wayline-shared-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     if not held:
         sc.setCheckpointDir(root)
@@ -46,9 +49,27 @@ def with_scheme(path: str) -> str:
     return path.rstrip("/")
 
 
+#: Paths that this driver has given out and not released.
+_GIVEN: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_root(spark)}/wayline-{what}-{uuid.uuid4().hex}"
+    _GIVEN.append(f"{shared_root(spark)}/wayline-{what}-{uuid.uuid4().hex}")
+    return _GIVEN[-1]
+
+
+def given() -> int:
+    """How many paths are given out, for release()."""
+    return len(_GIVEN)
+
+
+def release(spark: SparkSession, since: int, keep: str = "") -> None:
+    """Deletes what lies at the paths given out since then, but for one. For when all that reads them has run."""
+    for path in [p for p in _GIVEN[since:] if p != keep]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _GIVEN.remove(path)
 
 
 def staged(df: DataFrame, what: str, rows_per_file: int = 0) -> DataFrame:
