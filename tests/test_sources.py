@@ -115,3 +115,33 @@ def test_drives_join_the_routes(spark):
 def test_gbk_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("name,n\n上海,1\n".encode("gbk"))
     assert files.csv(spark, str(tmp_path / "a.csv"), "name string, n int", "gbk").first().name == "上海"
+
+
+def test_no_match_is_pruned_away(spark):
+    import random
+
+    from wayline.operators import match
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 6)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 4))) for _ in range(120)] + ["", "--", "a a a", "ab-cd", "Äb cd"]
+    names = match._Names(texts)
+    for least in (40, 60, 90, 100):
+        for t in texts:
+            want = {k for k, n in enumerate(texts) if match.weighted_score(t, n) >= least}
+            assert want <= set(names.may_reach(t, least))
+    pruned = sum(len(names.may_reach(t, 90)) for t in texts)
+    assert pruned < 0.5 * len(texts) ** 2
+    left, right = spark.createDataFrame([(t,) for t in texts], "a string"), spark.createDataFrame([(t,) for t in texts[::2]], "b string")
+    got = {r.a: r.matches for r in match.fuzzy_matches(left, right, "a", "b", 60, block=7).collect()}
+    for t in texts:
+        best = sorted((-match.weighted_score(t, n), n) for n in {*texts[::2]})[:2]
+        assert got[t] == ", ".join(n for s, n in best if -s >= 60)
+
+
+def test_relations_inside_each_other(spark):
+    kind = "type string, id bigint, lon double, lat double, tags map<string, string>, nds array<bigint>, members array<struct<type: string, ref: bigint>>"
+    rel = lambda i, *m: ("relation", i, None, None, {"name": f"r{i}"}, None, [{"type": t, "ref": r} for t, r in m])
+    rows = [("node", 1, 2.0, 4.0, {"name": "n"}, None, None), rel(1, ("node", 1)), rel(2, ("relation", 1)), rel(3, ("relation", 2), ("relation", 99)), rel(4, ("relation", 5)), rel(5, ("relation", 4))]
+    got = sorted((r.name, r.id, r.lon) for r in osm.places(spark.createDataFrame(rows, kind)).collect())
+    assert got == [("n", 3, 2.0), ("r1", 3, 2.0), ("r2", 3, 2.0), ("r3", 3, 2.0)]

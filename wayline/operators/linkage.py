@@ -141,3 +141,13 @@ def local_times(stops: DataFrame) -> DataFrame:
     """Stops as they are shown: arrival and departure in local time (zone: hours), -1 where missing."""
     local = lambda c: F.coalesce(T.to_local(F.col(c), F.col("zone")), F.lit(-1))
     return stops.withColumns({"arrival": local("arr"), "departure": local("dep")})
+
+
+def sources(pairs: DataFrame, stops: DataFrame, tables: DataFrame) -> DataFrame:
+    """Where each station of a merged pair (a, b) comes from: a, b, station, table_from: 'both', or the table of the one
+    record that has it. tables: train, table; a stop that says itself where it comes from (table_from) keeps that."""
+    own = stops.select("train", "station", F.col("table_from") if "table_from" in stops.columns else F.lit(None).cast("string").alias("table_from"))
+    own = own.join(tables, "train", "left").groupBy("train", "station").agg(F.min(F.coalesce("table_from", "table")).alias("t"))
+    side = lambda end: pairs.join(own.select(F.col("train").alias(end), "station", F.col("t").alias(f"t_{end}")), end).select("a", "b", "station", f"t_{end}", F.lit(True).alias(f"in_{end}"))
+    both = side("a").join(side("b"), ["a", "b", "station"], "full")
+    return both.select("a", "b", "station", F.when(F.col("in_a") & F.col("in_b"), "both").otherwise(F.coalesce("t_a", "t_b")).alias("table_from"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.text import full_station_name, indel_ratio, name_ratio
 
 
+#: Letters of a block of names.
+LETTERS = 1 << 20
+
+
 def _tokens(x: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in x.lower()).split()
 
@@ -30,34 +35,75 @@ def weighted_score(a: str, b: str) -> int:
     return round(100 * max(plain, 0.95 * in_order, 0.95 * shared))
 
 
+class _Names:
+    """Names to be compared with, and what bounds their scores: letters are counted, tokens are indexed."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.tokens = names, [_tokens(n) for n in names]
+        self.letters = {c: k for k, c in enumerate(sorted({c for t in self.tokens for w in t for c in w} | {" "}))}
+        self.counts = np.array([self.count(" ".join(t)) for t in self.tokens], dtype=np.int32).reshape(len(names), len(self.letters))
+        self.sizes = self.counts.sum(axis=1)
+        # Names whose tokens repeat are compared by fewer tokens than they have.
+        self.odd = np.array([len({*t}) != len(t) for t in self.tokens], dtype=bool)
+        self.at: dict[str, list[int]] = {}
+        for k, t in enumerate(self.tokens):
+            for w in {*t}:
+                self.at.setdefault(w, []).append(k)
+
+    def count(self, text: str) -> list[int]:
+        out = [0] * len(self.letters)
+        for c in text:
+            if c in self.letters:
+                out[self.letters[c]] += 1
+        return out
+
+    def may_reach(self, text: str, least: int) -> list[int]:
+        """Names whose score with the text can be `least` or more. A common subsequence has at most the letters that both
+        have; shared tokens and repeated ones may count more than that."""
+        own = _tokens(text)
+        if not own or len({*own}) != len(own):
+            return list(range(len(self.names)))
+        line = " ".join(own)
+        common = np.minimum(self.counts, np.array(self.count(line), dtype=np.int32)).sum(axis=1)
+        may = np.round(200 * common / np.maximum(self.sizes + len(line), 1) + 0.5) >= least
+        may |= self.odd
+        for w in own:
+            may[self.at.get(w, [])] = True
+        return np.flatnonzero(may).tolist()
+
+
 def fuzzy_matches(left: DataFrame, right: DataFrame, key1: str, key2: str, threshold: int = 90, limit: int = 2, block: int = 10_000) -> DataFrame:
     """left with `matches`: the best `limit` texts of right[key2] by score, those that reach the threshold, joined by
     ', ', best first, ties by text. The right texts are a stated list; it is sent to the executors in blocks of
-    `block`, and each block gives at most `limit` rows for each left text."""
+    `block`, or of fewer that are long, and each block gives at most `limit` rows for each left text. Only names whose
+    letters or tokens allow the threshold are scored."""
     spark = left.sparkSession
     names = right.select(F.col(key2).cast("string").alias("name")).where("name is not null").distinct().orderBy("name")
     texts = left.select(F.col(key1).cast("string").alias("text")).where("text is not null").distinct()
     found = None
 
     def scored(part: list[str]) -> DataFrame:
-        held = spark.sparkContext.broadcast(part)
+        held = spark.sparkContext.broadcast(_Names(part))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 rows = []
                 for t in pdf["text"]:
-                    best = sorted((-weighted_score(t, n), n) for n in held.value)[:limit]
+                    names = held.value.names
+                    best = sorted((-weighted_score(t, names[k]), names[k]) for k in held.value.may_reach(t, threshold))[:limit]
                     rows += [(t, n, -s) for s, n in best]
                 yield pd.DataFrame(rows, columns=["text", "name", "score"])
 
         return texts.mapInPandas(run, "text string, name string, score int")
 
     part: list[str] = []
+    size = 0
     for row in names.toLocalIterator():
         part.append(row.name)
-        if len(part) == block:
+        size += len(row.name)
+        if len(part) == block or size > LETTERS:
             found = scored(part) if found is None else found.union(scored(part))
-            part = []
+            part, size = [], 0
     if part or found is None:
         found = scored(part) if found is None else found.union(scored(part))
     order = Window.partitionBy("text").orderBy(F.desc("score"), "name")

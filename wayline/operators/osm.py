@@ -71,19 +71,40 @@ def _named(elements: DataFrame) -> DataFrame:
 
 def places(elements: DataFrame, own_names: bool = True) -> DataFrame:
     """name, id, lon, lat, type, element: a row for each name of nodes, ways and relations that are no other's member.
-    A way stands at the component-wise median of its nodes, a relation at that of its nodes and ways, and both have their
-    members' names and, with own_names, their own. Kilometre signs are left out."""
+    A way stands at the component-wise median of its nodes, a relation at that of its nodes, ways and relations, and both
+    have their members' names and, with own_names, their own. Kilometre signs are left out. Relations are worked out from
+    the innermost outwards, in rounds; of relations that hold each other none has a place."""
     named = _named(elements.where("type in ('node', 'way', 'relation')"))
     nodes = named.where("type = 'node'").select("type", "id", "lon", "lat", "names", "kind")
     refs = named.where("type = 'way'").select("type", "id", "names", "kind", F.explode_outer(F.transform("nds", lambda r: F.struct(F.lit("node").alias("type"), r.alias("ref")))).alias("m"))
     ways = _joined(refs, nodes, own_names)
     refs2 = named.where("type = 'relation'").select("type", "id", "names", "kind", F.explode_outer("members").alias("m"))
-    relations = _joined(refs2, nodes.union(ways), own_names)
+    relations = _relations(refs2, nodes.union(ways), own_names)
     members = refs.select("m.*").union(refs2.select("m.*")).select(F.col("type"), F.col("ref").alias("id")).distinct()
     whole = nodes.union(ways).union(relations).where("lon is not null and kind <> 'useless'").join(members, ["type", "id"], "left_anti")
     return whole.select(F.explode("names").alias("name"), "id", "lon", "lat", F.col("kind").alias("type"), F.col("type").alias("element"))
 
 
+def _relations(refs: DataFrame, held: DataFrame, own_names: bool, most: int = 100) -> DataFrame:
+    """Relations whose relations are all worked out, round by round; those that wait for each other come last, without a place."""
+    refs = lineage.cut(refs)
+    inner = refs.where("m.type = 'relation'").select("id", F.col("m.ref").alias("ref")).join(refs.select(F.col("id").alias("ref")).distinct(), "ref", "left_semi").distinct()
+    if inner.isEmpty():
+        return _joined(refs, held, own_names)
+    done = None
+    left = refs
+    for _ in range(most):
+        waits = inner if done is None else inner.join(done.select(F.col("id").alias("ref")), "ref", "left_anti")
+        ready = left.join(waits.select("id").distinct(), "id", "left_anti")
+        if ready.isEmpty():
+            break
+        found = _joined(ready, held if done is None else held.unionByName(done), own_names)
+        done = lineage.cut(found if done is None else done.unionByName(found))
+        left = lineage.cut(left.join(done.select("id"), "id", "left_anti"))
+    rest = _joined(left, held.limit(0), own_names)
+    return rest if done is None else done.unionByName(rest)
+
+
 def _joined(refs: DataFrame, held: DataFrame, own_names: bool) -> DataFrame:
     inner = held.select(F.col("type").alias("m_type"), F.col("id").alias("m_id"), "lon", "lat", F.col("names").alias("m_names"))
     rows = refs.join(inner, (F.col("m.type") == F.col("m_type")) & (F.col("m.ref") == F.col("m_id")), "left")

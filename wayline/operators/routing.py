@@ -194,3 +194,12 @@ def scheme_tree(schemes: DataFrame) -> DataFrame:
     """Edges between successive stations of schemes (scheme, pos, station)."""
     order = Window.partitionBy("scheme").orderBy("pos")
     return schemes.withColumn("child", F.lead("station").over(order)).where("child is not null").select(F.col("station").alias("parent"), "child").distinct()
+
+
+def looked_up(pairs: DataFrame, times: DataFrame) -> DataFrame:
+    """pairs (source, target) with the answer of a table of ways (source, target, seconds, steps): no steps and -1 seconds
+    where it has none, as a route service that fails."""
+    last = times.groupBy("source", "target").agg(F.min(F.struct("seconds", "steps")).alias("_w"))
+    found = pairs.join(last, ["source", "target"], "left")
+    none = F.array().cast(times.schema["steps"].dataType)
+    return found.select(*pairs.columns, F.coalesce("_w.seconds", F.lit(-1.0)).alias("seconds"), F.coalesce("_w.steps", none).alias("steps"))

@@ -378,3 +378,74 @@ def scheme_tree(spark, d):
     from ..operators import routing
 
     return routing.scheme_tree(V.stops(spark, d).select(F.col("train").alias("scheme"), F.col("seq").alias("pos"), "station"))
+
+
+_SIMS = """x as (select a.train as a, b.train as b, a.station, abs(({0}) - ({1})) as aa, abs(({2}) - ({3})) as dd, abs(({0}) - ({3})) as ad, abs(({2}) - ({1})) as da from records a join records b on a.station = b.station and a.train < b.train),
+y as (select a, b, coalesce(aa, dd) as same, case when ad <= 25 then ad when da <= 25 then da end as near from x),
+z as (select a, b, count(*) as shared, coalesce(sum((same <= 5)::int), 0) + max(case when same is null and near is not null then 1 else 0 end) as agree, sum(coalesce(same, near)) as off, bool_or(coalesce(same > 5, near is null)) as veto from y group by a, b)""".format(*[_MIN.format(c) for c in ("a.arr", "b.arr", "a.dep", "b.dep")])
+
+
+@query(f"{V.sql('records')}, {_SIMS} select a, b, (case when a % 3 <> 0 and b % 3 <> 0 and a % 4 <> b % 4 then 100000.0 when veto or shared < 1 then 100000.0 when agree < 1 then 10000.0 else off / agree end)::double as score from z")
+def similarity_by_number(spark, d):
+    r = V.records(spark, d)
+    numbers = r.select("train", (F.col("train") % 4).alias("number")).where("train % 3 <> 0")
+    return linkage.similarity(r, 1, 5, 25, numbers)
+
+
+@query(f"{V.sql('stops')}, s as (select distinct train, station from stops), p as (select distinct train as a, train + 1 as b from s where train % 2 = 0), x as (select a, b, station from p join s on train = a), y as (select a, b, station from p join s on train = b) select coalesce(x.a, y.a) as a, coalesce(x.b, y.b) as b, station, case when x.a is not null and y.a is not null then 'both' when x.a is not null then 'T' || x.a % 50 else 'T' || y.b % 50 end as table_from from x full join y using (a, b, station)")
+def merged_sources(spark, d):
+    s = V.stops(spark, d).select("train", "station")
+    pairs = s.where("train % 2 = 0").select(F.col("train").alias("a"), (F.col("train") + 1).alias("b")).distinct()
+    tables = s.select("train").distinct().select("train", F.concat(F.lit("T"), (F.col("train") % 50).cast("string")).alias("table"))
+    return linkage.sources(pairs, s, tables)
+
+
+@query("with t as (select distinct l_suppkey as source, l_partkey % 50 as target from lineitem), w as (select l_suppkey as source, l_partkey % 50 as target, min(l_quantity * 60) as seconds from lineitem where l_quantity > 25 group by 1, 2) select source, target, coalesce(seconds, -1)::double as seconds, case when seconds is null then 0 else 2 end as steps from t left join w using (source, target)")
+def route_lookup(spark, d):
+    from ..operators import routing
+
+    li = V.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 50).alias("target"), "l_quantity")
+    times = li.where("l_quantity > 25").select("source", "target", (F.col("l_quantity") * 60).cast("double").alias("seconds"), F.array(F.col("source").cast("double"), F.col("target").cast("double")).alias("steps"))
+    found = routing.looked_up(li.select("source", "target").distinct(), times)
+    return found.select("source", "target", "seconds", F.size("steps").alias("steps"))
+
+
+@query("select p_partkey as page_id from part where p_partkey % 4 = 0")
+def failed_pages(spark, d):
+    p = V.table(spark, d, "part")
+    cells = F.when(F.col("p_partkey") % 4 == 0, F.lit("<td>x</td>")).otherwise(F.repeat(F.lit("<td>x</td>"), 6))
+    pages = p.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("<table><tr>"), cells, F.lit("</tr></table>")).alias("html"))
+    return files.without_rows(pages, files.table_rows(pages))
+
+
+@query("""select 'P' || p_partkey as name, min(case when p_partkey % 3 = 0 then 2 when p_partkey % 5 = 0 then 3 end) as place, -1.0::double as confidence from part where p_partkey % 3 = 0 or p_partkey % 5 = 0 group by 1""")
+def gazetteer(spark, d):
+    from ..operators import match
+
+    p = V.table(spark, d, "part").select("p_partkey", F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("name"))
+    far = F.array(F.lit("~~~~~~"), F.lit("?!"))
+    own = F.array(F.lit("~~~~~~"), F.col("name"))
+    k = F.col("p_partkey")
+    places = [(1, 0, far), (2, 1, F.when(k % 3 == 0, own).otherwise(far)), (3, 2, F.when(k % 5 == 0, own).otherwise(far))]
+    candidates = None
+    for place, rank, names in places:
+        rows = p.select("name", F.lit(place).alias("place"), F.lit(rank).alias("rank"), names.alias("names"))
+        candidates = rows if candidates is None else candidates.union(rows)
+    return match.accepted_candidates(candidates)
+
+
+@query("""with n as (select c_custkey as id, (c_custkey % 360 - 180)::double as lon, (c_custkey % 120 - 60)::double as lat, c_nationkey as nation from customer), w as (select nation, median(lon) as lon, median(lat) as lat from n group by nation),
+r as (select n_nationkey as id, n_regionkey as region, lon, lat from nation join w on nation = n_nationkey), g as (select region as id, median(lon) as lon, median(lat) as lat from r group by region)
+select names.name, (g.id + 1000)::bigint as id, lon, lat, '' as type, 'relation' as element from g join (select n_regionkey as id, 'W' || n_nationkey as name from nation union select n_regionkey, 'R' || n_nationkey from nation union select r_regionkey, 'G' || r_regionkey from region) names on names.id = g.id""")
+def nested_relations(spark, d):
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    member = "array<struct<type: string, ref: bigint>>"
+    c, n, r = (V.table(spark, d, t) for t in ("customer", "nation", "region"))
+    named = lambda letter, key: F.create_map(F.lit("name"), F.concat(F.lit(letter), key.cast("string"))).alias("tags")
+    k = F.col("c_custkey")
+    nodes = c.select(F.lit("node").alias("type"), k.cast("bigint").alias("id"), (k % 360 - 180).cast("double").alias("lon"), (k % 120 - 60).cast("double").alias("lat"), F.create_map(F.lit("a"), F.lit("b")).alias("tags"), none("array<bigint>", "nds"), none(member, "members"))
+    ways = c.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(k.cast("bigint"))).alias("nds")).select(F.lit("way").alias("type"), F.col("c_nationkey").cast("bigint").alias("id"), none("double", "lon"), none("double", "lat"), named("W", F.col("c_nationkey")), "nds", none(member, "members"))
+    of = lambda kind, key: F.struct(F.lit(kind).alias("type"), key.cast("bigint").alias("ref"))
+    inner = n.select(F.lit("relation").alias("type"), F.col("n_nationkey").cast("bigint").alias("id"), none("double", "lon"), none("double", "lat"), named("R", F.col("n_nationkey")), none("array<bigint>", "nds"), F.array(of("way", F.col("n_nationkey"))).alias("members"))
+    outer = n.groupBy("n_regionkey").agg(F.collect_list(of("relation", F.col("n_nationkey"))).alias("members")).select(F.lit("relation").alias("type"), (F.col("n_regionkey") + 1000).cast("bigint").alias("id"), none("double", "lon"), none("double", "lat"), named("G", F.col("n_regionkey")), none("array<bigint>", "nds"), "members")
+    return osm.places(nodes.unionByName(ways).unionByName(inner).unionByName(outer))

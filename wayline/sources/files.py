@@ -163,6 +163,11 @@ def table_rows(pages: DataFrame, width: int = 6) -> DataFrame:
     return rows.withColumn("cells", cells).where(F.size("cells") == width).select("page_id", "pos", "cells")
 
 
+def without_rows(pages: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pages that gave no rows, to be asked for again."""
+    return pages.select("page_id").join(rows.select("page_id").distinct(), "page_id", "left_anti")
+
+
 def info_box(pages: DataFrame) -> DataFrame:
     """dt and dd texts of a page as a map; of repeated names the last counts."""
     texts = lambda tag: F.transform(F.regexp_extract_all("html", F.lit(f"(?s)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1)), lambda c: F.btrim(F.regexp_replace(c, "<[^>]*>", "")))
