@@ -97,3 +97,8 @@ def geocoder_fields(answers: DataFrame, column: str) -> DataFrame:
 def key_text(*columns: Column) -> Column:
     """Several values as one text, to tell rows apart by."""
     return F.to_json(F.struct(*columns))
+
+
+def without_end(x: Column, n: int) -> Column:
+    """A text without its last n characters."""
+    return F.substring(x, F.lit(1), F.greatest(F.char_length(x) - n, F.lit(0)))

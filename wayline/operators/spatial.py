@@ -90,3 +90,16 @@ def population_table(areas: DataFrame, sums: DataFrame) -> DataFrame:
     """areas (poly, area, other columns) with population (0 without any) and density; sums: poly, total."""
     found = areas.join(sums.select("poly", F.col("total").alias("population")), "poly", "left").withColumn("population", F.coalesce("population", F.lit(0.0)))
     return found.withColumn("density", F.col("population") / F.nullif("area", F.lit(0.0)))
+
+
+def labels(places: DataFrame, text: str) -> DataFrame:
+    """x, y, label of places (lon, lat) to be drawn with their names; places without a spot are left out."""
+    return places.where("lon is not null and lat is not null").select(F.col("lon").alias("x"), F.col("lat").alias("y"), F.col(text).cast("string").alias("label"))
+
+
+def segments(lines: DataFrame, key: str) -> DataFrame:
+    """A row for each pair of points that follow each other in lines (key, line: an array of structs lon, lat)."""
+    n = F.size("line")
+    pairs = F.arrays_zip(F.slice("line", F.lit(1), F.greatest(n - 1, F.lit(0))).alias("p"), F.slice("line", F.lit(2), F.greatest(n - 1, F.lit(0))).alias("q"))
+    rows = lines.select(key, F.posexplode(pairs).alias("pos", "s"))
+    return rows.select(key, "pos", F.col("s.p.lon").alias("x1"), F.col("s.p.lat").alias("y1"), F.col("s.q.lon").alias("x2"), F.col("s.q.lat").alias("y2"))

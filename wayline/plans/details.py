@@ -9,7 +9,7 @@ from ..functions import text as N
 from ..operators import graph, linkage, osm, spatial, stats, timetable
 from ..sources import files, sinks
 from . import views as V
-from .catalogue import _distance, query
+from .catalogue import ORACLE_SQL, _distance, query
 
 # Filters and look-ups
 
@@ -449,3 +449,30 @@ def nested_relations(spark, d):
     inner = n.select(F.lit("relation").alias("type"), F.col("n_nationkey").cast("bigint").alias("id"), none("double", "lon"), none("double", "lat"), named("R", F.col("n_nationkey")), none("array<bigint>", "nds"), F.array(of("way", F.col("n_nationkey"))).alias("members"))
     outer = n.groupBy("n_regionkey").agg(F.collect_list(of("relation", F.col("n_nationkey"))).alias("members")).select(F.lit("relation").alias("type"), (F.col("n_regionkey") + 1000).cast("bigint").alias("id"), none("double", "lon"), none("double", "lat"), named("G", F.col("n_regionkey")), none("array<bigint>", "nds"), "members")
     return osm.places(nodes.unionByName(ways).unionByName(inner).unionByName(outer))
+
+
+@query("select (c_custkey % 360 - 180)::double as x, (c_custkey % 120 - 60)::double as y, c_name as label from customer")
+def map_labels(spark, d):
+    k = F.col("c_custkey")
+    return spatial.labels(V.table(spark, d, "customer").select((k % 360 - 180).cast("double").alias("lon"), (k % 120 - 60).cast("double").alias("lat"), "c_name"), "c_name")
+
+
+@query(f"{V.sql('stops')}, {_ST}, q as (select train, seq, lon, lat from stops join st using (station)) select train, (row_number() over w - 1)::int as pos, lon as x1, lat as y1, lead(lon) over w as x2, lead(lat) over w as y2 from q window w as (partition by train order by seq) qualify lead(lon) over w is not null")
+def map_segments(spark, d):
+    return spatial.segments(timetable.train_lines(V.stops(spark, d), _stations(spark, d)), "train")
+
+
+@query("select p_partkey, p_name as stem, 'gadm36_' || (p_partkey % 6) as file, (p_partkey % 6)::varchar as level from part")
+def file_names(spark, d):
+    p = V.table(spark, d, "part")
+    path = F.concat(F.lit("gadm36_"), (F.col("p_partkey") % 6).cast("string"), F.lit(".shp"))
+    return p.select("p_partkey", N.without_end(F.concat("p_name", F.lit(".osm.pbf")), 8).alias("stem"), N.without_end(path, 4).alias("file"), N.level_of_file(path).alias("level"))
+
+
+@query(f"with hulls as ({ORACLE_SQL['convex_hull']}), {V.sql('points').removeprefix('with ')}, names as (select c_nationkey as key, x, y, arg_min(c_name, c_custkey) as name from points join customer on c_custkey = pid group by 1, 2, 3) select key, pos, x, y, name from hulls join names using (key, x, y) where pos < (select max(pos) from hulls h where h.key = hulls.key)")
+def hull_labels(spark, d):
+    from ..operators import hull
+
+    c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("pid"), F.col("c_nationkey").alias("key"), F.col("c_name").alias("name"))
+    points = V.points(spark, d).join(c, "pid")
+    return hull.labelled(hull.convex_hulls(points), points.select("key", "x", "y", "name", F.col("pid").alias("row"))).select("key", "pos", "x", "y", "name")
