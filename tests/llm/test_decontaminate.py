@@ -157,3 +157,41 @@ def test_text_ids_equal_items_and_blocks(spark, monkeypatch):
     assert sorted(r.doc_id for r in d.clean(docs, bench).collect()) == ["d3", "d4"]
     none = spark.createDataFrame([], "item_id string, text string")
     assert d.hits(docs, none).count() == 0 and d.clean(docs, none).count() == 5
+
+
+def nearest_part(item, text):
+    """Least edit distance of the item to any part of the text, by the whole table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, e in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
+        row = new
+    return min(row)
+
+
+def test_hits_equal_the_whole_table_of_distances():
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 5))) for _ in range(25)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, line(rng.randint(8, 16))) for i in range(14)]
+    texts = []
+    for _ in range(60):
+        t = list(rng.choice(items)[1])
+        # From none to more edits than are allowed, spread or all at one end, and any glue.
+        edits, span = rng.randint(0, len(t) // 8), rng.choice([1.0, 0.3])
+        for _ in range(edits):
+            at = int(rng.random() * span * len(t))
+            what = rng.randrange(3)
+            t[at : at + (what != 1)] = [] if what == 2 else [rng.choice("abcdefg ")]
+        glue = rng.choice([" ", "", '"', "x", "Question:"])
+        texts.append(f"{line(3)}{glue}{''.join(t)}{glue}{line(3)}")
+    plain = lambda t: "".join(map(chr, d.normalise(t)))
+    got = {(h[0], h[1]): h[4] for h in d.Pieces(items).search(texts)}
+    want = {}
+    for k, t in enumerate(texts):
+        for i, item in items:
+            far = nearest_part(plain(item), plain(t))
+            if far <= int(len(plain(item)) * (1 - d.SIMILARITY) + 1e-9):
+                want[k, i] = far
+    assert got == want and len(want) > 30 and len({v for v in want.values()}) > 3

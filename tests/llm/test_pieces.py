@@ -42,3 +42,13 @@ def test_query_columns(spark, both):
     full = {r.doc_id: r for r in encode_documents(frame.where("doc_id = 4"), path, full=True).collect()}
     assert full[4].ids == library.encode(rows[4][1], add_eos=True)
     assert encode_documents(frame.limit(0), path).count() == 0
+
+
+def test_long_unbroken_texts(both):
+    own, library, _ = both
+    rng = random.Random(5)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    long = [letters, "a" * 20_000, "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(8_000)), "the" * 8_000, "🙂日" * 3_000, "word " * 60_000, "x" * 63 + "qz" * 70]
+    for text, ids in zip(long, own.encode(long), strict=True):
+        assert ids[:-1] == library.encode(text)
+        assert own.decode(ids[:-1]) == library.decode(ids[:-1]) == text

@@ -7,7 +7,8 @@ compacts the arrays, until no pair remains.
 
 Defined results: a null text counts as empty and gives the end id only; equal texts give equal ids;
 rows, also repeated ones, are kept as they are, and extra columns are left alone. A text of any length is
-encoded whole; one without spaces and line ends is one segment, whose time is its length times its rounds.
+encoded whole; one without spaces and line ends is cut where no piece joins the characters, and what is left in one
+segment takes its length times its rounds.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SPACE = "▁"
 KEPT, KEPT_CHARS = 250_000, 16 << 20
 #: Characters that are encoded together.
 BLOCK = 1 << 21
+#: Longer segments are cut again.
+LONG = 64
 NONE = np.int64(1 << 40)
 
 
@@ -53,6 +56,8 @@ class Pieces:
         self.end = self.names.index("</s>")
         normal = np.flatnonzero(kinds == 1)
         self.ids = {self.names[i]: int(i) for i in normal}
+        near = {ord(a) << 21 | ord(b) for i in normal for a, b in zip(self.names[i], self.names[i][1:])}
+        self.neighbours = np.array(sorted(near | {0}), dtype=np.int64)
         self.surface = [b""] * len(self.names)
         self.byte = np.zeros(256, dtype=np.int64)
         for i, kind in enumerate(kinds):
@@ -212,7 +217,20 @@ class Pieces:
         return symbols[order], np.r_[0, np.cumsum(counts)]
 
     def segments(self, text: str) -> list[str]:
-        return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        if not text:
+            return []
+        found = self.cut.findall(SPACE + text.replace(" ", SPACE))
+        if max(map(len, found)) <= LONG:
+            return found
+        return [p for s in found for p in ([s] if len(s) <= LONG else self.parts(s))]
+
+    def parts(self, segment: str) -> list[str]:
+        """A long segment cut where no piece has the two characters next to each other: no merge can cross it."""
+        chars = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        pairs = chars[:-1] << 21 | chars[1:]
+        at = np.minimum(np.searchsorted(self.neighbours, pairs), self.neighbours.size - 1)
+        cuts = np.flatnonzero(self.neighbours[at] != pairs) + 1
+        return [segment[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(segment)])]
 
     def learn(self, segments: set[str]) -> None:
         """Encodes the segments that are not known: ids as text, their number, the text they decode to."""
