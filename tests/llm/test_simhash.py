@@ -152,3 +152,26 @@ def test_a_star_and_a_chain(spark, monkeypatch):
 def test_no_files_are_opened_in_vain(spark):
     far = simhash._apart(np.zeros((5, 1), int), np.zeros((5, 1), int), np.array([[0, 8], [0, 2], [0, 2], [0, 2], [0, 2]]), np.full((5, 2), 16), 3)
     assert far.tolist() == [False, True]
+
+
+def test_tiles_in_runs_find_all_links(monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 8)
+    monkeypatch.setattr(simhash, "RUN", 3)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 120, dtype=np.uint64)
+    fps = np.unique(np.r_[base, base ^ np.uint64(5), base ^ np.uint64(1 << 40), rng.integers(0, 2**63, 100, dtype=np.uint64)])
+
+    class Held(simhash._File):
+        def __init__(self, fp, rep):
+            order = np.lexsort((fp, np.bitwise_count(fp)))
+            self.fp, self.rep = fp[order], rep[order]
+            counts = np.stack([np.bitwise_count(self.fp)] + [np.bitwise_count((self.fp >> np.uint64(s)) & np.uint64(0xFFFF)) for s in (48, 32, 16, 0)]).astype(np.int64)
+            self.starts = np.arange(0, self.fp.size, simhash.TILE)
+            self.low, self.high = np.minimum.reduceat(counts, self.starts, axis=1), np.maximum.reduceat(counts, self.starts, axis=1)
+
+    half = fps.size // 2
+    rep = np.arange(fps.size)
+    one, two = Held(fps[:half], rep[:half]), Held(fps[half:], rep[half:])
+    found = [(int(min(a, b)), int(max(a, b))) for left, right in ((one, one), (two, two), (one, two)) for x, y in simhash._links(left, right, 3) for a, b in zip(x, y)]
+    want = {(i, j) for j in range(fps.size) for i in range(j) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3}
+    assert sorted(found) == sorted(want) and len(want) > 100

@@ -25,8 +25,8 @@ from .components import components, join_spread
 from .shared import column, open_fs, small_batches, staged
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Classes in a file, and in a tile.
-FILE_ROWS, TILE = 16_384, 512
+#: Classes in a file, and in a tile; tiles of one file in a row that are compared at once.
+FILE_ROWS, TILE, RUN = 16_384, 128, 32
 #: Links that a task holds before it reduces them to a forest.
 HELD = 1 << 20
 
@@ -116,16 +116,26 @@ class _File:
 def _links(left: _File, right: _File, radius: int):
     """Arrays of linked representatives."""
     same = left is right
-    for i, j in left.near(right, radius).tolist():
-        if same and j < i:
-            continue
+    pairs = left.near(right, radius)
+    if same:
+        pairs = pairs[pairs[:, 0] <= pairs[:, 1]]
+    if not pairs.size:
+        return
+    # Tiles that follow each other in the right file are compared together.
+    new = np.r_[True, (np.diff(pairs[:, 0]) != 0) | (np.diff(pairs[:, 1]) != 1)]
+    first = np.flatnonzero(new)
+    place = np.arange(len(pairs)) - np.repeat(first, np.diff(np.r_[first, len(pairs)]))
+    first = np.flatnonzero(place % RUN == 0)
+    last = np.r_[first[1:], len(pairs)] - 1
+    for i, j, k in zip(pairs[first, 0].tolist(), pairs[first, 1].tolist(), pairs[last, 1].tolist()):
         x, y = left.starts[i], right.starts[j]
-        far = np.bitwise_count(left.fp[x : x + TILE, None] ^ right.fp[None, y : y + TILE])
+        far = np.bitwise_count(left.fp[x : x + TILE, None] ^ right.fp[None, y : right.starts[k] + TILE])
         a, b = np.nonzero(far <= radius)
-        if same and i == j:
+        a, b = a + x, b + y
+        if same:
             a, b = a[a < b], b[a < b]
         if a.size:
-            yield left.rep[x + a], right.rep[y + b]
+            yield left.rep[a], right.rep[b]
 
 
 def linked(classes: DataFrame, radius: int = RADIUS, file_rows: int = FILE_ROWS) -> DataFrame:
