@@ -44,3 +44,31 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_every_query_has_sql_or_is_known_to_lack_it():
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"fuzzy_topk", "name_ratio"}
+
+
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for c in a:
+        new = [0]
+        for j, e in enumerate(b):
+            new.append(row[j] + 1 if c == e else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the supplied tables are not here")
+def test_name_ratio_equals_a_plain_version(spark):
+    rows = {r.p_partkey: (r.p_name, r.p_type) for r in spark.read.parquet(f"{DATA}/part.parquet").collect()}
+    got = {r.p_partkey: r.ratio for r in catalogue.QUERIES["name_ratio"](spark, DATA).collect()}
+    assert got == {k: round(2 * subsequence(a, b) / (len(a) + len(b)), 9) for k, (a, b) in rows.items()}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the supplied tables are not here")
+def test_fuzzy_topk_equals_a_plain_version(spark):
+    from wayline.operators.match import weighted_score
+
+    rows = [(r.p_partkey, r.p_name) for r in spark.read.parquet(f"{DATA}/part.parquet").collect()]
+    names = sorted({n for _, n in rows} | {n[::-1] for _, n in rows})
+    best = {t: [n for s, n in sorted((-weighted_score(t, n), n) for n in names)[:2] if -s >= 60] for t in {n for _, n in rows}}
+    got = {r.p_partkey: r.matches for r in catalogue.QUERIES["fuzzy_topk"](spark, DATA).collect()}
+    assert got == {k: ", ".join(best[t]) for k, t in rows}
