@@ -166,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: Co
     upto = F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id"))
     fits = size.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id")
     rows = counted.join(F.broadcast(fits), "doc_id", "left_semi").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending"), ("often", "ascending")])
-    return train([(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(c, np.uint32).astype(np.int64), y) for i, c, y in zip(rows["ids"].to_pylist(), rows["often"].to_pylist(), rows["y"].to_pylist())])
+    # Views of the received bytes, not wider copies: the driver's memory is the smallest.
+    return train([(np.frombuffer(i.as_buffer(), np.uint16), np.frombuffer(c.as_buffer(), np.uint32), y.as_py()) for i, c, y in zip(rows["ids"], rows["often"], rows["y"])])
 
 
 def probabilities(texts: list[str | None], number: np.ndarray, bias: float) -> np.ndarray:
