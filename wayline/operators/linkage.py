@@ -14,10 +14,10 @@ from ..functions import timeops as T
 NO_LINK, TOO_FEW = 100_000.0, 10_000.0
 
 
-def similarity(stops: DataFrame, common: int, exact: int = 0, loose: int = 25, numbers: DataFrame | None = None) -> DataFrame:
+def similarity(stops: DataFrame, common: int, exact: int = 0, loose: int = 25, numbers: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
     """a, b, score for pairs of trains with a shared station: the mean difference in minutes over the shared stations,
     TOO_FEW if fewer than `common` of them agree, NO_LINK if one of them disagrees, there are too few, or both trains
-    have numbers (numbers: train, number) and share none. A station agrees by arrivals, else by departures, within
+    have numbers (numbers: train, number) and share none. With `among` (a, b) only for those pairs. A station agrees by arrivals, else by departures, within
     `exact`; else by an arrival and a departure within `loose`, which all together count as one."""
     left = stops.select(F.col("train").alias("a"), "station", F.col("arr").alias("arr1"), F.col("dep").alias("dep1"))
     right = stops.select(F.col("train").alias("b"), "station", F.col("arr").alias("arr2"), F.col("dep").alias("dep2"))
@@ -25,7 +25,7 @@ def similarity(stops: DataFrame, common: int, exact: int = 0, loose: int = 25, n
     aa, dd, ad, da = off("arr1", "arr2"), off("dep1", "dep2"), off("arr1", "dep2"), off("dep1", "arr2")
     same = F.coalesce(aa, dd)
     near = F.when(ad <= loose, ad).when(da <= loose, da)
-    pairs = left.join(right, "station").where("a < b")
+    pairs = left.join(right, "station").where("a < b") if among is None else among.join(left, "a").join(right, ["b", "station"])
     scored = pairs.groupBy("a", "b").agg(
         F.count("*").alias("shared"), F.sum((same <= exact).cast("int")).alias("hits"), F.max(F.when(same.isNull() & near.isNotNull(), 1).otherwise(0)).alias("loose"),
         F.sum(F.coalesce(same, near)).alias("off"), F.bool_or(F.coalesce(same > exact, near.isNull())).alias("veto"),
@@ -41,6 +41,19 @@ def similarity(stops: DataFrame, common: int, exact: int = 0, loose: int = 25, n
     return both.select("a", "b", F.when(differ, NO_LINK).otherwise(F.col("score")).alias("score"))
 
 
+def similar(stops: DataFrame, common: int = 1, exact: int = 0, loose: int = 25, numbers: DataFrame | None = None) -> DataFrame:
+    """The pairs of similarity() that are scored below TOO_FEW. Only trains that meet at a station within the larger
+    tolerance are compared: they are found by station and time bucket, so a busy station does not bring all its trains
+    together. common: 1 at least."""
+    most = max(exact, loose)
+    times = stops.select("train", "station", F.explode(F.array_compact(F.array(T.to_minutes("arr"), T.to_minutes("dep")))).alias("t")).distinct()
+    bucket = F.floor(F.col("t") / (most + 1))
+    left = times.select(F.col("train").alias("a"), "station", F.col("t").alias("t1"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_k"))
+    right = times.select(F.col("train").alias("b"), "station", F.col("t").alias("t2"), bucket.alias("_k"))
+    met = left.join(right, ["station", "_k"]).where("a < b").where(F.abs(F.col("t1") - F.col("t2")) <= most).select("a", "b").distinct()
+    return similarity(stops, common, exact, loose, numbers, met).where(F.col("score") < TOO_FEW)
+
+
 def possible_links(stops: DataFrame, common: int = 2, exact: int = 0) -> DataFrame:
     """Pairs with at least `common` shared stations that agree exactly and none that disagrees: a, b, matches.
 

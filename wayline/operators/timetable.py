@@ -60,19 +60,20 @@ def service_rows(found: DataFrame, kind: str = "train") -> DataFrame:
 
 
 def station_graph(stops: DataFrame, mode: str = "all") -> DataFrame:
-    """Undirected pairs of different stations that a train serves both, with the sorted trains."""
+    """Undirected pairs of different stations that a train serves both, a row for each such train: no station's trains are
+    gathered."""
     if mode == "direct":
         order = Window.partitionBy("train").orderBy("seq")
         pairs = stops.withColumn("other", F.lead("station").over(order)).where("station <> other")
     else:
         own = stops.select("train", "station").distinct()
         pairs = own.join(own.select("train", F.col("station").alias("other")), "train").where("station < other")
-    pairs = pairs.select(F.least("station", "other").alias("a"), F.greatest("station", "other").alias("b"), "train")
-    return pairs.groupBy("a", "b").agg(F.sort_array(F.collect_set("train")).alias("trains"))
+    return pairs.select(F.least("station", "other").alias("a"), F.greatest("station", "other").alias("b"), "train").distinct()
 
 
 def trains_of_stations(stops: DataFrame) -> DataFrame:
-    return stops.groupBy("station").agg(F.sort_array(F.collect_set("train")).alias("trains"))
+    """A row for each station and train that serves it."""
+    return stops.select("station", "train").distinct()
 
 
 def leg_services(legs: DataFrame, mode: str = "all") -> DataFrame:

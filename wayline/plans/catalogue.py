@@ -118,14 +118,14 @@ def service_table(spark, d):
     return timetable.service_rows(timetable.services(V.stops(spark, d), "direct"))
 
 
-@query(f"{V.sql('stops')}, o as (select distinct train, station from stops) select a.station as a, b.station as b, array_to_string(list_sort(list(a.train)), ',') as trains from o a join o b on a.train = b.train and a.station < b.station group by 1, 2")
+@query(f"{V.sql('stops')}, o as (select distinct train, station from stops) select distinct a.station as a, b.station as b, a.train as train from o a join o b on a.train = b.train and a.station < b.station")
 def station_graph(spark, d):
-    return timetable.station_graph(V.stops(spark, d)).withColumn("trains", F.array_join("trains", ","))
+    return timetable.station_graph(V.stops(spark, d))
 
 
-@query(f"{V.sql('stops')} select station, array_to_string(list_sort(list(distinct train)), ',') as trains, count(distinct train) as n from stops group by station")
+@query(f"{V.sql('stops')} select distinct station, train from stops")
 def trains_per_station(spark, d):
-    return timetable.trains_of_stations(V.stops(spark, d)).select("station", F.array_join("trains", ",").alias("trains"), F.size("trains").cast("bigint").alias("n"))
+    return timetable.trains_of_stations(V.stops(spark, d))
 
 
 @query("""with e as (select user_id % 50 as train, event_id as row, event_type as station from events), r as (select *, row - row_number() over (partition by train order by row) as run from e),
@@ -199,6 +199,13 @@ def train_similarity(spark, d):
     return linkage.similarity(V.records(spark, d), 1, 5, 25)
 
 
+@query(f"""{V.sql("hhmm_stops")}, {_SIM.replace("records", "hhmm_stops")}, y as (select a, b, coalesce(aa, dd) as same, case when ad <= 9 then ad when da <= 9 then da end as near from x),
+z as (select a, b, count(*) as shared, coalesce(sum((same <= 5)::int), 0) + max(case when same is null and near is not null then 1 else 0 end) as agree, sum(coalesce(same, near)) as off, bool_or(coalesce(same > 5, near is null)) as veto from y group by a, b)
+select a, b, (off / agree)::double as score from z where not veto and shared >= 2 and agree >= 2""")
+def similar_trains(spark, d):
+    return linkage.similar(V.hhmm_stops(spark, d), 2, 5, 9)
+
+
 _LINKS = f"{_SIM}, l as (select a, b, sum((coalesce(aa, dd) <= 60)::int)::bigint as matches from x group by a, b having sum((coalesce(aa, dd) <= 60)::int) >= 2 and max(coalesce(aa, dd)) <= 60)"
 
 

@@ -237,7 +237,7 @@ def train_points(spark, d):
 
 @query(f"{V.sql('stops')}, o as (select distinct train, station, seq, lead(station) over (partition by train order by seq) as other from stops) select least(station, other) as a, greatest(station, other) as b, count(distinct train) as n from o where station <> other group by 1, 2")
 def station_graph_direct(spark, d):
-    return timetable.station_graph(V.stops(spark, d), "direct").select("a", "b", F.size("trains").cast("bigint").alias("n"))
+    return timetable.station_graph(V.stops(spark, d), "direct").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @query(f"{V.sql('stops')} select 'trains' as kind, count(distinct train) as n from stops union all select 'stations', count(distinct station) from stops union all select 'fast', count(distinct train) from stops where train % 3 = 0")
