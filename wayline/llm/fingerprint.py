@@ -96,9 +96,14 @@ def _text(samples: Column) -> Column:
     return F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
+def _folded(word: Column) -> Column:
+    """A-Z in lower case, other letters as they are; ASCII words need no look-up of each letter."""
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def _words(text: Column) -> Column:
-    """The words of a text, an array; none for a text of white space."""
-    body = F.btrim(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" \t\n\x0b\x0c\r"))
+    """The words of a text as they stand, an array; none for a text of white space."""
+    body = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACES))
 
 
@@ -115,7 +120,7 @@ def fingerprints(texts: DataFrame, keys: list[str], bodies: list[str], facts: Co
     is_fact = F.col("which") == n
     # A word is known by its hash, of fixed length: that makes the counting's keys short.
     hashed = words.select(
-        *keys, "which", F.when(is_fact, F.col("at")).otherwise(-1).alias("fact"), F.when(is_fact, F.conv("word", 16, -10).cast("bigint")).otherwise(F.xxhash64("word")).alias("h")
+        *keys, "which", F.when(is_fact, F.col("at")).otherwise(-1).alias("fact"), F.when(is_fact, F.conv("word", 16, -10).cast("bigint")).otherwise(F.xxhash64(_folded(F.col("word")))).alias("h")
     )
     weighted = hashed.groupBy(*keys, "fact", "h").agg(*[F.sum((F.col("which") == i).cast("bigint")).alias(f"n{i}") for i in range(n)])
     # The logarithm of no weight is null, and so is the sample. The samples stand inside the aggregates: as columns of
