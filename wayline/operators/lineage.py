@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder. Where
-    neither is set, a folder of our own if driver and executors are one process, and an error on a cluster."""
+    neither is set, a folder of our own, which the context then keeps, if driver and executors are one process, and an
+    error on a cluster."""
     sc = spark.sparkContext
     root, held = spark.conf.get("spark.checkpoint.dir", None), sc.getCheckpointDir()
     if not root and not held:
@@ -22,7 +23,6 @@ def shared_root(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="wayline-shared-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
     if not held:
         sc.setCheckpointDir(root)
     return (root or held).rstrip("/")
