@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, language_model, licences, quality, sharding, simhash, warc
+from . import chat, decontaminate, divergence, filter_audit, fingerprint, language_model, licences, quality, sharding, simhash, warc
 from .pieces import encode_documents
 from .shared import fold, scratch, table
 
@@ -73,6 +73,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_chat": op2_chat,
     "op1_sharding": op1_sharding,
@@ -84,9 +92,13 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op10_simhash": op10_simhash,
     "op8_sentencepiece": op8_sentencepiece,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_divergence": divergence.ORACLE,
     "op1_sharding": "select doc_id, lang, source, n_chars, sha256(text) as text_sha256 from documents",
     "op5_licences": licences.oracle(),
     "op9_warc": """
