@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, filter_audit, fingerprint, language_model, licences, quality, sharding, simhash, warc
+from . import chat, decontaminate, divergence, filter_audit, fingerprint, language, language_model, licences, quality, sharding, simhash, warc
 from .pieces import encode_documents
 from .shared import fold, scratch, table
 
@@ -73,6 +73,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.predict(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -92,6 +98,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op10_simhash": op10_simhash,
     "op8_sentencepiece": op8_sentencepiece,
+    "op11_language": op11_language,
     "op12_filter_audit": op12_filter_audit,
     "op13_divergence": op13_divergence,
 }
