@@ -56,7 +56,7 @@ def _counted(batches):
         for (lang, source), (n, docs) in held.items():
             terms = list(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())],
+                [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())],
                 ["lang", "source", "term", "n", "docs"],
             )
         held.clear()
