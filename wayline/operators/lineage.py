@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def _as_planned(spark: SparkSession):
+    """Without adaptive changes, so that a checkpoint keeps the partitioning that was asked for."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def held(df: DataFrame, *keys: str) -> DataFrame:
+    """A checkpoint that is partitioned by the keys and sorted by them inside its partitions, and known to be: joins on the keys
+    move and sort the other side only, however often it is read."""
+    shared_root(df.sparkSession)
+    with _as_planned(df.sparkSession):
+        return df.repartition(*keys).sortWithinPartitions(*keys).checkpoint()
+
+
+def kept_in_place(df: DataFrame) -> DataFrame:
+    """A checkpoint that keeps the partitioning that df's plan has."""
+    shared_root(df.sparkSession)
+    with _as_planned(df.sparkSession):
+        return df.checkpoint()
+
+
 def numbered(df: DataFrame, *keys: str, name: str = "place") -> DataFrame:
     """df with the place of each row, from 0, in the order of the keys, which tell all rows apart. Places come from sorted
     range partitions and their sizes, not from one sorted task."""

@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lineage
-
-
-def next_service(labels: DataFrame, services: DataFrame, low: int | Column, high: int, day: int = 1440, closed: bool = False) -> DataFrame:
-    """Labels carried over every admissible service: origin, station, total, legs, path, with the wait in
-    [low, high) or [low, high], around the clock. labels: origin, station, total, at (time of the day), legs, path.
-    low may be a column of the labels."""
-    joined = labels.join(services.select("id", F.col("dep").alias("station"), "dep_t", "arr", "arr_t", "during"), "station")
-    wait = F.pmod(F.col("dep_t") - F.col("at"), F.lit(day))
-    fits = (wait >= low) & ((wait <= high) if closed else (wait < high))
-    return joined.where(fits).select(
-        "origin", F.col("arr").alias("station"), (F.col("total") + wait + F.col("during")).alias("total"), F.col("arr_t").alias("at"),
-        (F.col("legs") + 1).alias("legs"), F.concat("path", F.array("id")).alias("path"),
-    )
+from .profiles import every_service, next_service, profile
 
 
 def _best(labels: DataFrame) -> DataFrame:
@@ -30,19 +15,23 @@ def _best(labels: DataFrame) -> DataFrame:
     return found.select("origin", "station", "b.total", "b.at", "b.legs", "b.path")
 
 
-def route_layers(services: DataFrame, seeds: DataFrame, hops: int, low: int, high: int, day: int = 1440, closed: bool = False, pareto: bool = True) -> DataFrame:
+def _profiles(services: DataFrame, day: int, width: int | None) -> DataFrame:
+    """The profiles of a schedule, made once and partitioned by station and bucket for all layers."""
+    return lineage.held(profile(services, day, width).withColumnRenamed("dep", "station"), "station", "bucket").withColumnRenamed("station", "dep")
+
+
+def route_layers(services: DataFrame, seeds: DataFrame, hops: int, low: int, high: int, day: int = 1440, closed: bool = False, pareto: bool = True, width: int | None = None) -> DataFrame:
     """Labels after 1 to `hops` services from the seeds (origin, station, total, at), the best of each number of
     services; with pareto only those faster than all with fewer services, else the best over all. A layer works on the
-    best labels of the layer before and is checkpointed, so the plan stays short and a lost executor costs one layer."""
+    best labels of the layer before, so it finds what a settled search finds; route_bags finds all. A layer is
+    checkpointed, so the plan stays short and a lost executor costs one layer."""
+    known = _profiles(services, day, width)
     layer = seeds.select("origin", "station", "total", "at", F.lit(0).alias("legs"), F.array().cast(f"array<{services.schema['id'].dataType.simpleString()}>").alias("path"))
     found = None
     for _ in range(hops):
-        layer = lineage.cut(_best(next_service(layer, services, low, high, day, closed)))
+        layer = lineage.cut(_best(next_service(layer, known, low, high, day, closed, width)))
         found = layer if found is None else found.unionByName(layer)
-    if not pareto:
-        return _best(found)
-    before = Window.partitionBy("origin", "station").orderBy("legs").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("_least", F.min("total").over(before)).where("_least is null or total < _least").drop("_least")
+    return _faster(found) if pareto else _best(found)
 
 
 def dominates(a: tuple[int, int], b: tuple[int, int]) -> bool:
@@ -50,49 +39,101 @@ def dominates(a: tuple[int, int], b: tuple[int, int]) -> bool:
     return a != b and a[0] <= b[0] and a[1] <= b[1]
 
 
-def settle(services: list[tuple], seeds: list[tuple], low: int, high: int, day: int, most: int, by_transfers: bool) -> list[tuple]:
-    """Label setting from one origin. services: (id, dep, dep_t, arr, arr_t, during); seeds: (station, total, at).
-    Labels (station, transfers, total, at, path) in the order of (total, station, transfers); ties go to fewer
-    services. by_transfers keeps the Pareto set of (transfers, total) for each station, else one label each.
-    As waits have a lower bound, a later arrival can catch a train that an earlier one may not; like its
-    model, this search extends the settled label only."""
-    out: dict = {}
-    for s in services:
-        out.setdefault(s[1], []).append(s)
-    heap = [(total, station, 0, at, ()) for station, total, at in seeds]
-    heapq.heapify(heap)
-    done: dict = {}
-    found = []
-    while heap:
-        total, station, legs, at, path = heapq.heappop(heap)
-        own = done.setdefault(station, [])
-        if own if not by_transfers else any(l <= legs and t <= total for l, t in own):
-            continue
-        own.append((legs, total))
-        found.append((station, legs, total, at, list(path)))
-        if legs >= most:
-            continue
-        for sid, _, dep_t, arr, arr_t, during in out.get(station, []):
-            wait = (dep_t - at) % day
-            if low <= wait < high:
-                heapq.heappush(heap, (total + wait + during, arr, legs + 1, arr_t, (*path, sid)))
-    return found
-
-
-def route_exact(services: DataFrame, seeds: DataFrame, low: int, high: int, day: int = 1440, most: int = 3, by_transfers: bool = False, limit: int = 2_000_000) -> DataFrame:
-    """settle() for each origin, in one task for each; the services are sent to the executors and must be at most `limit` rows."""
-    rows = services.select("id", "dep", "dep_t", "arr", "arr_t", "during").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} services; use route_layers")
-    held = seeds.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
-    schema = "origin bigint, station bigint, transfers int, total bigint, at bigint, path array<string>"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        origin = pdf["origin"].iloc[0]
-        found = settle(held.value, list(zip(pdf["station"], pdf["total"], pdf["at"])), low, high, day, most, by_transfers)
-        return pd.DataFrame([(origin, s, t, total, at, [str(p) for p in path]) for s, t, total, at, path in found], columns=["origin", "station", "transfers", "total", "at", "path"])
-
-    return seeds.select("origin", "station", "total", "at").groupBy("origin").applyInPandas(run, schema)
+def route_exact(services: DataFrame, seeds: DataFrame, low: int, high: int, day: int = 1440, most: int = 3, by_transfers: bool = False, width: int | None = None) -> DataFrame:
+    """What a label-setting search finds that extends settled labels only: origin, station, transfers (services), total, at, path.
+
+    by_transfers: of each number of services, `most` at most, the best label of each station that is faster than all with
+    fewer; only such labels are extended. Else one label for each station: the best over the labels of the other stations, with
+    `most` services at most. As waits are not first in, first out, a label that a better one replaces may have reached a
+    station in less time than the better one does; so each round starts anew from the labels of the round before, until none changes."""
+    known = _profiles(services, day, width)
+    first = _best(seeds.select("origin", "station", "total", "at", F.lit(0).alias("legs"), F.array().cast(f"array<{services.schema['id'].dataType.simpleString()}>").alias("path")))
+    columns = ["origin", "station", "total", "at", "legs", "path"]
+    named = lambda df: df.select("origin", "station", F.col("legs").alias("transfers"), "total", "at", F.col("path").cast("array<string>").alias("path"))
+    layer = found = lineage.cut(first.select(columns))
+    if by_transfers:
+        for _ in range(most):
+            before = found.groupBy("origin", "station").agg(F.min("total").alias("_least"))
+            moved = _best(next_service(layer, known, low, high, day, False, width)).select(columns).join(before, ["origin", "station"], "left")
+            layer = lineage.cut(moved.where("_least is null or total < _least").select(columns))
+            found = lineage.cut(found.unionByName(layer))
+        return named(found)
+    while True:
+        moved = next_service(found.where(F.col("legs") < most), known, low, high, day, False, width).select(columns)
+        new = lineage.cut(_best(layer.unionByName(moved)).select(columns))
+        if new.exceptAll(found).isEmpty() and found.exceptAll(new).isEmpty():
+            return named(new)
+        found = new
+
+
+def departures(services: DataFrame, day: int = 1440) -> DataFrame:
+    """station and the minutes of the day at which services leave it, `day` at most."""
+    return services.groupBy(F.col("dep").alias("station")).agg(F.sort_array(F.collect_set(F.pmod(F.col("dep_t"), F.lit(day)).cast("int"))).alias("minutes"))
+
+
+def useful(labels: DataFrame, leaving: DataFrame, bag: DataFrame | None, high: int, day: int = 1440, closed: bool = False) -> DataFrame:
+    """Of the labels (origin, station, total, at, legs, path, low) those that are the best, by total and services, of those
+    that catch some departure from their station; the labels of `bag`, of fewer services, compete and are not returned.
+
+    Of two labels that catch one departure the one with the lower total has it first, if the totals of an origin's labels count
+    from one time of the day. So nothing that the others reach is lost. The best label catches all but a few
+    departures; only what it misses is compared one by one."""
+    both = labels.withColumn("old", F.lit(False))
+    if bag is not None:
+        both = bag.withColumn("old", F.lit(True)).unionByName(both)
+    rank = F.struct("total", "legs", "path", "at", "old")
+    first = Window.partitionBy("origin", "station")
+    wait = lambda d, at: F.pmod(d - at, F.lit(day))
+    caught = lambda d, at: (wait(d, at) >= F.col("low")) & ((wait(d, at) <= high) if closed else (wait(d, at) < high))
+    timed = both.withColumn("_b", F.min(rank).over(first)).join(leaving, "station")
+    left = timed.withColumn("_mine", F.filter("minutes", lambda d: ~caught(d, F.col("_b.at")) & caught(d, F.col("at"))))
+    head = left.where((rank == F.col("_b")) & F.exists("minutes", lambda d: caught(d, F.col("at"))))
+    rest = left.select("origin", "station", "low", rank.alias("r"), F.explode("_mine").alias("_d")).groupBy("origin", "station", "low", "_d").agg(F.min("r").alias("r"))
+    kept = head.select("origin", "station", "low", rank.alias("r")).union(rest.select("origin", "station", "low", "r")).distinct()
+    return kept.where("not r.old").select("origin", "station", "r.total", "r.at", "r.legs", "r.path", "low")
+
+
+def route_bags(
+    services: DataFrame, seeds: DataFrame, hops: int, low: int, high: int, day: int = 1440, closed: bool = False, pareto: bool = True, kinds: DataFrame | None = None,
+    prepare: dict[str, int] | None = None, drives: DataFrame | None = None, cap: int | None = None, width: int | None = None,
+) -> DataFrame:
+    """The least total for each origin, station and number of services, 1 to `hops`, over all walks from the seeds, as route_layers
+    gives it: with pareto those faster than all with fewer, else the best over all.
+
+    Waits have a lower and an upper bound, so a later label may catch what an earlier one misses: each origin and station
+    keeps a bag of labels, one for each time of the day at most, and of these the ones that useful() finds are
+    extended. seeds: origin, station, total, at; of one origin, total and at count from one time. kinds and prepare give the least
+    wait by the kind of port instead of low. drives (source, target, duration) may be taken after a service, never after a
+    drive, to go on by another service. Labels with a total over cap are not extended."""
+    kind = services.schema["id"].dataType.simpleString()
+    columns = ["origin", "station", "total", "at", "legs", "path"]
+    ready = (lambda labels: labels.withColumn("low", F.lit(low))) if kinds is None else (lambda labels: _prepared(labels, kinds, prepare or PREPARE))
+    by_time = lambda labels: labels.groupBy("origin", "station", "at").agg(F.min(F.struct("total", "legs", "path")).alias("b")).select("origin", "station", "b.total", "at", "b.legs", "b.path")
+    held = lineage.cut(services.select("id", "dep", "dep_t", "arr", "arr_t", "during"))
+    leaving, last = lineage.cut(departures(held, day)), _profiles(held, day, width)
+    source = seeds.select("origin", "station", "total", F.pmod("at", F.lit(day)).cast("bigint").alias("at"), F.lit(0).alias("legs"), F.array().cast(f"array<{kind}>").alias("path"))
+    bag = found = None
+    for k in range(1, hops + 1):
+        source = by_time(source if cap is None else source.where(F.col("total") <= cap))
+        extend = lineage.cut(useful(ready(source).select(*columns, "low"), leaving, bag, high, day, closed))
+        bag = extend if bag is None else lineage.cut(bag.unionByName(extend))
+        if k == hops:
+            # Nothing follows: the first arrival of each pair of stations is enough.
+            moved = _best(next_service(extend, last, F.col("low"), high, day, closed, width)).select(columns)
+        else:
+            moved = by_time(every_service(extend, held, F.col("low"), high, day, closed, width)).select(columns)
+        moved = lineage.cut(moved.withColumn("at", F.pmod("at", F.lit(day)).cast("bigint")))
+        source = moved if drives is None else moved.unionByName(driven(moved, drives, day).select(columns))
+        found = _best(moved).select(columns) if found is None else found.unionByName(_best(moved).select(columns))
+    if not pareto:
+        return _best(found)
+    return _faster(found)
+
+
+def _faster(found: DataFrame) -> DataFrame:
+    """Labels that are faster than all of their station with fewer services."""
+    before = Window.partitionBy("origin", "station").orderBy("legs").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("_least", F.min("total").over(before)).where("_least is null or total < _least").drop("_least")
 
 
 def drive_seeds(access: DataFrame, start: int, limit: int, day: int) -> DataFrame:
@@ -123,7 +164,7 @@ def _prepared(labels: DataFrame, kinds: DataFrame, prepare: dict[str, int]) -> D
 
 def route_multimodal(
     services: DataFrame, access: DataFrame, drives: DataFrame, kinds: DataFrame, start: int, hops: int = 3, high: int = 1440, day: int = 1440, limit: int = 120,
-    cap: int | None = 1440, prepare: dict[str, int] = PREPARE, closed: bool = False, by_car: bool = False, margin: float = 0.0, pareto: bool = False,
+    cap: int | None = 1440, prepare: dict[str, int] = PREPARE, closed: bool = False, by_car: bool = False, margin: float = 0.0, pareto: bool = False, width: int | None = None,
 ) -> DataFrame:
     """Routes that begin with a drive and may drive between ports: origin, station, total, at, legs, path.
 
@@ -135,11 +176,13 @@ def route_multimodal(
     number of services that is faster than all with fewer. A drive of no length takes no time. Each layer is checkpointed."""
     kind = services.schema["id"].dataType.simpleString()
     columns = ["origin", "station", "total", "at", "legs", "path"]
+    # Made once: a layer reads the profiles, drives and kinds of ports, not what they come from.
+    known, drives, kinds = _profiles(services, day, width), lineage.cut(drives), lineage.cut(kinds)
     seeds = drive_seeds(access, start, limit, day).select("origin", "station", "total", "at", F.lit(0).alias("legs"), F.array(F.lit("carDriving")).cast(f"array<{kind}>").alias("path"))
     sources, found, reached = _best(seeds), None, None
     for _ in range(hops):
         ready = _prepared(sources if cap is None else sources.where(F.col("total") <= cap), kinds, prepare)
-        moved = _best(next_service(ready, services, F.col("low"), high, day, closed)).select(columns)
+        moved = _best(next_service(ready, known, F.col("low"), high, day, closed, width)).select(columns)
         if reached is not None:
             moved = moved.join(reached, ["origin", "station"], "left").where(F.col("before").isNull() | (F.col("total") < F.col("before") - margin)).select(columns)
         moved = lineage.cut(moved)
@@ -152,8 +195,7 @@ def route_multimodal(
     if not pareto:
         return _best(found)
     each = found.groupBy("origin", "station", "legs").agg(F.min(F.struct("total", "path", "at")).alias("b")).select("origin", "station", "legs", "b.*")
-    before = Window.partitionBy("origin", "station").orderBy("legs").rowsBetween(Window.unboundedPreceding, -1)
-    return each.withColumn("_least", F.min("total").over(before)).where("_least is null or total < _least").select(columns)
+    return _faster(each).select(columns)
 
 
 def first_gaps(labels: DataFrame, services: DataFrame, access: DataFrame, kinds: DataFrame, start: int, later: int, day: int = 1440, prepare: dict[str, int] = PREPARE) -> DataFrame:

@@ -383,6 +383,16 @@ def route_pareto(spark, d):
     return routing.route_layers(_services(spark, d), _seeds(spark, d), 3, 15, 1440).select("origin", "station", "legs", "total")
 
 
+_WALK = "select origin, arr as station, total + (dep_t - tod + 1440) % 1440 + during as total, arr_t as tod from {0} join sv on station = dep where (dep_t - tod + 1440) % 1440 between 15 and 179"
+
+
+@query(f"""{V.sql("stops")}, {_SERVICES}, {_layers(0, 15, 180).partition(", al as")[0]}, w1 as ({_WALK.format("l0")}), w2 as ({_WALK.format("w1")}),
+al as (select origin, station, 1 as legs, min(total) as total from w1 group by 1, 2 union all select origin, station, 2, min(total) from w2 group by 1, 2)
+select origin, station, legs, total from al qualify coalesce(total < min(total) over (partition by origin, station order by legs rows between unbounded preceding and 1 preceding), true)""")
+def route_bags(spark, d):
+    return routing.route_bags(_services(spark, d), _seeds(spark, d), 2, 15, 180).select("origin", "station", "legs", "total")
+
+
 _RIDE = "select origin, arr as station, min(total + (dep_t - tod + 1440) % 1440 + during) as total, (480 + min(total + (dep_t - tod + 1440) % 1440 + during)) % 1440 as tod from {0} join sv on station = dep where (dep_t - tod + 1440) % 1440 between 15 and 1439 group by 1, 2"
 
 
