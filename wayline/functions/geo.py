@@ -70,11 +70,18 @@ def _q(lat: Column) -> Column:
 
 
 def ring_area(ring: Column, unit: str) -> Column:
-    """Area of a closed ring on an Albers equal-area plane whose standard parallels are the ring's least and
-    largest latitude; unit 'm2' or 'km2'. Null where the parallels are opposite, the projection being undefined."""
+    """polygon_area() of one closed ring."""
+    return polygon_area(F.array(F.array(ring)), unit)
+
+
+def polygon_area(parts: Column, unit: str) -> Column:
+    """Area of parts, arrays of closed rings of which the first is a part's outer one and the others are holes, whichever way they
+    run, on an Albers equal-area plane whose standard parallels are the polygon's least and largest latitude; unit 'm2' or
+    'km2'. Null where the parallels are opposite, the projection being undefined."""
     # Each value that is used again is bound to a lambda's variable; else the formula would be spelt out at every use.
     bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
     m2 = lambda lat: F.pow(F.cos(F.radians(lat)), F.lit(2)) / (1 - F.lit(ECC2) * F.pow(F.sin(F.radians(lat)), F.lit(2)))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
     def area(k: Column) -> Column:
         n, c = k["n"], k["c"]
@@ -85,21 +92,37 @@ def ring_area(ring: Column, unit: str) -> Column:
 
         def shoelace(flat: Column) -> Column:
             size = F.size(flat)
-            parts = F.zip_with(F.slice(flat, 1, size - 1), F.slice(flat, 2, size - 1), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-            return F.abs(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)) / 2
+            return F.abs(total(F.zip_with(F.slice(flat, 1, size - 1), F.slice(flat, 2, size - 1), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]))) / 2
 
-        return bound(F.transform(ring, point), shoelace)
+        def part(rings: Column) -> Column:
+            sizes = F.transform(rings, lambda ring: bound(F.transform(ring, point), shoelace))
+            # The outer ring counts, holes are taken away.
+            return bound(sizes, lambda s: 2 * F.get(s, F.lit(0)) - total(s))
+
+        return total(F.transform(parts, part))
 
     def constants(e: Column) -> Column:
         low, high = e["low"], e["high"]
         n = F.when(high == low, F.sin(F.radians(low))).otherwise((m2(low) - m2(high)) / F.nullif(_q(high) - _q(low), F.lit(0.0)))
         return bound(F.struct(F.nullif(n, F.lit(0.0)).alias("n"), low.alias("low")), lambda k: F.struct(k["n"].alias("n"), (m2(k["low"]) + k["n"] * _q(k["low"])).alias("c")))
 
-    edges = F.struct(F.array_min(F.transform(ring, lambda p: p["y"])).alias("low"), F.array_max(F.transform(ring, lambda p: p["y"])).alias("high"))
-    found = bound(bound(edges, constants), area)
+    lats = F.transform(F.flatten(F.flatten(parts)), lambda p: p["y"])
+    found = bound(bound(F.struct(F.array_min(lats).alias("low"), F.array_max(lats).alias("high")), constants), area)
     return found / 1e6 if unit == "km2" else found
 
 
+def sides(parts: Column) -> Column:
+    """The sides (ax, ay, bx, by) of all rings of all parts."""
+    ring = lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+    return F.flatten(F.transform(F.filter(F.flatten(parts), lambda r: F.size(r) > 1), ring))
+
+
+def crossings(lines: Column, x: Column, y: Column) -> Column:
+    """The sides that a ray from (x, y) to the east crosses; inside by the even-odd rule if they are odd, whatever is a hole."""
+    crossed = lambda s: ((s["ay"] > y) != (s["by"] > y)) & (x < s["ax"] + (s["bx"] - s["ax"]) * (y - s["ay"]) / F.nullif(s["by"] - s["ay"], F.lit(0.0)))
+    return F.size(F.filter(lines, crossed))
+
+
 def mollweide_to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
     """(lon, lat) of a point in metres on the Mollweide plane of a sphere with the WGS 84 axis."""
     theta = F.asin(y / F.lit(AXIS_M * 2**0.5))

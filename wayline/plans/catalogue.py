@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from ..functions import text as N
 from ..functions import timeops as T
-from ..operators import flows, graph, hull, linkage, match, osm, routing, spatial, stats, timetable
+from ..operators import flows, graph, hull, linkage, match, osm, routing, spatial, stats, tiles, timetable
 from ..sources import files
 from . import views as V
 
@@ -309,6 +309,32 @@ def area_albers(spark, d):
     return V.polygons(spark, d).select("poly", F.round(G.ring_area(F.col("ring"), "km2"), 2).alias("km2")).where("km2 is not null")
 
 
+#: A ring's box holds its left and lower edges; holes and parts count by the even-odd rule.
+_IN_SHAPES = """h as (select pid, value, poly from points p join shapes s on p.x >= x1 and p.x < x2 and p.y >= y1 and p.y < y2 group by pid, p.x, p.y, value, poly having count(*) % 2 = 1)"""
+
+
+@query(f"""{V.sql("points", "shapes")}, {_IN_SHAPES}, s as (select distinct poly from shapes)
+select poly, round(coalesce(sum(value), 0), 4)::double as total, count(value) as n from s left join (select * from h where value > 0) using (poly) group by poly""")
+def pip_tiles(spark, d):
+    return tiles.sums(V.points(spark, d), V.shapes(spark, d), 200).withColumn("total", F.round("total", 4))
+
+
+@query(f"{V.sql('points', 'shapes')}, {_IN_SHAPES} select pid, min(poly) as poly from h group by pid")
+def located_in_parts(spark, d):
+    return tiles.locate(V.points(spark, d), V.shapes(spark, d)).select("pid", "poly")
+
+
+@query(f"""{V.sql("shapes")}, b as (select *, y - r as lo, y + r as hi from shapes where r < 60), k as (select *, ({_MM.format("lo")} - {_MM.format("hi")}) / nullif({_QQ.format("hi")} - {_QQ.format("lo")}, 0) as n from b where lo <> -hi),
+c as (select *, {_MM.format("lo")} + n * {_QQ.format("lo")} as c from k),
+p as (select poly, ring, i, x, v, n, {G.AXIS_M} * sqrt(c - n * {_QQ.format("v")}) / n as rho from (select *, unnest([0, 1, 2, 3, 4]) as i, unnest([x1, x2, x2, x1, x1]) as x, unnest([y1, y1, y2, y2, y1]) as v from c)),
+f as (select poly, ring, i, rho * sin(n * radians(x)) as u, -rho * cos(n * radians(x)) as w from p),
+a as (select a.poly, a.ring, abs(sum(a.u * b.w - b.u * a.w)) / 2 / 1e6 as km2 from f a join f b on a.poly = b.poly and a.ring = b.ring and b.i = a.i + 1 group by 1, 2)
+select poly, round(sum(case when ring = 1 then -km2 else km2 end), 1) as km2 from a group by poly""")
+def area_parts(spark, d):
+    shapes = V.shapes(spark, d).where(F.col("poly") % 5 != 0)
+    return shapes.select("poly", F.round(G.polygon_area(F.col("parts"), "km2"), 1).alias("km2")).where("km2 is not null")
+
+
 @query(f"""{V.sql("places")}, q as (select name, lon, lat, lon + 0.31 as lon2, lat + 0.17 as lat2 from places), w as (select *, {_distance("lon", "lat", "lon2", "lat2")} as km from q), u as (select *, ceil(km / 2)::int as n from w)
 select name, i::int as pos, round(case when i = n then lon2 else lon + (lon2 - lon) * i / n end, 9) as x, round(case when i = n then lat2 else lat + (lat2 - lat) * i / n end, 9) as y from (select *, unnest(range(0, n + 1)) as i from u)""")
 def interpolate_points(spark, d):

@@ -57,6 +57,16 @@ def polygons(spark, d) -> DataFrame:
     return table(spark, d, "region").select(F.col("r_regionkey").alias("poly"), F.array(corner(left, down), corner(right, down), corner(right, up), corner(left, up), corner(left, down)).alias("ring"))
 
 
+def shapes(spark, d) -> DataFrame:
+    """Polygons of two parts, the first with a hole, from half a degree to 60 degrees wide."""
+    k = F.col("n_nationkey")
+    x, y = ((k * 37) % 300 - 150).cast("double"), ((k * 17) % 100 - 50).cast("double")
+    r = F.element_at(F.array(*map(F.lit, (60.0, 20.25, 5.5, 1.25, 0.5))), (k % 5 + 1).cast("int"))
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    square = lambda a, b, h: F.array(point(a - h, b - h), point(a + h, b - h), point(a + h, b + h), point(a - h, b + h), point(a - h, b - h))
+    return table(spark, d, "nation").select(k.alias("poly"), F.array(F.array(square(x, y, r), F.reverse(square(x, y, r / 2))), F.array(square(x + r * 1.5, y, r / 4))).alias("parts"))
+
+
 def edges(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst"), F.col("l_quantity").alias("w"),
@@ -87,6 +97,7 @@ SQL = {
     "records": "select train, seq, part as station, case when seq % 3 <> 0 then m // 60 * 100 + m % 60 end as arr, case when seq % 4 <> 0 then m // 60 * 100 + m % 60 end as dep from (select *, (station * 13) % 1440 as m from stops)",
     "points": "select c_custkey as pid, -180 + ((c_custkey * 7919) % 36000)::double / 100 as x, -70 + ((c_custkey * 104729) % 14000)::double / 100 as y, c_acctbal as value from customer",
     "boxes": "select r_regionkey as poly, -170 + 70 * r_regionkey::double as x1, -110 + 70 * r_regionkey::double as x2, -60 + 10 * r_regionkey::double as y1, 60 - 5 * r_regionkey::double as y2 from region",
+    "shapes": "select poly, ring, x - h as x1, x + h as x2, y - h as y1, y + h as y2, r, y from (select poly, ring, r, y, case when ring = 2 then x + r * 1.5 else x end as x, case ring when 0 then r when 1 then r / 2 else r / 4 end as h from (select n_nationkey as poly, ((n_nationkey * 37) % 300 - 150)::double as x, ((n_nationkey * 17) % 100 - 50)::double as y, case n_nationkey % 5 when 0 then 60.0 when 1 then 20.25 when 2 then 5.5 when 3 then 1.25 else 0.5 end::double as r from nation), (select unnest([0, 1, 2]) as ring))",
     "edges": "select l_suppkey as src, l_partkey % 100 as dst, l_quantity as w, (l_orderkey * 100 + l_linenumber) * 1000 + l_quantity::bigint as row from lineitem",
     "pairs2": "select least(src, dst) as a, greatest(src, dst) as b, arg_max(w, row) as w from edges group by 1, 2",
     "trips": "select event_id, user_id, strftime(ts, '%H:%M') as clock, ts::date as day, ts, event_type, value, props from events",
