@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions import timeops as T
+from . import lineage
 
 NO_LINK, TOO_FEW = 100_000.0, 10_000.0
 
@@ -41,6 +42,39 @@ def similarity(stops: DataFrame, common: int, exact: int = 0, loose: int = 25, n
     return both.select("a", "b", F.when(differ, NO_LINK).otherwise(F.col("score")).alias("score"))
 
 
+#: Trains of one station's list that meet in one task.
+LIST = 2_000
+
+
+def sharing(stops: DataFrame, common: int) -> DataFrame:
+    """a, b: pairs of trains that may have `common` different stations in common, and all that have; a < b.
+
+    Stations are ordered by how few trains they have. Of two trains with `common` stations in common the first such station is,
+    in either train, among all but the last common - 1 of its stations, so only these are indexed: busy stations come last and are
+    seldom among them. A list of more than LIST trains is dealt over blocks, each pair of blocks being a key of its own."""
+    own = lineage.cut(stops.select("train", "station").where("station is not null").distinct())
+    many = own.groupBy("station").agg(F.count("*").alias("_m"))
+    order = Window.partitionBy("train").orderBy("_m", "station")
+    placed = own.join(many, "station").withColumns({"_i": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy("train"))})
+    # A train's list is as long as its stations, a station's list may be anything.
+    head = lineage.cut(placed.where(F.col("_i") <= F.col("_n") - common + 1).select("train", "station"))
+    blocks = head.groupBy("station").agg(F.ceil(F.count("*") / LIST).cast("int").alias("_g")).where("_g > 1")
+    dealt = head.join(blocks, "station", "left").withColumn("_g", F.coalesce("_g", F.lit(1))).withColumn("_o", F.pmod(F.xxhash64("train"), F.col("_g")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("_g") - 1)
+    left = dealt.select(F.col("train").alias("a"), "station", F.col("_o").alias("_p"), F.explode(every).alias("_q"))
+    right = dealt.select(F.col("train").alias("b"), "station", F.explode(every).alias("_p"), F.col("_o").alias("_q"))
+    return left.join(right, ["station", "_p", "_q"]).where("a < b").select("a", "b").distinct()
+
+
+def close(stops: DataFrame, common: int, exact: int = 0, loose: int = 25, numbers: DataFrame | None = None) -> DataFrame:
+    """The rows of similarity() for pairs of trains with at least `common` different stations in common, found by sharing()."""
+    near = lineage.cut(sharing(stops, common))
+    own = stops.select("train", "station").where("station is not null").distinct()
+    both = near.join(own.withColumnRenamed("train", "a"), "a").join(own.withColumnRenamed("train", "b"), ["b", "station"])
+    enough = lineage.cut(both.groupBy("a", "b").agg(F.count("*").alias("_c")).where(F.col("_c") >= common).select("a", "b"))
+    return similarity(stops, common, exact, loose, numbers, enough)
+
+
 def similar(stops: DataFrame, common: int = 1, exact: int = 0, loose: int = 25, numbers: DataFrame | None = None) -> DataFrame:
     """The pairs of similarity() that are scored below TOO_FEW. Only trains that meet at a station within the larger
     tolerance are compared: they are found by station and time bucket, so a busy station does not bring all its trains

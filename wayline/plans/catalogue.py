@@ -206,6 +206,14 @@ def similar_trains(spark, d):
     return linkage.similar(V.hhmm_stops(spark, d), 2, 5, 9)
 
 
+@query(f"""{V.sql("hhmm_stops")}, {_SIM.replace("records", "hhmm_stops")}, o as (select distinct train, station from hhmm_stops), e as (select x.train as a, y.train as b from o x join o y on x.station = y.station and x.train < y.train group by 1, 2 having count(*) >= 3),
+y as (select a, b, coalesce(aa, dd) as same, case when ad <= 25 then ad when da <= 25 then da end as near from x semi join e using (a, b)),
+z as (select a, b, count(*) as shared, coalesce(sum((same <= 5)::int), 0) + max(case when same is null and near is not null then 1 else 0 end) as agree, sum(coalesce(same, near)) as off, bool_or(coalesce(same > 5, near is null)) as veto from y group by a, b)
+select a, b, (case when veto or shared < 3 then 100000.0 when agree < 3 then 10000.0 else off / agree end)::double as score from z""")
+def trains_in_common(spark, d):
+    return linkage.close(V.hhmm_stops(spark, d), 3, 5, 25)
+
+
 _LINKS = f"{_SIM}, l as (select a, b, sum((coalesce(aa, dd) <= 60)::int)::bigint as matches from x group by a, b having sum((coalesce(aa, dd) <= 60)::int) >= 2 and max(coalesce(aa, dd)) <= 60)"
 
 
