@@ -145,3 +145,38 @@ def test_relations_inside_each_other(spark):
     rows = [("node", 1, 2.0, 4.0, {"name": "n"}, None, None), rel(1, ("node", 1)), rel(2, ("relation", 1)), rel(3, ("relation", 2), ("relation", 99)), rel(4, ("relation", 5)), rel(5, ("relation", 4))]
     got = sorted((r.name, r.id, r.lon) for r in osm.places(spark.createDataFrame(rows, kind)).collect())
     assert got == [("n", 3, 2.0), ("r1", 3, 2.0), ("r2", 3, 2.0), ("r3", 3, 2.0)]
+
+
+def test_long_names_and_the_index_of_a_shapefile(spark, tmp_path):
+    import struct
+
+    import pytest
+
+    from wayline.sources import binary
+
+    name = "é" * 100 + "tail"
+    rows = [{"name": name}, {"name": ""}]
+    assert [dict(f) for _, f in binary.parse_table(binary.table_bytes(rows))] == rows
+    with pytest.raises(ValueError, match="255 bytes"):
+        binary.table_bytes([{"name": "x" * 255}])
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
+    shapes = binary.shape_bytes([(5, [square]), (5, [square, square]), (5, [square])])
+    index = binary.index_bytes(shapes)
+    assert index[:24] == shapes[:24] and struct.unpack(">i", index[24:28])[0] * 2 == len(index)
+    for k in range(3):
+        at, words = struct.unpack_from(">2i", index, 100 + 8 * k)
+        assert struct.unpack_from(">2i", shapes, 2 * at) == (k + 1, words)
+    df = spark.createDataFrame([([[{"x": x, "y": y} for x, y in square]], name)], "parts array<array<struct<x: double, y: double>>>, name string")
+    assert binary.write_shapes(df, f"{tmp_path}/shapes").count() == 1
+    assert sorted(p.suffix for p in (tmp_path / "shapes").iterdir()) == [".dbf", ".shp", ".shx"]
+    assert binary.shapes(spark, f"{tmp_path}/shapes").first()["fields"]["name"] == name
+
+
+def test_relations_of_any_depth(spark):
+    from wayline.operators import osm
+
+    refs = spark.createDataFrame([(1, "node", 7), (2, "relation", 1), (3, "relation", 2), (4, "relation", 3), (5, "relation", 6), (6, "relation", 5)], "id long, t string, ref long")
+    refs = refs.selectExpr("'relation' as type", "id", "array('n' || id) as names", "'city' as kind", "struct(t as type, ref as ref) as m")
+    held = spark.createDataFrame([("node", 7, 1.0, 2.0, ["x"], "city")], "type string, id long, lon double, lat double, names array<string>, kind string")
+    got = {r.id: (r.lon, r.lat) for r in osm._relations(refs, held, True).collect()}
+    assert got == {1: (1.0, 2.0), 2: (1.0, 2.0), 3: (1.0, 2.0), 4: (1.0, 2.0), 5: (None, None), 6: (None, None)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +71,51 @@ def _q(lat: Column) -> Column:
     return F.lit(1 - ECC2) * (s / (1 - F.lit(ECC2) * s * s) - F.lit(1 / (2 * e)) * F.log((1 - F.lit(e) * s) / (1 + F.lit(e) * s)))
 
 
+def _height(km: float) -> float:
+    """Degrees of latitude of a band that is as high as `km`, 180 divided by a whole number."""
+    return 180 / max(1, min(1_000_000, math.floor(180 / (math.degrees(km / RADIUS_KM) or 1e-9))))
+
+
+def band(lat: Column, km: float) -> Column:
+    """The number of the band of latitudes, from the south pole."""
+    return F.least(F.greatest(F.floor((lat + 90) / F.lit(_height(km))), F.lit(0)), F.lit(round(180 / _height(km)) - 1)).cast("int")
+
+
+def _spread(lat: Column, km: float) -> Column:
+    """Degrees of longitude that a circle of `km` around a point spans to either side; 180 if a pole lies in it."""
+    r = min(km / RADIUS_KM, math.pi)
+    beside = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(r, math.pi / 2))) / F.cos(F.radians(lat)))))
+    return F.when(F.abs(lat) + math.degrees(r) + 1e-9 >= 90, F.lit(180.0)).otherwise(beside + 1e-9)
+
+
+def _cells_of(number: Column, km: float) -> Column:
+    """Cells of a band: each as wide as a circle's half at the band's edge nearer to a pole, one at the poles."""
+    h = _height(km)
+    edge = F.greatest(F.abs(number * h - 90), F.abs((number + 1) * h - 90))
+    return F.greatest(F.lit(1), F.floor(F.lit(360.0) / _spread(edge, km)).cast("int"))
+
+
+def band_cell(lon: Column, number: Column, km: float) -> Column:
+    """The cell of a longitude in a band, from -180 eastwards and around."""
+    n = _cells_of(number, km)
+    return F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n).cast("int"), n - 1)
+
+
+def cells_around(lon: Column, lat: Column, km: float) -> Column:
+    """(band, cell) of all cells that can hold a point within `km`, each once, across the date line and the poles."""
+    last = round(180 / _height(km)) - 1
+    own = band(lat, km)
+    # A circle is as high as a band, so it reaches the bands beside its own; one more where heights are rounded.
+    bands = F.sequence(F.greatest(own - 2, F.lit(0)), F.least(own + 2, F.lit(last)))
+
+    def cells(b: Column) -> Column:
+        n, spread = _cells_of(b, km), _spread(lat, km)
+        first, upto = (F.floor((lon + 180 + side * spread) / 360 * n).cast("int") for side in (-1, 1))
+        return F.transform(F.sequence(first, F.least(upto, first + n - 1)), lambda c: F.struct(b.alias("band"), F.pmod(c, n).alias("cell")))
+
+    return F.flatten(F.transform(bands, cells))
+
+
 def ring_area(ring: Column, unit: str) -> Column:
     """polygon_area() of one closed ring."""
     return polygon_area(F.array(F.array(ring)), unit)

@@ -85,15 +85,16 @@ def places(elements: DataFrame, own_names: bool = True) -> DataFrame:
     return whole.select(F.explode("names").alias("name"), "id", "lon", "lat", F.col("kind").alias("type"), F.col("type").alias("element"))
 
 
-def _relations(refs: DataFrame, held: DataFrame, own_names: bool, most: int = 100) -> DataFrame:
-    """Relations whose relations are all worked out, round by round; those that wait for each other come last, without a place."""
+def _relations(refs: DataFrame, held: DataFrame, own_names: bool) -> DataFrame:
+    """Relations whose relations are all worked out, round by round until none is ready, however deep they lie; those that
+    wait for each other come last, without a place."""
     refs = lineage.cut(refs)
     inner = refs.where("m.type = 'relation'").select("id", F.col("m.ref").alias("ref")).join(refs.select(F.col("id").alias("ref")).distinct(), "ref", "left_semi").distinct()
     if inner.isEmpty():
         return _joined(refs, held, own_names)
     done = None
     left = refs
-    for _ in range(most):
+    while True:
         waits = inner if done is None else inner.join(done.select(F.col("id").alias("ref")), "ref", "left_anti")
         ready = left.join(waits.select("id").distinct(), "id", "left_anti")
         if ready.isEmpty():

@@ -35,14 +35,63 @@ def reverse_cdf(histogram: DataFrame) -> DataFrame:
     return histogram.select("bin", "x", F.sum("freq").over(after).alias("share"))
 
 
+#: Bins of an interval in one pass of at_places().
+BINS = 256
+
+
+def at_places(values: DataFrame, places: list[int]) -> dict[int, float | None]:
+    """The value at each place, from 0, of the sorted values: nulls first, nan last. Each pass counts, for each interval that holds
+    wanted places, its bins' values, and keeps the bins that hold them, until such a bin holds one value. Nothing is sorted or
+    copied: a pass moves BINS counts for each interval at most, of which there are as many as places."""
+    v = F.col("value").cast("double")
+    whole = F.when(v.isNotNull() & ~F.isnan(v), v)
+    total = values.agg(F.count(F.when(v.isNull(), 1)).alias("null"), F.count(whole).alias("whole"), F.min(whole).alias("low"), F.max(whole).alias("high")).first()
+    found: dict[int, float | None] = {p: None for p in places if p < total.null}
+    found |= {p: math.nan for p in places if p >= total.null + total.whole}
+    # (low, high, places below it): intervals with the places that are wanted inside.
+    open_ = {(total.low, total.high, total.null): {p for p in places if total.null <= p < total.null + total.whole}}
+    while True:
+        found |= {p: low for (low, high, _), own in open_.items() if low == high for p in own}
+        open_ = {k: own for k, own in open_.items() if own and k[0] != k[1]}
+        if not open_:
+            return found
+        order = sorted(open_)
+        lows, highs = (F.array(*[F.lit(float(k[i])) for k in order]) for i in (0, 1))
+        rows = values.select(whole.alias("v")).where(F.col("v").between(order[0][0], order[-1][1])).withColumn("i", F.size(F.filter(lows, lambda low: low <= F.col("v"))) - 1)
+        rows = rows.where((F.col("i") >= 0) & (F.col("v") <= F.get(highs, F.col("i"))))
+        # Far numbers are told apart by their logarithms first; both ways never put a larger value into an earlier bin.
+        scale = lambda x: F.signum(x) * F.log1p(F.abs(x))
+        far = F.array(*[F.lit(_far(k[0], k[1])) for k in order])
+        low, high, wide = F.get(lows, F.col("i")), F.get(highs, F.col("i")), F.get(far, F.col("i"))
+        share = F.when(wide, (scale(F.col("v")) - scale(low)) / (scale(high) - scale(low))).otherwise((F.col("v") / 2 - low / 2) / (high / 2 - low / 2))
+        place = F.when(F.col("v") == high, BINS - 1).when(F.col("v") == low, 0).otherwise(F.least(F.greatest(F.floor(share * BINS), F.lit(0)), F.lit(BINS - 1))).cast("int")
+        bins: dict[int, list] = {}
+        for r in rows.groupBy("i", place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
+            bins.setdefault(r.i, []).append((r.bin, r.n, r.low, r.high))
+        new: dict[tuple, set] = {}
+        for i, k in enumerate(order):
+            below = k[2]
+            for _, n, a, b in sorted(bins[i]):
+                new[a, b, below] = {p for p in open_[k] if below <= p < below + n}
+                below += n
+        open_ = new
+
+
+def _far(low: float, high: float) -> bool:
+    """Do two bounds differ so much that bins of equal width would be coarse, and by their logarithms at all?"""
+    scale = lambda x: math.copysign(math.log1p(abs(x)), x)
+    return scale(high) - scale(low) > 12 and math.isfinite(scale(high) - scale(low))
+
+
 def split_points(values: DataFrame, n: int) -> DataFrame:
-    """k, split: the value at place round(count / n * k) for k = 1 .. n - 1, ties to even, and the largest for k = n.
-    Ranks come from sorted range partitions and their sizes, not from one sorted task."""
-    rows = lineage.cut(values.select("value", F.monotonically_increasing_id().alias("_row")))
-    ranked = lineage.numbered(rows, "value", "_row").select("value", "place")
-    total = rows.agg(F.count("*").alias("total"), F.max("value").alias("top"))
-    wanted = values.sparkSession.range(1, n).join(F.broadcast(total)).select(F.col("id").cast("int").alias("k"), F.rint(F.col("total") / n * F.col("id")).cast("bigint").alias("place"))
-    return ranked.join(F.broadcast(wanted), "place").select("k", F.col("value").alias("split")).union(total.select(F.lit(n), "top"))
+    """k, split: the value at place round(count / n * k) for k = 1 .. n - 1, ties to even, and the largest for k = n."""
+    total = values.agg(F.count("*").alias("total"), F.max("value").alias("top")).first()
+    wanted = {k: round(total.total / n * k) for k in range(1, n)}
+    kind = values.schema["value"].dataType
+    at = at_places(values, sorted({p for p in wanted.values() if p < total.total}))
+    rows = [(k, at[p]) for k, p in wanted.items() if p in at]
+    found = values.sparkSession.createDataFrame(rows, "k int, split double").select("k", F.col("split").cast(kind).alias("split"))
+    return found.union(values.agg(F.lit(n), F.max("value")))
 
 
 def largest(items: DataFrame, n: int) -> DataFrame:
@@ -50,31 +99,26 @@ def largest(items: DataFrame, n: int) -> DataFrame:
     return items.orderBy(F.desc("value"), "name").limit(n + 1)
 
 
-#: Different x whose sums fit the driver.
-SUMMARY = 1_000_000
+#: Different x that fit_power takes: their sums lie on the driver.
+MOST_X = 1_000_000
 
 
 def fit_power(points: DataFrame, steps: int = 100, rate: float = 0.01, n: int | None = None) -> tuple[float, float]:
     """w, b of y = b / x**w after full-batch steps from (1, 1), with the step rule sum(2 (model - y) x) / n for w and
-    sum(2 (model - y)) / n for b. As the model depends on x alone, points of equal x are added up first, once; the steps
-    work on those sums, on the driver if there are at most SUMMARY of them, else as an aggregation each."""
-    held = points.groupBy("x").agg(F.count("*").alias("c"), F.sum("y").alias("s")).cache()
-    total, size = held.agg(F.sum("c"), F.count("*")).first()
-    n = n or total
-    rows = np.array([tuple(r) for r in held.collect()], dtype=float).reshape(-1, 3).T if size <= SUMMARY else None
+    sum(2 (model - y)) / n for b. As the model depends on x alone, points of equal x are added up first, by Spark and once; the
+    steps work on those sums on the driver. More than MOST_X different x raise an error: round x, or fit a histogram."""
+    held = points.groupBy("x").agg(F.count("*").alias("c"), F.sum("y").alias("s")).limit(MOST_X + 1).collect()
+    if len(held) > MOST_X:
+        raise ValueError(f"more than {MOST_X} different x")
+    rows = np.array([tuple(r) for r in held], dtype=float).reshape(-1, 3).T
+    n = n or rows[1].sum()
     w = b = 1.0
-    for _ in range(steps):
-        if rows is not None:
-            off = 2 * (b / rows[0] ** w * rows[1] - rows[2])
-            dw, db = math.fsum(off * rows[0]), math.fsum(off)
-        else:
-            off = 2 * (F.lit(b) / F.pow("x", F.lit(w)) * F.col("c") - F.col("s"))
-            dw, db = held.agg(F.sum(off * F.col("x")), F.sum(off)).first()
-        w, b = w - rate * dw / n, b - rate * db / n
+    for _ in range(steps if rows.size else 0):
+        off = 2 * (b / rows[0] ** w * rows[1] - rows[2])
+        w, b = w - rate * math.fsum(off * rows[0]) / n, b - rate * math.fsum(off) / n
         if not (math.isfinite(w) and math.isfinite(b)):
             break
-    held.unpersist()
-    return w, b
+    return float(w), float(b)
 
 
 def describe_pairs(points: DataFrame) -> DataFrame:

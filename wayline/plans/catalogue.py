@@ -46,6 +46,26 @@ def gravity_flow(spark, d):
     return flows.gravity(V.places(spark, d), 9000).withColumn("flow", F.round("flow", 6))
 
 
+#: Customers as places: those of the points, near the poles and the date line too.
+_SPOTS = f"spots as (select pid as name, x as lon, y + case when y < 0 then -19 else 19 end as lat, abs(value)::double + 1 as value from points), near as (select * from (select a.name as org, b.name as dest, a.value as m, b.value as n, {_distance('a.lon', 'a.lat', 'b.lon', 'b.lat')} as d from spots a join spots b on a.name <> b.name) where d <= 350)"
+
+
+def _spots(spark, d):
+    y = F.col("y")
+    return V.points(spark, d).select(F.col("pid").alias("name"), F.col("x").alias("lon"), (y + F.when(y < 0, -19).otherwise(19)).alias("lat"), (F.abs("value").cast("double") + 1).alias("value"))
+
+
+@query(f"{V.sql('points')}, {_SPOTS} select org, dest, round(ln(m * n / nullif(pow(d, 2), 0)), 6) as log_flow from near where dest < org")
+def gravity_within(spark, d):
+    return flows.gravity(_spots(spark, d), 350.0).select("org", "dest", F.round(F.log("flow"), 6).alias("log_flow"))
+
+
+@query(f"""{V.sql("points")}, {_SPOTS}, s as (select *, coalesce(sum(n) over (partition by org order by d, dest rows between unbounded preceding and 1 preceding), 0) as s, (select sum(value) from spots) as total from near)
+select org, dest, round(s, 3) as s, round(ln(1 / (1 - m / total) * (0.1 * m) * m * n / ((m + s) * (m + n + s))), 6) as log_flow from s""")
+def radiation_within(spark, d):
+    return flows.radiation(_spots(spark, d), most=350.0).select("org", "dest", F.round("s", 3).alias("s"), F.round(F.log("flow"), 6).alias("log_flow"))
+
+
 @query(f"{V.sql('places')}, {PAIRS} select org, dest, round(d, 6) as d, row_number() over (partition by org order by d, dest) as rank, round(exp(ln(m) + ln(n) - 2 * ln(d)) * 1e-4, 9) as pull from pairs")
 def pair_distance(spark, d):
     p = flows.pair_distances(V.places(spark, d)).withColumn("pull", F.round(G.pull(F.col("m"), F.col("n"), F.col("d")), 9))

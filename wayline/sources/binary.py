@@ -119,17 +119,35 @@ def shape_bytes(rows: list[tuple[int, list[list[tuple[float, float]]]]]) -> byte
     return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size // 2) + struct.pack("<2i", 1000, kind) + struct.pack("<8d", *box, 0, 0, 0, 0) + b"".join(out)
 
 
-def table_bytes(rows: list[dict[str, str]], width: int = 80) -> bytes:
-    """A .dbf file of text fields."""
+#: The widest text field of a .dbf file, in bytes.
+WIDEST = 254
+
+
+def table_bytes(rows: list[dict[str, str]]) -> bytes:
+    """A .dbf file of text fields, each as wide as its longest text; a text of more than WIDEST bytes raises an error."""
     names = list(rows[0]) if rows else ["name"]
-    head = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(rows), 32 + 32 * len(names) + 1, 1 + width * len(names))
-    fields = b"".join(struct.pack("<11sc4xB15x", n.encode()[:10], b"C", width) for n in names)
-    cell = lambda v: (v or "").encode()[:width].ljust(width)
-    return head + fields + b"\r" + b"".join(b" " + b"".join(cell(r[n]) for n in names) for r in rows) + b"\x1a"
+    cells = {n: [(r[n] or "").encode() for r in rows] for n in names}
+    width = {n: max(1, *map(len, c)) if c else 1 for n, c in cells.items()}
+    for n, w in width.items():
+        if w > WIDEST:
+            raise ValueError(f"a text of {w} bytes in {n}: a .dbf field holds {WIDEST}")
+    head = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(rows), 32 + 32 * len(names) + 1, 1 + sum(width.values()))
+    fields = b"".join(struct.pack("<11sc4xB15x", n.encode()[:10], b"C", width[n]) for n in names)
+    return head + fields + b"\r" + b"".join(b" " + b"".join(cells[n][k].ljust(width[n]) for n in names) for k in range(len(rows))) + b"\x1a"
+
+
+def index_bytes(shapes: bytes) -> bytes:
+    """The .shx file of a .shp file: the place and length of each record, in 16-bit words."""
+    at, places = 100, []
+    while at < len(shapes):
+        words = struct.unpack_from(">i", shapes, at + 4)[0]
+        places.append(struct.pack(">2i", at // 2, words))
+        at += 8 + 2 * words
+    return shapes[:24] + struct.pack(">i", (100 + 8 * len(places)) // 2) + shapes[28:100] + b"".join(places)
 
 
 def write_shapes(df: DataFrame, path: str, kind: int = 5) -> DataFrame:
-    """Writes df (parts and a column `name`) as shapefiles with tables, one for each partition, in a folder that driver and
+    """Writes df (parts and a column `name`) as shapefiles with index and table, one for each partition, in a folder that driver and
     executors share. A partition's file has its number for a name, so that a repeated task writes it anew."""
     from pyarrow import fs
 
@@ -145,7 +163,8 @@ def write_shapes(df: DataFrame, path: str, kind: int = 5) -> DataFrame:
             store.create_dir(folder, recursive=True)
             name = f"{folder}/part-{TaskContext.get().partitionId():05d}"
             rows = [(kind, [[(p["x"], p["y"]) for p in part] for part in shape]) for shape in parts]
-            for suffix, content in ((".shp", shape_bytes(rows)), (".dbf", table_bytes([{"name": n} for n in names]))):
+            shapes = shape_bytes(rows)
+            for suffix, content in ((".shp", shapes), (".shx", index_bytes(shapes)), (".dbf", table_bytes([{"name": n} for n in names]))):
                 with store.open_output_stream(name + suffix) as f:
                     f.write(content)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(parts)], pa.int64())], ["file", "rows"])
