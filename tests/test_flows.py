@@ -44,3 +44,16 @@ def test_too_many_different_x_raise(spark, monkeypatch):
     monkeypatch.setattr(stats, "MOST_X", 3)
     with pytest.raises(ValueError, match="different x"):
         stats.fit_power(spark.range(9).selectExpr("id + 1.0D as x", "1.0D as y"))
+
+
+def test_binned_density_is_within_its_error(spark):
+    rng = random.Random(5)
+    rows = [rng.gauss(10, 3) for _ in range(300)] + [rng.choice([1.0, 30.0]) for _ in range(40)]
+    frame = spark.createDataFrame([(v,) for v in rows] + [(None,)], "value double")
+    exact = {r.point: r.density for r in stats.density(frame, 20).collect()}
+    mean = sum(rows) / len(rows)
+    width = math.sqrt(sum((v - mean) ** 2 for v in rows) / (len(rows) - 1)) * len(rows) ** -0.2
+    for cells in (40, 400):
+        got = {r.point: r.density for r in stats.binned_density(frame, 20, cells).collect()}
+        most = stats.density_error(max(rows) - min(rows), width, cells)
+        assert got.keys() == exact.keys() and max(abs(got[k] - exact[k]) for k in got) <= most < 0.01

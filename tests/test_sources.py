@@ -180,3 +180,23 @@ def test_relations_of_any_depth(spark):
     held = spark.createDataFrame([("node", 7, 1.0, 2.0, ["x"], "city")], "type string, id long, lon double, lat double, names array<string>, kind string")
     got = {r.id: (r.lon, r.lat) for r in osm._relations(refs, held, True).collect()}
     assert got == {1: (1.0, 2.0), 2: (1.0, 2.0), 3: (1.0, 2.0), 4: (1.0, 2.0), 5: (None, None), 6: (None, None)}
+
+
+def test_bands_and_tiles_of_images_and_grids(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    for bands in (2, 3):
+        image = rng.normal(size=(7, 5, bands))
+        for band in range(bands):
+            got = np.full((7, 5), np.nan)
+            for row, col, block, _ in binary.parse_tiff(binary.tiff_bytes(image, 0, 0, 1.0, True, 3), band):
+                got[row : row + block.shape[0], col : col + block.shape[1]] = block
+            assert (got == image[:, :, band]).all()
+    pixels = [(t, b, r, c, float(100 * t + 10 * b + r + c / 10)) for t in (1, 2) for b in (0, 1) for r in range(3) for c in range(4) if (r + c) % 3]
+    frame = spark.createDataFrame([*pixels, (1, 0, 0, 1, -5.0)], "tile int, band int, row int, col int, value double")
+    assert sorted(r.n for r in binary.write_tiffs(frame, f"{tmp_path}/t", (3, 4), 0.0, 3.0, 1.0).collect()) == [16, 17]
+    got = {(int(r.file[-5]), r.row, r.col): r.value for r in binary.tiff_pixels(spark, f"file://{tmp_path}/t", band=1).collect()}
+    assert got == {(t, r, c): v for t, b, r, c, v in pixels if b == 1}
+    cells = frame.selectExpr("tile", "band as time", "row", "col", "value")
+    binary.write_grids(cells, f"{tmp_path}/g", [5.0, 6.0], [2.0, 1.0, 0.0], [0.0, 1.0, 2.0, 3.0]).collect()
+    got = {(r.file[-4], r.x, 2 - r.y): r.value for r in binary.grid_cells(spark, f"file://{tmp_path}/g", "value", 6.0).collect()}
+    assert got == {(str(t), float(c), float(r)): v for t, b, r, c, v in pixels if b == 1}

@@ -159,6 +159,29 @@ def density(values: DataFrame, steps: int) -> DataFrame:
     return found.select("point", x.alias("x"), (F.col("k") / (F.col("all") * F.col("width") * math.sqrt(2 * math.pi))).alias("density"))
 
 
+def binned_density(values: DataFrame, steps: int, cells: int = 1_000) -> DataFrame:
+    """density() with the values dealt linearly to the two nearest of cells + 1 places first, so that a task sends a number for each
+    place, however many values and points there are. It differs from density() by density_error() at most."""
+    span = values.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("all"), F.stddev_samp("value").alias("sd"))
+    span = F.broadcast(span.withColumn("width", F.nullif(F.col("sd") * F.pow("all", F.lit(-0.2)), F.lit(0.0))))  # one row
+    facts = ["low", "high", "all", "width"]
+    rows = values.where("value is not null").join(span).withColumn("_at", F.coalesce((F.col("value") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * cells, F.lit(0.0)))
+    rows = rows.withColumn("_i", F.least(F.floor("_at"), F.lit(cells - 1)).cast("int"))
+    part = F.col("_at") - F.col("_i")
+    dealt = rows.select(*facts, F.inline(F.array(F.struct(F.col("_i").alias("cell"), (1 - part).alias("w")), F.struct((F.col("_i") + 1).alias("cell"), part.alias("w")))))
+    held = dealt.groupBy("cell", *facts).agg(F.sum("w").alias("w")).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    place = lambda k, n: F.col("low") + F.col(k) * (F.col("high") - F.col("low")) / n
+    kernel = F.exp(-F.pow((place("point", steps) - place("cell", cells)) / F.col("width"), F.lit(2)) / 2)
+    found = held.groupBy("point", *facts).agg(F.sum(F.col("w") * kernel).alias("k"))
+    return found.select("point", place("point", steps).alias("x"), (F.col("k") / (F.col("all") * F.col("width") * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def density_error(spread: float, width: float, cells: int = 1_000) -> float:
+    """The most by which binned_density() is off, for values that spread so far and kernels so wide: linear weights miss a function by
+    an eighth of its second derivative times the square of a cell, and a Gaussian's is largest in its middle."""
+    return (spread / cells) ** 2 / 8 / (width**3 * math.sqrt(2 * math.pi))
+
+
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """df that counts its rows as they pass, without a pass of its own; the count is in the observation once df has run."""
     seen = Observation(name)

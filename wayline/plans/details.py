@@ -193,6 +193,16 @@ def value_histogram(spark, d):
     return h.select("bin", F.round("x", 4).alias("x"), "n", F.round("density", 12).alias("density"))
 
 
+@query("""with s as (select count(*) as n, stddev_samp(o_totalprice) as sd, min(o_totalprice)::double as low, max(o_totalprice)::double as high from orders), h as (select *, sd * pow(n, -0.2::double) as bw from s),
+a as (select (o_totalprice - low) / (high - low) * 1000 as spot, low, high, bw, n from orders, h), i as (select *, least(floor(spot), 999) as i from a),
+w as (select cell, low, high, bw, n, sum(w) as w from (select i as cell, 1 - (spot - i) as w, low, high, bw, n from i union all select i + 1, spot - i, low, high, bw, n from i) group by all),
+g as (select *, unnest(range(0, 11)) as k from w)
+select k::int as point, round(sum(w * exp(-pow((low + k * (high - low) / 10 - (low + cell * (high - low) / 1000)) / bw, 2) / 2)) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 12) as density from g group by k""")
+def binned_density(spark, d):
+    k = stats.binned_density(V.table(spark, d, "orders").select(F.col("o_totalprice").cast("double").alias("value")), 10)
+    return k.select("point", F.round("density", 12).alias("density"))
+
+
 @query("""with s as (select count(*) as n, stddev_samp(o_totalprice) as sd, min(o_totalprice) as low, max(o_totalprice) as high from orders), h as (select *, sd * pow(n, -0.2::double) as bw from s),
 g as (select k, low + k * (high - low) / 10 as x, bw, n from h, (select unnest(range(0, 11)) as k))
 select k::int as point, round(sum(exp(-pow((x - o_totalprice) / bw, 2) / 2)) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 12) as density from g, orders group by k""")

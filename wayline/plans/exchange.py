@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import lineage, timetable
@@ -61,9 +60,10 @@ def train_xml(spark, d):
 def merged_xml(spark, d):
     path = lineage.scratch(spark, "merged")
     e = V.table(spark, d, "events").withColumn("train", F.concat(F.lit("T"), (F.col("event_id") % 60).cast("string")))
-    record = lambda k: F.struct(k.cast("string").alias("id"), F.col("event_type").alias("tableNumber"))
-    other = F.struct((F.col("event_id") % 3).cast("string").alias("id"))
-    meta = e.groupBy("train").agg(F.collect_list(record(F.col("event_id") % 7)).alias("merged"), F.collect_list(other).alias("possible"))
+    # Records and links are told apart before they are gathered: 7 kinds for each event type, and 3.
+    merged = e.select("train", (F.col("event_id") % 7).cast("string").alias("id"), F.col("event_type").alias("tableNumber")).distinct().groupBy("train").agg(F.collect_list(F.struct("id", "tableNumber")).alias("merged"))
+    other = e.select("train", (F.col("event_id") % 3).cast("string").alias("id")).distinct().groupBy("train").agg(F.collect_list(F.struct("id")).alias("possible"))
+    meta = merged.join(other, "train")
     stops = e.groupBy("train").agg(F.lit(0).alias("seq"), F.lit("S").alias("station"), F.lit(5).alias("arr"), F.lit(None).cast("int").alias("dep"), F.lit(0).alias("zone"))
     sinks.trains_xml(stops, path, meta)
     back = files.train_links_xml(spark, path)
@@ -239,29 +239,34 @@ def shape_file(spark, d):
     return s.select(F.col("fields")["name"].alias("name"), "type", F.size("parts").cast("bigint").alias("parts"), F.size(ring).cast("bigint").alias("points"), F.array_min(F.transform(ring, lambda p: p["x"])).alias("left"), F.array_max(F.transform(ring, lambda p: p["y"])).alias("up"))
 
 
-_FIELD = "fd as (select i as row, j as col, ((i * 31 + j * 17) % 23 - 6)::double as value, -20 + (j + 0.5) * 0.5 as x, 60 - (i + 0.5) * 0.5 as y from (select unnest(range(0, 50)) as i), (select unnest(range(0, 90)) as j))"
+#: Line items as an image: a tile for each line number and two bands, fewer and more than 40 pieces of a row and column.
+_FIELD = "fd as (select l_linenumber as tile, (l_partkey % 2)::int as band, l_suppkey % 50 as row, l_partkey % 90 as col, sum(l_quantity)::double - 40 as value from lineitem group by 1, 2, 3, 4), fx as (select *, -20 + (col + 0.5) * 0.5 as x, 60 - (row + 0.5) * 0.5 as y from fd)"
 
 
-def _field():
-    i, j = np.mgrid[0:50, 0:90]
-    return ((i * 31 + j * 17) % 23 - 6).astype(float)
+def _field(spark, d):
+    li = V.table(spark, d, "lineitem")
+    keys = F.col("l_linenumber").alias("tile"), (F.col("l_partkey") % 2).cast("int").alias("band"), (F.col("l_suppkey") % 50).alias("row"), (F.col("l_partkey") % 90).alias("col")
+    return li.groupBy(*keys).agg((F.sum("l_quantity").cast("double") - 40).alias("value"))
 
 
-@query(f"with {_FIELD} select 'plain' as kind, row, col, x::double as x, y::double as y, value from fd where x between -10 and 15 and y between 40 and 55 union all select 'deflated', row, col, x::double, y::double, value from fd where value > 0")
+@query(f"with {_FIELD} select 'plain' as kind, tile::bigint as tile, row, col, x::double as x, y::double as y, value from fx where band = 0 and x between -10 and 15 and y between 40 and 55 union all select 'deflated', tile, row, col, x::double, y::double, value from fx where band = 1 and value > 0")
 def tiff_file(spark, d):
     path = lineage.scratch(spark, "tiff")
-    binary.put(spark, f"{path}/plain/a.tif", binary.tiff_bytes(_field(), -20, 60, 0.5))
-    binary.put(spark, f"{path}/deflated/b.tif", binary.tiff_bytes(_field(), -20, 60, 0.5, deflate=True))
+    field = lineage.cut(_field(spark, d))
+    binary.write_tiffs(field, f"{path}/plain", (50, 90), -20, 60, 0.5).write.format("noop").mode("overwrite").save()
+    binary.write_tiffs(field, f"{path}/deflated", (50, 90), -20, 60, 0.5, deflate=True).write.format("noop").mode("overwrite").save()
     plain = binary.tiff_pixels(spark, f"{path}/plain", box=(-10, 15, 40, 55))
-    points = binary.with_point(binary.tiff_pixels(spark, f"{path}/deflated", positive=True))
-    out = plain.select(F.lit("plain").alias("kind"), "row", "col", "x", "y", "value")
-    return out.union(points.select(F.lit("deflated"), "row", "col", "point.x", "point.y", "value"))
+    points = binary.with_point(binary.tiff_pixels(spark, f"{path}/deflated", positive=True, band=1))
+    tile = F.regexp_extract("file", r"tile-(\d+)", 1).cast("bigint").alias("tile")
+    out = plain.select(F.lit("plain").alias("kind"), tile, "row", "col", "x", "y", "value")
+    return out.union(points.select(F.lit("deflated"), tile, "row", "col", "point.x", "point.y", "value"))
 
 
-@query(f"with {_FIELD} select x::double as x, y::double as y, value + 2 as value from fd where value + 2 > 0 and x >= -10 and x < 10.25 and y between 40 and 55")
+@query(f"with {_FIELD} select band::bigint as tile, x::double as x, y::double as y, value from fx where tile = 3 and value > 0 and x >= -10 and x < 10.25 and y between 40 and 55")
 def netcdf_file(spark, d):
     path = lineage.scratch(spark, "netcdf")
-    lats, lons = 60 - (np.arange(50) + 0.5) * 0.5, -20 + (np.arange(90) + 0.5) * 0.5
-    field = np.stack([_field() + k for k in range(4)])
-    binary.put(spark, f"{path}/a.nc", binary.grid_bytes(np.array([10.0, 20.0, 30.0, 40.0]), lats, lons, field))
-    return binary.grid_cells(spark, path, "value", 30.0, (-10, 10.25, 40, 55)).select("x", "y", "value")
+    lats, lons = [60 - (i + 0.5) * 0.5 for i in range(50)], [-20 + (j + 0.5) * 0.5 for j in range(90)]
+    cells = _field(spark, d).select(F.col("band").alias("tile"), (F.col("tile") - 1).alias("time"), "row", "col", "value")
+    binary.write_grids(cells, path, [10.0 * k for k in range(1, 8)], lats, lons).write.format("noop").mode("overwrite").save()
+    tile = F.regexp_extract("file", r"tile-(\d+)", 1).cast("bigint").alias("tile")
+    return binary.grid_cells(spark, path, "value", 30.0, (-10, 10.25, 40, 55)).select(tile, "x", "y", "value")

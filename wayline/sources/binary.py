@@ -179,8 +179,8 @@ TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 273: "offs
 SIZES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 
 
-def parse_tiff(content: bytes) -> Iterator[tuple[int, int, np.ndarray, dict]]:
-    """(first row, first column, block, facts) of the first band of the first image."""
+def parse_tiff(content: bytes, band: int = 0) -> Iterator[tuple[int, int, np.ndarray, dict]]:
+    """(first row, first column, block, facts) of a band of the first image, whose bands lie pixel by pixel."""
     order = {b"II": "<", b"MM": ">"}.get(content[:2])
     if order is None or struct.unpack(order + "H", content[2:4])[0] != 42:
         raise ValueError("not a classic TIFF file")
@@ -196,6 +196,8 @@ def parse_tiff(content: bytes) -> Iterator[tuple[int, int, np.ndarray, dict]]:
     if facts["compression"][0] not in (1, 8, 32946):
         raise ValueError(f"TIFF compression {facts['compression'][0]} is not supported")
     width, height, samples = facts["width"][0], facts["height"][0], facts["samples"][0]
+    if not 0 <= band < samples:
+        raise ValueError(f"band {band} of {samples}")
     kind = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[facts['format'][0]] }{facts['bits'][0] // 8}")
     tiled = "tile_width" in facts
     wide, high = (facts["tile_width"][0], facts["tile_height"][0]) if tiled else (width, facts.get("rows", (height,))[0])
@@ -207,7 +209,7 @@ def parse_tiff(content: bytes) -> Iterator[tuple[int, int, np.ndarray, dict]]:
         raw = content[start : start + size]
         raw = raw if facts["compression"][0] == 1 else zlib.decompress(raw)
         rows = high if tiled else min(high, height - row)
-        block = np.frombuffer(raw, kind, rows * wide * samples).reshape(rows, wide, samples)[:, :, 0]
+        block = np.frombuffer(raw, kind, rows * wide * samples).reshape(rows, wide, samples)[:, :, band]
         if facts["predictor"][0] == 2:
             block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
         elif facts["predictor"][0] != 1:
@@ -215,15 +217,15 @@ def parse_tiff(content: bytes) -> Iterator[tuple[int, int, np.ndarray, dict]]:
         yield row, col, block[: height - row, : width - col], facts
 
 
-def tiff_pixels(spark: SparkSession, path: str, positive: bool = False, box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """file, row, col, x, y (a pixel's centre), value of the images below a folder; no-data pixels are left out. positive:
+def tiff_pixels(spark: SparkSession, path: str, positive: bool = False, box: tuple[float, float, float, float] | None = None, band: int = 0) -> DataFrame:
+    """file, row, col, x, y (a pixel's centre), value of a band of the images below a folder; no-data pixels are left out. positive:
     values above 0 only. box: left, right, down, up, all closed, none for the whole world. Rows are cut while reading."""
     whole = box is None or tuple(box) == (-180, 180, -90, 90)
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for row, col, block, facts in parse_tiff(content.as_buffer().to_pybytes()):
+                for row, col, block, facts in parse_tiff(content.as_buffer().to_pybytes(), band):
                     step, tie = facts.get("scale", (1.0, 1.0, 0.0)), facts.get("tie", (0.0,) * 6)
                     keep = ~np.isnan(block) if block.dtype.kind == "f" else np.ones(block.shape, dtype=bool)
                     if facts.get("nodata"):
@@ -245,22 +247,52 @@ def tiff_pixels(spark: SparkSession, path: str, positive: bool = False, box: tup
 
 
 def tiff_bytes(image: np.ndarray, left: float, up: float, step: float, deflate: bool = False, rows: int = 16) -> bytes:
-    """A GeoTIFF of float64 values in strips."""
+    """A GeoTIFF of float64 values in strips; image: rows, columns, and bands if there are several."""
     image = np.ascontiguousarray(image, dtype="<f8")
+    bands = image.shape[2] if image.ndim == 3 else 1
     strips = [image[a : a + rows].tobytes() for a in range(0, image.shape[0], rows)]
     strips = [zlib.compress(s) for s in strips] if deflate else strips
     starts = np.cumsum([8, *map(len, strips)])
     n, end = len(strips), int(starts[-1])
-    extra = struct.pack(f"<{n}I", *starts[:-1]) + struct.pack(f"<{n}I", *map(len, strips)) + struct.pack("<3d", step, step, 0) + struct.pack("<6d", 0, 0, 0, left, up, 0)
-    at = [end, end + 4 * n, end + 8 * n, end + 8 * n + 24]
+    extra = struct.pack(f"<{n}I", *starts[:-1]) + struct.pack(f"<{n}I", *map(len, strips)) + struct.pack("<3d", step, step, 0) + struct.pack("<6d", 0, 0, 0, left, up, 0) + struct.pack(f"<{bands}H", *[64] * bands) + struct.pack(f"<{bands}H", *[3] * bands)
+    at = [end, end + 4 * n, end + 8 * n, end + 8 * n + 24, end + 8 * n + 72]
     one = lambda tag, kind, value: struct.pack("<HHII", tag, kind, 1, value)
     many = lambda tag, kind, count, value: struct.pack("<HHII", tag, kind, count, value)
     where = at[:2] if n > 1 else [int(starts[0]), len(strips[0])]
-    entries = [one(256, 4, image.shape[1]), one(257, 4, image.shape[0]), one(258, 3, 64), one(259, 3, 8 if deflate else 1), many(273, 4, n, where[0]), one(277, 3, 1), one(278, 4, rows), many(279, 4, n, where[1]), one(339, 3, 3), many(33550, 12, 3, at[2]), many(33922, 12, 6, at[3])]
+    entries = [one(256, 4, image.shape[1]), one(257, 4, image.shape[0]), many(258, 3, bands, at[4] if bands > 2 else 64 * 0x10001 if bands == 2 else 64), one(259, 3, 8 if deflate else 1), many(273, 4, n, where[0]), one(277, 3, bands), one(278, 4, rows), many(279, 4, n, where[1]), many(339, 3, bands, at[4] + 2 * bands if bands > 2 else 3 * 0x10001 if bands == 2 else 3), many(33550, 12, 3, at[2]), many(33922, 12, 6, at[3])]
     table = end + len(extra)
     return b"II*\0" + struct.pack("<I", table) + b"".join(strips) + extra + struct.pack("<H", len(entries)) + b"".join(entries) + struct.pack("<I", 0)
 
 
+def _store(folder: str):
+    """(file system, path) of a folder that driver and executors share, for use in tasks."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+    store.create_dir(path, recursive=True)
+    return store, path
+
+
+def write_tiffs(pixels: DataFrame, path: str, shape: tuple[int, int], left: float, up: float, step: float, deflate: bool = False) -> DataFrame:
+    """Writes pixels (tile, band, row, col, value) as a GeoTIFF of `shape` for each tile, in a folder that driver and executors
+    share: file, n. Pixels that are not there become nan; a tile is written in one task, which holds its image. Of repeated
+    pixels the largest value counts."""
+
+    def run(pdf):
+        import pandas as pd
+
+        store, folder = _store(path)
+        image = np.full((*shape, int(pdf["band"].max()) + 1), np.nan)
+        pdf = pdf.sort_values("value")
+        image[pdf["row"], pdf["col"], pdf["band"]] = pdf["value"]
+        name = f"{folder}/tile-{pdf['tile'].iloc[0]}.tif"
+        with store.open_output_stream(name) as f:
+            f.write(tiff_bytes(image, left, up, step, deflate))
+        return pd.DataFrame({"file": [name], "n": [len(pdf)]})
+
+    return pixels.select("tile", "band", "row", "col", "value").groupBy("tile").applyInPandas(run, "file string, n bigint")
+
+
 # Classic netCDF
 
 #: The types of the format.
@@ -309,6 +341,14 @@ class Grid:
             out[name] = np.frombuffer(self.take(size + -size % 4)[:size], kind)
         return out
 
+    def record(self, name: str, k: int) -> np.ndarray:
+        """The k-th slice along the first dimension, without the others."""
+        dims, _, kind, _, begin = self.variables[name]
+        shape = [self.dims[d][1] for d in dims]
+        each = int(np.prod(shape[1:]))
+        far = self.stride if shape[0] == 0 else each * np.dtype(kind).itemsize
+        return np.frombuffer(self.content, kind, each, begin + k * far).reshape(shape[1:])
+
     def values(self, name: str) -> np.ndarray:
         dims, _, kind, size, begin = self.variables[name]
         shape = [self.dims[d][1] for d in dims]
@@ -327,12 +367,13 @@ def grid_cells(spark: SparkSession, path: str, value: str, time: float | None =
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 grid = Grid(content.as_buffer().to_pybytes())
                 dims = [grid.dims[d][0] for d in grid.variables[value][0]]
-                field = grid.values(value).astype(float)
                 if len(dims) == 3:
                     hit = np.flatnonzero(grid.values(dims[0]) == time)
                     if not hit.size:
                         continue
-                    field, dims = field[hit[0]], dims[1:]
+                    field, dims = grid.record(value, int(hit[0])).astype(float), dims[1:]
+                else:
+                    field = grid.values(value).astype(float)
                 fill = grid.variables[value][1].get("_FillValue")
                 keep = (field > 0) & (True if fill is None else field != fill[0])
                 r, c = np.nonzero(keep)
@@ -361,6 +402,25 @@ def grid_bytes(times: np.ndarray, lats: np.ndarray, lons: np.ndarray, field: np.
     return b"CDF\x01" + struct.pack(">i", len(times)) + dims + struct.pack(">2i", 0, 0) + variables + lats.astype(">f8").tobytes() + lons.astype(">f8").tobytes() + records
 
 
+def write_grids(cells: DataFrame, path: str, times: list[float], lats: list[float], lons: list[float]) -> DataFrame:
+    """Writes cells (tile, time, row, col, value; time, row and col are places in the lists) as a classic netCDF file for each tile, in
+    a folder that driver and executors share: file, n. Cells that are not there are 0; of repeated ones the largest counts."""
+
+    def run(pdf):
+        import pandas as pd
+
+        store, folder = _store(path)
+        field = np.zeros((len(times), len(lats), len(lons)))
+        pdf = pdf.sort_values("value")
+        field[pdf["time"], pdf["row"], pdf["col"]] = pdf["value"]
+        name = f"{folder}/tile-{pdf['tile'].iloc[0]}.nc"
+        with store.open_output_stream(name) as f:
+            f.write(grid_bytes(np.array(times), np.array(lats), np.array(lons), field))
+        return pd.DataFrame({"file": [name], "n": [len(pdf)]})
+
+    return cells.select("tile", "time", "row", "col", "value").groupBy("tile").applyInPandas(run, "file string, n bigint")
+
+
 def with_point(cells: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Cells with a geometry column, a struct of x and y."""
     point: Column = F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
