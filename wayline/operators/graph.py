@@ -138,7 +138,7 @@ def reach(starts: DataFrame, size: float, times: DataFrame, most: float, rounds:
     most `most`. times: origin, lon, lat, seconds, metres; the start is always in."""
     found = starts.select("origin", "lon", "lat", F.lit(0.0).alias("metres"), F.lit(0.0).alias("seconds"))
     front = found
-    for _ in range(rounds):
+    for k in range(rounds):
         near = front.select("origin", F.inline(G.around(F.col("lon"), F.col("lat"), size))).distinct()
         front = near.join(times.where((F.col("seconds") >= 0) & (F.col("seconds") <= most)), ["origin", "lon", "lat"])
         front = front.select("origin", "lon", "lat", F.round("metres").alias("metres"), F.round("seconds").alias("seconds")).join(found, ["origin", "lon", "lat"], "left_anti")
@@ -146,4 +146,7 @@ def reach(starts: DataFrame, size: float, times: DataFrame, most: float, rounds:
         if front.isEmpty():
             return found
         found = found.union(front)
+        if k % 8 == 7:
+            # The union of few frames is cheap, that of many is not.
+            found = lineage.cut(found)
     raise RuntimeError(f"the cells did not end in {rounds} rounds")

@@ -41,29 +41,43 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _as_planned(spark: SparkSession):
-    """Without adaptive changes, so that a checkpoint keeps the partitioning that was asked for."""
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+def _set(spark: SparkSession, **values: str):
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+#: A checkpoint keeps what its plan knows about columns; in loops that grows with the rounds until planning takes most of the time.
+_NO_FACTS = {"spark.sql.constraintPropagation.enabled": "false"}
+#: Without adaptive changes a checkpoint keeps the partitioning that was asked for.
+_AS_PLANNED = {"spark.sql.adaptive.enabled": "false"}
+
+
+def turn(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, for a table that is made anew from itself in each round of a loop: what
+    is read knows nothing of the plan that made it, whereas a checkpoint keeps what its plan knows about columns."""
+    path = scratch(df.sparkSession, "turn")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def held(df: DataFrame, *keys: str) -> DataFrame:
     """A checkpoint that is partitioned by the keys and sorted by them inside its partitions, and known to be: joins on the keys
     move and sort the other side only, however often it is read."""
     shared_root(df.sparkSession)
-    with _as_planned(df.sparkSession):
+    with _set(df.sparkSession, **_AS_PLANNED):
         return df.repartition(*keys).sortWithinPartitions(*keys).checkpoint()
 
 
 def kept_in_place(df: DataFrame) -> DataFrame:
-    """A checkpoint that keeps the partitioning that df's plan has."""
+    """turn(), with the partitioning that df's plan has."""
     shared_root(df.sparkSession)
-    with _as_planned(df.sparkSession):
+    with _set(df.sparkSession, **_AS_PLANNED, **_NO_FACTS):
         return df.checkpoint()
 
 

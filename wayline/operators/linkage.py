@@ -88,21 +88,27 @@ def similar(stops: DataFrame, common: int = 1, exact: int = 0, loose: int = 25,
     return similarity(stops, common, exact, loose, numbers, met).where(F.col("score") < TOO_FEW)
 
 
-def possible_links(stops: DataFrame, common: int = 2, exact: int = 0) -> DataFrame:
-    """Pairs with at least `common` shared stations that agree exactly and none that disagrees: a, b, matches.
+def possible_links(stops: DataFrame, common: int = 2, exact: int = 0, changed: DataFrame | None = None) -> DataFrame:
+    """Pairs with at least `common` shared stations that agree exactly and none that disagrees: a, b, matches; with `changed`
+    (train) only those with one of its trains.
 
-    Stops meet by station and time, in buckets of exact + 1 minutes and their neighbours, so that a busy station does not
-    bring all its trains together; the stations that disagree are then looked for among the pairs found."""
+    Stops meet by station and time, in buckets of a few times exact + 1 minutes, and the buckets that the tolerance reaches, so that a
+    busy station does not bring all its trains together; the stations that disagree are then looked for among the pairs found."""
     minutes = stops.select("train", "station", T.to_minutes("arr").alias("arr"), T.to_minutes("dep").alias("dep"))
-    left, right = (minutes.select(F.col("train").alias(t), "station", F.col("arr").alias(f"arr{k}"), F.col("dep").alias(f"dep{k}")) for k, t in ((1, "a"), (2, "b")))
-    bucket = lambda c: F.floor(F.col(c) / (exact + 1))
+    if changed is None:
+        minutes = minutes.withColumn("new", F.lit(True))
+    else:
+        minutes = minutes.join(changed.select("train", F.lit(True).alias("new")).distinct(), "train", "left").withColumn("new", F.coalesce("new", F.lit(False)))
+    left, right = (minutes.select(F.col("train").alias(t), "station", F.col("arr").alias(f"arr{k}"), F.col("dep").alias(f"dep{k}"), F.col("new").alias(f"new{k}")) for k, t in ((1, "a"), (2, "b")))
+    wide = 4 * (exact + 1)
     off = F.coalesce(F.abs(F.col("arr1") - F.col("arr2")), F.abs(F.col("dep1") - F.col("dep2")))
     met = None
     for c in ("arr", "dep"):
-        near = left.where(F.col(f"{c}1").isNotNull()).withColumn("_k", F.explode(F.array(*[bucket(f"{c}1") + i for i in (-1, 0, 1)])))
-        both = near.join(right.where(F.col(f"{c}2").isNotNull()).withColumn("_k", bucket(f"{c}2")), ["station", "_k"]).where("a < b")
+        reach = F.sequence(F.floor((F.col(f"{c}1") - exact) / wide), F.floor((F.col(f"{c}1") + exact) / wide))
+        near = left.where(F.col("new1") & F.col(f"{c}1").isNotNull()).withColumn("_k", F.explode(reach))
+        both = near.join(right.where(F.col(f"{c}2").isNotNull()).withColumn("_k", F.floor(F.col(f"{c}2") / wide)), ["station", "_k"]).where("a < b or (a > b and not new2)")
         # Departures count only where an arrival is missing.
-        both = both.where((F.col("arr1").isNotNull() & F.col("arr2").isNotNull()) == (c == "arr")).where(off <= exact).select("a", "b")
+        both = both.where((F.col("arr1").isNotNull() & F.col("arr2").isNotNull()) == (c == "arr")).where(off <= exact).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         met = both if met is None else met.union(both)
     found = met.groupBy("a", "b").agg(F.count("*").alias("matches")).where(F.col("matches") >= common)
     all_ = found.select("a", "b").join(left, "a").join(right, ["b", "station"]).groupBy("a", "b").agg(F.max(off).alias("most")).where(F.col("most") <= exact)
@@ -127,6 +133,8 @@ def merged(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """Events of each pair (a, b) as one train: the longer record's, ties to b, with the other's at stations and kinds
     that it lacks, moved by a day where a shared event is within 60 minutes of it then. Of events at one time the
     first by station and kind stays."""
+    # Both are read several times.
+    found, pairs = lineage.turn(found), lineage.turn(pairs)
     size = found.groupBy("train").agg(F.count("*").alias("n"))
     of = lambda end: pairs.select("a", "b").join(size.select(F.col("train").alias(end), F.col("n").alias(f"n_{end}")), end)
     roles = of("a").join(of("b"), ["a", "b"]).select("a", "b", F.when(F.col("n_a") > F.col("n_b"), F.col("a")).otherwise(F.col("b")).alias("base"))
@@ -141,6 +149,53 @@ def merged(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.groupBy("a", "b", "t").agg(F.min(F.struct("station", "kind")).alias("s")).select("a", "b", "s.station", "s.kind", "t")
 
 
+def as_stops(found: DataFrame) -> DataFrame:
+    """Merged events (a, b, station, kind, t) as stops of a, in the order of their first times: train, b, seq, station, arr, dep, on
+    the record's own clock; of several times of one kind at a station the last."""
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("t")))
+    rows = found.groupBy("a", "b", "station").agg(of("a.").alias("arr"), of("d.").alias("dep"), F.min("t").alias("_t"))
+    order = Window.partitionBy("a", "b").orderBy("_t", "station")
+    return rows.select(F.col("a").alias("train"), "b", F.row_number().over(order).alias("seq"), "station", "arr", "dep")
+
+
+def consolidated(stops: DataFrame, places: DataFrame, tables: DataFrame, common: int = 2, exact: int = 0, limit: float = 300.0) -> tuple[DataFrame, DataFrame]:
+    """Chains of records as one record each: stops (train, seq, station, arr, dep) and records (train, members, tables, refs).
+
+    tables: train, table, refs (an array of tables that the record refers to). In each round the pairs of possible_links()
+    that are each other's best (most matches, then the least a and b) are merged, and accepted if their times rise and no speed
+    is over the limit; the merged record, named by its lesser train, drops its own tables from its references and competes
+    again. A pair that is not accepted is not tried again until one of the two has changed. It ends when no pair is left: a
+    round settles the best pair of all at least. Records, stops and links are checkpointed in each round; links are looked for only
+    among records that have changed and the others."""
+    kept = lineage.turn(stops.select("train", "seq", "station", "arr", "dep"))
+    known = stops.select("train").distinct().join(tables, "train", "left")
+    none = F.array().cast("array<string>")
+    known = lineage.turn(known.select("train", F.array("train").alias("members"), F.when(F.col("table").isNull(), none).otherwise(F.array(F.col("table").cast("string"))).alias("tables"), F.coalesce(F.col("refs").cast("array<string>"), none).alias("refs")))
+    links = lineage.turn(possible_links(kept, common, exact))
+    while True:
+        key = F.struct((-F.col("matches")).alias("m"), "a", "b")
+        ends = links.select(F.explode(F.array("a", "b")).alias("train"), key.alias("k")).groupBy("train").agg(F.min("k").alias("k"))
+        best = lineage.turn(ends.groupBy("k").agg(F.count("*").alias("c")).where("c = 2").select("k.a", "k.b"))
+        if best.isEmpty():
+            return kept, known
+        own = kept.join(best.select(F.explode(F.array("a", "b")).alias("train")), "train", "left_semi")
+        new = as_stops(merged(events(own), best))
+        new = lineage.turn(new)
+        clock = new.select("train", "seq", "station", *[F.pmod(c, F.lit(2400)).cast("int").alias(c) for c in ("arr", "dep")])
+        timed = new.select("train", "seq", F.inline(F.array(F.struct(F.lit("a.").alias("kind"), F.col("arr").alias("t")), F.struct(F.lit("d.").alias("kind"), F.col("dep").alias("t"))))).where("t is not null")
+        good = lineage.turn(best.join(accepted(timed, speeds(clock, places), limit).where("ok").select(F.col("train").alias("a")), "a"))
+        gone, stays = good.select(F.explode(F.array("a", "b")).alias("train")), good.select(F.col("a").alias("train"))
+        kept = lineage.turn(kept.join(gone, "train", "left_anti").union(clock.join(stays, "train", "left_semi").select(kept.columns)))
+        of = lambda end: known.select(F.col("train").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("members", "tables", "refs")])
+        both = good.join(of("a"), "a").join(of("b"), "b")
+        tables_ = F.array_union("tables_a", "tables_b")
+        joined = both.select(F.col("a").alias("train"), F.sort_array(F.array_union("members_a", "members_b")).alias("members"), F.sort_array(tables_).alias("tables"), F.sort_array(open_references(F.col("refs_a"), F.col("refs_b"), tables_)).alias("refs"))
+        known = lineage.turn(known.join(gone, "train", "left_anti").union(joined))
+        # Links of records that have not changed stay, but for those that were tried; those of changed ones are found anew.
+        old = links.join(best, ["a", "b"], "left_anti").join(gone.withColumnRenamed("train", "a"), "a", "left_anti").join(gone.withColumnRenamed("train", "b"), "b", "left_anti")
+        links = lineage.turn(old.select("a", "b", "matches").union(possible_links(kept, common, exact, stays)))
+
+
 def speeds(stops: DataFrame, places: DataFrame) -> DataFrame:
     """km/h between successive stops with known places (station, lon, lat): train, seq, speed; rows without a speed are
     left out. The clock runs from the departure, else the arrival, to the next arrival, else departure."""

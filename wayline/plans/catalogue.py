@@ -148,10 +148,10 @@ def trains_per_station(spark, d):
     return timetable.trains_of_stations(V.stops(spark, d))
 
 
-@query("""with e as (select user_id % 50 as train, event_id as row, event_type as station from events), r as (select *, row - row_number() over (partition by train order by row) as run from e),
+@query("""with e as (select user_id as train, event_id as row, event_type as station from events), r as (select *, row - row_number() over (partition by train order by row) as run from e),
 q as (select * from r qualify run = max(run) over (partition by train)) select train, row, station, row_number() over (partition by train order by row) - 1 as seq from q""")
 def run_groups(spark, d):
-    e = V.table(spark, d, "events").select((F.col("user_id") % 50).alias("train"), F.col("event_id").alias("row"), F.col("event_type").alias("station"))
+    e = V.table(spark, d, "events").select(F.col("user_id").alias("train"), F.col("event_id").alias("row"), F.col("event_type").alias("station"))
     return timetable.last_runs(e)
 
 

@@ -239,14 +239,14 @@ def shape_file(spark, d):
     return s.select(F.col("fields")["name"].alias("name"), "type", F.size("parts").cast("bigint").alias("parts"), F.size(ring).cast("bigint").alias("points"), F.array_min(F.transform(ring, lambda p: p["x"])).alias("left"), F.array_max(F.transform(ring, lambda p: p["y"])).alias("up"))
 
 
-#: Line items as an image: a tile for each line number and two bands, fewer and more than 40 pieces of a row and column.
-_FIELD = "fd as (select l_linenumber as tile, (l_partkey % 2)::int as band, l_suppkey % 50 as row, l_partkey % 90 as col, sum(l_quantity)::double - 40 as value from lineitem group by 1, 2, 3, 4), fx as (select *, -20 + (col + 0.5) * 0.5 as x, 60 - (row + 0.5) * 0.5 as y from fd)"
+#: Line items as an image: a tile for each line number and two bands, fewer and more than 10 pieces of a row and column.
+_FIELD = "fd as (select l_linenumber as tile, (l_suppkey % 2)::int as band, (l_partkey * 7) % 50 as row, (l_partkey + l_orderkey) % 90 as col, sum(l_quantity)::double - 10 as value from lineitem group by 1, 2, 3, 4), fx as (select *, -20 + (col + 0.5) * 0.5 as x, 60 - (row + 0.5) * 0.5 as y from fd)"
 
 
 def _field(spark, d):
     li = V.table(spark, d, "lineitem")
-    keys = F.col("l_linenumber").alias("tile"), (F.col("l_partkey") % 2).cast("int").alias("band"), (F.col("l_suppkey") % 50).alias("row"), (F.col("l_partkey") % 90).alias("col")
-    return li.groupBy(*keys).agg((F.sum("l_quantity").cast("double") - 40).alias("value"))
+    keys = F.col("l_linenumber").alias("tile"), (F.col("l_suppkey") % 2).cast("int").alias("band"), (F.col("l_partkey") * 7 % 50).alias("row"), ((F.col("l_partkey") + F.col("l_orderkey")) % 90).alias("col")
+    return li.groupBy(*keys).agg((F.sum("l_quantity").cast("double") - 10).alias("value"))
 
 
 @query(f"with {_FIELD} select 'plain' as kind, tile::bigint as tile, row, col, x::double as x, y::double as y, value from fx where band = 0 and x between -10 and 15 and y between 40 and 55 union all select 'deflated', tile, row, col, x::double, y::double, value from fx where band = 1 and value > 0")
