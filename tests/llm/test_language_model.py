@@ -84,7 +84,8 @@ def test_averages_put_back_what_was_learned():
     other, state = model.copy(), {}
     other.learn(before[:, :500], model.rank[target[:500]], np.random.default_rng(1), state)
     at, weight, values = other.rows(state)
-    assert (weight > 0).all() and weight.max() == 500 * (1 + lm.NOISE)
+    # Of a group's table each of 500 tokens uses its own row and each drawn one.
+    assert (weight > 0).all() and weight.sum() == 500 * (2 * (1 + lm.NOISE) + lm.CONTEXT * (1 + lm.WIDTH))
     assert not np.allclose(model.q, other.q)
     model.put(at, values)
     for name in "rcqg":
@@ -93,7 +94,7 @@ def test_averages_put_back_what_was_learned():
 
 def test_scores_equal_a_plain_version(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 150)
-    monkeypatch.setattr(lm, "OWN", 60)
+    monkeypatch.setattr(lm, "OWN", 2)
     seen, train = [], lm.train
     monkeypatch.setattr(lm, "train", lambda learned, head, start: (seen.append((head.value, train(learned, head, start))), seen[-1][1])[1])
     long_one = "http://" + "y" * 90
@@ -117,9 +118,9 @@ def test_scores_equal_a_plain_version(spark, monkeypatch):
             for i in range(lm.CONTEXT):
                 h += model.r[unit(line[k - i - 1]) if k > i else head.end].astype(float) @ model.c[i].astype(float)
             h, rank = np.r_[h, 1.0], int(model.rank[unit(w)])
-            group = rank // lm.GROUP
-            inner = model.q[group * lm.GROUP : (group + 1) * lm.GROUP].astype(float) @ h
-            total += (softmax(list(model.g.astype(float) @ h), group) + softmax(list(inner), rank % lm.GROUP)) / math.log(10)
+            group = rank // model.group
+            inner = model.q[group * model.group : (group + 1) * model.group].astype(float) @ h
+            total += (softmax(list(model.g.astype(float) @ h), group) + softmax(list(inner), rank % model.group)) / math.log(10)
             if w is not None and w not in place:
                 total += math.log10(count[w] + 1) - math.log10(inside[lm.ending(w)] + 1)
         return total

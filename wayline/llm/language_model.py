@@ -1,26 +1,28 @@
 """Language-model scores of documents: a log-bilinear model, learned by noise-contrastive estimation.
 
-Tokens are words and one end for each text. A token's unit is the word itself for the OWN most frequent training words
-that occur FEWEST times or more, else one of ENDINGS units by the word's last two bytes; the end is a unit of its own.
+Tokens are words and one end for each text. A token's unit is the word itself for the most frequent training words, OWN times
+the cube root of the number of training tokens and so growing with the corpus, that occur FEWEST times or more, else one of ENDINGS
+units by the word's last two bytes; the end is a unit of its own.
 Each unit has a context vector r and an output vector q. The CONTEXT tokens before a token (ends before the text's start)
 give the predicted vector h, the sum of r C_i over the positions i, each with a matrix C_i of its own. The units lie in
-groups of GROUP by frequency, and P(unit | context) = P(group | context) P(unit | group, context), both softmaxes of h's
+groups by frequency, as many as a group has units, and P(unit | context) = P(group | context) P(unit | group, context), both softmaxes of h's
 products with the groups' or the group's units' vectors, plus biases: batches of contexts times all groups, and for each group its
 tokens times its units, normalised. A word inside an ending unit has its add-one probability there, unknown words included,
 so that the probabilities of all words that can follow add up to one.
 
-Learning: executors count all words of all training texts; the biases start as these counts' logarithms. Then every task
-of a pass over all training texts learns from 1 / SHARE of its tokens, drawn at random, by stochastic gradient steps on the
-two NCE objectives, with NOISE groups and NOISE units of the token's group drawn from their frequencies for each token; what the
-tasks have learned is averaged by shuffle, each row by how often each task has used it, so that only averages, of fixed size, reach
-the driver. The tokens learned from grow with the corpus.
+Learning: executors count all words of all training texts; the biases start as these counts' logarithms. Then all training tokens are
+learned from, once, by stochastic gradient steps on the two NCE objectives, in ROUNDS rounds over parts of the texts that are told apart
+by the texts' hash. A task's first steps take START tokens, later ones PORTION at most; in a step's batch NOISE groups and in each group NOISE of its units are drawn from
+their frequencies. In a round every task starts from the round before and learns by itself; then what the tasks have learned is averaged
+by shuffle, each row by how often each task has used it, so that only averages, whose size is that of the model, reach the driver. Which
+rows share a task depends on how the texts lie in files, and so, a little, do the scores.
 
 Word counts stay distributed: only the HEAD most frequent words go to executors; the counts of the others are joined
 to the texts' words by shuffle. A word outside the head is none of the HEAD most frequent, so that join has no hot keys. A word of
 over LONGEST bytes is known by its SHA-256 and its last two bytes, in the head and elsewhere.
 
 Defined results: a null or empty text is one end; rows that repeat a doc_id are scored each; a null
-doc_id folds as the empty text does; texts of any length are read in blocks, with the context going on. Without training
+doc_id folds as the empty text does; a text of any length is scored whole, and its tokens are held together by its task. Without training
 texts, also where all rows are held out, every token is unknown: its base is log10(1 / 1) = 0, and the units share the
 probability as the model's start does.
 """
@@ -41,14 +43,18 @@ from pyspark.sql import functions as F
 
 from .shared import fold, runs, small_batches, staged
 
-OWN, FEWEST, ENDINGS, HEAD, LONGEST = 8_192, 5, 128, 1 << 17, 64
-WIDTH, CONTEXT, GROUP = 32, 3, 128
-SHARE, NOISE, PORTION, RATE = 8, 8, 2_048, 0.15
+OWN, FEWEST, ENDINGS, HEAD, LONGEST = 20, 5, 128, 1 << 17, 64
+WIDTH, CONTEXT, GROUP, PIECE = 24, 3, 128, 64
+ROUNDS, NOISE, PORTION, RATE = 4, 16, 8_192, 0.15
+#: The first slope that a row has counts so many times, so that its first steps are short.
+FIRST = 100
+#: Tokens of the first steps of the first round; they double after every so many steps and in every round.
+START, EVERY = 256, 32
 #: Distinct words that a task counts before it passes their counts on.
 HELD = 300_000
 BLOCK = 1 << 20
 #: Tokens whose products with all groups are held at once.
-ROWS = 1 << 14
+ROWS = 1 << 12
 
 
 def words(text: str | None) -> list[bytes]:
@@ -88,10 +94,10 @@ class Head:
     """The most frequent words with their units and logarithms; what executors get. The ending units follow the words' own
     ones, the end is the last unit."""
 
-    def __init__(self, rows: list[tuple[bytes, int]], ends: int):
+    def __init__(self, rows: list[tuple[bytes, int]], ends: int, own: int = 8_192):
         rows = sorted(rows, key=lambda r: (-r[1], r[0]))
         self.at = {w: i for i, (w, _) in enumerate(rows)}
-        self.own = sum(n >= FEWEST for _, n in rows[:OWN])
+        self.own = sum(n >= FEWEST for _, n in rows[:own])
         self.end = self.own + ENDINGS
         self.units = self.end + 1
         self.kind = np.array([i if i < self.own else self.own + ending(w) for i, (w, _) in enumerate(rows)], dtype=np.int32)
@@ -128,12 +134,15 @@ class Head:
         return out
 
 
+def _short(units: np.ndarray, n: int) -> np.ndarray:
+    """The same numbers, all below n, in the type that sorts fastest."""
+    return units.astype(np.uint16) if n <= 1 << 16 else units
+
+
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, the sums of their values and their numbers."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
+    """Distinct rows, the sums of their values and their numbers; rows are sorted."""
     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    return rows[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.r_[first, rows.size])
+    return rows[first], np.add.reduceat(values, first, axis=0), np.diff(np.r_[first, rows.size])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -143,10 +152,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Model:
     """r: context vectors; c: matrices of the positions; q, g: output vectors of units and groups, each with its bias last."""
 
-    def __init__(self, unit_counts: np.ndarray, seed: int = 3):
+    def __init__(self, unit_counts: np.ndarray, seed: int = 3, group: int | None = None):
         rng = np.random.default_rng(seed)
         n = unit_counts.size
-        self.groups = -(-n // GROUP)
+        self.group = group or GROUP
+        self.groups = -(-n // self.group)
+        self.cuts = np.r_[np.arange(0, n, self.group), n]
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         share = (unit_counts + 1.0) / (unit_counts.sum() + n)
         # Frequent units first, so that a group's units are about equally frequent.
@@ -154,17 +165,18 @@ class Model:
         self.rank = np.empty(n, dtype=np.int32)
         self.rank[self.order] = np.arange(n, dtype=np.int32)
         self.share = share[self.order]
-        self.of_group = np.add.reduceat(self.share, np.arange(0, n, GROUP))
-        self.upto = np.r_[0.0, np.cumsum(self.share)]
-        inside = self.share / np.repeat(self.of_group, GROUP)[:n]
+        self.of_group = np.add.reduceat(self.share, self.cuts[:-1])
+        inside = self.share / np.repeat(self.of_group, np.diff(self.cuts))
         self.r = small(n, WIDTH)
         self.c = np.stack([np.eye(WIDTH, dtype=np.float32) / (i + 1) for i in range(CONTEXT)])
         self.q = np.concatenate([small(n, WIDTH) * 0.1, np.log(inside)[:, None].astype(np.float32)], axis=1)
         self.g = np.concatenate([small(self.groups, WIDTH) * 0.1, np.log(self.of_group)[:, None].astype(np.float32)], axis=1)
+        self.seen = {name: np.full(table.shape[0], 1e-4 if name == "c" else 0, dtype=np.float32) for name, table in zip("rqgc", self.tables())}
 
     def copy(self) -> Model:
         out = copy(self)
         out.r, out.c, out.q, out.g = self.r.copy(), self.c.copy(), self.q.copy(), self.g.copy()
+        out.seen = {name: seen.copy() for name, seen in self.seen.items()}
         return out
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
@@ -179,93 +191,113 @@ class Model:
         """One step on a batch: contexts and the ranks of the tokens that followed them.
 
         A score s is log P itself: among one true and NOISE drawn candidates it is the true one with the probability
-        sigmoid(s - log(NOISE * p)), p being what the noise is drawn from."""
+        sigmoid(s - log(NOISE * p)), p being what the noise is drawn from. The batch's contexts share the drawn groups, and
+        those of one group the drawn units, so that noise is a product of matrices."""
+        order = np.argsort(_short(target, self.share.size), kind="stable")
+        before, target = before[:, order], target[order]
         h, size = self.predicted(before), target.size
-        group = target // GROUP
-        low, high = self.upto[group * GROUP], self.upto[np.minimum((group + 1) * GROUP, self.share.size)]
-        drawn = np.searchsorted(self.upto, low[:, None] + rng.random((size, NOISE)) * (high - low)[:, None], "right") - 1
-        drawn = np.clip(drawn, (group * GROUP)[:, None], np.minimum((group + 1) * GROUP, self.share.size)[:, None] - 1)
-        ends = np.cumsum(self.of_group)
-        noise = np.minimum(np.searchsorted(ends, rng.random((size, NOISE)) * ends[-1], "right"), self.groups - 1)
-        back = self.nce("g", slice(None), h, np.concatenate([group[:, None], noise], axis=1), np.log(NOISE * self.of_group), state)
-        # The candidates of a group's tokens are of that group: one product for each group.
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.groups + 1))
-        rows = np.concatenate([target[:, None], drawn], axis=1)
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
-            own, part = order[bounds[k] : bounds[k + 1]], slice(k * GROUP, (k + 1) * GROUP)
-            back[own] += self.nce("q", part, h[own], rows[own] - k * GROUP, np.log(NOISE * self.share[part] / self.of_group[k]), state)
-        steps = []
+        back = self.nce("g", h, target // self.group, np.array([0, self.groups]), self.of_group, rng, state)
+        back += self.nce("q", h, target, self.cuts, self.share, rng, state)
+        slopes, times = np.zeros_like(self.r), np.zeros(self.r.shape[0], dtype=np.int64)
         for i in range(CONTEXT):
-            steps.append(back @ self.c[i].T)
-            slope = self.r[before[i]].T @ back / size
-            seen = state.setdefault(("c", i), np.full(slope.shape, 1e-4, dtype=np.float32))
-            seen += slope**2
-            self.c[i] += RATE * 0.1 * slope / np.sqrt(seen)
-        self.step("r", before.ravel(), np.concatenate(steps), state)
-        state["n"] = state.get("n", 0) + size
-
-    def nce(self, name: str, part: slice, h: np.ndarray, rows: np.ndarray, log_noise: np.ndarray, state: dict) -> np.ndarray:
-        """The step of the vectors `part`, of which `rows` are each context's candidates, the true one first. Returns the slopes of h."""
-        weights = getattr(self, name)[part]
-        seen, used = self.kept(name, state)
-        n, m = rows.shape[0], weights.shape[0]
-        scores = np.take_along_axis(h @ weights.T, rows, axis=1)
-        slope = -_sigmoid(scores - log_noise[rows])
-        slope[:, 0] += 1
-        cells = (rows + (np.arange(n) * m)[:, None]).ravel()
-        slope = np.bincount(cells, weights=slope.ravel(), minlength=n * m).reshape(n, m).astype(np.float32)
-        back = slope @ weights[:, :WIDTH]
-        sums = slope.T @ h
-        seen[part] += (sums**2).mean(axis=1)
-        used[part] += np.bincount(rows.ravel(), minlength=m)
-        weights += RATE * sums / np.sqrt(seen[part])[:, None]
+            order = np.argsort(_short(before[i], self.share.size), kind="stable")
+            units, sums, many = _summed(before[i][order], back[order])
+            slopes[units] += sums @ self.c[i].T
+            times[units] += many
+            slope = self.r[units].T @ sums / size
+            rows = slice(i * WIDTH, (i + 1) * WIDTH)
+            seen, used = self.kept("c", state)
+            seen[rows] += (slope**2).mean(axis=1)
+            used[rows] += size
+            self.c[i] += RATE * 0.1 * slope / np.sqrt(seen[rows])[:, None]
+        at = np.flatnonzero(times)
+        self.step("r", at, slopes[at], times[at], state)
+
+    def nce(self, name: str, h: np.ndarray, true: np.ndarray, cuts: np.ndarray, share: np.ndarray, rng: np.random.Generator, state: dict) -> np.ndarray:
+        """The step of a table of output vectors whose rows lie in sets between `cuts`; `true`, sorted, are the contexts' true rows,
+        share is what the noise of a set is drawn from. Returns the slopes of h."""
+        weights = getattr(self, name)
+        upto = np.r_[0.0, np.cumsum(share)]
+        low, high = upto[cuts[:-1], None], upto[cuts[1:], None]
+        drawn = np.searchsorted(upto, low + rng.random((cuts.size - 1, NOISE)) * (high - low), "right") - 1
+        drawn = np.clip(drawn, cuts[:-1, None], cuts[1:, None] - 1)
+        inside = np.repeat((high - low)[:, 0], np.diff(cuts))
+        log_noise = np.log(NOISE * share / inside).astype(np.float32)
+        own = weights[true]
+        up = 1 - _sigmoid(np.einsum("ij,ij->i", h, own) - log_noise[true])
+        back = up[:, None] * own[:, :WIDTH]
+        rows, sums, many = _summed(true, up[:, None] * h)
+        # Pieces of PIECE contexts at most, each of one set: a product of matrices for each, all at once.
+        bounds = np.searchsorted(true, cuts)
+        pieces = -(-np.diff(bounds) // PIECE)
+        of = np.repeat(np.arange(pieces.size), pieces)
+        at = (bounds[of] + PIECE * (np.arange(of.size) - np.repeat(np.cumsum(pieces) - pieces, pieces)))[:, None] + np.arange(PIECE)
+        real = at < bounds[of + 1][:, None]
+        held = h[np.minimum(at, true.size - 1)]
+        noise = weights[drawn[of]]
+        down = -_sigmoid(held @ noise.transpose(0, 2, 1) - log_noise[drawn[of]][:, None, :])
+        down *= real[:, :, None]
+        back[at[real]] += (down @ noise[:, :, :WIDTH])[real]
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        lost = np.add.reduceat(down.transpose(0, 2, 1) @ held, first, axis=0)
+        # True and drawn rows together.
+        every = np.concatenate([rows, drawn[of[first]].ravel()])
+        times = np.concatenate([many, np.repeat(np.diff(bounds)[of[first]], NOISE)])
+        order = np.argsort(every, kind="stable")
+        units, slopes, _ = _summed(every[order], np.concatenate([sums, lost.reshape(-1, WIDTH + 1)])[order])
+        self.step(name, units, slopes, np.bincount(every, times, weights.shape[0])[units].astype(np.int64), state)
         return back
 
     def kept(self, name: str, state: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Squares of the slopes that each row has had, and how often it was used."""
-        n = getattr(self, name).shape[0]
+        """Squares of the slopes that each row has had, and how often it was used in this task."""
         if name not in state:
-            state[name] = np.full(n, 1e-2, dtype=np.float32), np.zeros(n, dtype=np.int64)
+            state[name] = self.seen[name].copy(), np.zeros(self.seen[name].size, dtype=np.int64)
         return state[name]
 
-    def step(self, name: str, rows: np.ndarray, slopes: np.ndarray, state: dict) -> None:
-        """Steps up the slopes, for each row relative to the slopes it has had."""
-        weights = getattr(self, name)
+    def step(self, name: str, at: np.ndarray, slopes: np.ndarray, times: np.ndarray, state: dict) -> None:
+        """Steps up the slopes of distinct rows, for each row relative to the slopes it has had."""
         seen, used = self.kept(name, state)
-        at, sums, many = _summed(rows, slopes)
-        seen[at] += (sums**2).mean(axis=1)
-        used[at] += many
-        weights[at] += RATE * sums / np.sqrt(seen[at])[:, None]
+        squares = np.einsum("ij,ij->i", slopes, slopes) / slopes.shape[1]
+        seen[at] += np.where(seen[at] > 0, 1, FIRST) * squares + 1e-6
+        used[at] += times
+        getattr(self, name)[at] += RATE * slopes / np.sqrt(seen[at])[:, None]
 
     # Averages
 
+    def tables(self) -> list[np.ndarray]:
+        """The rows of r, q, g, c."""
+        return [self.r, self.q, self.g, self.c.reshape(-1, WIDTH)]
+
     def rows(self, state: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers, weights and values of the rows that were used: r, q, g, c, all as wide as q."""
-        n, parts = state.get("n", 0), []
-        wide = lambda x: np.concatenate([x, np.zeros((x.shape[0], 1), dtype=np.float32)], axis=1)
-        tables = [wide(self.r), self.q, self.g, wide(self.c.reshape(-1, WIDTH))]
-        for name, table in zip("rqgc", tables):
-            parts.append(state[name][1] if name in state else np.full(table.shape[0], n if name == "c" else 0))
-        weight = np.concatenate(parts)
-        at = np.flatnonzero(weight)
-        return at, weight[at], np.concatenate(tables)[at]
+        """Numbers, uses and values of the rows that were used: r, q, g, c, all as wide as q, then the squares of their slopes."""
+        ats, uses, values, first = [], [], [], 0
+        for name, table in zip("rqgc", self.tables()):
+            seen, used = self.kept(name, state)
+            at = np.flatnonzero(used)
+            wide = np.zeros((at.size, WIDTH + 2), dtype=np.float32)
+            wide[:, : table.shape[1]] = table[at]
+            wide[:, -1] = seen[at]
+            ats.append(first + at)
+            uses.append(used[at])
+            values.append(wide)
+            first += table.shape[0]
+        return np.concatenate(ats), np.concatenate(uses), np.concatenate(values)
 
     def put(self, at: np.ndarray, values: np.ndarray) -> None:
         """Sets the rows with these numbers."""
-        sizes = np.cumsum([self.r.shape[0], self.q.shape[0], self.g.shape[0]])
-        table, own = np.searchsorted(sizes, at, "right"), at - np.r_[0, sizes][np.searchsorted(sizes, at, "right")]
-        self.r[own[table == 0]] = values[table == 0, :WIDTH]
-        self.q[own[table == 1]] = values[table == 1]
-        self.g[own[table == 2]] = values[table == 2]
-        self.c.reshape(-1, WIDTH)[own[table == 3]] = values[table == 3, :WIDTH]
+        first = 0
+        for name, table in zip("rqgc", self.tables()):
+            own = (at >= first) & (at < first + table.shape[0])
+            table[at[own] - first] = values[own, : table.shape[1]]
+            self.seen[name][at[own] - first] = values[own, -1]
+            first += table.shape[0]
 
     # Scores
 
     def log_probabilities(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 P(unit | context) of the ranks `target`, exactly normalised, in both levels."""
         out = np.empty(target.size)
-        group = target // GROUP
+        group = target // self.group
         h = np.empty((target.size, WIDTH + 1), dtype=np.float32)
         moved = [self.r @ c for c in self.c] if target.size > self.r.shape[0] else None
         for a in range(0, target.size, ROWS):
@@ -283,7 +315,7 @@ class Model:
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             for a in range(bounds[k], bounds[k + 1], ROWS):
                 own = order[a : min(a + ROWS, bounds[k + 1])]
-                out[own] += _log_softmax(h[own] @ self.q[k * GROUP : (k + 1) * GROUP].T, target[own] - k * GROUP)
+                out[own] += _log_softmax(h[own] @ self.q[k * self.group : (k + 1) * self.group].T, target[own] - k * self.group)
         return out / math.log(10)
 
 
@@ -301,43 +333,53 @@ def _log_softmax(s: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(learned: DataFrame, head, start) -> Model:
+def train(learned: DataFrame, head, start: Model) -> Model:
+    """learned: text. Learns from all texts in ROUNDS rounds, from the model `start`. head: broadcast."""
+    model = start
+    for number in range(ROUNDS):
+        part = learned.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == number)
+        model = train_round(part, head, learned.sparkSession.sparkContext.broadcast(model), number)
+    return model
+
+
+def train_round(learned: DataFrame, head, start, number: int) -> Model:
     """learned: text. One pass of all tasks from the model `start`, averaged. head, start: broadcast."""
 
     def run(batches):
         head_, model = head.value, start.value.copy()
-        rng, state = np.random.default_rng([7, TaskContext.get().partitionId()]), {}
-        held, size = [], 0
+        rng, state = np.random.default_rng([7, number, TaskContext.get().partitionId()]), {}
+        held, size, taken = [], 0, 0
+        portion = lambda taken: min(PORTION, START << min(number + taken // EVERY, 20))
         for batch in batches:
             for _, block in runs(batch.column(0).to_pylist(), BLOCK):
                 kind, _, bounds, _ = head_.read(block)
-                at = np.flatnonzero(rng.random(kind.size) < 1 / SHARE)
-                held.append(np.concatenate([head_.before(kind, bounds)[:, at], model.rank[kind[at]][None]]))
-                size += at.size
+                held.append(np.concatenate([head_.before(kind, bounds), model.rank[kind][None]]))
+                size += kind.size
                 if size >= PORTION:
-                    rows = np.concatenate(held, axis=1)
-                    whole = size - size % PORTION
                     # The tokens of a step are from all over what was read.
-                    mixed = rng.permutation(size)
-                    for a in range(0, whole, PORTION):
-                        own = rows[:, mixed[a : a + PORTION]]
-                        model.learn(own[:CONTEXT], own[CONTEXT], rng, state)
-                    held, size = [rows[:, mixed[whole:]]], size - whole
-        if size:
-            rows = np.concatenate(held, axis=1)
-            model.learn(rows[:CONTEXT], rows[CONTEXT], rng, state)
+                    rows = np.concatenate(held, axis=1)[:, rng.permutation(size)]
+                    at = 0
+                    while size - at >= (step := portion(taken)):
+                        model.learn(rows[:CONTEXT, at : at + step], rows[CONTEXT, at : at + step], rng, state)
+                        at, taken = at + step, taken + 1
+                    held, size = [rows[:, at:]], size - at
+        rows, at = np.concatenate(held, axis=1)[:, rng.permutation(size)] if size else None, 0
+        while at < size:
+            step = portion(taken)
+            model.learn(rows[:CONTEXT, at : at + step], rows[CONTEXT, at : at + step], rng, state)
+            at, taken = at + step, taken + 1
         at, weight, values = model.rows(state)
         for a in range(0, at.size, ROWS):
-            own = slice(a, a + ROWS)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (at[own].size + 1) * (WIDTH + 1), WIDTH + 1), pa.int32()), pa.array(values[own].ravel(), pa.float32()))
+            own, wide = slice(a, a + ROWS), WIDTH + 2
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (at[own].size + 1) * wide, wide), pa.int32()), pa.array(values[own].ravel(), pa.float32()))
             yield pa.RecordBatch.from_arrays([pa.array(at[own]), pa.array(weight[own].astype(np.int64)), flat], ["at", "n", "v"])
 
     rows = learned.mapInArrow(run, "at bigint, n bigint, v array<float>")
-    mean = [(F.sum(F.col("n") * F.col("v")[k].cast("double")) / F.sum("n")).cast("float").alias(f"v{k}") for k in range(WIDTH + 1)]
+    mean = [(F.sum(F.col("n") * F.col("v")[k].cast("double")) / F.sum("n")).cast("float").alias(f"v{k}") for k in range(WIDTH + 2)]
     found = rows.groupBy("at").agg(*mean).toArrow()
     model = start.value.copy()
     if found.num_rows:
-        model.put(found["at"].to_numpy(), np.stack([found[f"v{k}"].to_numpy() for k in range(WIDTH + 1)], axis=1))
+        model.put(found["at"].to_numpy(), np.stack([found[f"v{k}"].to_numpy() for k in range(WIDTH + 2)], axis=1))
     return model
 
 
@@ -354,17 +396,18 @@ def scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     ends = learned.count()
     sums = counts.agg(F.sum("n"), F.count("*")).first()
     tokens, distinct = (sums[0] or 0) + ends, sums[1] + (ends > 0)
-    # The least count of a head word: how many words have each count, largest first, as long as HEAD lasts.
+    wanted = int(OWN * tokens ** (1 / 3))
+    # The least count of a head word: how many words have each count, largest first, as long as the head lasts.
     often = counts.groupBy("n").agg(F.count("*").alias("words"))
     least, size = None, 0
-    for row in often.orderBy(F.desc("n")).limit(HEAD).toLocalIterator():
+    for row in often.orderBy(F.desc("n")).limit(max(HEAD, wanted)).toLocalIterator():
         size += row.words
-        if size > HEAD:
+        if size > max(HEAD, wanted):
             break
         least = row.n
     is_head = F.col("n") >= least if least else F.lit(False)
     rows = counts.where(is_head).toArrow()
-    head = Head(list(zip(rows["word"].to_pylist(), rows["n"].to_pylist())), ends)
+    head = Head(list(zip(rows["word"].to_pylist(), rows["n"].to_pylist())), ends, wanted)
     shared = sc.broadcast(head)
 
     # Tokens and distinct words of each ending unit: those of all words less those of the words that are units.
@@ -379,7 +422,7 @@ def scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     inner = np.zeros(head.units)
     inner[head.own : head.end] = np.log10(tokens_in + words_in + 1)
     inner = sc.broadcast(inner)
-    start = sc.broadcast(Model(np.r_[[n for _, n in listed], tokens_in, ends].astype(np.float64)))
+    start = Model(np.r_[[n for _, n in listed], tokens_in, ends].astype(np.float64), group=math.isqrt(head.units))
     model = sc.broadcast(train(learned, shared, start))
 
     def run(batches):
