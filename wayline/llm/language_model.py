@@ -171,6 +171,7 @@ class Model:
         self.c = np.stack([np.eye(WIDTH, dtype=np.float32) / (i + 1) for i in range(CONTEXT)])
         self.q = np.concatenate([small(n, WIDTH) * 0.1, np.log(inside)[:, None].astype(np.float32)], axis=1)
         self.g = np.concatenate([small(self.groups, WIDTH) * 0.1, np.log(self.of_group)[:, None].astype(np.float32)], axis=1)
+        self.log_noise = {"g": np.log(NOISE * self.of_group / self.of_group.sum()).astype(np.float32), "q": np.log(NOISE * inside).astype(np.float32)}
         self.seen = {name: np.full(table.shape[0], 1e-4 if name == "c" else 0, dtype=np.float32) for name, table in zip("rqgc", self.tables())}
 
     def copy(self) -> Model:
@@ -221,8 +222,7 @@ class Model:
         low, high = upto[cuts[:-1], None], upto[cuts[1:], None]
         drawn = np.searchsorted(upto, low + rng.random((cuts.size - 1, NOISE)) * (high - low), "right") - 1
         drawn = np.clip(drawn, cuts[:-1, None], cuts[1:, None] - 1)
-        inside = np.repeat((high - low)[:, 0], np.diff(cuts))
-        log_noise = np.log(NOISE * share / inside).astype(np.float32)
+        log_noise = self.log_noise[name]
         own = weights[true]
         up = 1 - _sigmoid(np.einsum("ij,ij->i", h, own) - log_noise[true])
         back = up[:, None] * own[:, :WIDTH]
@@ -237,7 +237,8 @@ class Model:
         noise = weights[drawn[of]]
         down = -_sigmoid(held @ noise.transpose(0, 2, 1) - log_noise[drawn[of]][:, None, :])
         down *= real[:, :, None]
-        back[at[real]] += (down @ noise[:, :, :WIDTH])[real]
+        # The pieces' contexts are all contexts, in order.
+        back += (down @ noise[:, :, :WIDTH])[real]
         first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         lost = np.add.reduceat(down.transpose(0, 2, 1) @ held, first, axis=0)
         # True and drawn rows together.
