@@ -57,3 +57,19 @@ def test_binned_density_is_within_its_error(spark):
         got = {r.point: r.density for r in stats.binned_density(frame, 20, cells).collect()}
         most = stats.density_error(max(rows) - min(rows), width, cells)
         assert got.keys() == exact.keys() and max(abs(got[k] - exact[k]) for k in got) <= most < 0.01
+
+
+@pytest.mark.parametrize("load", [2, 250])
+def test_pairs_of_full_cells_are_dealt_and_nothing_is_broadcast(spark, monkeypatch, load):
+    monkeypatch.setattr(flows, "LOAD", load, raising=False)
+    rng = random.Random(3)
+    spots = [(rng.uniform(-180, 180), rng.uniform(86, 90)) for _ in range(40)] + [(rng.uniform(0, 4), rng.uniform(0, 4)) for _ in range(40)]
+    values = [float(rng.randint(1, 9)) for _ in spots]
+    places = spark.createDataFrame([(i, x, y, v) for i, ((x, y), v) in enumerate(zip(spots, values))], "name int, lon double, lat double, value double")
+    pairs = flows.pair_distances(places, 350.0)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastNestedLoopJoin" not in plan
+    got = {(r.org, r.dest): r.s for r in flows.radiation(places, most=350.0).collect()}
+    near = {(i, j): km(p, q) for i, p in enumerate(spots) for j, q in enumerate(spots) if i != j and km(p, q) <= 350}
+    assert got == {(i, j): sum(values[k] for (o, k), e in near.items() if o == i and (e, k) < (d, j)) for (i, j), d in near.items()}
+    assert {(r.org, r.dest) for r in pairs.collect()} == near.keys()
