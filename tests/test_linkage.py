@@ -115,3 +115,36 @@ def test_chains_equal_a_plain_loop(spark):
 
 def minutes_to(m):
     return m // 60 * 100 + m % 60
+
+
+def exchanges(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_pairs_of_one_station_are_scored_where_they_meet(spark):
+    """With numbers, no exchange by a or by b alone follows the pairs, and trains that repeat a station count each stop."""
+    rows = [(t, q, s, 800 + t % 3, None) for t in range(12) for q, s in enumerate([t % 2, 5, 5] if t % 4 == 0 else [t % 2])]
+    stops = spark.createDataFrame(rows, STOPS)
+    numbers = spark.createDataFrame([(t, t % 2) for t in range(9)], "train int, number int")
+    found = linkage.similarity(stops, 1, 5, 25, numbers)
+    keys = [line.partition("hashpartitioning(")[2].partition(",")[0].partition("#")[0] for line in exchanges(found)]
+    assert sum(k in ("a", "b") for k in keys) <= 1
+    shared = {(t, u): [(x, y) for i, _, s, x, _ in rows if i == t for j, _, r, y, _ in rows if j == u and r == s] for t in range(12) for u in range(t + 1, 12)}
+    want = {p: linkage.NO_LINK if p[0] < 9 and p[1] < 9 and p[0] % 2 != p[1] % 2 else sum(abs(x - y) for x, y in z) / len(z) for p, z in shared.items() if z}
+    assert {(r.a, r.b): r.score for r in found.collect()} == want
+
+
+def test_trains_of_two_busy_stations_meet_by_both(spark):
+    """All trains serve stations 0 and 1, but three each have a third one in common: only these are pairs."""
+    rows = [(t, q, s, 800, 800) for t in range(30) for q, s in enumerate((0, 1, 2 + t // 3, 50 + t))]
+    assert {(r.a, r.b) for r in linkage.sharing(spark.createDataFrame(rows, STOPS), 3).collect()} == {(a, b) for a in range(30) for b in range(a + 1, 30) if a // 3 == b // 3}
+
+
+def test_similar_equals_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(t, q, rng.choice([0, 1, 2]), rng.choice([None, 800, 803, 807, 815]), rng.choice([None, 802, 809])) for t in range(60) for q in range(rng.randint(1, 3))]
+    stops = spark.createDataFrame(rows, STOPS)
+    for common in (1, 2):
+        whole = {(r.a, r.b): r.score for r in linkage.similarity(stops, common, 5, 9).collect() if r.score < linkage.TOO_FEW}
+        assert {(r.a, r.b): r.score for r in linkage.similar(stops, common, 5, 9).collect()} == whole and whole

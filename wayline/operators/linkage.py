@@ -20,72 +20,130 @@ def similarity(stops: DataFrame, common: int, exact: int = 0, loose: int = 25, n
     TOO_FEW if fewer than `common` of them agree, NO_LINK if one of them disagrees, there are too few, or both trains
     have numbers (numbers: train, number) and share none. With `among` (a, b) only for those pairs. A station agrees by arrivals, else by departures, within
     `exact`; else by an arrival and a departure within `loose`, which all together count as one."""
-    left = stops.select(F.col("train").alias("a"), "station", F.col("arr").alias("arr1"), F.col("dep").alias("dep1"))
-    right = stops.select(F.col("train").alias("b"), "station", F.col("arr").alias("arr2"), F.col("dep").alias("dep2"))
+    if among is not None:
+        left, right = (stops.select(F.col("train").alias(t), "station", F.col("arr").alias(f"arr{k}"), F.col("dep").alias(f"dep{k}")) for k, t in ((1, "a"), (2, "b")))
+        scored = _scores(among.join(left, "a").join(right, ["b", "station"]).withColumn("differ", F.lit(False)), common, exact, loose)
+        if numbers is None:
+            return scored
+        own = _numbers(numbers)
+        both = scored.join(own.select(F.col("train").alias("a"), F.col("n").alias("n1")), "a", "left").join(own.select(F.col("train").alias("b"), F.col("n").alias("n2")), "b", "left")
+        return both.select("a", "b", F.when(_differ(), NO_LINK).otherwise(F.col("score")).alias("score"))
+    # Each stop knows its train's stations and numbers, so a pair that shares one station, served once by both, is scored where
+    # it is made; only other pairs are brought together. A train's stations are few, its pairs may be any number.
+    rows = stops.where("station is not null").withColumns({"of": F.collect_set("station").over(Window.partitionBy("train")), "times": F.count("*").over(Window.partitionBy("train", "station"))})
+    columns = ["arr", "dep", "of", "times"]
+    if numbers is not None:
+        rows, columns = rows.join(_numbers(numbers), "train", "left"), [*columns, "n"]
+    pairs = _meet(rows.select("train", "station", *columns), ["station"], columns).withColumn("differ", F.lit(False) if numbers is None else _differ())
+    once = (F.size(F.array_intersect("of1", "of2")) == 1) & (F.col("times1") == 1) & (F.col("times2") == 1)
+    same, near = _apart(exact, loose)
+    alone = pairs.where(once).select("a", "b", F.lit(1).alias("shared"), (same <= exact).cast("int").alias("hits"), F.when(same.isNull() & near.isNotNull(), 1).otherwise(0).alias("loose"), F.coalesce(same, near).alias("off"), (F.coalesce(same > exact, near.isNull()) | F.col("differ")).alias("veto"))
+    return _score(alone, common).union(_scores(pairs.where(~once), common, exact, loose))
+
+
+def _numbers(numbers: DataFrame) -> DataFrame:
+    return numbers.distinct().groupBy("train").agg(F.collect_set("number").alias("n"))
+
+
+def _differ() -> Column:
+    """Do both have numbers and share none?"""
+    return F.coalesce(~F.arrays_overlap("n1", "n2"), F.lit(False))
+
+
+def _apart(exact: int, loose: int) -> tuple[Column, Column]:
+    """Minutes between two stops (arr1, dep1; arr2, dep2) by arrivals, else departures, and within `loose` by one of each."""
     off = lambda x, y: F.abs(T.to_minutes(x) - T.to_minutes(y))
-    aa, dd, ad, da = off("arr1", "arr2"), off("dep1", "dep2"), off("arr1", "dep2"), off("dep1", "arr2")
-    same = F.coalesce(aa, dd)
-    near = F.when(ad <= loose, ad).when(da <= loose, da)
-    pairs = left.join(right, "station").where("a < b") if among is None else among.join(left, "a").join(right, ["b", "station"])
-    scored = pairs.groupBy("a", "b").agg(
+    ad, da = off("arr1", "dep2"), off("dep1", "arr2")
+    return F.coalesce(off("arr1", "arr2"), off("dep1", "dep2")), F.when(ad <= loose, ad).when(da <= loose, da)
+
+
+def _scores(pairs: DataFrame, common: int, exact: int, loose: int) -> DataFrame:
+    """a, b, score of the shared stops of pairs (a, b, arr1, dep1, arr2, dep2, differ)."""
+    same, near = _apart(exact, loose)
+    gathered = pairs.groupBy("a", "b").agg(
         F.count("*").alias("shared"), F.sum((same <= exact).cast("int")).alias("hits"), F.max(F.when(same.isNull() & near.isNotNull(), 1).otherwise(0)).alias("loose"),
-        F.sum(F.coalesce(same, near)).alias("off"), F.bool_or(F.coalesce(same > exact, near.isNull())).alias("veto"),
+        F.sum(F.coalesce(same, near)).alias("off"), F.bool_or(F.coalesce(same > exact, near.isNull()) | F.col("differ")).alias("veto"),
     )
+    return _score(gathered, common)
+
+
+def _score(found: DataFrame, common: int) -> DataFrame:
     agree = F.coalesce("hits", F.lit(0)) + F.col("loose")
     score = F.when(F.col("veto") | (F.col("shared") < common), NO_LINK).when(agree < common, TOO_FEW).otherwise(F.col("off") / agree)
-    scored = scored.select("a", "b", score.alias("score"))
-    if numbers is None:
-        return scored
-    own = numbers.distinct().groupBy("train").agg(F.collect_set("number").alias("n"))
-    both = scored.join(own.select(F.col("train").alias("a"), F.col("n").alias("na")), "a", "left").join(own.select(F.col("train").alias("b"), F.col("n").alias("nb")), "b", "left")
-    differ = F.coalesce(~F.arrays_overlap("na", "nb"), F.lit(False))
-    return both.select("a", "b", F.when(differ, NO_LINK).otherwise(F.col("score")).alias("score"))
+    return found.select("a", "b", score.alias("score"))
 
 
-#: Trains of one station's list that meet in one task.
+#: Trains of one list that meet in one task.
 LIST = 2_000
 
 
+def _meet(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Pairs a < b of rows (train, keys, columns) with equal keys: a, b, the keys, and each column as of a and of b (name1, name2). A list of
+    more than LIST rows is dealt over blocks, each pair of blocks _p, _q being a key of its own; such lists are a LIST-th of the
+    rows at most. Both sides are one table, so it is moved once."""
+    blocks = rows.groupBy(*keys).agg(F.ceil(F.count("*") / LIST).cast("int").alias("_g")).where("_g > 1")
+    many = F.coalesce("_g", F.lit(1))
+    dealt = rows.join(F.broadcast(blocks), keys, "left").withColumn("_o", F.pmod(F.xxhash64("train"), many).cast("int")).withColumn("_x", F.explode(F.sequence(F.lit(0), many - 1)))
+    side = lambda t, k: dealt.select(*keys, F.least("_o", "_x").alias("_p"), F.greatest("_o", "_x").alias("_q"), F.col("train").alias(t), F.col("_o").alias(f"_o{k}"), *[F.col(c).alias(f"{c}{k}") for c in columns])
+    return side("a", 1).join(side("b", 2), [*keys, "_p", "_q"]).where("a < b and (_o1 <> _o2 or _p = _q)")
+
+
+def _stretches(lists: DataFrame, common: int) -> DataFrame:
+    """lists (train, l: an array of structs) with a row for each two elements x before y that can be the first two of `common`
+    in the list: all but the last. These are as many as the square of a train's list."""
+    head = lists.withColumn("_h", F.slice("l", F.lit(1), F.greatest(F.size("l") - (common - 2), F.lit(0))))
+    return head.select(*lists.columns, "_h", F.posexplode("_h").alias("_i", "x")).withColumn("y", F.explode(F.slice("_h", F.col("_i") + 2, F.size("_h")))).drop("_h", "_i")
+
+
 def sharing(stops: DataFrame, common: int) -> DataFrame:
-    """a, b: pairs of trains that may have `common` different stations in common, and all that have; a < b.
+    """a, b: pairs of trains that have `common` different stations in common; a < b.
 
-    Stations are ordered by how few trains they have. Of two trains with `common` stations in common the first such station is,
-    in either train, among all but the last common - 1 of its stations, so only these are indexed: busy stations come last and are
-    seldom among them. A list of more than LIST trains is dealt over blocks, each pair of blocks being a key of its own."""
+    Stations are ordered by how few trains they have. Of two trains with `common` stations in common the first two of these are,
+    in either train, among all but the last common - 2 of its stations, so trains meet by two such stations (by one if
+    common is 1), and busy stations are seldom among them. Where they meet, their stations are compared."""
     own = lineage.cut(stops.select("train", "station").where("station is not null").distinct())
+    if common < 2:
+        return _meet(own, ["station"], []).select("a", "b").distinct()
     many = own.groupBy("station").agg(F.count("*").alias("_m"))
-    order = Window.partitionBy("train").orderBy("_m", "station")
-    placed = own.join(many, "station").withColumns({"_i": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy("train"))})
-    # A train's list is as long as its stations, a station's list may be anything.
-    head = lineage.cut(placed.where(F.col("_i") <= F.col("_n") - common + 1).select("train", "station"))
-    blocks = head.groupBy("station").agg(F.ceil(F.count("*") / LIST).cast("int").alias("_g")).where("_g > 1")
-    dealt = head.join(blocks, "station", "left").withColumn("_g", F.coalesce("_g", F.lit(1))).withColumn("_o", F.pmod(F.xxhash64("train"), F.col("_g")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("_g") - 1)
-    left = dealt.select(F.col("train").alias("a"), "station", F.col("_o").alias("_p"), F.explode(every).alias("_q"))
-    right = dealt.select(F.col("train").alias("b"), "station", F.explode(every).alias("_p"), F.col("_o").alias("_q"))
-    return left.join(right, ["station", "_p", "_q"]).where("a < b").select("a", "b").distinct()
+    lists = own.join(many, "station").groupBy("train").agg(F.array_sort(F.collect_list(F.struct("_m", "station"))).alias("l")).where(F.size("l") >= common)
+    two = lineage.cut(_stretches(lists.select("train", F.col("l.station").alias("l")), common))
+    met = _meet(two.select("train", "x", "y", F.col("l").alias("of")), ["x", "y"], ["of"])
+    return met.where(F.size(F.array_intersect("of1", "of2")) >= common).select("a", "b").distinct()
 
 
 def close(stops: DataFrame, common: int, exact: int = 0, loose: int = 25, numbers: DataFrame | None = None) -> DataFrame:
     """The rows of similarity() for pairs of trains with at least `common` different stations in common, found by sharing()."""
-    near = lineage.cut(sharing(stops, common))
-    own = stops.select("train", "station").where("station is not null").distinct()
-    both = near.join(own.withColumnRenamed("train", "a"), "a").join(own.withColumnRenamed("train", "b"), ["b", "station"])
-    enough = lineage.cut(both.groupBy("a", "b").agg(F.count("*").alias("_c")).where(F.col("_c") >= common).select("a", "b"))
-    return similarity(stops, common, exact, loose, numbers, enough)
+    return similarity(stops, common, exact, loose, numbers, lineage.cut(sharing(stops, common)))
 
 
 def similar(stops: DataFrame, common: int = 1, exact: int = 0, loose: int = 25, numbers: DataFrame | None = None) -> DataFrame:
-    """The pairs of similarity() that are scored below TOO_FEW. Only trains that meet at a station within the larger
-    tolerance are compared: they are found by station and time bucket, so a busy station does not bring all its trains
-    together. common: 1 at least."""
+    """The pairs of similarity() that are scored below TOO_FEW. Only trains that meet within the larger tolerance are compared:
+    at two stations, and where `common` is 1 or one of both serves a station more than once, at that station. They are found by
+    station and time bucket, so a busy station does not bring all its trains together. common: 1 at least."""
     most = max(exact, loose)
-    times = stops.select("train", "station", F.explode(F.array_compact(F.array(T.to_minutes("arr"), T.to_minutes("dep")))).alias("t")).distinct()
-    bucket = F.floor(F.col("t") / (most + 1))
-    left = times.select(F.col("train").alias("a"), "station", F.col("t").alias("t1"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_k"))
-    right = times.select(F.col("train").alias("b"), "station", F.col("t").alias("t2"), bucket.alias("_k"))
-    met = left.join(right, ["station", "_k"]).where("a < b").where(F.abs(F.col("t1") - F.col("t2")) <= most).select("a", "b").distinct()
-    return similarity(stops, common, exact, loose, numbers, met).where(F.col("score") < TOO_FEW)
+    wide = 4 * (most + 1)
+    same, near = _apart(exact, loose)
+    agree = ~F.coalesce(same > exact, near.isNull())
+    rows = stops.where("station is not null").select("train", "station", "arr", "dep")
+    times = lambda s: F.array_compact(F.array(T.to_minutes(F.col(f"{s}arr")), T.to_minutes(F.col(f"{s}dep"))))
+    spots = lambda s: F.explode(F.array_distinct(F.transform(times(s), lambda t: F.floor(t / wide))))
+    reach = lambda s: F.explode(F.array_distinct(F.flatten(F.transform(times(s), lambda t: F.sequence(F.floor((t - most) / wide), F.floor((t + most) / wide))))))
+    side = lambda df, t, k, *more: df.select(F.col("train").alias(t), "station", F.col("arr").alias(f"arr{k}"), F.col("dep").alias(f"dep{k}"), *more)
+    if common < 2:
+        met = side(rows, "a", 1, reach("").alias("_k")).join(side(rows, "b", 2, spots("").alias("_k")), ["station", "_k"]).where("a < b").where(agree).select("a", "b")
+    else:
+        again = rows.withColumn("_c", F.count("*").over(Window.partitionBy("train", "station"))).where("_c > 1")
+        met = side(again, "a", 1, reach("").alias("_k")).join(side(rows, "b", 2, spots("").alias("_k")), ["station", "_k"]).where("a <> b").where(agree).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        # Where no shared stop disagrees, any one stop at each of two shared stations agrees.
+        one = rows.groupBy("train", "station").agg(F.min(F.struct("arr", "dep")).alias("t"))
+        lists = one.groupBy("train").agg(F.array_sort(F.collect_list(F.struct("station", "t.arr", "t.dep"))).alias("l"))
+        two = lineage.cut(_stretches(lists, common).select("train", "x", "y"))
+        end = lambda t, k, key: two.select(F.col("train").alias(t), F.col("x.station").alias("sx"), F.col("y.station").alias("sy"), key.alias("_k"), *[F.col(f"{e}.{c}").alias(f"{e}_{c}{k}") for e in "xy" for c in ("arr", "dep")])
+        both = end("a", 1, reach("x.")).join(end("b", 2, spots("x.")), ["sx", "sy", "_k"]).where("a < b")
+        for e in "xy":
+            both = both.withColumns({f"{c}{k}": F.col(f"{e}_{c}{k}") for k in (1, 2) for c in ("arr", "dep")}).where(agree)
+        met = met.union(both.select("a", "b"))
+    return similarity(stops, common, exact, loose, numbers, lineage.cut(met.distinct())).where(F.col("score") < TOO_FEW)
 
 
 def possible_links(stops: DataFrame, common: int = 2, exact: int = 0, changed: DataFrame | None = None) -> DataFrame:
