@@ -20,6 +20,7 @@ def similarity(stops: DataFrame, common: int, exact: int = 0, loose: int = 25, n
     TOO_FEW if fewer than `common` of them agree, NO_LINK if one of them disagrees, there are too few, or both trains
     have numbers (numbers: train, number) and share none. With `among` (a, b) only for those pairs. A station agrees by arrivals, else by departures, within
     `exact`; else by an arrival and a departure within `loose`, which all together count as one."""
+    stops = _timed(stops)
     if among is not None:
         left, right = (stops.select(F.col("train").alias(t), "station", F.col("arr").alias(f"arr{k}"), F.col("dep").alias(f"dep{k}")) for k, t in ((1, "a"), (2, "b")))
         scored = _scores(among.join(left, "a").join(right, ["b", "station"]).withColumn("differ", F.lit(False)), common, exact, loose)
@@ -36,8 +37,7 @@ def similarity(stops: DataFrame, common: int, exact: int = 0, loose: int = 25, n
         rows, columns = rows.join(_numbers(numbers), "train", "left"), [*columns, "n"]
     pairs = _meet(rows.select("train", "station", *columns), ["station"], columns).withColumn("differ", F.lit(False) if numbers is None else _differ())
     once = (F.size(F.array_intersect("of1", "of2")) == 1) & (F.col("times1") == 1) & (F.col("times2") == 1)
-    same, near = _apart(exact, loose)
-    alone = pairs.where(once).select("a", "b", F.lit(1).alias("shared"), (same <= exact).cast("int").alias("hits"), F.when(same.isNull() & near.isNotNull(), 1).otherwise(0).alias("loose"), F.coalesce(same, near).alias("off"), (F.coalesce(same > exact, near.isNull()) | F.col("differ")).alias("veto"))
+    alone = _marks(pairs.where(once), exact, loose).withColumn("shared", F.lit(1))
     return _score(alone, common).union(_scores(pairs.where(~once), common, exact, loose))
 
 
@@ -50,20 +50,29 @@ def _differ() -> Column:
     return F.coalesce(~F.arrays_overlap("n1", "n2"), F.lit(False))
 
 
+def _timed(stops: DataFrame) -> DataFrame:
+    """train, station and the minutes of arr and dep, reckoned once for a stop and not for each pair."""
+    return stops.select("train", "station", T.to_minutes("arr").alias("arr"), T.to_minutes("dep").alias("dep"))
+
+
 def _apart(exact: int, loose: int) -> tuple[Column, Column]:
-    """Minutes between two stops (arr1, dep1; arr2, dep2) by arrivals, else departures, and within `loose` by one of each."""
-    off = lambda x, y: F.abs(T.to_minutes(x) - T.to_minutes(y))
+    """Minutes between two stops (arr1, dep1; arr2, dep2, in minutes) by arrivals, else departures, and within `loose` by one of each."""
+    off = lambda x, y: F.abs(F.col(x) - F.col(y))
     ad, da = off("arr1", "dep2"), off("dep1", "arr2")
     return F.coalesce(off("arr1", "arr2"), off("dep1", "dep2")), F.when(ad <= loose, ad).when(da <= loose, da)
 
 
-def _scores(pairs: DataFrame, common: int, exact: int, loose: int) -> DataFrame:
-    """a, b, score of the shared stops of pairs (a, b, arr1, dep1, arr2, dep2, differ)."""
+def _marks(pairs: DataFrame, exact: int, loose: int) -> DataFrame:
+    """a, b and what a shared stop (arr1, dep1, arr2, dep2, differ) says of the pair: hits, loose, off, veto."""
     same, near = _apart(exact, loose)
-    gathered = pairs.groupBy("a", "b").agg(
-        F.count("*").alias("shared"), F.sum((same <= exact).cast("int")).alias("hits"), F.max(F.when(same.isNull() & near.isNotNull(), 1).otherwise(0)).alias("loose"),
-        F.sum(F.coalesce(same, near)).alias("off"), F.bool_or(F.coalesce(same > exact, near.isNull()) | F.col("differ")).alias("veto"),
-    )
+    named = pairs.select("a", "b", "differ", same.alias("same"), near.alias("near"))
+    veto = F.coalesce(F.col("same") > exact, F.col("near").isNull()) | F.col("differ")
+    return named.select("a", "b", (F.col("same") <= exact).cast("int").alias("hits"), (F.col("same").isNull() & F.col("near").isNotNull()).cast("int").alias("loose"), F.coalesce("same", "near").alias("off"), veto.alias("veto"))
+
+
+def _scores(pairs: DataFrame, common: int, exact: int, loose: int) -> DataFrame:
+    """a, b, score of the shared stops of pairs."""
+    gathered = _marks(pairs, exact, loose).groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("hits").alias("hits"), F.max("loose").alias("loose"), F.sum("off").alias("off"), F.bool_or("veto").alias("veto"))
     return _score(gathered, common)
 
 
@@ -124,8 +133,8 @@ def similar(stops: DataFrame, common: int = 1, exact: int = 0, loose: int = 25,
     wide = 4 * (most + 1)
     same, near = _apart(exact, loose)
     agree = ~F.coalesce(same > exact, near.isNull())
-    rows = stops.where("station is not null").select("train", "station", "arr", "dep")
-    times = lambda s: F.array_compact(F.array(T.to_minutes(F.col(f"{s}arr")), T.to_minutes(F.col(f"{s}dep"))))
+    rows = _timed(stops).where("station is not null")
+    times = lambda s: F.array_compact(F.array(F.col(f"{s}arr"), F.col(f"{s}dep")))
     spots = lambda s: F.explode(F.array_distinct(F.transform(times(s), lambda t: F.floor(t / wide))))
     reach = lambda s: F.explode(F.array_distinct(F.flatten(F.transform(times(s), lambda t: F.sequence(F.floor((t - most) / wide), F.floor((t + most) / wide))))))
     side = lambda df, t, k, *more: df.select(F.col("train").alias(t), "station", F.col("arr").alias(f"arr{k}"), F.col("dep").alias(f"dep{k}"), *more)
