@@ -5,7 +5,7 @@ import os
 import pytest
 
 from wayline.operators import timetable
-from wayline.plans import catalogue  # noqa: F401
+from wayline.plans import catalogue, details  # noqa: F401
 from wayline.plans import views as V
 
 DATA = "/root/testdata/sf0.001"
@@ -17,8 +17,9 @@ def moved(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the supplied tables are not here")
-@pytest.mark.parametrize("name,most", [("od_services_direct", 1), ("service_table", 1)])
+@pytest.mark.parametrize("name,most", [("od_services_direct", 1), ("service_table", 1), ("station_graph", 2), ("station_graph_direct", 2)])
 def test_what_follows_within_a_train_is_shuffled_once(spark, name, most):
+    """station_graph reads its stops on both sides; station_graph_direct counts by pairs in the end."""
     assert moved(catalogue.QUERIES[name](spark, DATA)) == most
 
 
