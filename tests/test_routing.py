@@ -142,3 +142,24 @@ def test_no_services_and_no_seeds(spark):
     none, seeds = spark.createDataFrame([], SCHEMA), spark.createDataFrame([(1, 0, 0, 8)], SEEDS)
     assert routing.route_bags(none, seeds, 2, 0, 60, DAY).count() == 0
     assert routing.route_bags(spark.createDataFrame(schedule(9, 3, 1), SCHEMA), seeds.limit(0), 2, 0, 60, DAY).count() == 0
+
+
+@pytest.mark.parametrize("width", [60, 20])
+@pytest.mark.parametrize("low,high,closed", [(7, 60, False), (5, 25, True)])
+def test_flat_look_ups_with_their_paths_equal_the_profiles(spark, width, low, high, closed):
+    """Many origins at few stations and minutes, so that totals tie and the least path decides; two origins count from several times."""
+    services = spark.createDataFrame(schedule(200, 5, 3), SCHEMA)
+    labels = spark.createDataFrame([(o % 3, o % 5, 2 * (o % 7), (2 * (o % 7) + (o if o % 3 == 2 else 8)) % DAY) for o in range(40)], SEEDS).selectExpr("*", "0 as legs", "array(cast(at as string)) as path")
+    found = profiles.earliest(labels, profiles.board(services, DAY, width), low, high, DAY, closed, width)
+    got = routing._best(profiles.retraced(found, labels, profiles.arrivals(services, DAY), low, high, DAY, closed))
+    want = routing._best(profiles.next_service(labels, profiles.profile(services, DAY, width), low, high, DAY, closed, width))
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    # The least is kept in a hash table of numbers: nothing is sorted for it.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[origin" in plan and "SortAggregate" not in plan
+
+
+def test_totals_without_paths_equal_those_with_paths(spark):
+    services, seeds = spark.createDataFrame(schedule(60, 9, 2), SCHEMA), spark.createDataFrame([(1, 0, 0, 8), (1, 1, 12, 20), (2, 5, 3, 33)], SEEDS)
+    rows = lambda **k: sorted((r.origin, r.station, r.legs, r.total, r.at) for r in routing.route_layers(services, seeds, 3, 10, 60, DAY, **k).collect())
+    assert rows() == rows(paths=False) != []
