@@ -143,3 +143,56 @@ def test_all_rows_held_out(spark):
     got = {r.doc_id: r for r in lm.scores(spark.createDataFrame(rows, "doc_id bigint, text string"), F.lit(True)).collect()}
     assert {i: (r.n_tokens, r.n_known, r.train_tokens, r.base_score) for i, r in got.items()} == {4: (3, 0, 0, 0.0), 5: (1, 0, 0, 0.0), 6: (4, 0, 0, 0.0)}
     assert all(r.score < 0 for r in got.values())
+
+
+@pytest.mark.parametrize("size", [1, 40, 700])
+def test_a_step_equals_sums_over_single_tokens(monkeypatch, size):
+    """Also where a batch has fewer tokens than groups, whose contexts then fill no whole piece."""
+    monkeypatch.setattr(lm, "PIECE", 16)
+    rng = np.random.default_rng(2)
+    model = lm.Model(rng.integers(0, 500, 101).astype(float), group=10)
+    for name in "rcqg":
+        setattr(model, name, rng.normal(0, 0.5, getattr(model, name).shape).astype(np.float32))
+    before, target = rng.integers(0, 101, (lm.CONTEXT, size)), rng.integers(0, 101, size)
+    old, state, steps, step = model.copy(), {}, {}, lm.Model.step
+
+    def told(self, name, at, slopes, times, state):
+        steps[name] = np.zeros((getattr(old, name).shape[0], slopes.shape[1])), np.zeros(getattr(old, name).shape[0], dtype=int)
+        assert np.unique(at).size == at.size
+        steps[name][0][at], steps[name][1][at] = slopes, times
+        step(self, name, at, slopes, times, state)
+
+    monkeypatch.setattr(lm.Model, "step", told)
+    model.learn(before, target, np.random.default_rng(4), state)
+    draws = np.random.default_rng(4)
+    back = np.zeros((size, lm.WIDTH))
+    h = np.c_[sum(old.r[before[i]].astype(float) @ old.c[i] for i in range(lm.CONTEXT)), np.ones(size)]
+    for name, true, cuts, share in (("g", target // old.group, np.array([0, old.groups]), old.of_group), ("q", target, old.cuts, old.share)):
+        weights, upto, noise = getattr(old, name).astype(float), np.r_[0.0, np.cumsum(share)], old.log_noise[name]
+        x = draws.random((cuts.size - 1, lm.NOISE))
+        drawn = [[min(max(int(np.searchsorted(upto, upto[a] + y * (upto[b] - upto[a]), "right")) - 1, a), b - 1) for y in row] for a, b, row in zip(cuts[:-1], cuts[1:], x)]
+        slopes, times = np.zeros_like(weights), np.zeros(weights.shape[0], dtype=int)
+        for j in range(size):
+            own = int(np.searchsorted(cuts, true[j], "right")) - 1
+            for row, hit in [(int(true[j]), 1.0), *[(row, 0.0) for row in drawn[own]]]:
+                up = hit - 1 / (1 + math.exp(noise[row] - float(h[j] @ weights[row])))
+                slopes[row] += up * h[j]
+                times[row] += 1
+                back[j] += up * weights[row, : lm.WIDTH]
+        assert np.allclose(steps[name][0], slopes, atol=1e-3) and (steps[name][1] == times).all()
+    slopes, times = np.zeros_like(old.r, dtype=float), np.zeros(101, dtype=int)
+    for i in range(lm.CONTEXT):
+        np.add.at(slopes, before[i], back @ old.c[i].T)
+        np.add.at(times, before[i], 1)
+        slope = old.r[before[i]].T.astype(float) @ back / size
+        seen = 1e-4 + (slope**2).mean(axis=1)
+        assert np.allclose(model.c[i], old.c[i] + lm.RATE * 0.1 * slope / np.sqrt(seen)[:, None], atol=1e-4)
+    assert np.allclose(steps["r"][0], slopes, atol=1e-3) and (steps["r"][1] == times).all()
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(5)
+    for width in (2, 5):
+        values = rng.normal(size=(50, width)).astype(np.float32)
+        for first in ([0], [0, 1, 7, 8, 49], list(range(50))):
+            assert np.allclose(lm._run_sums(values, np.array(first)), np.add.reduceat(values, first, axis=0), atol=1e-5)

@@ -34,6 +34,7 @@ import math
 import zlib
 from collections import Counter
 from copy import copy
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -96,31 +97,28 @@ class Head:
 
     def __init__(self, rows: list[tuple[bytes, int]], ends: int, own: int = 8_192):
         rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-        self.at = {w: i for i, (w, _) in enumerate(rows)}
+        self.at: dict[bytes | None, int] = {w: i for i, (w, _) in enumerate(rows)} | {None: -2}
         self.own = sum(n >= FEWEST for _, n in rows[:own])
         self.end = self.own + ENDINGS
         self.units = self.end + 1
-        self.kind = np.array([i if i < self.own else self.own + ending(w) for i, (w, _) in enumerate(rows)], dtype=np.int32)
+        self.kind = np.array([*[i if i < self.own else self.own + ending(w) for i, (w, _) in enumerate(rows)], self.end, self.end], dtype=np.int32)
         self.log = np.array([math.log10(n + 1) for _, n in rows], dtype=np.float64)
         self.end_log = math.log10(ends + 1)
 
     def read(self, texts: list[str | None]):
         """For texts together: units and places in the head (-1: none, -2: end) of all tokens, their bounds, the word lists."""
         lists = [words(t) for t in texts]
-        get = self.at.get
-        flat: list[int] = []
+        flat: list[bytes | None] = []
         for own in lists:
-            flat += [get(w, -1) for w in own]
-            flat.append(-2)
-        place = np.array(flat, dtype=np.int64)
-        bounds = np.r_[0, np.cumsum([len(own) + 1 for own in lists])]
-        kind = np.full(place.size, self.end, dtype=np.int32)
-        known = place >= 0
-        kind[known] = self.kind[place[known]]
-        for doc in np.unique(np.searchsorted(bounds, np.flatnonzero(place == -1), "right") - 1).tolist():
-            a, b = bounds[doc], bounds[doc + 1]
-            for k in np.flatnonzero(place[a:b] == -1).tolist():
-                kind[a + k] = self.own + ending(lists[doc][k])
+            flat += own
+            flat.append(None)
+        place = np.fromiter(map(self.at.get, flat, repeat(-1)), np.int64, len(flat))
+        bounds = np.cumsum([0, *[len(own) + 1 for own in lists]])
+        # The two last places stand for the end and for unknown words.
+        kind = self.kind[place]
+        unknown = np.flatnonzero(place == -1)
+        if unknown.size:
+            kind[unknown] = self.own + np.fromiter((ending(flat[k]) for k in unknown.tolist()), np.int32, unknown.size)
         return kind, place, bounds, lists
 
     def before(self, kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -139,14 +137,43 @@ def _short(units: np.ndarray, n: int) -> np.ndarray:
     return units.astype(np.uint16) if n <= 1 << 16 else units
 
 
+def _firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct row of sorted ones begins, and how many there are of it."""
+    new = np.empty(rows.size, dtype=bool)
+    new[:1] = True
+    np.not_equal(rows[1:], rows[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    many = np.empty_like(first)
+    np.subtract(first[1:], first[:-1], out=many[:-1])
+    many[-1:] = rows.size - first[-1:]
+    return first, many
+
+
+def _run_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of float32 rows that begin at `first`. numpy goes through a run once for each column, so two columns go
+    together, as a complex number."""
+    if first.size == values.shape[0]:
+        return values
+    even = values.shape[1] // 2 * 2
+    out = np.empty((first.size, values.shape[1]), dtype=np.float32)
+    out[:, :even] = np.add.reduceat(np.ascontiguousarray(values[:, :even]).view(np.complex64), first, axis=0).view(np.float32)
+    if even < values.shape[1]:
+        out[:, even] = np.add.reduceat(values[:, even], first)
+    return out
+
+
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, the sums of their values and their numbers; rows are sorted."""
-    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    return rows[first], np.add.reduceat(values, first, axis=0), np.diff(np.r_[first, rows.size])
+    first, many = _firsts(rows)
+    return rows[first], _run_sums(values, first), many
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    out = np.clip(x, -30, 30)
+    np.negative(out, out=out)
+    np.exp(out, out=out)
+    out += 1
+    return np.divide(1, out, out=out)
 
 
 class Model:
@@ -195,24 +222,40 @@ class Model:
         sigmoid(s - log(NOISE * p)), p being what the noise is drawn from. The batch's contexts share the drawn groups, and
         those of one group the drawn units, so that noise is a product of matrices."""
         order = np.argsort(_short(target, self.share.size), kind="stable")
-        before, target = before[:, order], target[order]
-        h, size = self.predicted(before), target.size
-        back = self.nce("g", h, target // self.group, np.array([0, self.groups]), self.of_group, rng, state)
-        back += self.nce("q", h, target, self.cuts, self.share, rng, state)
-        slopes, times = np.zeros_like(self.r), np.zeros(self.r.shape[0], dtype=np.int64)
+        before, target, size = before.take(order, axis=1), target.take(order), target.size
+        # What a position's matrix makes of a unit, and back, is reckoned once for each unit of the batch.
+        h, met = np.ones((size, WIDTH + 1), dtype=np.float32), []
         for i in range(CONTEXT):
             order = np.argsort(_short(before[i], self.share.size), kind="stable")
-            units, sums, many = _summed(before[i][order], back[order])
-            slopes[units] += sums @ self.c[i].T
-            times[units] += many
-            slope = self.r[units].T @ sums / size
+            units = before[i].take(order)
+            first, many = _firsts(units)
+            units = units[first]
+            vectors = self.r.take(units, axis=0)
+            at = np.empty(size, dtype=np.int64)
+            at[order] = np.repeat(np.arange(units.size), many)
+            made = (vectors @ self.c[i]).take(at, axis=0)
+            if i:
+                h[:, :WIDTH] += made
+            else:
+                h[:, :WIDTH] = made
+            met.append((order, first, many, units, vectors))
+        back = self.nce("g", h, target // self.group, np.array([0, self.groups]), self.of_group, rng, state)
+        back += self.nce("q", h, target, self.cuts, self.share, rng, state)
+        slopes = []
+        for i, (order, first, _, _, vectors) in enumerate(met):
+            sums = _run_sums(back.take(order, axis=0), first)
+            slopes.append(sums @ self.c[i].T)
+            slope = vectors.T @ sums / size
             rows = slice(i * WIDTH, (i + 1) * WIDTH)
             seen, used = self.kept("c", state)
             seen[rows] += (slope**2).mean(axis=1)
             used[rows] += size
             self.c[i] += RATE * 0.1 * slope / np.sqrt(seen[rows])[:, None]
-        at = np.flatnonzero(times)
-        self.step("r", at, slopes[at], times[at], state)
+        units = np.concatenate([m[3] for m in met])
+        order = np.argsort(_short(units, self.share.size), kind="stable")
+        at, sums, _ = _summed(units[order], np.concatenate(slopes).take(order, axis=0))
+        times = np.bincount(units, np.concatenate([m[2] for m in met]), self.share.size)[at].astype(np.int64)
+        self.step("r", at, sums, times, state)
 
     def nce(self, name: str, h: np.ndarray, true: np.ndarray, cuts: np.ndarray, share: np.ndarray, rng: np.random.Generator, state: dict) -> np.ndarray:
         """The step of a table of output vectors whose rows lie in sets between `cuts`; `true`, sorted, are the contexts' true rows,
@@ -223,29 +266,37 @@ class Model:
         drawn = np.searchsorted(upto, low + rng.random((cuts.size - 1, NOISE)) * (high - low), "right") - 1
         drawn = np.clip(drawn, cuts[:-1, None], cuts[1:, None] - 1)
         log_noise = self.log_noise[name]
-        own = weights[true]
-        up = 1 - _sigmoid(np.einsum("ij,ij->i", h, own) - log_noise[true])
+        own = weights.take(true, axis=0)
+        up = 1 - _sigmoid(np.einsum("ij,ij->i", h, own) - log_noise.take(true))
         back = up[:, None] * own[:, :WIDTH]
         rows, sums, many = _summed(true, up[:, None] * h)
-        # Pieces of PIECE contexts at most, each of one set: a product of matrices for each, all at once.
         bounds = np.searchsorted(true, cuts)
-        pieces = -(-np.diff(bounds) // PIECE)
-        of = np.repeat(np.arange(pieces.size), pieces)
-        at = (bounds[of] + PIECE * (np.arange(of.size) - np.repeat(np.cumsum(pieces) - pieces, pieces)))[:, None] + np.arange(PIECE)
-        real = at < bounds[of + 1][:, None]
-        held = h[np.minimum(at, true.size - 1)]
-        noise = weights[drawn[of]]
-        down = -_sigmoid(held @ noise.transpose(0, 2, 1) - log_noise[drawn[of]][:, None, :])
-        down *= real[:, :, None]
-        # The pieces' contexts are all contexts, in order.
-        back += (down @ noise[:, :, :WIDTH])[real]
-        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        lost = np.add.reduceat(down.transpose(0, 2, 1) @ held, first, axis=0)
+        if cuts.size == 2:
+            of = first = np.zeros(1, dtype=np.int64)
+            noise = weights[drawn[0]]
+            down = _sigmoid(h @ noise.T - log_noise[drawn[0]])
+            back -= down @ noise[:, :WIDTH]
+            lost = -(down.T @ h)
+        else:
+            # Pieces of some contexts, each of one set: a product of matrices for each, all at once.
+            piece = min(PIECE, max(8, true.size // cuts.size))
+            pieces = -(-np.diff(bounds) // piece)
+            of = np.repeat(np.arange(pieces.size), pieces)
+            at = (bounds[of] + piece * (np.arange(of.size) - np.repeat(np.cumsum(pieces) - pieces, pieces)))[:, None] + np.arange(piece)
+            real = at < bounds[of + 1][:, None]
+            held = h.take(np.minimum(at, true.size - 1), axis=0)
+            noise = weights.take(drawn[of], axis=0)
+            down = -_sigmoid(held @ noise.transpose(0, 2, 1) - log_noise.take(drawn[of])[:, None, :])
+            down *= real[:, :, None]
+            # The pieces' contexts are all contexts, in order.
+            back += (down @ noise[:, :, :WIDTH]).reshape(-1, WIDTH).take(np.flatnonzero(real), axis=0)
+            first, _ = _firsts(of)
+            lost = _run_sums((down.transpose(0, 2, 1) @ held).reshape(of.size, -1), first)
         # True and drawn rows together.
         every = np.concatenate([rows, drawn[of[first]].ravel()])
         times = np.concatenate([many, np.repeat(np.diff(bounds)[of[first]], NOISE)])
         order = np.argsort(every, kind="stable")
-        units, slopes, _ = _summed(every[order], np.concatenate([sums, lost.reshape(-1, WIDTH + 1)])[order])
+        units, slopes, _ = _summed(every[order], np.concatenate([sums, lost.reshape(-1, WIDTH + 1)]).take(order, axis=0))
         self.step(name, units, slopes, np.bincount(every, times, weights.shape[0])[units].astype(np.int64), state)
         return back
 
@@ -261,7 +312,8 @@ class Model:
         squares = np.einsum("ij,ij->i", slopes, slopes) / slopes.shape[1]
         seen[at] += np.where(seen[at] > 0, 1, FIRST) * squares + 1e-6
         used[at] += times
-        getattr(self, name)[at] += RATE * slopes / np.sqrt(seen[at])[:, None]
+        table = getattr(self, name)
+        table[at] = table.take(at, axis=0) + slopes * (RATE / np.sqrt(seen[at]))[:, None]
 
     # Averages
 
@@ -306,9 +358,9 @@ class Model:
             if moved is None:
                 h[own] = self.predicted(before[:, own])
             else:
-                h[own, :WIDTH] = moved[0][before[0, own]]
+                h[own, :WIDTH] = moved[0].take(before[0, own], axis=0)
                 for i in range(1, CONTEXT):
-                    h[own, :WIDTH] += moved[i][before[i, own]]
+                    h[own, :WIDTH] += moved[i].take(before[i, own], axis=0)
                 h[own, WIDTH] = 1
             out[own] = _log_softmax(h[own] @ self.g.T, group[own])
         order = np.argsort(group.astype(np.int16), kind="stable")
@@ -316,7 +368,7 @@ class Model:
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             for a in range(bounds[k], bounds[k + 1], ROWS):
                 own = order[a : min(a + ROWS, bounds[k + 1])]
-                out[own] += _log_softmax(h[own] @ self.q[k * self.group : (k + 1) * self.group].T, target[own] - k * self.group)
+                out[own] += _log_softmax(h.take(own, axis=0) @ self.q[k * self.group : (k + 1) * self.group].T, target[own] - k * self.group)
         return out / math.log(10)
 
 
@@ -358,13 +410,13 @@ def train_round(learned: DataFrame, head, start, number: int) -> Model:
                 size += kind.size
                 if size >= PORTION:
                     # The tokens of a step are from all over what was read.
-                    rows = np.concatenate(held, axis=1)[:, rng.permutation(size)]
+                    rows = np.concatenate(held, axis=1).take(rng.permutation(size), axis=1)
                     at = 0
                     while size - at >= (step := portion(taken)):
                         model.learn(rows[:CONTEXT, at : at + step], rows[CONTEXT, at : at + step], rng, state)
                         at, taken = at + step, taken + 1
                     held, size = [rows[:, at:]], size - at
-        rows, at = np.concatenate(held, axis=1)[:, rng.permutation(size)] if size else None, 0
+        rows, at = np.concatenate(held, axis=1).take(rng.permutation(size), axis=1) if size else None, 0
         while at < size:
             step = portion(taken)
             model.learn(rows[:CONTEXT, at : at + step], rows[CONTEXT, at : at + step], rng, state)
