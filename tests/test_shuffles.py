@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from wayline.operators import timetable
+from wayline.operators import lineage, linkage, timetable
 from wayline.plans import catalogue, details  # noqa: F401
 from wayline.plans import views as V
 
@@ -38,3 +38,23 @@ def test_stops_without_a_name_or_a_time_lie_between_services(spark):
     stops[3] = (1, 4, 6, 5, 6)
     frame = spark.createDataFrame(stops, frame.schema)
     assert sorted(tuple(r) for r in timetable.services(frame, "direct").collect()) == [(1, 5, 6, 20, 5, 1425), (1, 6, 8, 6, 30, 24)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the supplied tables are not here")
+def test_stops_take_along_only_what_they_keep(spark):
+    for view in (V.stops, V.records):
+        assert "l_shipdate" not in view(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trains_without_a_link_are_not_written(spark, monkeypatch):
+    """Trains 1 and 2 are linked; 100 others pass other stations, and 3 shares two with 1 but disagrees at one of them."""
+    rows = [(1, 1, 1, 100, 110), (1, 2, 2, 200, 210), (2, 1, 1, 105, None), (2, 2, 2, None, 215), (2, 3, 9, 300, 310), (3, 1, 1, 100, 110), (3, 2, 2, 900, 910)]
+    rows += [(k, n, 10 * k + n, 100 * n, 100 * n + 5) for k in range(10, 110) for n in (1, 2)]
+    stops = spark.createDataFrame(rows, "train long, seq int, station long, arr int, dep int")
+    written, turn = [], lineage.turn
+    monkeypatch.setattr(lineage, "turn", lambda df: (written.append(turn(df)), written[-1])[1])
+    links = linkage.possible_links(stops, 2, 10)
+    assert [tuple(r) for r in links.collect()] == [(1, 2, 2)]
+    merged = linkage.merged(linkage.events(stops), links.select("a", "b"))
+    assert sorted((r.t, r.station, r.kind) for r in merged.collect()) == [(105, 1, "a."), (110, 1, "d."), (200, 2, "a."), (215, 2, "d."), (300, 9, "a."), (310, 9, "d.")]
+    assert written and all(w.count() <= 8 for w in written)

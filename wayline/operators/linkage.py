@@ -162,26 +162,35 @@ def possible_links(stops: DataFrame, common: int = 2, exact: int = 0, changed: D
     Stops meet by station and time, in buckets of a few times exact + 1 minutes, and the buckets that the tolerance reaches, so that a
     busy station does not bring all its trains together; the stations that disagree are then looked for among the pairs found."""
     minutes = stops.select("train", "station", T.to_minutes("arr").alias("arr"), T.to_minutes("dep").alias("dep"))
-    if changed is None:
-        minutes = minutes.withColumn("new", F.lit(True))
-    else:
-        minutes = minutes.join(changed.select("train", F.lit(True).alias("new")).distinct(), "train", "left").withColumn("new", F.coalesce("new", F.lit(False)))
-    left, right = (minutes.select(F.col("train").alias(t), "station", F.col("arr").alias(f"arr{k}"), F.col("dep").alias(f"dep{k}"), F.col("new").alias(f"new{k}")) for k, t in ((1, "a"), (2, "b")))
+    timed = minutes.select("train", "station", "arr", "dep", F.col("arr").isNull().alias("none"))
+    if changed is not None:
+        timed = timed.join(changed.select("train", F.lit(True).alias("new")).distinct(), "train", "left").withColumn("new", F.coalesce("new", F.lit(False)))
     wide = 4 * (exact + 1)
-    off = F.coalesce(F.abs(F.col("arr1") - F.col("arr2")), F.abs(F.col("dep1") - F.col("dep2")))
     met = None
     for c in ("arr", "dep"):
-        reach = F.sequence(F.floor((F.col(f"{c}1") - exact) / wide), F.floor((F.col(f"{c}1") + exact) / wide))
-        near = left.where(F.col("new1") & F.col(f"{c}1").isNotNull()).withColumn("_k", F.explode(reach))
-        both = near.join(right.where(F.col(f"{c}2").isNotNull()).withColumn("_k", F.floor(F.col(f"{c}2") / wide)), ["station", "_k"]).where("a < b or (a > b and not new2)")
-        # Departures count only where an arrival is missing.
-        both = both.where((F.col("arr1").isNotNull() & F.col("arr2").isNotNull()) == (c == "arr")).where(off <= exact).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        # What a stop takes along is its time, and for departures, which count only where an arrival is missing, whether it has one.
+        more = [*(["none"] if c == "dep" else []), *([] if changed is None else ["new"])]
+        side = lambda t, k: timed.where(F.col(c).isNotNull()).select(F.col(c).alias(f"t{k}"), F.col("train").alias(t), "station", *[F.col(m).alias(f"{m}{k}") for m in more])  # noqa: B023, E731
+        reach = F.sequence(F.floor((F.col("t1") - exact) / wide), F.floor((F.col("t1") + exact) / wide))
+        near = side("a", 1) if changed is None else side("a", 1).where("new1")
+        both = near.withColumn("_k", F.explode(reach)).join(side("b", 2).withColumn("_k", F.floor(F.col("t2") / wide)), ["station", "_k"])
+        both = both.where("a < b" if changed is None else "a < b or (a > b and not new2)").where(F.abs(F.col("t1") - F.col("t2")) <= exact)
+        both = (both if c == "arr" else both.where("none1 or none2")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         met = both if met is None else met.union(both)
-    found = met.groupBy("a", "b").agg(F.count("*").alias("matches")).where(F.col("matches") >= common)
+    # Written, so that the planner knows how few they are when it looks for the stops of their trains.
+    found = lineage.turn(met.groupBy("a", "b").agg(F.count("*").alias("matches")).where(F.col("matches") >= common))
+    own = of_trains(minutes, found)
+    left, right = (own.select(F.col("train").alias(t), "station", F.col("arr").alias(f"arr{k}"), F.col("dep").alias(f"dep{k}")) for k, t in ((1, "a"), (2, "b")))
+    off = F.coalesce(F.abs(F.col("arr1") - F.col("arr2")), F.abs(F.col("dep1") - F.col("dep2")))
     all_ = found.select("a", "b").join(left, "a").join(right, ["b", "station"]).groupBy("a", "b").agg(F.max(off).alias("most")).where(F.col("most") <= exact)
     return found.join(all_, ["a", "b"]).select("a", "b", "matches")
 
 
+def of_trains(stops: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of trains that are in pairs (a, b)."""
+    return stops.join(pairs.select(F.explode(F.array("a", "b")).alias("train")), "train", "left_semi")
+
+
 def events(stops: DataFrame) -> DataFrame:
     """A row for each valid time: train, station, kind ('a.' or 'd.'), seq, t: HHMM on the train's own clock, 2400 more
     each time it goes back."""
@@ -200,8 +209,9 @@ def merged(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """Events of each pair (a, b) as one train: the longer record's, ties to b, with the other's at stations and kinds
     that it lacks, moved by a day where a shared event is within 60 minutes of it then. Of events at one time the
     first by station and kind stays."""
-    # Both are read several times.
-    found, pairs = lineage.turn(found), lineage.turn(pairs)
+    # Both are read several times; of the events only those of trains that are in pairs.
+    pairs = lineage.turn(pairs)
+    found = lineage.turn(of_trains(found, pairs))
     size = found.groupBy("train").agg(F.count("*").alias("n"))
     of = lambda end: pairs.select("a", "b").join(size.select(F.col("train").alias(end), F.col("n").alias(f"n_{end}")), end)
     roles = of("a").join(of("b"), ["a", "b"]).select("a", "b", F.when(F.col("n_a") > F.col("n_b"), F.col("a")).otherwise(F.col("b")).alias("base"))
