@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,42 @@ def test_sums_of_runs():
         values = rng.normal(size=(50, width)).astype(np.float32)
         for first in ([0], [0, 1, 7, 8, 49], list(range(50))):
             assert np.allclose(lm._run_sums(values, np.array(first)), np.add.reduceat(values, first, axis=0), atol=1e-5)
+
+
+ODD = [None, "", " ", "\n\ta  b\x0b\x0cC\r", "x\x1cy\xa0z É ÄB", "y" * 64, "Y" * 65 + " " + "Z" * 200 + "€", "\x00 a\x00", "ß İ ı", None]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_texts_together_are_cut_as_each_alone(monkeypatch, kind):
+    monkeypatch.setattr(lm, "BLOCK", 70)
+    for texts in (ODD, ODD[3:7], [None], [" "], []):
+        got = []
+        for first, block in lm.blocks(pa.array(["before", *texts], kind).slice(1)):
+            assert first == len(got)
+            found, many = lm.tokens(block)
+            assert lm.endings(found).tolist() == [lm.ending(w) for w in found.to_pylist()]
+            for n, stop in zip(many, np.cumsum(many)):
+                got.append(found.to_pylist()[stop - n : stop])
+        assert got == [lm.words(t) for t in texts]
+
+
+def test_reading_makes_no_object_of_each_word(monkeypatch):
+    """What a task reads thrice: units and places of all tokens, without Python for each of them."""
+    head = lm.Head([(b"a", 9), (b"b", 8), (b"x\x1cy\xc2\xa0z", 7), (b"rare", 1)], 10)
+    texts, at = ODD * 50, {b"a": 0, b"b": 1, b"x\x1cy\xc2\xa0z": 2, b"rare": 3}
+    of = lambda w: (-2, head.end) if w is None else (at.get(w, -1), at[w] if at.get(w, 3) < 3 else head.own + lm.ending(w))
+    want = [of(w) for t in texts for w in [*lm.words(t), None]]
+    unknown = [w for t in texts for w in lm.words(t) if w not in at]
+    plain, calls = lm.ending, []
+    monkeypatch.setattr(lm, "words", lambda text: pytest.fail("a text was cut in Python"))
+    monkeypatch.setattr(lm, "ending", lambda w: calls.append(w) or plain(w))
+    kind, place, bounds, rest = head.read(pa.array(texts))
+    assert list(zip(place.tolist(), kind.tolist())) == want and bounds[-1] == len(want) and rest.to_pylist() == unknown
+    assert len(calls) == len({w[-2:] for w in unknown})
+
+
+def test_counts_passed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HELD", 3)
+    texts = [t for _, t in documents()[:120]] + ODD
+    got = lm.word_counts(spark.createDataFrame([(t,) for t in texts * 12], "text string").coalesce(1)).collect()
+    assert {bytes(r.word): r.n for r in got} == {w: 12 * n for w, n in Counter(w for t in texts for w in lm.words(t)).items()} and len(got) == len({r.word for r in got})

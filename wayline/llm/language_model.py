@@ -32,17 +32,17 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections import Counter
+from collections.abc import Iterator
 from copy import copy
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, runs, small_batches, staged
+from .shared import fold, small_batches, staged
 
 OWN, FEWEST, ENDINGS, HEAD, LONGEST = 20, 5, 128, 1 << 17, 64
 WIDTH, CONTEXT, GROUP, PIECE = 24, 3, 128, 64
@@ -53,40 +53,82 @@ FIRST = 100
 START, EVERY = 256, 32
 #: Distinct words that a task counts before it passes their counts on.
 HELD = 300_000
+#: Characters of texts that are read together.
 BLOCK = 1 << 20
 #: Tokens whose products with all groups are held at once.
 ROWS = 1 << 12
 
 
 def words(text: str | None) -> list[bytes]:
-    """A-Z in lower case, cut at ASCII white space: what bytes do. Long words by their digest, which no UTF-8 text equals."""
-    found = (text or "").encode("utf-8", "replace").lower().split()
-    if found and max(map(len, found)) > LONGEST:
-        found = [w if len(w) <= LONGEST else b"\xff" + hashlib.sha256(w).digest() + w[-2:] for w in found]
-    return found
+    """A-Z in lower case, cut at ASCII white space: what bytes do. Long words by their digest, which no UTF-8 text equals.
+    Plainly, of one text; tokens() gives the same of many."""
+    return [w if len(w) <= LONGEST else digest(w) for w in (text or "").encode("utf-8", "replace").lower().split()]
+
+
+def digest(word: bytes) -> bytes:
+    return b"\xff" + hashlib.sha256(word).digest() + word[-2:]
 
 
 def ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
+def blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive texts of BLOCK characters at most, or one text, with the first one's index."""
+    start, held = 0, 0
+    for i, size in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+        if i > start and held + size > BLOCK:
+            yield start, texts.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if len(texts) > start:
+        yield start, texts.slice(start)
+
+
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, and how many each text has."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, bounds = cut.values.cast(pa.binary()), cut.offsets.to_numpy()
+    size = pc.binary_length(flat).to_numpy()
+    if not size.all():
+        # White space at either end of a text leaves an empty word there.
+        real = size > 0
+        flat, bounds, size = flat.filter(pa.array(real)), np.r_[0, np.cumsum(real)][bounds], size[real]
+    many = size > LONGEST
+    if many.any():
+        many = pa.array(many)
+        flat = pc.replace_with_mask(flat, many, pa.array([digest(w) for w in flat.filter(many).to_pylist()], pa.binary()))
+    return flat, np.diff(bounds)
+
+
+def endings(found: pa.Array) -> np.ndarray:
+    """ending() of each word."""
+    last = pc.binary_slice(found, -2).dictionary_encode()
+    return np.array([ending(w) for w in last.dictionary.to_pylist()], dtype=np.int32)[last.indices.to_numpy()]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """docs: text. Columns word (binary), n, for all texts."""
 
     def run(batches):
-        held: Counter = Counter()
+        held, size = [], 0
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+        def summed():
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(words(text))
-                if len(held) > HELD:
-                    yield out()
-                    held.clear()
+            for _, block in blocks(batch.column(0)):
+                found = pc.value_counts(tokens(block)[0])
+                held.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+                size += len(found)
+                if size > 2 * HELD:
+                    held = [summed()]
+                    size = held[0].num_rows
+                    if size > HELD:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
         if held:
-            yield out()
+            yield from summed().to_batches()
 
     return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -97,7 +139,7 @@ class Head:
 
     def __init__(self, rows: list[tuple[bytes, int]], ends: int, own: int = 8_192):
         rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-        self.at: dict[bytes | None, int] = {w: i for i, (w, _) in enumerate(rows)} | {None: -2}
+        self.words = pa.array([w for w, _ in rows], pa.binary())
         self.own = sum(n >= FEWEST for _, n in rows[:own])
         self.end = self.own + ENDINGS
         self.units = self.end + 1
@@ -105,21 +147,20 @@ class Head:
         self.log = np.array([math.log10(n + 1) for _, n in rows], dtype=np.float64)
         self.end_log = math.log10(ends + 1)
 
-    def read(self, texts: list[str | None]):
-        """For texts together: units and places in the head (-1: none, -2: end) of all tokens, their bounds, the word lists."""
-        lists = [words(t) for t in texts]
-        flat: list[bytes | None] = []
-        for own in lists:
-            flat += own
-            flat.append(None)
-        place = np.fromiter(map(self.at.get, flat, repeat(-1)), np.int64, len(flat))
-        bounds = np.cumsum([0, *[len(own) + 1 for own in lists]])
+    def read(self, texts: pa.Array):
+        """For texts together: units and places in the head (-1: none, -2: end) of all tokens, their bounds, the words that have no place."""
+        found, many = tokens(texts)
+        at = pc.fill_null(pc.index_in(found, value_set=self.words), -1).to_numpy()
+        bounds = np.r_[0, np.cumsum(many + 1)]
+        is_word = np.ones(bounds[-1], dtype=bool)
+        is_word[bounds[1:] - 1] = False
+        place = np.full(bounds[-1], -2, dtype=np.int64)
+        place[is_word] = at
         # The two last places stand for the end and for unknown words.
         kind = self.kind[place]
-        unknown = np.flatnonzero(place == -1)
-        if unknown.size:
-            kind[unknown] = self.own + np.fromiter((ending(flat[k]) for k in unknown.tolist()), np.int32, unknown.size)
-        return kind, place, bounds, lists
+        unknown = found.filter(pa.array(at == -1))
+        kind[place == -1] = self.own + endings(unknown)
+        return kind, place, bounds, unknown
 
     def before(self, kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """The CONTEXT units before each token, the nearest first; ends before a text's start."""
@@ -198,6 +239,8 @@ class Model:
         self.c = np.stack([np.eye(WIDTH, dtype=np.float32) / (i + 1) for i in range(CONTEXT)])
         self.q = np.concatenate([small(n, WIDTH) * 0.1, np.log(inside)[:, None].astype(np.float32)], axis=1)
         self.g = np.concatenate([small(self.groups, WIDTH) * 0.1, np.log(self.of_group)[:, None].astype(np.float32)], axis=1)
+        #: What the noise of a set of rows is drawn from: shares of all rows up to each.
+        self.upto = {"g": np.r_[0.0, np.cumsum(self.of_group)], "q": np.r_[0.0, np.cumsum(self.share)]}
         self.log_noise = {"g": np.log(NOISE * self.of_group / self.of_group.sum()).astype(np.float32), "q": np.log(NOISE * inside).astype(np.float32)}
         self.seen = {name: np.full(table.shape[0], 1e-4 if name == "c" else 0, dtype=np.float32) for name, table in zip("rqgc", self.tables())}
 
@@ -239,8 +282,8 @@ class Model:
             else:
                 h[:, :WIDTH] = made
             met.append((order, first, many, units, vectors))
-        back = self.nce("g", h, target // self.group, np.array([0, self.groups]), self.of_group, rng, state)
-        back += self.nce("q", h, target, self.cuts, self.share, rng, state)
+        back = self.nce("g", h, target // self.group, np.array([0, self.groups]), rng, state)
+        back += self.nce("q", h, target, self.cuts, rng, state)
         slopes = []
         for i, (order, first, _, _, vectors) in enumerate(met):
             sums = _run_sums(back.take(order, axis=0), first)
@@ -257,11 +300,10 @@ class Model:
         times = np.bincount(units, np.concatenate([m[2] for m in met]), self.share.size)[at].astype(np.int64)
         self.step("r", at, sums, times, state)
 
-    def nce(self, name: str, h: np.ndarray, true: np.ndarray, cuts: np.ndarray, share: np.ndarray, rng: np.random.Generator, state: dict) -> np.ndarray:
-        """The step of a table of output vectors whose rows lie in sets between `cuts`; `true`, sorted, are the contexts' true rows,
-        share is what the noise of a set is drawn from. Returns the slopes of h."""
-        weights = getattr(self, name)
-        upto = np.r_[0.0, np.cumsum(share)]
+    def nce(self, name: str, h: np.ndarray, true: np.ndarray, cuts: np.ndarray, rng: np.random.Generator, state: dict) -> np.ndarray:
+        """The step of a table of output vectors whose rows lie in sets between `cuts`; `true`, sorted, are the contexts' true rows.
+        Returns the slopes of h."""
+        weights, upto = getattr(self, name), self.upto[name]
         low, high = upto[cuts[:-1], None], upto[cuts[1:], None]
         drawn = np.searchsorted(upto, low + rng.random((cuts.size - 1, NOISE)) * (high - low), "right") - 1
         drawn = np.clip(drawn, cuts[:-1, None], cuts[1:, None] - 1)
@@ -295,9 +337,11 @@ class Model:
         # True and drawn rows together.
         every = np.concatenate([rows, drawn[of[first]].ravel()])
         times = np.concatenate([many, np.repeat(np.diff(bounds)[of[first]], NOISE)])
-        order = np.argsort(every, kind="stable")
-        units, slopes, _ = _summed(every[order], np.concatenate([sums, lost.reshape(-1, WIDTH + 1)]).take(order, axis=0))
-        self.step(name, units, slopes, np.bincount(every, times, weights.shape[0])[units].astype(np.int64), state)
+        order = np.argsort(_short(every, weights.shape[0]), kind="stable")
+        units = every.take(order)
+        first, _ = _firsts(units)
+        slopes = np.concatenate([sums, lost.reshape(-1, WIDTH + 1)]).take(order, axis=0)
+        self.step(name, units.take(first), _run_sums(slopes, first), np.add.reduceat(times.take(order), first), state)
         return back
 
     def kept(self, name: str, state: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -404,7 +448,7 @@ def train_round(learned: DataFrame, head, start, number: int) -> Model:
         held, size, taken = [], 0, 0
         portion = lambda taken: min(PORTION, START << min(number + taken // EVERY, 20))
         for batch in batches:
-            for _, block in runs(batch.column(0).to_pylist(), BLOCK):
+            for _, block in blocks(batch.column(0)):
                 kind, _, bounds, _ = head_.read(block)
                 held.append(np.concatenate([head_.before(kind, bounds), model.rank[kind][None]]))
                 size += kind.size
@@ -484,9 +528,9 @@ def scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
         for batch in batches:
             row, n = batch.column(0), batch.num_rows
             size, known, base, score = (np.zeros(n, t) for t in (np.int64, np.int64, np.float64, np.float64))
-            rest_row, rest_word, rest_n = [], [], []
-            for first, block in runs(batch.column(1).to_pylist(), BLOCK):
-                kind, place, bounds, lists = head.read(block)
+            rest = []
+            for first, block in blocks(batch.column(1)):
+                kind, place, bounds, unknown = head.read(block)
                 own = slice(first, first + len(block))
                 value = model_.log_probabilities(head.before(kind, bounds), model_.rank[kind]) - inner_[kind]
                 part = np.zeros(place.size)
@@ -499,17 +543,13 @@ def scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
                 known[own] = np.add.reduceat((listed | ((place == -2) & (ends > 0))).astype(np.int64), bounds[:-1])
                 base[own] = np.add.reduceat(part, bounds[:-1])
                 score[own] = np.add.reduceat(value, bounds[:-1])
-                for doc in np.unique(np.searchsorted(bounds, np.flatnonzero(place == -1), "right") - 1).tolist():
-                    other = Counter([lists[doc][k] for k in np.flatnonzero(place[bounds[doc] : bounds[doc + 1]] == -1).tolist()])
-                    rest_row += [first + doc] * len(other)
-                    rest_word += other.keys()
-                    rest_n += other.values()
+                doc = first + np.repeat(np.arange(len(block)), np.diff(bounds))[place == -1]
+                rest.append(pa.table({"doc": doc, "word": unknown}).group_by(["doc", "word"], use_threads=False).aggregate([([], "count_all")]))
             none = pa.nulls(n, pa.binary())
             yield pa.RecordBatch.from_arrays([row, none, pa.array(size), pa.array(known), pa.array(base), pa.array(score)], ["row", "word", "n", "known", "base", "score"])
-            if rest_row:
-                m = len(rest_row)
-                at = row.take(pa.array(rest_row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([at, pa.array(rest_word, pa.binary()), pa.array(rest_n, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], ["row", "word", "n", "known", "base", "score"])
+            if rest and (m := (words_ := pa.concat_tables(rest).combine_chunks()).num_rows):
+                word, often = (words_[name].combine_chunks() for name in ("word", "count_all"))
+                yield pa.RecordBatch.from_arrays([row.take(words_["doc"].combine_chunks()), word, often, pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], ["row", "word", "n", "known", "base", "score"])
 
     # Rows are numbered before the texts are read; ids and folds come back by the same number, from the same written table.
     numbered = data.withColumn("row", F.monotonically_increasing_id())
