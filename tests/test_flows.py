@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayline.functions import geo as G
 from wayline.operators import flows, stats
@@ -73,3 +74,47 @@ def test_pairs_of_full_cells_are_dealt_and_nothing_is_broadcast(spark, monkeypat
     near = {(i, j): km(p, q) for i, p in enumerate(spots) for j, q in enumerate(spots) if i != j and km(p, q) <= 350}
     assert got == {(i, j): sum(values[k] for (o, k), e in near.items() if o == i and (e, k) < (d, j)) for (i, j), d in near.items()}
     assert {(r.org, r.dest) for r in pairs.collect()} == near.keys()
+
+
+def crowded(spark, n, kind="double", seed=4):
+    """Places of a few cells, many at one spot or as far as another, a few without a value."""
+    rng = random.Random(seed)
+    rows = [(i, float(rng.randint(0, 6)) / 4, 50 + float(rng.randint(-4, 4)) / 4, None if i % 17 == 5 else rng.randint(1, 9)) for i in range(n)]
+    return spark.createDataFrame(rows, "name int, lon double, lat double, value int").withColumn("value", F.col("value").cast(kind))
+
+
+@pytest.mark.parametrize("kind", ["double", "bigint", "decimal(12,2)"])
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_nearer_values_are_summed_origin_by_origin(spark, monkeypatch, kind, batch):
+    """The same rows and types as the window over all pairs, and no sort of a task's pairs."""
+    monkeypatch.setattr(flows, "LOAD", 20)
+    places = crowded(spark, 90, kind)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        near, whole = flows.radiation(places, most=25_000.0), flows.radiation(places)
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Sort [" in line and " d#" in line.replace("[d#", " d#")]
+        assert near.schema["s"].dataType == whole.schema["s"].dataType
+        got, want = ({(r.org, r.dest): (r.s, r.flow) for r in f.collect()} for f in (near, whole))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 90 * 89 and got == want
+
+
+def test_pairs_of_an_origin_that_come_apart_raise():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"_i": [1, 2, 1], "org": [5, 6, 5], "dest": [6, 5, 7], "m": [1.0] * 3, "n": [1.0] * 3, "d": [1.0] * 3})
+    with pytest.raises(RuntimeError, match="follow each other"):
+        list(flows._origins(iter([batch])))
+    with pytest.raises(RuntimeError, match="follow each other"):
+        list(flows._origins(iter([batch.slice(1, 1), batch.slice(0, 1)])))
+
+
+def test_blocks_of_a_cell_do_not_grow_in_number_with_the_places(spark, monkeypatch):
+    """A place is shuffled once for each block of the cells around it."""
+    monkeypatch.setattr(flows, "LOAD", 5)
+    monkeypatch.setattr(flows, "SHARE", 4, raising=False)
+    for n in (60, 240):
+        pairs = flows._dealt_pairs(crowded(spark, n), 3_000.0)
+        assert pairs.select(*[c for c in ("_k", "_b", "_c", "_o") if c in pairs.columns]).distinct().count() <= 8
