@@ -118,3 +118,13 @@ def test_blocks_of_a_cell_do_not_grow_in_number_with_the_places(spark, monkeypat
     for n in (60, 240):
         pairs = flows._dealt_pairs(crowded(spark, n), 3_000.0)
         assert pairs.select(*[c for c in ("_k", "_b", "_c", "_o") if c in pairs.columns]).distinct().count() <= 8
+
+
+def test_a_place_is_sent_to_the_bands_that_its_circle_reaches(spark):
+    """Three at most, and gravity asks for the names' order before it reckons a distance."""
+    places = crowded(spark, 50)
+    bands = places.select(F.size(F.array_distinct(G.cells_around(F.col("lon"), F.col("lat"), 350.0)["band"])).alias("n"))
+    assert bands.agg(F.max("n")).collect()[0][0] <= 3
+    plan = flows.gravity(places, 350.0)._jdf.queryExecution().executedPlan().toString()
+    join = next(line for line in plan.splitlines() if "SortMergeJoin" in line)
+    assert 0 < join.index("(dest#") < join.index("350.0") and join.index("(dest#") < join.index("SIN(")
